@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestar.llm import decontamination, exact_dedup, language_id, packing
+from lodestar.llm import decontamination, exact_dedup, jaccard_join, language_id, packing
 from lodestar.llm.common import materialize, small, table
 
 #: A document is rejected if it has no letters, or if its best language has less than this share of belief.
@@ -29,6 +29,11 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _keep(docs, exact_dedup.exact_duplicates(docs).where("not kept"))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that links connect, the one with the smallest id stays."""
+    return _keep(docs, jaccard_join.similar_documents(docs, size=5, percent=80).where("component_id <> doc_id"))
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _keep(docs, decontamination.find_items(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0"))
 
@@ -37,7 +42,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("language ID", language), ("exact dedup", dedup), ("benchmark decontamination", decontaminate), ("packing", pack)]
+STAGES = [("language ID", language), ("exact dedup", dedup), ("n-gram Jaccard join", near_dedup), ("benchmark decontamination", decontaminate), ("packing", pack)]
 
 #: Language models and tokenizers can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, exact_dedup, html_text, language_id, packing, pseudonyms, token_counts
+from . import decontamination, exact_dedup, html_text, jaccard_join, language_id, lm_scoring, packing, pseudonyms, suffix_dedup, token_counts
 from .common import table
 
 #: Of the pseudonyms; a deployment sets its own.
@@ -38,6 +38,18 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), language_id.held_out(of=7))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymize(table(spark, sf_dir, "documents"), KEY)
 
@@ -47,7 +59,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_packing, op3_language_id, op4_html_extraction, op5_exact_dedup, op9_pseudonyms, op10_token_counts)
+    f.__name__: f for f in (op1_decontamination, op2_packing, op3_language_id, op4_html_extraction, op5_exact_dedup, op6_suffix_dedup, op7_lm_scoring, op8_jaccard_join, op9_pseudonyms, op10_token_counts)
 }
 
 _DEDUP = r"""
