@@ -5,8 +5,9 @@ around an anchor that such strings can reach are its context. So documents are c
 hashes of their contexts, and only these are shuffled, the first of each context in a batch:
 
 - a later anchor with a context that occurred before is covered with its whole context
-- an anchor whose bytes occur in one context only needs nothing more
-- the first anchors of different contexts around the same bytes fetch those contexts. In each group of them, the
+- strings of `least` bytes around equal anchors reach so far to the left or so far to the right that one of SPLITS spans around the
+  anchor is equal too; an anchor whose spans all occur in one context only needs nothing more
+- the first anchors of different contexts that share a span fetch those contexts. In each group of them, the
   suffixes are ordered, and breadth-first backward extension on the Burrows-Wheeler transform separates
   suffix intervals by increasing common prefix; what is together after least - 1 levels shares `least` bytes.
 
@@ -29,8 +30,10 @@ from .common import BROADCAST_BYTES, batch, by_arrow, dealt, materialize, packed
 from .textbytes import chunks, column_bytes, mix, prefix_hash, span_hash
 
 ANCHOR = 24
+#: Spans around an anchor of which equal strings of the wanted length share one.
+SPLITS = 8
 #: Bytes of text for one shard of anchors, and of contexts whose suffixes are ordered at once.
-SHARD_BYTES, GROUP_BYTES = 16 << 20, 1 << 20
+SHARD_BYTES, GROUP_BYTES = 16 << 20, 1 << 17
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -42,11 +45,17 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
+def before_anchor(reach: int) -> list[tuple[int, int]]:
+    """For each split, the least and most bytes before the anchor at which its strings begin."""
+    edges = [(reach + 1) * k // SPLITS for k in range(SPLITS + 1)]
+    return [(a, max(a, b - 1)) for a, b in zip(edges, edges[1:])]
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """Of every anchor: its text, place, context's start and end (in data), the hash of its bytes and of its context."""
+    """Of every anchor: its text, place, context's start and end (in data), the hashes of its bytes, of its context and (n x SPLITS) of its spans."""
     n, reach = len(data), least - ANCHOR
     if n < least:
-        return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return *(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64)), np.zeros((0, SPLITS), np.uint16)
     h = prefix_hash(data)
     places = np.arange(n - ANCHOR + 1)
     own = span_hash(h, places, places + ANCHOR)
@@ -60,7 +69,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarr
     start, end = np.maximum(offsets[doc], at - reach), np.minimum(offsets[doc + 1], at + ANCHOR + reach)
     left, right = span_hash(h, start, at), span_hash(h, at + ANCHOR, end)
     around = mix(left + np.uint64(3) * right + (at - start).astype(np.uint64) * np.uint64(1009) + (end - at).astype(np.uint64))
-    return doc, at, start, end, own[at], around
+    spans = np.zeros((len(at), SPLITS), np.uint16)
+    for k, (a, b) in enumerate(before_anchor(reach)):
+        lo, hi = at - a, at + ANCHOR + reach - b
+        fits = (lo >= offsets[doc]) & (hi <= offsets[doc + 1])
+        spans[:, k] = np.where(fits, span_hash(h, np.where(fits, lo, at), np.where(fits, hi, at)), mix(at.astype(np.uint64) ^ own[at])) >> np.uint64(48)
+    return doc, at, start, end, own[at], around, spans
 
 
 def merged(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,27 +96,56 @@ def merged(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 def common_prefixes(symbols: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffix order, and the number of each suffix's interval; suffixes in one interval share `least` symbols."""
     n = len(symbols)
-    rank, done = symbols.astype(np.int64), 1
+    # seven symbols of nine bits first, then doubling
+    padded = np.concatenate([symbols.astype(np.int64), np.zeros(6, np.int64)])
+    rank, done = np.zeros(n, np.int64), 7
+    for k in range(7):
+        rank = (rank << 9) | padded[k : k + n]
+    rank = np.unique(rank, return_inverse=True)[1]
     while done < least:
         shifted = np.zeros(n, np.int64)
         shifted[: max(0, n - done)] = rank[done:] + 1
-        rank = np.unique(rank * (n + 257) + shifted, return_inverse=True)[1].astype(np.int64)
+        rank = np.unique(rank * (n + 1) + shifted, return_inverse=True)[1]
         done *= 2
     order = np.argsort(rank, kind="stable")
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
-    # where the suffix without its first symbol stands: the inverse of the backward step of the transform
-    forward = place[np.minimum(order + 1, n - 1)]
-    apart = np.ones(n, bool)
-    apart[1:] = symbols[order[1:]] != symbols[order[:-1]]
-    open_ = np.flatnonzero(~apart)
+    # the transform: the symbol before each suffix, and where the suffix with that symbol stands
+    transform, back = symbols[order - 1].astype(np.int64), place[order - 1]
+    apart = np.ones(n + 1, bool)
+    apart[1:n] = symbols[order[1:]] != symbols[order[:-1]]
+    new = np.flatnonzero(apart[:n])[1:]
     for _ in range(least - 1):
-        interval = np.cumsum(apart)
-        now = interval[forward[open_]] != interval[forward[open_ - 1]]
-        apart[open_[now]] = True
-        open_ = open_[~now]
-        if not len(open_):
+        # intervals that new edges part into pieces: all pieces but the widest are extended by each of their symbols
+        edges = np.flatnonzero(apart)
+        at = np.searchsorted(edges, new)
+        parted, old = np.zeros(len(edges), bool), np.ones(len(edges), bool)
+        parted[at] = parted[at - 1] = True
+        old[at] = False
+        piece = np.flatnonzero(parted)
+        start, width = edges[piece], edges[piece + 1] - edges[piece]
+        whole = np.cumsum(old[piece]) - 1
+        by_width = np.lexsort((width, whole))
+        widest = by_width[np.append(np.flatnonzero(np.diff(whole[by_width])), len(by_width) - 1)]
+        before = np.arange(len(piece)) < widest[whole]
+        narrow = np.ones(len(piece), bool)
+        narrow[widest] = False
+        start, width, before = start[narrow], width[narrow], before[narrow]
+        which = np.repeat(np.arange(len(width)), width)
+        p = np.repeat(start - (np.cumsum(width) - width), width) + np.arange(len(which))
+        # of each symbol's places, the one next to the widest piece's side: the greatest before it, the least after it
+        side = before[which]
+        key = (which << 9) | transform[p]
+        by = np.argsort(key * n + np.where(side, n - 1 - back[p], back[p]))
+        key = key[by]
+        by = by[np.concatenate([[True], key[1:] != key[:-1]])] if len(by) else by
+        new = back[p[by]] + side[by]
+        new = np.sort(new[~apart[new]])
+        if not len(new):
             break
+        apart[new] = True
+        new = new[np.concatenate([[True], new[1:] != new[:-1]])]
+    apart = apart[:n]
     return order, np.cumsum(apart)
 
 
@@ -143,7 +186,7 @@ def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", te
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(32, size // SHARD_BYTES)
     mark = lambda ids, start, end: dealt((mix(ids.view(np.uint64)) % np.uint64(shards)).astype(np.int64), shards, id=ids, start=start.astype(np.int32), end=end.astype(np.int32))
-    names = ("id", "start", "end", "own", "around", "at")
+    names = ("id", "start", "end", "own", "around", "at", "spans")
 
     def shaped(b: pa.RecordBatch, marks: bool) -> pa.RecordBatch:
         """One shape for anchors and marks; shards of marks are below zero."""
@@ -162,36 +205,45 @@ def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", te
     def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         parts, keys = [], b.column(0).to_numpy()
         for lo, _, data, offsets in chunks(b.column(1)):
-            doc, at, start, end, own, around = anchors(data, offsets, least)
-            parts.append((keys[lo + doc], at - offsets[doc], start - offsets[doc], end - offsets[doc], own, around))
+            doc, at, start, end, own, around, spans = anchors(data, offsets, least)
+            parts.append((keys[lo + doc], at - offsets[doc], start - offsets[doc], end - offsets[doc], own, around, spans))
         if not parts:
             return
-        ids, at, start, end, own, around = (np.concatenate(x) for x in zip(*parts))
+        ids, at, start, end, own, around, spans = (np.concatenate(x) for x in zip(*parts))
         if not len(ids):
             return
         o, again = firsts(own, around, ids, at)
         if len(again):
             yield shaped(mark(*merged(ids[again], start[again], end[again])), True)
-        yield shaped(dealt((mix(own[o]) % np.uint64(shards)).astype(np.int64), shards, id=ids[o], start=start[o].astype(np.int32), end=end[o].astype(np.int32), own=own[o], around=around[o], at=at[o].astype(np.int32)), False)
+        yield shaped(dealt((mix(own[o]) % np.uint64(shards)).astype(np.int64), shards, id=ids[o], start=start[o].astype(np.int32), end=end[o].astype(np.int32), own=own[o], around=around[o], at=at[o].astype(np.int32), spans=spans[o]), False)
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         """Marks of repeated contexts; with `own`, contexts to fetch."""
         shard = int(pdf["shard"].iloc[0])
-        ids, start, end = packed(pdf["id"], np.int64), packed(pdf["start"], np.int32), packed(pdf["end"], np.int32)
+        ids, start, end = packed(pdf["id"], np.int64), packed(pdf["start"], np.int32).copy(), packed(pdf["end"], np.int32).copy()
         if shard < 0:
             ids, start, end = merged(ids, start, end)
             return pd.DataFrame([(-1 - shard, ids.tobytes(), start.astype(np.int32).tobytes(), end.astype(np.int32).tobytes(), None)], columns=["shard", "id", "start", "end", "own"])
         own, around, at = packed(pdf["own"], np.uint64), packed(pdf["around"], np.uint64), packed(pdf["at"], np.int32)
         kept, again = firsts(own, around, ids, at)
-        same = own[kept][1:] == own[kept][:-1]
-        fetch = kept[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        spans, shared = packed(pdf["spans"], np.uint16).reshape(-1, SPLITS)[kept], np.zeros((len(kept), SPLITS), bool)
+        for k in range(SPLITS):
+            by = np.lexsort((spans[:, k], own[kept]))
+            same = np.flatnonzero((own[kept][by[1:]] == own[kept][by[:-1]]) & (spans[by[1:], k] == spans[by[:-1], k]))
+            shared[by[same], k] = shared[by[same + 1], k] = True
         rows = mark(*merged(ids[again], start[again], end[again])).to_pandas()
         rows["own"] = None
+        any_ = shared.any(1)
+        fetch, shared = kept[any_], shared[any_]
+        # only as far around the anchor as strings of the shared splits reach
+        least_before, most_before = np.array(before_anchor(least - ANCHOR)).reshape(-1, 2).T
+        start[fetch] = np.maximum(start[fetch], at[fetch] - most_before[SPLITS - 1 - np.argmax(shared[:, ::-1], 1)])
+        end[fetch] = np.minimum(end[fetch], at[fetch] + least - least_before[np.argmax(shared, 1)])
         wanted = dealt((mix(ids[fetch].view(np.uint64)) % np.uint64(shards)).astype(np.int64), shards, id=ids[fetch], start=start[fetch], end=end[fetch], own=own[fetch]).to_pandas()
         return pd.concat([rows, wanted], ignore_index=True)
 
     shape = "shard long, id binary, start binary, end binary, own binary"
-    settled = materialize(by_arrow(base.select("key", "text"), cut, "shard long, id binary, start binary, end binary, own binary, around binary, at binary").groupBy("shard").applyInPandas(settle, shape))
+    settled = materialize(by_arrow(base.select("key", "text"), cut, "shard long, id binary, start binary, end binary, own binary, around binary, at binary, spans binary").groupBy("shard").applyInPandas(settle, shape))
 
     def of_documents(pdf: pd.DataFrame) -> pd.DataFrame:
         """A row for each document with its ranges; of marks, merged."""
