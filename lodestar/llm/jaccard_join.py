@@ -3,12 +3,12 @@
 Under any one order of all shingles, two sets with similarity t share one of their first
 n - ceil(t * n) + 1 shingles. Three orders are used, each of which linked documents must pass:
 
-1. ascending hash: documents that share no such prefix shingle with another of fitting size are done
-2. rare shingles first (those on HOT or more remaining documents come last): prefix shingles join
-   documents into clusters, by chains in order of size, never by all pairs
-3. within a cluster, ascending and descending hash again, pair by pair: candidates pass both, and only they are verified
+1. rare shingles first, by a table of counters of fixed size, whose entry for a shingle is never below the number of its documents:
+   a shingle with 1 is in no other document and goes no further; the other prefix shingles join documents into
+   clusters, by chains in order of size, never by all pairs
+2. and 3. within a cluster, ascending and descending hash, pair by pair: candidates pass both, and only they are verified
 
-A cluster of more than `block` documents is dealt into blocks whose pairs are separate tasks. Only links that
+A cluster of more than `block` documents, or of long ones, is dealt into blocks whose pairs are separate tasks. Only links that
 join two parts are kept, then components are found by contraction. Equal sets are one class from the start.
 
 A document without words or text is linked with nothing. Rows that repeat an id are one node; a null id links
@@ -25,13 +25,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BROADCAST_BYTES, batch, by_arrow, components, dealt, materialize, packed, small
+from .common import batch, by_arrow, components, dealt, materialize, packed, small
 from .textbytes import NOT_SPACE, chunks, mix, shingles, word_hashes
 
-HOT = 16
+#: The table of counters: this many slices of SLICE one-byte counters, which stop at 255. 16 MB are broadcast.
+SLICES, SLICE = 256, 1 << 16
 SALT = np.uint64(0x5851F42D4C957F2D)
-#: Packed values that one task merges, about.
-SHARD_VALUES = 1 << 20
+#: Packed values that one task merges, about; tokens of a block for each document that it may hold.
+SHARD_VALUES, BLOCK_TOKENS = 1 << 20, 1024
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -54,6 +55,11 @@ def _shards(values: int) -> int:
     return max(16, -(-values // SHARD_VALUES))
 
 
+def _place(tokens: np.ndarray) -> np.ndarray:
+    """In the table of counters."""
+    return (mix(tokens + SALT) % np.uint64(SLICES * SLICE)).astype(np.int64)
+
+
 def _of(tokens: np.ndarray, shards: int) -> np.ndarray:
     return (mix(tokens) % np.uint64(shards)).astype(np.int64)
 
@@ -103,36 +109,71 @@ def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     p = prefix_size(n, percent)
     up = _Index([x[:k] for x, k in zip(sets, p)])
     down = _Index([x[len(x) - k :] for x, k in zip(sets, p)])
-    forest, out = Forest(len(sets)), []
+    forest, out, parts = Forest(len(sets)), [], 1
+
+    def link(i: int, j: int) -> bool:
+        common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        if 100 * common < percent * (n[i] + n[j] - common):
+            return False
+        forest.join(i, j)
+        out.append((i, j))
+        return True
+
     for i in range(1, len(sets)):
+        # where all before are one part, any link tells everything
+        if parts == 1 and (link(i, i - 1) or link(i, 0)):
+            continue
+        parts += 1
         able = up.sharing(i) & down.sharing(i) & fits(np.minimum(n[:i], n[i]), np.maximum(n[:i], n[i]), percent)
-        for j in np.flatnonzero(able):
+        for j in np.flatnonzero(able).tolist():
             if forest.root(i) != forest.root(j):
-                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * common >= percent * (n[i] + n[j] - common):
-                    forest.join(i, j)
-                    out.append((i, int(j)))
+                parts -= link(i, j)
     return out
 
 
-def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id for every row. size: words of a shingle; percent: similarity of a link."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
+    # first order: how often shingles occur, at most
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places = [_place(t) for t in _sets(b.column(1), size)]
+            if places:
+                at = np.concatenate(places)
+                yield dealt(at >> 16, SLICES, low=(at & (SLICE - 1)).astype(np.uint16))
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros(SLICE, np.int64)
+        for low in pdf["low"]:
+            counts += np.bincount(np.frombuffer(low, np.uint16), minlength=SLICE)
+        return pd.DataFrame({"slice": [int(pdf["shard"].iloc[0])], "counts": [np.minimum(counts, 255).astype(np.uint8).tobytes()]})
+
+    slices = base.mapInArrow(tally, "shard long, low binary").groupBy("shard").applyInPandas(total, "slice long, counts binary")
+    table = np.zeros((SLICES, SLICE), np.uint8)
+    for row in slices.toLocalIterator():
+        table[row["slice"]] = np.frombuffer(row["counts"], np.uint8)
+    counters = docs.sparkSession.sparkContext.broadcast(table.ravel())
+
+    def rare_first(tokens: np.ndarray) -> np.ndarray:
+        often = counters.value[_place(tokens)]
+        first = np.lexsort((mix(tokens ^ SALT), often))[: int(prefix_size(np.array(len(tokens)), percent))]
+        return tokens[first[often[first] > 1]]
+
     def scan(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         n, one, two, prefixes = [], [], [], []
         for s in _sets(b.column(1), size):
             n.append(len(s))
             one.append(np.sum(mix(s)).view(np.int64))
             two.append(np.sum(mix(s ^ SALT)).view(np.int64))
-            prefixes.append(s[: int(prefix_size(np.array(len(s)), percent))].tobytes())
+            prefixes.append(rare_first(s).tobytes())
         yield batch(id=b.column(0), n=pa.array(n, pa.int64()), one=pa.array(one, pa.int64()), two=pa.array(two, pa.int64()), prefix=pa.array(prefixes, pa.binary()))
 
     key = ["n", "one", "two"]
     rows = materialize(by_arrow(base, scan, "id long, n long, one long, two long, prefix binary"))
     classes = materialize(rows.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("cid"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies")))
 
-    # first order: who shares a prefix shingle with a class of fitting size
+    # who shares a prefix shingle with a class of fitting size
     shards = _shards(int((classes.agg(F.sum(F.length("prefix"))).first()[0] or 0) // 8))
 
     def post(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -149,52 +190,6 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, block:
         token, ids, n = token[order], ids[order], n[order]
         return ids, np.concatenate([[False], (token[1:] == token[:-1]) & fits(n[:-1], n[1:], percent) & (ids[1:] != ids[:-1])])
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, with_last = grouped(pdf)
-        return pd.DataFrame({"id": np.unique(np.concatenate([ids[with_last], ids[np.flatnonzero(with_last) - 1]]))})
-
-    posted = by_arrow(classes.select("cid", "n", "prefix"), post, "shard long, token binary, id binary, n binary")
-    able = materialize(posted.groupBy("shard").applyInPandas(meet, "id long").distinct())
-
-    # second order: rare shingles first
-    def whole(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sets = list(_sets(b.column(1), size))
-        yield batch(id=b.column(0), n=pa.array([len(s) for s in sets], pa.int64()), tokens=pa.array([s.tobytes() for s in sets], pa.binary()))
-
-    sets = materialize(by_arrow(base.join(small(able, 16), "id", "left_semi"), whole, "id long, n long, tokens binary"))
-    values = int((sets.agg(F.sum("n")).first()[0] or 0))
-    all_shards = _shards(values)
-
-    def count(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        tokens, n = np.unique(packed(b.column(0).to_pylist(), np.uint64), return_counts=True)
-        if len(tokens):
-            yield dealt(_of(tokens, all_shards), all_shards, token=tokens, n=n.astype(np.int32))
-
-    def often(pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens, where = np.unique(packed(pdf["token"], np.uint64), return_inverse=True)
-        n = np.bincount(where, packed(pdf["n"], np.int32), len(tokens)).astype(np.int64)
-        return pd.DataFrame({"token": tokens[n >= HOT].view(np.int64), "n": n[n >= HOT]})
-
-    hot = materialize(by_arrow(sets.select("tokens"), count, "shard long, token binary, n binary").groupBy("shard").applyInPandas(often, "token long, n long"))
-    # any order gives the same links, so the table may be cut to what can be sent to every executor
-    least = HOT
-    while hot.where(F.col("n") >= least).count() * 16 > BROADCAST_BYTES:
-        least *= 2
-    table = hot.where(F.col("n") >= least).toPandas().sort_values("token")
-    frequent = docs.sparkSession.sparkContext.broadcast((table["token"].to_numpy(np.int64), table["n"].to_numpy(np.int64)))
-
-    def rare_first(tokens: np.ndarray) -> np.ndarray:
-        known, n = frequent.value
-        rank = np.zeros(len(tokens), np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, tokens.view(np.int64)), len(known) - 1)
-            rank = np.where(known[at] == tokens.view(np.int64), n[at], 0)
-        return tokens[np.lexsort((mix(tokens ^ SALT), rank))[: int(prefix_size(np.array(len(tokens)), percent))]]
-
-    def post_rare(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lists = [rare_first(np.frombuffer(x.as_py(), np.uint64)) for x in b.column(2)]
-        yield from post(batch(id=b.column(0), n=b.column(1), prefix=pa.array([x.tobytes() for x in lists], pa.binary())))
-
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, with_last = grouped(pdf)
         at = np.flatnonzero(with_last)
@@ -203,16 +198,26 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, block:
         joined = [(i, j) for i, j in np.unique(both.reshape(2, -1), axis=1).T.tolist() if forest.join(i, j)]
         return pd.DataFrame({"a": names[[i for i, _ in joined]].astype(np.int64), "b": names[[j for _, j in joined]].astype(np.int64)})
 
-    chains = by_arrow(sets, post_rare, "shard long, token binary, id binary, n binary").groupBy("shard").applyInPandas(chain, "a long, b long")
-    clusters = components(chains)
+    posted = by_arrow(classes.select("cid", "n", "prefix"), post, "shard long, token binary, id binary, n binary")
+    clusters = components(posted.groupBy("shard").applyInPandas(chain, "a long, b long"))
+
+    # second and third order
+    def whole(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sets = list(_sets(b.column(1), size))
+        yield batch(id=b.column(0), n=pa.array([len(s) for s in sets], pa.int64()), tokens=pa.array([s.tobytes() for s in sets], pa.binary()))
+
+    named = clusters.withColumnRenamed("v", "id")
+    sets = materialize(by_arrow(base.join(small(named.select("id"), 16), "id", "left_semi"), whole, "id long, n long, tokens binary"))
+    values = int(sets.agg(F.sum("n")).first()[0] or 0)
 
     # verification: small clusters share a task, large ones are dealt into pairs of blocks
-    sized = materialize(clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
+    of = sets.select("id", "n").join(small(named, 32), "id")
+    sized = materialize(of.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)), F.sum("n") / BLOCK_TOKENS) / block).cast("int").alias("blocks")))
     buckets = max(16, values // SHARD_VALUES)
     mine = F.pmod(F.xxhash64("id"), "blocks")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64("component", F.least(k, mine), F.greatest(k, mine)))
     tasks = F.when(F.col("blocks") == 1, F.array(F.pmod(F.xxhash64("component"), F.lit(buckets)))).otherwise(pairs)
-    placed = clusters.join(small(sized, 24), "component").withColumnRenamed("v", "id")
+    placed = named.join(small(sized, 24), "component")
     ready = sets.join(small(placed, 32), "id").select(F.explode(tasks).alias("task"), "component", "id", "tokens")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -225,6 +230,6 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, block:
         return pd.DataFrame({"a": a, "b": b}, dtype=np.int64)
 
     found = components(ready.groupBy("task").applyInPandas(verify, "a long, b long"))
-    named = classes.select(*key, "cid", "copies").join(small(found.withColumnRenamed("v", "cid"), 24), "cid", "left")
-    named = materialize(named.where("copies > 1 or component is not null").select(*key, F.coalesce("component", "cid").alias("component")))
-    return rows.select("id", *key).join(small(named, 48), key, "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    groups = classes.select(*key, "cid", "copies").join(small(found.withColumnRenamed("v", "cid"), 24), "cid", "left")
+    groups = materialize(groups.where("copies > 1 or component is not null").select(*key, F.coalesce("component", "cid").alias("component")))
+    return rows.select("id", *key).join(small(groups, 48), key, "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
