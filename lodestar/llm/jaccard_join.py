@@ -3,9 +3,9 @@
 Under any one order of all shingles, two sets with similarity t share one of their first
 n - ceil(t * n) + 1 shingles. Three orders are used, each of which linked documents must pass:
 
-1. rare shingles first, by a table of counters of fixed size, whose entry for a shingle is never below the number of its documents:
-   a shingle with 1 is in no other document and goes no further; the other prefix shingles join documents into
-   clusters, by chains in order of size, never by all pairs
+1. rare shingles first: shards of shingles count their documents and tell each run of documents which of its
+   shingles occur again. A shingle of one document alone goes no further, and a document with enough of them is done; the
+   other prefix shingles join documents into clusters, by chains in order of size, never by all pairs
 2. and 3. within a cluster, ascending and descending hash, pair by pair: candidates pass both, and only they are verified
 
 A cluster of more than `block` documents, or of long ones, is dealt into blocks whose pairs are separate tasks. Only links that
@@ -23,14 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import batch, by_arrow, components, dealt, materialize, packed, small
 from .textbytes import NOT_SPACE, chunks, mix, shingles, word_hashes
 
-#: The table of counters: this many slices of SLICE one-byte counters, which stop at 255. 16 MB are broadcast.
-SLICES, SLICE = 256, 1 << 16
 SALT = np.uint64(0x5851F42D4C957F2D)
+#: Shingles are told apart by 24 bits within shards of about so many, and documents by their number in a run of about so many bytes.
+SHARD_SHINGLES, RUN = 1 << 17, 1 << 24
 #: Packed values that one task merges, about; tokens of a block for each document that it may hold.
 SHARD_VALUES, BLOCK_TOKENS = 1 << 20, 1024
 
@@ -55,11 +56,6 @@ def _shards(values: int) -> int:
     return max(16, -(-values // SHARD_VALUES))
 
 
-def _place(tokens: np.ndarray) -> np.ndarray:
-    """In the table of counters."""
-    return (mix(tokens + SALT) % np.uint64(SLICES * SLICE)).astype(np.int64)
-
-
 def _of(tokens: np.ndarray, shards: int) -> np.ndarray:
     return (mix(tokens) % np.uint64(shards)).astype(np.int64)
 
@@ -135,46 +131,78 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, block:
     """id_col, n_shingles, component_id for every row. size: words of a shingle; percent: similarity of a link."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
-    # first order: how often shingles occur, at most
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            places = [_place(t) for t in _sets(b.column(1), size)]
-            if places:
-                at = np.concatenate(places)
-                yield dealt(at >> 16, SLICES, low=(at & (SLICE - 1)).astype(np.uint16))
-
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros(SLICE, np.int64)
-        for low in pdf["low"]:
-            counts += np.bincount(np.frombuffer(low, np.uint16), minlength=SLICE)
-        return pd.DataFrame({"slice": [int(pdf["shard"].iloc[0])], "counts": [np.minimum(counts, 255).astype(np.uint8).tobytes()]})
-
-    slices = base.mapInArrow(tally, "shard long, low binary").groupBy("shard").applyInPandas(total, "slice long, counts binary")
-    table = np.zeros((SLICES, SLICE), np.uint8)
-    for row in slices.toLocalIterator():
-        table[row["slice"]] = np.frombuffer(row["counts"], np.uint8)
-    counters = docs.sparkSession.sparkContext.broadcast(table.ravel())
-
-    def rare_first(tokens: np.ndarray) -> np.ndarray:
-        often = counters.value[_place(tokens)]
-        first = np.lexsort((mix(tokens ^ SALT), often))[: int(prefix_size(np.array(len(tokens)), percent))]
-        return tokens[first[often[first] > 1]]
-
     def scan(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        n, one, two, prefixes = [], [], [], []
+        n, one, two = [], [], []
         for s in _sets(b.column(1), size):
             n.append(len(s))
             one.append(np.sum(mix(s)).view(np.int64))
             two.append(np.sum(mix(s ^ SALT)).view(np.int64))
-            prefixes.append(rare_first(s).tobytes())
-        yield batch(id=b.column(0), n=pa.array(n, pa.int64()), one=pa.array(one, pa.int64()), two=pa.array(two, pa.int64()), prefix=pa.array(prefixes, pa.binary()))
+        yield batch(id=b.column(0), n=pa.array(n, pa.int64()), one=pa.array(one, pa.int64()), two=pa.array(two, pa.int64()))
 
     key = ["n", "one", "two"]
-    rows = materialize(by_arrow(base, scan, "id long, n long, one long, two long, prefix binary"))
-    classes = materialize(rows.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("cid"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies")))
+    rows = materialize(by_arrow(base, scan, "id long, n long, one long, two long"))
+    classes = materialize(rows.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("copies")))
 
-    # who shares a prefix shingle with a class of fitting size
-    shards = _shards(int((classes.agg(F.sum(F.length("prefix"))).first()[0] or 0) // 8))
+    # first order: how many documents a shingle is in
+    parts = max(16, (rows.agg(F.sum("n")).first()[0] or 0) // SHARD_SHINGLES)
+    shape = ("run", "low", "high", "doc", "often")
+
+    def shaped(shard: pa.Array, run: int, **values: pa.Array) -> pa.RecordBatch:
+        none = pa.array([b""] * len(shard), pa.binary())
+        return batch(shard=shard, run=pa.array([run] * len(shard), pa.int64()), **{k: values.get(k, none) for k in shape[1:]})
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each run of documents, a row with their ids and sizes, in a shard below zero; and the places of their shingles, by shard."""
+        run = TaskContext.get().partitionId() << 33
+        for b in batches:
+            for lo, hi in ((i, min(i + (1 << 16), hi)) for lo, hi, _, _ in chunks(b.column(1), RUN) for i in range(lo, hi, 1 << 16)):
+                sets = list(_sets(b.column(1).slice(lo, hi - lo), size))
+                n = np.array([len(s) for s in sets], np.int64)
+                yield shaped(pa.array([-1 - run], pa.int64()), run, low=pa.array([b.column(0).slice(lo, hi - lo).to_numpy().astype(np.int64).tobytes()], pa.binary()), high=pa.array([n.tobytes()], pa.binary()))
+                if n.sum():
+                    h = mix(np.concatenate(sets) + SALT)
+                    doc = np.repeat(np.arange(len(sets), dtype=np.uint16), n)
+                    found = dealt((h % np.uint64(parts)).astype(np.int64), parts, low=(h >> np.uint64(48)).astype(np.uint16), high=(h >> np.uint64(40)).astype(np.uint8), doc=doc)
+                    yield shaped(found.column(0), run, **{k: found.column(i) for i, k in enumerate(("low", "high", "doc"), 1)})
+                run += 1
+
+    def tell(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The shingles that occur in more than one document, with how many, up to 255."""
+        shard = int(pdf["shard"].iloc[0])
+        if shard < 0:
+            return pdf[["shard", *shape]]
+        place = (packed(pdf["high"], np.uint8).astype(np.uint32) << np.uint32(16)) | packed(pdf["low"], np.uint16)
+        _, where, often = np.unique(place, return_inverse=True, return_counts=True)
+        often, doc = np.minimum(often, 255).astype(np.uint8)[where], packed(pdf["doc"], np.uint16)
+        edges, out = np.cumsum([0, *(len(x) for x in pdf["high"])]), []
+        for run, i, j in zip(pdf["run"], edges, edges[1:]):
+            again = np.flatnonzero(often[i:j] > 1) + i
+            if len(again):
+                out.append((shard, run, (place[again] & np.uint32(0xFFFF)).astype(np.uint16).tobytes(), (place[again] >> np.uint32(16)).astype(np.uint8).tobytes(), doc[again].tobytes(), often[again].tobytes()))
+        return pd.DataFrame(out, columns=["shard", *shape])
+
+    def prefixes(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of a run's documents, the prefix shingles that other documents have."""
+        head = pdf["shard"] < 0
+        ids, n = packed(pdf.loc[head, "low"], np.int64), packed(pdf.loc[head, "high"], np.int64)
+        told = pdf[~head]
+        doc, often = packed(told["doc"], np.uint16).astype(np.int64), packed(told["often"], np.uint8)
+        shard = np.repeat(told["shard"].to_numpy(np.uint64), [len(x) for x in told["often"]])
+        token = (shard << np.uint64(24)) | (packed(told["high"], np.uint8).astype(np.uint64) << np.uint64(16)) | packed(told["low"], np.uint16)
+        alone = n - np.bincount(doc, minlength=len(n))
+        want = np.maximum(0, prefix_size(n, percent) - alone)
+        order = np.lexsort((mix(token), often, doc))
+        doc, token = doc[order], token[order]
+        taken = np.arange(len(doc)) - np.searchsorted(doc, doc) < want[doc]
+        edges = np.searchsorted(doc[taken], np.arange(len(n) + 1))
+        full = np.flatnonzero(np.diff(edges))
+        return pd.DataFrame({"id": ids[full], "n": n[full], "prefix": [token[taken][edges[k] : edges[k + 1]].tobytes() for k in full]})
+
+    asked = base.where("id is not null").mapInArrow(ask, "shard long, run long, low binary, high binary, doc binary, often binary")
+    told = asked.groupBy("shard").applyInPandas(tell, "shard long, run long, low binary, high binary, doc binary, often binary")
+    first = materialize(told.groupBy("run").applyInPandas(prefixes, "id long, n long, prefix binary"))
+    first = first.join(small(classes.select(F.col("cid").alias("id")), 16), "id", "left_semi")
+    shards = _shards(int((first.agg(F.sum(F.length("prefix"))).first()[0] or 0) // 8))
 
     def post(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         lists = [np.frombuffer(x.as_py(), np.uint64) for x in b.column(2)]
@@ -198,7 +226,7 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, block:
         joined = [(i, j) for i, j in np.unique(both.reshape(2, -1), axis=1).T.tolist() if forest.join(i, j)]
         return pd.DataFrame({"a": names[[i for i, _ in joined]].astype(np.int64), "b": names[[j for _, j in joined]].astype(np.int64)})
 
-    posted = by_arrow(classes.select("cid", "n", "prefix"), post, "shard long, token binary, id binary, n binary")
+    posted = by_arrow(first.select("id", "n", "prefix"), post, "shard long, token binary, id binary, n binary")
     clusters = components(posted.groupBy("shard").applyInPandas(chain, "a long, b long"))
 
     # second and third order
