@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 #: The deepest level whose ids fit a long.
 LONG_DEPTH = 20
@@ -28,12 +29,12 @@ def path_of_id(node: int) -> str:
     return "".join(reversed(digits))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _wide_id(path: pd.Series) -> pd.Series:
     return path.map(lambda p: None if p is None else str(id_of_path(p)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def path_of_id_column(node: pd.Series) -> pd.Series:
     return node.map(lambda i: None if i is None else path_of_id(int(i)))
 
