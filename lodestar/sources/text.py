@@ -6,6 +6,8 @@ that can't be read (digit groups such as 1,000 included) or a colour outside 0 t
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.geo import east_north
@@ -33,12 +35,14 @@ def numbered_lines(spark: SparkSession, path: str | list[str], header: bool) ->
     hadoop, ordinal, rows = spark._jvm.org.apache.hadoop.fs.Path, 0, []
     for f in files:
         at = hadoop(spark._jvm.java.net.URI(f))
-        rows.append((at.getName(), f, ordinal))
+        # as the scan writes it: without slashes for an empty host
+        rows.append((re.sub(r"^([^:/]+):///", r"\1:/", f), ordinal))
         ordinal += at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen() // step + 1
-    places = spark.createDataFrame([r[1:] for r in rows], "file string, ordinal long")
-    if sum(len(r[1]) + 64 for r in rows) <= BROADCAST_BYTES:
+    places = spark.createDataFrame(rows, "file string, ordinal long")
+    if sum(len(r[0]) + 64 for r in rows) <= BROADCAST_BYTES:
         places = F.broadcast(places)
-    read = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), "value")
+    place = F.regexp_replace("_metadata.file_path", "^([^:/]+):///", "$1:/")
+    read = lines.select(place.alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), "value")
     split = F.col("ordinal") + F.floor(F.col("start") / step).cast("long")
     seq = F.shiftleft(split, ROW_BITS) + F.col("row").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     return read.join(places, "file").where(F.trim("value") != "").select("file", seq.alias("seq"), "value")
