@@ -7,7 +7,7 @@ How it is run:
 
 1. Levels at which all points still lie in one node, of which a small data set in a large world has many, are done in one pass.
    Each task keeps the points that its own points alone would accept there: fewer competitors never send a point deeper, so these
-   contain everything accepted, and they are few. The level loop over them gives the true choice.
+   contain everything accepted, and they are few. The rule over them gives the true choice.
 2. Nodes that hold more than `kernel_rows` points go through the level loop: the smallest seq of each cell by a partial and a final aggregate,
    then one join on seq, which is spread evenly. No task ever holds a whole node or cell.
 3. The points of smaller nodes are finished, all levels at once, in one task for each group of such nodes.
@@ -18,7 +18,7 @@ Every step writes its rows to the shared checkpoint folder, so a lost executor c
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -160,7 +160,7 @@ def common_levels(bounds: Row, options: LodOptions) -> tuple[str, list[float]]:
     return path, [*m, size]
 
 
-def _first_levels(live: DataFrame, path: str, end: list[float], options: LodOptions) -> tuple[DataFrame, DataFrame]:
+def _first_levels(live: DataFrame, path: str, end: list[float], options: LodOptions, kernel_rows: int) -> tuple[DataFrame, DataFrame]:
     """What the levels above `path`, which holds all points, accept; and the rest, moved there."""
     last = len(path) - 1
 
@@ -174,12 +174,17 @@ def _first_levels(live: DataFrame, path: str, end: list[float], options: LodOpti
             yield pa.RecordBatch.from_pandas(held, preserve_index=False)
 
     left = materialize(live.mapInArrow(candidates, live.schema))
-    taken = []
-    for depth in range(len(path)):
-        rows = materialize(flagged(*(lambda cells: (cells, first_of_cells(cells)))(with_cells(left, options.grid))))
-        taken.append(_accepted(rows.where("won"), depth))
-        left = next_level(rows.where("not won"))
-    accepted = materialize(_union(taken, live.sparkSession, ACCEPTED))
+    if left.count() <= kernel_rows:
+        done = finish(left, 0, replace(options, max_depth=last), 1)
+        accepted = materialize(_accepted(done.where("depth >= 0"), F.col("depth")))
+    else:
+        taken = []
+        for depth in range(len(path)):
+            cells = with_cells(left, options.grid)
+            rows = materialize(flagged(cells, first_of_cells(cells)))
+            taken.append(_accepted(rows.where("won"), depth))
+            left = next_level(rows.where("not won"))
+        accepted = materialize(_union(taken, live.sparkSession, ACCEPTED))
     cubes = [F.lit(v).alias(c) for c, v in zip(CUBE_COLUMNS, end)]
     rest = live.join(small(accepted.select("seq"), 12), "seq", "left_anti").select(*POINT_COLUMNS, F.lit(path).alias("path"), *cubes)
     return accepted, materialize(rest)
@@ -207,7 +212,7 @@ def assign(points: DataFrame, options: LodOptions | None = None, kernel_rows: in
     if bounds["n"] > kernel_rows:
         path, end = common_levels(bounds, options)
         if path:
-            upper, live = _first_levels(live, path, end, options)
+            upper, live = _first_levels(live, path, end, options, kernel_rows)
             accepted.append(upper)
             depth = len(path)
     while True:
