@@ -21,11 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import batch
+from .common import batch, materialize
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
-LONGEST, REMEMBERED = 5, 1 << 18
+LONGEST, REMEMBERED = 5, 1 << 16
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -35,36 +35,49 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies: words and n-grams to one value for each language."""
+    """Log frequencies in each language: a row of logs for each word (rows[0]) and n-gram (rows[n])."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]
-    floor: np.ndarray
-    seen: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def word(self, word: str) -> np.ndarray:
-        """Known words directly; else the mean over its longest n-grams of which some are known."""
-        if (found := self.words.get(word)) is not None:
-            return found
-        if (found := self.seen.get(word)) is not None:
-            return found
-        found = self.floor
+    rows: list[dict[str, int]]
+    logs: np.ndarray
+    #: Unseen words of this process, and their values.
+    seen: dict[str, int] = field(default_factory=dict)
+    values: np.ndarray | None = None
+
+    def unseen(self, word: str) -> np.ndarray:
+        """The mean over the word's longest n-grams of which some are known."""
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            known = [v for g in grams(word, n) if (v := self.grams[n].get(g)) is not None]
+            known = [i for g in grams(word, n) if (i := self.rows[n].get(g)) is not None]
             if known:
-                found = np.mean(known, axis=0)
-                break
-        if len(self.seen) >= REMEMBERED:
-            self.seen.clear()
-        self.seen[word] = found
-        return found
+                return self.logs[known].mean(axis=0)
+        return np.zeros(len(self.languages))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(WORD.findall((text or "").lower()))
         if not counts or not self.languages:
             return UNKNOWN, 0.0
-        total = np.sum([self.word(w) * n for w, n in counts.items()], axis=0)
+        if self.values is None or len(self.seen) == REMEMBERED:
+            self.values = np.zeros((REMEMBERED, len(self.languages)))
+            self.seen.clear()
+        words, seen, total = self.rows[0], self.seen, np.zeros(len(self.languages))
+        known, known_n, new, new_n = [], [], [], []
+        for w, n in counts.items():
+            if (i := words.get(w)) is not None:
+                known.append(i)
+                known_n.append(n)
+                continue
+            if (i := seen.get(w)) is None:
+                value = self.unseen(w)
+                if len(seen) == REMEMBERED:
+                    total += value * n
+                    continue
+                i = seen[w] = len(seen)
+                self.values[i] = value
+            new.append(i)
+            new_n.append(n)
+        for table, at, n in ((self.logs, known, known_n), (self.values, new, new_n)):
+            if at:
+                total += (table[at] * np.array(n)[:, None]).sum(axis=0)
         p = np.exp(total - total.max())
         return self.languages[int(np.argmax(total))], float(p.max() / p.sum())
 
@@ -92,25 +105,29 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 if part:
                     yield batch(lang=pa.array([lang] * len(part)), size=pa.array([size] * len(part), pa.int32()), gram=pa.array(list(part)), n=pa.array(list(part.values()), pa.int64()))
 
-    counts = rows.select("text", "lang").mapInArrow(count, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
+    counts = materialize(rows.select("text", "lang").mapInArrow(count, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")))
+    most_words = counts.where("size = 0").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    counts = counts.join(F.broadcast(most_words.select("lang")), "lang", "left_semi")
     rank = F.row_number().over(W.partitionBy("lang", "size").orderBy(F.desc("n"), "gram"))
     most = F.when(F.col("size") == 0, F.lit(words)).otherwise(F.lit(grams_kept))
     total = F.sum("n").over(W.partitionBy("lang", "size"))
     kept = counts.withColumn("total", total).withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "size", "gram", "n", "total").toPandas()
     if not len(kept):
-        return Model([], {}, [{}] * (LONGEST + 1), np.zeros(0))
-    names = sorted(kept["lang"].unique(), key=lambda x: (-kept.loc[(kept["lang"] == x) & (kept["size"] == 0), "total"].max(), x))[:languages]
-    names = sorted(names)
-    tables: list[dict[str, np.ndarray]] = []
+        return Model([], [{} for _ in range(LONGEST + 1)], np.zeros((0, 0)))
+    names = sorted(kept["lang"].unique())
+    column = {x: k for k, x in enumerate(names)}
+    tables: list[dict[str, int]] = []
+    logs: list[np.ndarray] = []
     for size in range(LONGEST + 1):
         part = kept[kept["size"] == size]
         totals = np.array([part.loc[part["lang"] == x, "total"].max() for x in names], float)
-        table: dict[str, np.ndarray] = {}
-        for lang, gram, n in zip(part["lang"], part["gram"], part["n"]):
-            if lang in names:
-                table.setdefault(gram, np.full(len(names), 0.5))[names.index(lang)] = n
-        tables.append({g: np.log(v / totals) for g, v in table.items()})
-    return Model(names, tables[0], tables, np.zeros(len(names)))
+        unique, first = np.unique(part["gram"].to_numpy(object), return_inverse=True)
+        values = np.full((len(unique), len(names)), 0.5)
+        values[first, part["lang"].map(column).to_numpy()] = part["n"]
+        begin = sum(map(len, logs))
+        tables.append({g: begin + k for k, g in enumerate(unique.tolist())})
+        logs.append(np.log(values / totals))
+    return Model(names, tables, np.concatenate(logs))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
