@@ -5,7 +5,7 @@ rows (`sample_bytes` of text, chosen by a hash of the id) and keeps the most fre
 of each language, for at most `languages` languages; so the model has a bound and is broadcast.
 Prediction reads the whole text and nothing else.
 
-A word is a run of letters, lower-cased. A text without a letter, or null, is `und` with score 0. Ties go to
+A word is a run of letters, lower-cased. A language may lack n-grams of a length, if its words are short. A text without a letter, or null, is `und` with score 0. Ties go to
 the language that sorts first. Rows are independent; a table without labelled rows, or an empty one,
 gives `und` for every text with letters too.
 """
@@ -120,7 +120,9 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     logs: list[np.ndarray] = []
     for size in range(LONGEST + 1):
         part = kept[kept["size"] == size]
-        totals = np.array([part.loc[part["lang"] == x, "total"].max() for x in names], float)
+        # a language without n-grams of this length is rated like the one with most
+        own = part.groupby("lang")["total"].max()
+        totals = np.array([own.get(x, own.max()) for x in names], float)
         unique, first = np.unique(part["gram"].to_numpy(object), return_inverse=True)
         values = np.full((len(unique), len(names)), 0.5)
         values[first, part["lang"].map(column).to_numpy()] = part["n"]

@@ -121,6 +121,33 @@ def test_language(spark, odd, empty):
     assert {r["lang_pred"] for r in language_id.identify(odd, nothing).collect()} == {"und"}
 
 
+def test_language_of_short_words(spark):
+    """A language whose words are too short for the longest n-grams spoils no score."""
+    rows = [(1, "ab cd ab", "xx"), (2, "wonderful mountains", "en"), (3, None, "en"), (4, "gh", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs, language_id.train(docs)).collect()}
+    assert got[1][0] == "xx" and got[2][0] == "en" and got[3] == ("und", 0.0)
+    model = language_id.train(docs)
+    for text in ("wonderfully mountainous", "mountain abcd", "zzz"):
+        lang, score = model.predict(text)
+        assert lang in ("en", "xx") and 0 < score <= 1
+    assert model.predict("wonderfully mountainous")[0] == "en"
+    only = language_id.train(docs, languages=1)
+    assert len(only.languages) == 1 and only.predict("ab")[1] == 1.0
+
+
+def test_language_memory_of_unseen_words(spark, monkeypatch):
+    """Unseen words beyond those remembered count as well, in this text and in later ones."""
+    docs = spark.createDataFrame([(1, "eins zwei drei vier", "de"), (2, "one two three four", "en")], "doc_id long, text string, lang string")
+    texts = ["einser zweier dreier vierer viertel", "onefold twofold threefold fourth", "zweig onely drei", "one"]
+    want = [language_id.train(docs).predict(x) for x in texts]
+    monkeypatch.setattr(language_id, "REMEMBERED", 2)
+    model = language_id.train(docs)
+    got = [model.predict(x) for x in texts * 2]
+    assert [x[0] for x in got] == [x[0] for x in want] * 2
+    assert np.allclose([x[1] for x in got], [x[1] for x in want] * 2)
+
+
 def test_exact_dedup(spark, odd, empty):
     got = exact_dedup.exact_duplicates(odd).collect()
     assert len(got) == 11
