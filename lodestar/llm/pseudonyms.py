@@ -32,6 +32,8 @@ PHONE = r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4})
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}(?![-0-9A-Za-z])"
 #: Where two forms fit, the first is taken.
 FOUND = rf"(?<![A-Za-z0-9._%+@-])(?:{EMAIL}|{KEY}|{IP}|{DATE}|{SSN}|{PHONE}|{CARD})"
+#: Every text with a value has this, which is cheaper to look for.
+HINT = r"[0-9]{4}|[0-9]\.[0-9]|@|AKIA|gh[pousr]_|[0-9a-fA-F]{32}|[0-9][-. ][0-9]"
 KINDS = ("email", "key", "ip", "date", "ssn", "phone", "card")
 
 #: Days of an era, as the product of the Feistel halves' sizes.
@@ -184,7 +186,7 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
         return F.when(i % 2 == 1, _named(_kind(x), value)).otherwise(plain)
 
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    parts = base.select("id", "text", F.when(text.rlike(r"[0-9]{4}|[0-9]\.[0-9]|@|AKIA|gh[pousr]_|[a-fA-F]{32}|[0-9][-. ][0-9]"), F.transform(marked, part)).alias("parts"))
+    parts = base.select("id", "text", F.when(text.rlike(HINT), F.transform(marked, part)).alias("parts"))
     joined = F.array_join(F.transform("parts", lambda p: p["text"]), "")
     new = F.when(F.col("parts").isNull(), text).when(odd, unescaped(joined)).otherwise(joined)
     count = lambda kind: F.coalesce(F.size(F.filter("parts", lambda p: p["kind"] == kind)), F.lit(0)).cast("long")
