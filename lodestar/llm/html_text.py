@@ -2,12 +2,17 @@
 
 A page becomes blocks of text, each in a zone: inside an article or main element, inside furniture
 (menus, headers, footers, asides, forms, adverts, notices, comments), or neither. Blocks of an article are the
-text. A page without any has its blocks of neither kind, less what the host repeats: the token
-streams of the pages of a host, furniture included, are concatenated, a suffix array finds every run of
-`least_tokens` tokens on at least `least_pages` distinct pages, and neutral blocks keep only what no run covers.
-A large host is dealt into groups of pages by a hash of the page id, so that no task holds an unbounded host.
+text. A page without any has its blocks of neither kind, less what the host repeats: every run of
+`least_tokens` tokens on at least `least_pages` distinct pages of the host, each page being one stream of all its blocks.
+A neutral block that runs cover entirely goes, runs that cross blocks included; of another, only
+what runs within it cover, so that a text keeps its first words where a repeated block precedes it.
 
-Null or empty html gives an empty text. Pages without host form one group dealt out in the same way. Repeated rows give
+The runs of a host of at most `group_pages` pages are found by a suffix array over its concatenated streams. A larger host is
+in no one task: hashes of its runs are dealt into shards, with at most `least_pages` pages of each from a
+batch, and what is on that many pages is joined to the pages. Both find the same runs, up to collisions of
+64-bit hashes. Hosts whose pages all have an article need neither.
+
+Null or empty html gives an empty text. Pages without host are as of one host. Repeated rows give
 repeated results, and the repeats count as one page (same id); extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -22,9 +27,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batch, small
+from .common import batch, dealt, materialize, packed, small
+from .textbytes import mix, prefix_hash, span_hash
 
 ARTICLE, NEUTRAL, FURNITURE = 2, 1, 0
+#: Hashes of runs that one task merges, about, and that one batch gathers.
+SHARD_RUNS = 1 << 20
 
 #: Elements of HTML by their role.
 RAW = frozenset("script style noscript template svg iframe object canvas title textarea select math audio video".split())
@@ -111,8 +119,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def repeated_runs(streams: list[list[str]], pages: np.ndarray, least_tokens: int, least_pages: int) -> list[np.ndarray]:
-    """For each stream, which tokens lie in a run of least_tokens tokens that is on least_pages distinct pages.
+def repeated_starts(streams: list[list[str]], pages: np.ndarray, least_tokens: int, least_pages: int) -> list[np.ndarray]:
+    """For each stream, at which tokens a run of least_tokens tokens begins that is on least_pages distinct pages.
 
     The suffix array orders all positions by their first least_tokens tokens, by doubling."""
     lengths = np.array([len(s) for s in streams])
@@ -132,53 +140,170 @@ def repeated_runs(streams: list[list[str]], pages: np.ndarray, least_tokens: int
         done += step
     suffixes = np.argsort(rank, kind="stable")
     suffixes = suffixes[left[suffixes] >= least_tokens]
-    covered = np.zeros(n + 1, np.int64)
+    starts = np.zeros(n, bool)
     if len(suffixes):
         interval, page = rank[suffixes], pages[which[suffixes]]
         pair = np.unique(interval * (int(pages.max()) + 1) + page)
         of, count = np.unique(pair // (int(pages.max()) + 1), return_counts=True)
-        hit = suffixes[np.isin(interval, of[count >= least_pages])]
-        np.add.at(covered, hit, 1)
-        np.add.at(covered, hit + least_tokens, -1)
-    return np.split(np.cumsum(covered[:n]) > 0, np.cumsum(lengths)[:-1])
+        starts[suffixes[np.isin(interval, of[count >= least_pages])]] = True
+    return np.split(starts, np.cumsum(lengths)[:-1])
+
+
+def covered(starts: np.ndarray, least_tokens: int) -> np.ndarray:
+    """Which tokens lie in one of the runs that begin at starts."""
+    edges = np.zeros(len(starts) + least_tokens, np.int64)
+    edges[: len(starts)] += starts
+    edges[least_tokens:] -= starts
+    return np.cumsum(edges)[: len(starts)] > 0
+
+
+def repeated_runs(streams: list[list[str]], pages: np.ndarray, least_tokens: int, least_pages: int) -> list[np.ndarray]:
+    """For each stream, which tokens lie in a run of least_tokens tokens that is on least_pages distinct pages."""
+    return [covered(s, least_tokens) for s in repeated_starts(streams, pages, least_tokens, least_pages)]
+
+
+def run_hashes(texts: list[str], host: int, least_tokens: int) -> np.ndarray:
+    """Of the stream of these blocks, the hash of host and the run of least_tokens tokens from each token on."""
+    data = np.frombuffer(" ".join(texts).encode(), np.uint8)
+    spaces = np.flatnonzero(data == 32)
+    if len(spaces) < least_tokens - 1 or not len(data):
+        return np.zeros(0, np.uint64)
+    starts, ends = np.concatenate([[0], spaces + 1]), np.concatenate([spaces, [len(data)]])
+    n = len(starts) - least_tokens + 1
+    return mix(span_hash(prefix_hash(data), starts[:n], ends[least_tokens - 1 :]) + np.array([host], np.int64).view(np.uint64))
+
+
+def some_pages(runs: np.ndarray, pages: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, in order, with at most so many pages of each run."""
+    order = np.lexsort((pages, runs))
+    runs, pages = runs[order], pages[order]
+    new = np.ones(len(runs), bool)
+    new[1:] = (runs[1:] != runs[:-1]) | (pages[1:] != pages[:-1])
+    runs, pages = runs[new], pages[new]
+    first = np.searchsorted(runs, runs)
+    keep = np.arange(len(runs)) - first < most
+    return runs[keep], pages[keep]
+
+
+def asks(zones: list[int]) -> bool:
+    """Whether the text of a page with these blocks depends on what its host repeats."""
+    return ARTICLE not in zones and NEUTRAL in zones
+
+
+def neutral_text(zones: list[int], texts: list[str], starts: np.ndarray, least_tokens: int) -> str:
+    """The text of a page that asks; starts: for each token of its stream, whether a repeated run begins there."""
+    at, out, every = 0, [], covered(starts, least_tokens)
+    for zone, text in zip(zones, texts):
+        tokens = text.split(" ")
+        end = at + len(tokens)
+        if zone == NEUTRAL and not every[at:end].all():
+            own = starts[at:end].copy()
+            own[max(0, len(own) - least_tokens + 1) :] = False
+            out.append(" ".join(t for t, c in zip(tokens, covered(own, least_tokens)) if not c))
+        at = end
+    return "\n".join(out)
 
 
 def main_text(pages: DataFrame, least_tokens: int = 8, least_pages: int = 3, group_pages: int = 512, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id_col, url_col, text, n_chars for every row."""
-    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/?#:]*)", 1)), F.lit(""))
+    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host)
     kind = base.schema["id"].dataType.simpleString()
 
+    def parsed(column: pa.Array) -> Iterator[tuple[list[int], list[str]]]:
+        for x in column:
+            found = blocks(x.as_py() or "")
+            yield [z for z, _ in found], [t for _, t in found]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(asks(zones), sum(t.count(" ") + 1 for t in texts)) for zones, texts in parsed(b.column(1))]
+            yield batch(host=b.column(0), asks=pa.array([int(x) for x, _ in rows], pa.int64()), tokens=pa.array([x for _, x in rows], pa.int64()))
+
+    def by_structure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = list(parsed(b.column(2)))
+            mine = pa.array([not asks(zones) for zones, _ in rows], pa.bool_())
+            text = pa.array(["\n".join(t for t, z in zip(texts, zones) if z == ARTICLE) for zones, texts in rows], pa.string())
+            yield batch(id=b.column(0), url=b.column(1), text=text).filter(mine)
+
+    measured = base.select("host", "html").mapInArrow(measure, "host string, asks long, tokens long")
+    sizes = materialize(measured.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("asks").alias("asks"), F.sum("tokens").alias("tokens")).where("asks > 0"))
+    done = base.select("id", "url", "html").mapInArrow(by_structure, f"id {kind}, url string, text string")
+    of_hosts = lambda hosts: base.join(small(hosts.select("host"), 128), "host", "left_semi")
+
+    def in_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        number = pd.factorize(pdf["id"], use_na_sentinel=False)[0]
+        starts = repeated_starts([" ".join(ts).split(" ") if len(ts) else [] for ts in pdf["texts"]], number, least_tokens, least_pages)
+        mine = [k for k, zones in enumerate(pdf["zones"]) if asks(list(zones))]
+        text = [neutral_text(pdf["zones"].iat[k], pdf["texts"].iat[k], starts[k], least_tokens) for k in mine]
+        return pd.DataFrame({"id": pdf["id"].iloc[mine], "url": pdf["url"].iloc[mine], "text": text})
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [blocks(x.as_py() or "") for x in b.column(2)]
-            zones = pa.array([[z for z, _ in f] for f in found], pa.list_(pa.int8()))
-            yield batch(id=b.column(0), url=b.column(1), zones=zones, texts=pa.array([[t for _, t in f] for f in found], pa.list_(pa.string())))
+            rows = list(parsed(b.column(2)))
+            yield batch(id=b.column(0), url=b.column(1), zones=pa.array([z for z, _ in rows], pa.list_(pa.int8())), texts=pa.array([t for _, t in rows], pa.list_(pa.string())), key=b.column(3))
 
-    parsed = base.mapInArrow(parse, f"id {kind}, url string, zones array<tinyint>, texts array<string>")
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/?#:]*)", 1)), F.lit(""))
-    sizes = base.groupBy(host.alias("host")).agg(F.ceil(F.count(F.lit(1)) / group_pages).cast("int").alias("parts"))
-
-    def extract(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts, zones = pdf["texts"].tolist(), pdf["zones"].tolist()
-        no_article = np.array([not (z == ARTICLE).any() for z in zones])
-        out = ["\n".join(t for t, z in zip(ts, zs) if z == ARTICLE) for ts, zs in zip(texts, zones)]
-        if no_article.any():
-            number = pd.factorize(pdf["id"], use_na_sentinel=False)[0]
-            streams, origin = [], []
-            for i, (ts, zs) in enumerate(zip(texts, zones)):
-                for j, t in enumerate(ts):
-                    if zs[j] != ARTICLE:
-                        streams.append(t.split(" "))
-                        origin.append((i, j))
-            runs = repeated_runs(streams, number[[i for i, _ in origin]], least_tokens, least_pages) if streams else []
-            kept: dict[int, list[str]] = {}
-            for (i, j), tokens, covered in zip(origin, streams, runs):
-                if no_article[i] and zones[i][j] == NEUTRAL and not covered.all():
-                    kept.setdefault(i, []).append(" ".join(t for t, c in zip(tokens, covered) if not c))
-            for i, parts in kept.items():
-                out[i] = "\n".join(parts)
-        return pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": out})
-
-    dealt = parsed.withColumn("host", host).join(small(sizes, 128), "host", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))))
-    done = dealt.select("id", "url", "zones", "texts", "host", "part").groupBy("host", "part").applyInPandas(extract, f"id {kind}, url string, text string")
+    few = sizes.where(F.col("n") <= group_pages)
+    if not few.isEmpty():
+        streams = of_hosts(few).select("id", "url", "html", "host").mapInArrow(parse, f"id {kind}, url string, zones array<tinyint>, texts array<string>, host string")
+        done = done.union(streams.groupBy("host").applyInPandas(in_group, f"id {kind}, url string, text string"))
+
+    many = sizes.where(F.col("n") > group_pages)
+    tokens = many.agg(F.sum("tokens")).first()[0]
+    if tokens:
+        shards = max(16, -(-tokens // SHARD_RUNS))
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            runs, of, held = [], [], 0
+
+            def flush() -> pa.RecordBatch:
+                r, p = some_pages(np.concatenate(runs), np.concatenate(of), least_pages)
+                return dealt((mix(r) % np.uint64(shards)).astype(np.int64), shards, runs=r, pages=p)
+
+            for b in batches:
+                for (_, texts), at, page in zip(parsed(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    runs.append(np.unique(run_hashes(texts, at, least_tokens)))
+                    of.append(np.full(len(runs[-1]), page, np.int64))
+                    held += len(runs[-1])
+                    if held >= SHARD_RUNS:
+                        yield flush()
+                        runs, of, held = [], [], 0
+            if held:
+                yield flush()
+
+        def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+            runs, _ = some_pages(packed(pdf["runs"], np.uint64), packed(pdf["pages"], np.int64), least_pages)
+            runs, n = np.unique(runs, return_counts=True)
+            return pd.DataFrame({"run": runs[n >= least_pages].view(np.int64)})
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                runs, of = [np.zeros(0, np.uint64)], b.column(2).to_numpy()
+                for (zones, texts), at in zip(parsed(b.column(0)), b.column(1).to_pylist()):
+                    runs.append(np.unique(run_hashes(texts, at, least_tokens)) if asks(zones) else runs[0])
+                yield batch(row=pa.array(np.repeat(of, [len(r) for r in runs[1:]])), run=pa.array(np.concatenate(runs).view(np.int64)))
+
+        def by_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                text = []
+                for zones, texts, at, found in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5))):
+                    starts = np.zeros(sum(t.count(" ") + 1 for t in texts), bool)
+                    runs = run_hashes(texts, at, least_tokens).view(np.int64)
+                    starts[: len(runs)] = np.isin(runs, np.array(found or [], np.int64))
+                    text.append(neutral_text(zones, texts, starts, least_tokens))
+                yield batch(id=b.column(0), url=b.column(1), text=pa.array(text, pa.string()))
+
+        def parse_asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in parse(batches):
+                yield b.filter(pa.array([asks(z) for z in b.column(2).to_pylist()], pa.bool_()))
+
+        large = of_hosts(many).withColumn("at", F.xxhash64("host")).withColumn("page", F.xxhash64("id")).withColumn("row", F.xxhash64("id", "url", "html"))
+        shared = large.select("html", "at", "page").mapInArrow(deal, "shard long, runs binary, pages binary")
+        repeated = materialize(shared.groupBy("shard").applyInPandas(settle, "run long"))
+        asked = large.select("html", "at", "row").mapInArrow(ask, "row long, run long").join(small(repeated, 16), "run", "left_semi")
+        found = asked.groupBy("row").agg(F.collect_set("run").alias("found"))
+        left = large.select("id", "url", "html", F.struct("row", "at").alias("key")).mapInArrow(parse_asking, f"id {kind}, url string, zones array<tinyint>, texts array<string>, key struct<row:long,at:long>")
+        left = left.select("id", "url", "zones", "texts", F.col("key.at").alias("at"), F.col("key.row").alias("row")).join(found, "row", "left")
+        done = done.union(left.select("id", "url", "zones", "texts", "at", "found").mapInArrow(by_runs, f"id {kind}, url string, text string"))
     return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

@@ -198,6 +198,26 @@ def test_html(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("group_pages", [512, 16])
+def test_html_repeats_of_a_host(spark, group_pages):
+    """A passage on three pages goes whatever the size of the host, and so do short blocks that repeat together; ids that repeat are one page."""
+    rare, twice = "this rare passage stands on three pages of the large host only", "that one stands twice on the host and so it always stays here"
+    pages = []
+    for k in range(60):
+        more = rare if k in (3, 31, 59) else twice if k in (7, 40) else f"nothing{k}"
+        menu = "<ul><li>All news</li><li>Our weather</li><li>The sports pages</li><li>Share this</li></ul>"
+        pages.append((k, f"http://large.example/{k}", f"<body>{menu}<p>own{k} text{k} of{k} this{k}</p><p>{more}</p></body>"))
+    pages += [(200, "http://large.example/a", f"<article>kept {rare}</article><p>other</p>"), (7, "http://large.example/7", pages[7][2]), (None, "http://large.example/n", "<p>null</p>"), (None, None, f"<p>{rare}</p>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    got = html_text.main_text(df, group_pages=group_pages).collect()
+    assert len(got) == len(pages)
+    text = {(r["page_id"], r["url"]): r["text"] for r in got}
+    for k in range(60):
+        more = "" if k in (3, 31, 59) else "\n" + (twice if k in (7, 40) else f"nothing{k}")
+        assert text[k, f"http://large.example/{k}"] == f"own{k} text{k} of{k} this{k}{more}"
+    assert text[200, "http://large.example/a"] == f"kept {rare}" and text[None, "http://large.example/n"] == "null" and text[None, None] == rare
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_repeated_runs(seed):
     rng = np.random.default_rng(seed)
