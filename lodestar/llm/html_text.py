@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import batch, dealt, materialize, packed, small
 from .textbytes import mix, prefix_hash, span_hash
 
-ARTICLE, NEUTRAL, FURNITURE = 2, 1, 0
+#: SOFT: furniture by the class of an element around, in which an article may yet begin.
+ARTICLE, NEUTRAL, FURNITURE, SOFT = 2, 1, 0, -1
 #: Hashes of runs that one task merges, about, and that one batch gathers.
 SHARD_RUNS = 1 << 20
 
@@ -42,6 +43,10 @@ BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd
 #: Elements that end where the next of their kind begins.
 LOOSE = frozenset("p li dt dd tr td th option b i em strong u".split())
 FURNITURE_WORDS = frozenset("nav navbar navigation menu sidebar side footer header masthead ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent notice notices gdpr comment comments disqus breadcrumb breadcrumbs share sharing social related recommended newsletter subscribe subscription popup modal login search pagination pager toolbar widget tags copyright legal skip".split())
+#: A class name is one of FURNITURE_WORDS, or made of them and these: site-footer, but not has-sidebar or related-work.
+PLACE_WORDS = frozenset("site page main global top bottom left right primary secondary inner outer box bar block list links link container wrapper wrap section area items item inline body text posts stories button buttons icons form".split())
+#: Furniture that may be made of article elements.
+LISTED_WORDS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo comment comments disqus related recommended widget".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ARTICLE_WORDS = frozenset("article articlebody entry-content post-content post-body article-body article-content main-content story-body".split())
 
@@ -51,7 +56,7 @@ WORDS = re.compile(r"[a-z]+(?:-[a-z]+)?")
 
 
 def _zone(tag: str, attributes: str, zone: int) -> int:
-    """The zone of an element within zone. Furniture stays furniture; furniture in an article is furniture."""
+    """The zone of an element within zone. Furniture stays furniture, but an article in what only a class marks is one; furniture in an article is furniture."""
     if zone == FURNITURE or tag in FURNITURE_TAGS or (tag == "header" and zone != ARTICLE):
         return FURNITURE
     if attributes:
@@ -59,10 +64,11 @@ def _zone(tag: str, attributes: str, zone: int) -> int:
         if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in FURNITURE_ROLES:
             return FURNITURE
         names = f"{found.get('class', '')} {found.get('id', '')}"
-        parts = set(re.split(r"[^a-z]+", names)) | set(names.split())
-        if tag not in ("body", "html", "article", "main") and parts & FURNITURE_WORDS:
-            return FURNITURE
-        if found.get("itemprop") == "articlebody" or found.get("role") in ("main", "article") or set(names.split()) & ARTICLE_WORDS:
+        if tag not in ("body", "html", "article", "main"):
+            marks = [p for p in (set(re.split(r"[^a-z]+", x)) - {""} for x in names.split()) if p & FURNITURE_WORDS and p <= FURNITURE_WORDS | PLACE_WORDS]
+            if marks:
+                return FURNITURE if zone == ARTICLE or any(p & LISTED_WORDS for p in marks) else SOFT
+        if found.get("itemprop") == "articlebody" or found.get("role") in ("main", "article") or (zone != SOFT and set(names.split()) & ARTICLE_WORDS):
             return ARTICLE
     return ARTICLE if tag in ("article", "main") else zone
 
@@ -77,7 +83,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((zone, text))
+                out.append((max(zone, FURNITURE), text))
             parts.clear()
 
     while at < size:

@@ -198,6 +198,22 @@ def test_html(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_html_class_names():
+    """A class that only says how a page is laid out takes no article, nor does one in an article that a furniture word is a part of."""
+    text = lambda page: [t for z, t in html_text.blocks(page) if z == html_text.ARTICLE]
+    zone = lambda page: [z for z, _ in html_text.blocks(page)]
+    for name in ("page has-sidebar", "no-sidebar", "header-fixed", "with-menu", "sidebar", "header", "page site-header", "x menu_open"):
+        assert text(f'<div class="{name}"><article><p>One</p></article></div>') == ["One"], name
+        assert text(f'<div id="{name}"><div><main>One<div class="share-buttons">No</div></main>No</div></div>') == ["One"], name
+    for name in ("related-work", "legal-analysis", "social-history", "comment-on-law"):
+        assert text(f'<article><p>One</p><div class="{name}"><p>Two</p></div></article>') == ["One", "Two"], name
+    for name in ("ad", "site-footer", "main-nav", "cookie_notice", "x sidebar-left", "related-posts", "comments"):
+        assert zone(f'<div class="{name}">No</div>') == [html_text.FURNITURE], name
+        assert text(f'<article>One<div class="{name}"><p>No</p></div></article>') == ["One"], name
+    for page in ('<div class="comments"><article>No</article></div>', '<aside><article>No</article></aside>', '<div class="menu"><nav><article>No</article></nav></div>', '<div class="menu" hidden><main>No</main></div>', '<main><div class="menu"><article>No</article></div></main>'):
+        assert zone(page) == [html_text.FURNITURE], page
+
+
 @pytest.mark.parametrize("group_pages", [512, 16])
 def test_html_repeats_of_a_host(spark, group_pages):
     """A passage on three pages goes whatever the size of the host, and so do short blocks that repeat together; ids that repeat are one page."""
