@@ -250,7 +250,7 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, block:
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
-        for _, part in pdf.drop_duplicates(["component", "id"]).groupby("component"):
+        for _, part in pdf.drop_duplicates(["component", "id", "tokens"]).groupby("component"):
             ids = part["id"].to_numpy()
             for i, j in links([np.frombuffer(x, np.uint64) for x in part["tokens"]], percent) if len(ids) > 1 else ():
                 a.append(ids[i])

@@ -148,6 +148,15 @@ def test_jaccard_odd(spark, odd, empty):
     assert jaccard_join.similar_documents(empty).count() == 0
 
 
+def test_jaccard_of_an_id_with_two_texts(spark):
+    """Both texts of an id have their links, whichever row comes first."""
+    text = lambda x, last: " ".join([f"{x}{k}" for k in range(40)] + [last])
+    rows = [(5, text("a", "one")), (5, text("b", "one")), (7, text("a", "two")), (8, text("b", "two")), (9, text("c", "one"))]
+    for order in (rows, rows[::-1]):
+        got = jaccard_join.similar_documents(spark.createDataFrame(order, "doc_id long, text string").coalesce(1), 4, 80).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(5, 5), (5, 5), (7, 5), (8, 5), (9, 9)]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 300)] + [(1000 + k, 1000) for k in range(50)] + [(5, 5)]
     got = {r["v"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -252,3 +261,23 @@ def test_pipeline(spark):
 
     packed = corpus_pipeline.run(spark, sf_dir).collect()
     assert check_packing(packed, [(r["doc_id"], r["text"]) for r in kept.collect()], public_tokenizers.path("byte_bpe_50k.json")) < 0.01
+
+
+def test_pipeline_of_rows_without_own_ids(spark, tmp_path):
+    """Null ids, an id with several texts and repeated rows are decided on row by row."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = table(spark, sf_dir, "documents")
+    first = lambda path: Counter((r["doc_id"], r["doc_tokens"]) for r in corpus_pipeline.run(spark, path).where("start = 0").collect())
+    plain = first(sf_dir)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    clean = sorted(i for i, _ in plain if 60 <= len(texts[i].split()) <= 400)
+    turned = [" ".join(reversed(texts[i].split())) for i in clean[:3]]
+    item = table(spark, sf_dir, "benchmark").where("length(text) > 80").orderBy("item_id").first()["text"]
+    big = 1 << 40
+    rows = [(None, item), (None, "1234 !!! ..."), (None, texts[clean[3]]), (big, turned[0]), (big, turned[0].replace(" ", "  ")), (big + 1, turned[1]), (big + 1, "1234 !!!"), (big + 1, item), (big + 2, turned[2]), (big + 2, turned[2])]
+    more = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.unionByName(more, allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
+    table(spark, sf_dir, "benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = first(str(tmp_path))
+    assert not plain - got
+    assert sorted((i or 0) - big for (i, _), n in (got - plain).items() for _ in range(n)) == [0, 1, 2]
