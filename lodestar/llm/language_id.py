@@ -2,7 +2,8 @@
 
 Training counts words and the character n-grams of their types in a bounded sample of labelled
 rows (`sample_bytes` of text, chosen by a hash of the id) and keeps the most frequent `words` and `grams`
-of each language, for at most `languages` languages; so the model has a bound and is broadcast.
+of each language of the sample, fewer of each where more languages would make the table of logs larger than MODEL_BYTES; so the
+model has a bound and is broadcast. Only where `languages` is given, the languages with fewest words are left out beyond so many.
 Prediction reads the whole text and nothing else.
 
 A word is a run of letters, lower-cased. A language may lack n-grams of a length, if its words are short. A text without a letter, or null, is `und` with score 0. Ties go to
@@ -26,6 +27,8 @@ from .common import batch, materialize
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST, REMEMBERED = 5, 1 << 16
+#: Of the table of logs, and of the values of remembered words in one process, about.
+MODEL_BYTES, MEMORY_BYTES = 1 << 27, 1 << 25
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -56,8 +59,9 @@ class Model:
         counts = Counter(WORD.findall((text or "").lower()))
         if not counts or not self.languages:
             return UNKNOWN, 0.0
-        if self.values is None or len(self.seen) == REMEMBERED:
-            self.values = np.zeros((REMEMBERED, len(self.languages)))
+        most = min(REMEMBERED, max(1, MEMORY_BYTES // (8 * len(self.languages))))
+        if self.values is None or len(self.seen) == most:
+            self.values = np.zeros((most, len(self.languages)))
             self.seen.clear()
         words, seen, total = self.rows[0], self.seen, np.zeros(len(self.languages))
         known, known_n, new, new_n = [], [], [], []
@@ -68,7 +72,7 @@ class Model:
                 continue
             if (i := seen.get(w)) is None:
                 value = self.unseen(w)
-                if len(seen) == REMEMBERED:
+                if len(seen) == most:
                     total += value * n
                     continue
                 i = seen[w] = len(seen)
@@ -82,7 +86,7 @@ class Model:
         return self.languages[int(np.argmax(total))], float(p.max() / p.sum())
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_bytes: int = 24 << 20, words: int = 20_000, grams_kept: int = 20_000, languages: int = 64) -> Model:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_bytes: int = 24 << 20, words: int = 20_000, grams_kept: int = 20_000, languages: int | None = None) -> Model:
     """labelled: rows that may be learned from; rows with null text or language teach nothing."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -106,8 +110,12 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                     yield batch(lang=pa.array([lang] * len(part)), size=pa.array([size] * len(part), pa.int32()), gram=pa.array(list(part)), n=pa.array(list(part.values()), pa.int64()))
 
     counts = materialize(rows.select("text", "lang").mapInArrow(count, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")))
-    most_words = counts.where("size = 0").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    counts = counts.join(F.broadcast(most_words.select("lang")), "lang", "left_semi")
+    if languages is not None:
+        most_words = counts.where("size = 0").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+        counts = counts.join(F.broadcast(most_words.select("lang")), "lang", "left_semi")
+    of = counts.select("lang").distinct().count()
+    share = min(1, MODEL_BYTES / (8 * max(1, of) ** 2 * (words + LONGEST * grams_kept)))
+    words, grams_kept = max(1, int(words * share)), max(1, int(grams_kept * share))
     rank = F.row_number().over(W.partitionBy("lang", "size").orderBy(F.desc("n"), "gram"))
     most = F.when(F.col("size") == 0, F.lit(words)).otherwise(F.lit(grams_kept))
     total = F.sum("n").over(W.partitionBy("lang", "size"))

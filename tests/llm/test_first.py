@@ -148,6 +148,20 @@ def test_language_memory_of_unseen_words(spark, monkeypatch):
     assert np.allclose([x[1] for x in got], [x[1] for x in want] * 2)
 
 
+def test_language_of_many_labels(spark, monkeypatch):
+    """Every label of the sample is in the model, however many there are; the model shrinks by words and n-grams of each."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(k, " ".join(letters[k % 26] + letters[(k // 26 + j) % 26] + letters[(k * 7 + j) % 26] for j in range(6)) + " " + f"{letters[k % 26]}{letters[k // 26]}q" * 2, f"l{k:02d}") for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert len(model.languages) == 80 and all(model.predict(t)[0] == lang for _, t, lang in rows)
+    monkeypatch.setattr(language_id, "MODEL_BYTES", 80 * 80 * 8 * 6 * 5)
+    monkeypatch.setattr(language_id, "MEMORY_BYTES", 80 * 8 * 3)
+    less = language_id.train(docs)
+    assert len(less.languages) == 80 and less.logs.nbytes <= language_id.MODEL_BYTES and less.logs.nbytes < model.logs.nbytes
+    assert sum(less.predict(t)[0] == lang for _, t, lang in rows) > 70
+
+
 def test_exact_dedup(spark, odd, empty):
     got = exact_dedup.exact_duplicates(odd).collect()
     assert len(got) == 11
