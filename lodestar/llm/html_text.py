@@ -2,7 +2,7 @@
 
 A page becomes blocks of text, each in a zone: inside an article or main element, inside furniture
 (menus, headers, footers, asides, forms, adverts, notices, comments), or neither. Blocks of an article are the
-text. A page without any has its blocks of neither kind, less what the host repeats: every run of
+text, whatever the host repeats: repeats within articles are mostly text of their own. A page without any has its blocks of neither kind, less what the host repeats: every run of
 `least_tokens` tokens on at least `least_pages` distinct pages of the host, each page being one stream of all its blocks.
 A neutral block that runs cover entirely goes, runs that cross blocks included; of another, only
 what runs within it cover, so that a text keeps its first words where a repeated block precedes it.
