@@ -32,9 +32,35 @@ def in_batches(df: DataFrame, size: int, *order: str) -> DataFrame:
     return dense_numbers(df, *order).withColumn("batch", batch_number(F.col("number"), size))
 
 
+#: A top of so many rows is one task's.
+TOP_ROWS = 10_000
+#: Ranges that one pass over the numbers tells apart.
+RANGES = 1024
+
+
+def cut_off(numbers: DataFrame, name: str, n: int) -> int | None:
+    """The n-th largest of distinct integers, None if there are not so many. Each pass counts ranges and goes on in one of them."""
+    low, high, count = numbers.agg(F.min(name), F.max(name), F.count(name)).first()
+    if count < n:
+        return None
+    while low < high:
+        width = (high - low) // RANGES + 1
+        within = numbers.where(F.col(name).between(low, high)).select(((F.col(name) - low) / width).cast("long").alias("k"), name)
+        counts = within.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min(name).alias("low"), F.max(name).alias("high")).orderBy(F.desc("k")).collect()
+        for r in counts:
+            if r["m"] >= n:
+                low, high = r["low"], r["high"]
+                break
+            n -= r["m"]
+    return low
+
+
 def recent(points: DataFrame, n: int = 300_000) -> DataFrame:
-    """The n points with the largest seq, oldest first: a top-n of each task, then of those."""
-    return points.orderBy(F.desc("seq")).limit(n).orderBy("seq")
+    """The n points with the largest seq, oldest first. Of many, the least seq is found by counts, so that no task holds them."""
+    if n <= TOP_ROWS:
+        return points.orderBy(F.desc("seq")).limit(n).orderBy("seq")
+    least = cut_off(points.select("seq"), "seq", n)
+    return (points if least is None else points.where(F.col("seq") >= least)).orderBy("seq")
 
 
 def recent_centroid(points: DataFrame, lift: float = 30.0) -> DataFrame:

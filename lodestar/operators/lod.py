@@ -3,16 +3,21 @@
 As a query, level by level: among the points that reach a cell of a node, the one with the smallest seq is accepted, and the others
 go on to the node's child that they lie in. What is left after the deepest level is dropped.
 
-How it is run:
+How it is run: the cells of a level part those of the level above, since nodes halve and every node has as many cells. So points
+compete only with points of the same cell, now and at all deeper levels, and cells can be settled apart from each other.
 
-1. Levels at which all points still lie in one node, of which a small data set in a large world has many, are done in one pass.
-   Each task keeps the points that its own points alone would accept there: fewer competitors never send a point deeper, so these
-   contain everything accepted, and they are few. The rule over them gives the true choice.
-2. Nodes that hold more than `kernel_rows` points go through the level loop: the smallest seq of each cell by a partial and a final aggregate,
-   then one join on seq, which is spread evenly. No task ever holds a whole node or cell.
-3. The points of smaller nodes are finished, all levels at once, in one task for each group of such nodes.
+1. Cells of at most `kernel_rows` points, in nearly all data sets all cells of the root, are finished at once: one shuffle by cell,
+   and each task takes its cells through all levels.
+2. If a cell has more, levels at which all points still lie in one node, of which a small data set in a large world has many, are done in
+   one pass. Each task keeps the points that its own points alone would accept there: fewer competitors never send a point deeper, so
+   these contain everything accepted, and they are few. The rule over them gives the true choice.
+3. The points of cells with more than `kernel_rows` points take one level: the smallest seq of each cell by a partial and a final aggregate, then one join
+   on seq, which is spread evenly. No task ever holds such a cell. What is left goes on with 1.
 
-Every step writes its rows to the shared checkpoint folder, so a lost executor costs only its own tasks.
+Rounding can put a point next to a cell's edge into a cell that is no part of the one above. Tasks look for such points; if there is one,
+the work is done again with whole nodes in the place of cells, which needs no such property.
+
+Every step writes its rows to the shared checkpoint folder, so a lost executor costs only its own tasks. Points are read more than once, so their source must give the same rows each time.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from ..functions import cube
 from ..model import CELL_COLUMNS, CUBE_COLUMNS, POINT_COLUMNS, LodOptions
 from ..storage import materialize, small
 
-#: Points of one node that a single task may finish.
+#: Points of one cell that a single task may finish.
 KERNEL_ROWS = 1 << 16
 ACCEPTED = "seq long, x double, y double, z double, r int, g int, b int, path string, depth int, cx int, cy int, cz int, mx double, my double, mz double, sz double"
 DROPPED = "seq long, reason string, path string"
@@ -46,12 +51,13 @@ class Lod:
 
 @dataclass
 class Settled:
-    """For each point: the depth that accepted it (-1: none), the path of its last node, its cell there and that node's cube."""
+    """For each point: the depth that accepted it (-1: none), the path of its last node, its cell there and that node's cube, and whether all its cells are parts of those above."""
 
     depth: np.ndarray
     path: np.ndarray
     cell: np.ndarray
     cubes: np.ndarray
+    nested: np.ndarray
 
 
 def settle(seq: np.ndarray, points: np.ndarray, paths: np.ndarray, cubes: np.ndarray, first: int, last: int, grid: int) -> Settled:
@@ -59,7 +65,7 @@ def settle(seq: np.ndarray, points: np.ndarray, paths: np.ndarray, cubes: np.nda
 
     All points of a level are handled at once; one stands before another in its cell by seq."""
     n = len(seq)
-    out = Settled(np.full(n, -1, np.int32), np.empty(n, object), np.zeros((n, 3), np.int32), np.zeros((n, 4)))
+    out = Settled(np.full(n, -1, np.int32), np.empty(n, object), np.zeros((n, 3), np.int32), np.zeros((n, 4)), np.ones(n, bool))
     names, node = np.unique(paths.astype(str), return_inverse=True)
     at = np.zeros(len(names), np.int64)
     at[node] = np.arange(n)
@@ -67,11 +73,14 @@ def settle(seq: np.ndarray, points: np.ndarray, paths: np.ndarray, cubes: np.nda
     alive = np.argsort(seq, kind="stable")
     node = node[alive]
     side = np.int64(grid + 1)  # rounding may give a point at a cube's upper edge the number of cells
+    above = upper = None
     for depth in range(first, last + 1):
         if not len(alive):
             break
         p, c = points[alive], own[node]
         cell = np.floor((p - c[:, :3]) / (c[:, 3:] / grid)).astype(np.int64)
+        if above is not None:
+            out.nested[alive] &= ((cell + upper * grid) >> 1 == above).all(1)
         _, winner = np.unique(((node * side + cell[:, 0]) * side + cell[:, 1]) * side + cell[:, 2], return_index=True)
         won = np.zeros(len(alive), bool)
         won[winner] = True
@@ -79,7 +88,7 @@ def settle(seq: np.ndarray, points: np.ndarray, paths: np.ndarray, cubes: np.nda
         done = alive[end]
         out.depth[alive[won]] = depth
         out.path[done], out.cell[done], out.cubes[done] = names[node[end]], cell[end], c[end]
-        alive, node, p, c = alive[~end], node[~end], p[~end], c[~end]
+        alive, node, p, c, above = alive[~end], node[~end], p[~end], c[~end], cell[~end]
         if not len(alive):
             break
         upper = p >= c[:, :3] + c[:, 3:] / 2
@@ -96,8 +105,8 @@ def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return pdf["seq"].to_numpy(), columns(cube.AXES), pdf["path"].to_numpy(object), columns(CUBE_COLUMNS)
 
 
-def finish(live: DataFrame, depth: int, options: LodOptions, tasks: int) -> DataFrame:
-    """All remaining levels for points whose nodes are small: ACCEPTED columns, with depth -1 where the deepest level accepted none."""
+def finish(live: DataFrame, depth: int, options: LodOptions, tasks: int, unit: tuple[str, ...] = ("path",)) -> DataFrame:
+    """All remaining levels for points whose units are small: ACCEPTED columns and `nested`, with depth -1 where the deepest level accepted none."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = settle(*_arrays(pdf), depth, options.max_depth, options.grid)
@@ -106,10 +115,10 @@ def finish(live: DataFrame, depth: int, options: LodOptions, tasks: int) -> Data
             out[c] = found.cell[:, k]
         for k, c in enumerate(CUBE_COLUMNS):
             out[c] = found.cubes[:, k]
-        return out
+        return out.assign(nested=found.nested)
 
-    dealt = live.withColumn("task", F.pmod(F.xxhash64("path"), F.lit(tasks)))
-    return dealt.groupBy("task").applyInPandas(run, ACCEPTED)
+    dealt = live.select(*POINT_COLUMNS, "path", *CUBE_COLUMNS, F.pmod(F.xxhash64(*unit), F.lit(tasks)).alias("task"))
+    return dealt.groupBy("task").applyInPandas(run, f"{ACCEPTED}, nested boolean")
 
 
 def with_cells(live: DataFrame, grid: int) -> DataFrame:
@@ -127,10 +136,17 @@ def flagged(live: DataFrame, winners: DataFrame) -> DataFrame:
     return live.join(won, "seq", "left").withColumn("won", F.coalesce("won", F.lit(False)))
 
 
-def next_level(live: DataFrame) -> DataFrame:
+def next_level(live: DataFrame, *more: Column) -> DataFrame:
     """The points at the children that they lie in."""
     moved = {"path": F.concat("path", cube.octant().cast("string")), **cube.child_of_point()}
-    return live.select(*POINT_COLUMNS, *(c.alias(k) for k, c in moved.items()))
+    return live.select(*POINT_COLUMNS, *(c.alias(k) for k, c in moved.items()), *more)
+
+
+def outside_cell_above(grid: int) -> Column:
+    """Whether a point's cell is no part of its cell of the level above, above_<cell>."""
+    octant = F.right("path", F.lit(1)).cast("int")
+    inside = [F.shiftright(F.col(c) + F.shiftright(octant, k).bitwiseAND(F.lit(1)) * grid, 1) == F.col(f"above_{c}") for k, c in enumerate(CELL_COLUMNS)]
+    return ~(inside[0] & inside[1] & inside[2])
 
 
 def at_root(points: DataFrame, options: LodOptions) -> DataFrame:
@@ -197,45 +213,73 @@ def _union(parts: list[DataFrame], spark, schema: str) -> DataFrame:
     return out
 
 
-def assign(points: DataFrame, options: LodOptions | None = None, kernel_rows: int = KERNEL_ROWS) -> Lod:
-    """Assign every point to a node.
+def _apart(done: DataFrame) -> bool:
+    """Whether a point was met whose cells are no parts of those above."""
+    return not done.where("not nested").isEmpty()
 
-    points: the columns of model.POINT, seq unique and not null; further columns are ignored. Points outside the world, or
-    with a null or NaN coordinate, are dropped. kernel_rows changes how the work is done, never its result."""
-    options, spark = options or LodOptions(), points.sparkSession
-    inside = F.coalesce(cube.inside_world(options.world), F.lit(False))
-    dropped = [points.where(~inside).select("seq", F.lit(OUT_OF_BOUNDS).alias("reason"), F.lit("").alias("path"))]
-    live = materialize(at_root(points.where(cube.inside_world(options.world)), options))
-    ends = [f(a).alias(f"{n}_{a}") for a in cube.AXES for f, n in ((F.min, "lo"), (F.max, "hi"))]
-    bounds = live.agg(F.count(F.lit(1)).alias("n"), *ends).first()
-    accepted, depth = [], 0
-    if bounds["n"] > kernel_rows:
-        path, end = common_levels(bounds, options)
-        if path:
-            upper, live = _first_levels(live, path, end, options, kernel_rows)
-            accepted.append(upper)
-            depth = len(path)
+
+def _by_units(live: DataFrame, depth: int, options: LodOptions, kernel_rows: int, unit: tuple[str, ...]) -> tuple[list[DataFrame], list[DataFrame]] | None:
+    """Steps 1 and 3 from a depth on: accepted and dropped; None if units of cells turn out not to be apart."""
+    spark, accepted, dropped = live.sparkSession, [], []
+    strange = F.lit(False)
     while True:
-        sizes = live.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-        total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+        cells = with_cells(live, options.grid)
+        sizes = cells.groupBy(*unit).agg(F.count(F.lit(1)).alias("n"), F.count_if(strange).alias("strange"))
+        total, most, odd = sizes.agg(F.sum("n"), F.max("n"), F.sum("strange")).first()
         if not total:
             break
-        large, rest = None, live
+        if len(unit) > 1 and odd:
+            return None
+        large, rest = None, cells
         if most > kernel_rows:
-            big = small(materialize(sizes.where(F.col("n") > kernel_rows).select("path")), depth + 64)
-            large, rest = live.join(big, "path", "left_semi"), live.join(big, "path", "left_anti")
+            big = small(materialize(sizes.where(F.col("n") > kernel_rows).select(*unit)), depth + 76)
+            large, rest = cells.join(big, list(unit), "left_semi"), cells.join(big, list(unit), "left_anti")
         tasks = max(spark.sparkContext.defaultParallelism, -(-total // kernel_rows))
-        done = materialize(finish(rest, depth, options, tasks))
+        done = materialize(finish(rest, depth, options, tasks, unit))
+        if len(unit) > 1 and _apart(done):
+            return None
         accepted.append(_accepted(done.where("depth >= 0"), F.col("depth")))
         dropped.append(_dropped(done.where("depth < 0"), MAX_DEPTH))
         if large is None:
             break
-        cells = with_cells(large, options.grid)
-        rows = materialize(flagged(cells, first_of_cells(cells)))
+        rows = materialize(flagged(large, first_of_cells(large)))
         accepted.append(_accepted(rows.where("won"), depth))
         left = rows.where("not won")
         if depth == options.max_depth:
             dropped.append(_dropped(left, MAX_DEPTH))
             break
-        live, depth = next_level(left), depth + 1
-    return Lod(_union(accepted, spark, ACCEPTED), _union(dropped, spark, DROPPED))
+        live, depth, strange = next_level(left, *(F.col(c).alias(f"above_{c}") for c in CELL_COLUMNS)), depth + 1, outside_cell_above(options.grid)
+    return accepted, dropped
+
+
+def assign(points: DataFrame, options: LodOptions | None = None, kernel_rows: int = KERNEL_ROWS) -> Lod:
+    """Assign every point to a node.
+
+    points: the columns of model.POINT, seq unique and not null; further columns are ignored. Points outside the world, or
+    with a null or NaN coordinate, are dropped. kernel_rows changes how the work is done, never its result."""
+    options, spark = options or LodOptions(), points.sparkSession
+    inside = F.coalesce(cube.inside_world(options.world), F.lit(False))
+    outside = points.where(~inside).select("seq", F.lit(OUT_OF_BOUNDS).alias("reason"), F.lit("").alias("path"))
+    live = at_root(points.where(cube.inside_world(options.world)), options)
+    ends = [f(a).alias(f"{n}_{a}") for a in cube.AXES for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    sizes = with_cells(live, options.grid).groupBy(*CELL_COLUMNS).agg(F.count(F.lit(1)).alias("n"), *ends)
+    again = [f(f"{n}_{a}").alias(f"{n}_{a}") for a in cube.AXES for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    seen = sizes.agg(F.sum("n").alias("n"), F.max("n").alias("most"), *again).first()
+    accepted, dropped = [], [outside]
+    if not seen["n"]:
+        return Lod(_union([], spark, ACCEPTED), _union(dropped, spark, DROPPED))
+    depth, unit = 0, ("path", *CELL_COLUMNS)
+    if seen["most"] <= kernel_rows:
+        tasks = max(spark.sparkContext.defaultParallelism, -(-seen["n"] // kernel_rows))
+        done = materialize(finish(with_cells(live, options.grid), 0, options, tasks, unit))
+        if not _apart(done):
+            return Lod(_accepted(done.where("depth >= 0"), F.col("depth")), _union([*dropped, _dropped(done.where("depth < 0"), MAX_DEPTH)], spark, DROPPED))
+        unit = ("path",)
+    live = materialize(live)
+    path, end = common_levels(seen, options)
+    if path and seen["n"] > kernel_rows:
+        upper, live = _first_levels(live, path, end, options, kernel_rows)
+        accepted.append(upper)
+        depth = len(path)
+    found = _by_units(live, depth, options, kernel_rows, unit) or _by_units(live, depth, options, kernel_rows, ("path",))
+    return Lod(_union(accepted + found[0], spark, ACCEPTED), _union(dropped + found[1], spark, DROPPED))

@@ -1,12 +1,38 @@
-"""The registered queries in DuckDB's SQL."""
+"""The registered queries in DuckDB's SQL. All numbers are written here once more, so that a wrong one in the library shows."""
 
 from __future__ import annotations
 
-from ..functions.clock import COLUMNS, DOT, FONT, ROWS
-from ..functions.geo import ECCENTRICITY_2, METRES_PER_DEGREE, SEMI_MAJOR_AXIS
-from ..functions.surface import RANGE, STOPS, WAVES
-from ..model import LodOptions
-from .queries import CORNER, EMBEDDINGS, EVENTS, SHALLOW, SURVEY, WIDE
+from ..model import LodOptions, World
+from ..sources.survey import Survey
+
+EVENTS = LodOptions(World(0.0, 0.0, 0.0, 128.0), grid=8, max_depth=12)
+SHALLOW = LodOptions(World(0.0, 0.0, 0.0, 128.0), grid=8, max_depth=3)
+CORNER = World(10.0, 10.0, 10.0, 40.0)
+EMBEDDINGS = LodOptions(World(-1.0, -1.0, -1.0, 2.0), grid=4, max_depth=20)
+WIDE = LodOptions(World(-1_000_000.0, -1_000_000.0, -1_000_000.0, 2_097_152.0), grid=8, max_depth=40)
+SURVEY = Survey(400.0, 2.0, 100.0, 4)
+#: Fixed values.
+METRES_PER_DEGREE = 111_320.0
+SEMI_MAJOR_AXIS, ECCENTRICITY_2 = 6_378_137.0, 0.0066943799901413165
+WAVES = ((8.0, 0.004, 0.002), (4.0, 0.011, -0.017), (1.5, 0.031, 0.037))
+RANGE = 13.5
+STOPS = ((0.10, 0.20, 0.80), (0.10, 0.70, 0.30), (0.90, 0.80, 0.10), (0.80, 0.10, 0.10))
+DOT, COLUMNS, ROWS = 40.0, 5, 7
+FONT = {
+    "0": ".###. #...# #..## #.#.# ##..# #...# .###.",
+    "1": "..#.. .##.. ..#.. ..#.. ..#.. ..#.. .###.",
+    "2": ".###. #...# ....# ...#. ..#.. .#... #####",
+    "3": ".###. #...# ....# ..##. ....# #...# .###.",
+    "4": "...#. ..##. .#.#. #..#. ##### ...#. ...#.",
+    "5": "##### #.... ####. ....# ....# #...# .###.",
+    "6": "..##. .#... #.... ####. #...# #...# .###.",
+    "7": "##### ....# ...#. ..#.. .#... .#... .#...",
+    "8": ".###. #...# #...# .###. #...# #...# .###.",
+    "9": ".###. #...# #...# .#### ....# ...#. .##..",
+    ":": "..... ..#.. ..... ..... ..... ..#.. .....",
+}
+#: Lines of a vessel's box over its corners' numbers.
+LINES = {"deck": (0, 1, 2, 3, 0), "keel": (4, 5, 6, 7, 4), "post0": (0, 4), "post1": (1, 5), "post2": (2, 6), "post3": (3, 7), "bow": (0, 1, 5, 4, 0)}
 
 POINTS = """
 pts AS (SELECT event_id AS seq, (user_id % 97)::DOUBLE AS x, (user_id % 89)::DOUBLE AS y, abs(value) % 100 AS z,
@@ -103,6 +129,13 @@ def _corners() -> str:
     return " UNION ALL ".join(f"SELECT vessel, {k} AS corner, {_corner(*c)} FROM p" for k, c in enumerate(signs))
 
 
+def _lines() -> str:
+    """The corners' rows again for each line that passes them, and a line from the centre ahead."""
+    passed = ", ".join(f"('{name}', {k}, {c})" for name, path in LINES.items() for k, c in enumerate(path))
+    boxes = f"SELECT vessel, name, k, x, y, z FROM ({_corners()}) AS boxes JOIN (VALUES {passed}) AS passed(name, k, corner) USING (corner)"
+    return f"{boxes} UNION ALL SELECT vessel, 'ahead', 0, {_corner(0, 0, 0)} FROM p UNION ALL SELECT vessel, 'ahead', 1, {_corner(2, 0, 0)} FROM p"
+
+
 def _inside(low: float, size: float) -> str:
     return " AND ".join(f"{a} >= {low!r} AND {a} < {low + size!r}" for a in "xyz")
 
@@ -153,5 +186,18 @@ ORACLE_SQL: dict[str, str] = {
     "batch_numbers": "SELECT batch, count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 2500 AS batch FROM orders) GROUP BY batch",
     "text_parse": "SELECT o_orderkey AS seq, o_orderkey::DOUBLE AS x, o_totalprice::DECIMAL(18,2)::DOUBLE AS y, -1.5::DOUBLE AS z, (o_orderkey % 256)::INT AS r, 7 AS g, 255 AS b FROM orders WHERE o_orderkey % 7 <> 0",
     "vessel_corners": f"WITH p AS (SELECT n_nationkey AS vessel, {', '.join(f'(n_nationkey * {n})::DOUBLE AS {c}' for c, n in zip(('x', 'y', 'z', 'roll', 'pitch', 'heading'), (10, 20, 1, 3, -2, 15)))} FROM nation) {_corners()}",
+    "vessel_edges": f"WITH p AS (SELECT n_nationkey AS vessel, {', '.join(f'(n_nationkey * {n})::DOUBLE AS {c}' for c, n in zip(('x', 'y', 'z', 'roll', 'pitch', 'heading'), (10, 20, 1, 3, -2, 15)))} FROM nation) {_lines()}",
+    "lod_level_loop": f"{_levels(EVENTS)} SELECT seq, d AS depth, path, cx, cy, cz FROM acc",
+    "lod_first_levels": f"{_levels(WIDE)} SELECT seq, d AS depth, path FROM acc",
+    "lod_incremental": f"{_levels(EVENTS)} SELECT seq, d AS depth, path, cx, cy, cz FROM acc",
+    "ingest_progress": f"{_levels(EVENTS)}, parts AS (SELECT seq, (seq - (SELECT min(seq) FROM pts)) // (((SELECT max(seq) FROM pts) - (SELECT min(seq) FROM pts)) // 4 + 1) AS batch_id FROM pts), n AS (SELECT batch_id, count(*) AS points, count(*) FILTER (seq IN (SELECT seq FROM acc)) AS accepted FROM parts GROUP BY batch_id) SELECT batch_id::BIGINT AS batch_id, (sum(points) OVER w)::BIGINT AS points, (sum(accepted) OVER w)::BIGINT AS accepted, (sum(points - accepted) OVER w)::BIGINT AS dropped FROM n WINDOW w AS (ORDER BY batch_id)",
+    "stored_recent": f"WITH {POINTS} {_LATEST} 700",
+    "record_files": f"WITH {POINTS} SELECT x, y, z, r, g, b FROM pts",
+    "tile_points": f"{_node_tables(EVENTS)}, named AS (SELECT path, point_count, {_ID} || '.pnts' AS tile FROM nodes) SELECT tile, point_count AS points, round(acc.x, 3) AS x, round(acc.y, 3) AS y, round(acc.z, 3) AS z, r, g, b FROM acc JOIN named USING (path) JOIN pts USING (seq)",
+    "exported_documents": f"{_node_tables(EVENTS)}, named AS (SELECT *, CASE WHEN path = '' THEN 'tileset.json' ELSE 'tileset_node_' || {_ID} || '.json' END AS file FROM nodes) SELECT file, (sz / {EVENTS.grid})::VARCHAR AS error_text, (SELECT count(*) FROM nodes c WHERE c.parent_path = named.path) AS children FROM named",
+    "export_stats": f"{_ROOT} SELECT count(*) AS tiles, count(*) - 1 AS documents FROM nodes, top WHERE starts_with(nodes.path, top.path)",
+    "node_paths": f"{_node_tables(EVENTS)} SELECT {_ID} AS id, path FROM nodes",
+    "text_cartesian": "SELECT o_orderkey::DOUBLE AS x, o_totalprice::DECIMAL(18,2)::DOUBLE AS y, -1.5::DOUBLE AS z, (o_orderkey % 256)::INT AS r, 7 AS g, 255 AS b FROM orders",
+    "text_geodetic": f"WITH {_PLACES} SELECT round((lon - lon0) * {METRES_PER_DEGREE!r}::DOUBLE * cos(radians(lat0)), 4) AS x, round((lat - lat0) * {METRES_PER_DEGREE!r}::DOUBLE, 4) AS y, round(z, 4) AS z, 1 AS r, 2 AS g, 3 AS b FROM pl, c",
     "stored_node": f"{_levels(EVENTS)} SELECT acc.seq, acc.x, acc.y, acc.z, r, g, b FROM acc JOIN pts ON pts.seq = acc.seq WHERE acc.path = '0'",
 }

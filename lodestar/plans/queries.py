@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import cube, geo, surface, vessel
 from ..functions.clock import clock_points
-from ..functions.ids import etag, node_id
+from ..functions.ids import etag, node_id, path_of_id_column
 from ..model import LodOptions, World
 from ..operators import batches, lod, nodes
-from ..sinks.tileset import documents
+from ..sinks import pnts, records
+from ..sinks.store import Store
+from ..sinks.tileset import documents, export
+from ..sources.records import read_records
 from ..sources.survey import Survey, read_survey
 from ..sources.tables import embedding_points, event_points, table
-from ..sources.text import centroid, parse_lines, project
+from ..sources.text import centroid, parse_lines, project, read_cartesian, read_geodetic
+from ..storage import checkpoint_dir
+from ..streaming import ingest
 
 #: Of the event points.
 EVENTS = LodOptions(World(0.0, 0.0, 0.0, 128.0), grid=8, max_depth=12)
@@ -31,6 +38,11 @@ def _events(spark: SparkSession, sf_dir: str, options: LodOptions = EVENTS) -> l
     return lod.assign(event_points(spark, sf_dir), options)
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new one in the shared folder, for queries that write files and read them back; the session's clean-up takes it."""
+    return f"{checkpoint_dir(spark)}/query-{uuid.uuid4().hex}"
+
+
 def _nodes(spark: SparkSession, sf_dir: str, options: LodOptions = EVENTS) -> DataFrame:
     return nodes.node_stats(_events(spark, sf_dir, options).accepted, options)
 
@@ -60,6 +72,16 @@ def lod_wide_world(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lod.assign(event_points(spark, sf_dir), WIDE).accepted.select("seq", "depth", "path")
 
 
+def lod_level_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With so few rows to a task that most cells take the level loop."""
+    return lod.assign(event_points(spark, sf_dir), EVENTS, kernel_rows=8).accepted.select("seq", "depth", "path", "cx", "cy", "cz")
+
+
+def lod_first_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The levels that all points share, without a single task for their candidates, then cells."""
+    return lod.assign(event_points(spark, sf_dir), WIDE, kernel_rows=64).accepted.select("seq", "depth", "path")
+
+
 def lod_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _events(spark, sf_dir, SHALLOW)
     return nodes.summary(found.accepted, found.dropped, SHALLOW)
@@ -242,16 +264,107 @@ def text_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_lines(lines)
 
 
-def vessel_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("n_nationkey")
-    poses = table(spark, sf_dir, "nation").select(key.alias("vessel"), *((key * n).cast("double").alias(c) for c, n in zip(("x", "y", "z", "roll", "pitch", "heading"), (10, 20, 1, 3, -2, 15))), *(F.lit(v).alias(c) for c, v in zip(("length", "width", "height"), (30.0, 8.0, 4.0))))
-    return vessel.corners(poses).select("vessel", "corner", *(F.round(F.col("point")[c], 6).alias(c) for c in "xyz"))
+    return table(spark, sf_dir, "nation").select(key.alias("vessel"), *((key * n).cast("double").alias(c) for c, n in zip(("x", "y", "z", "roll", "pitch", "heading"), (10, 20, 1, 3, -2, 15))), *(F.lit(v).alias(c) for c, v in zip(("length", "width", "height"), (30.0, 8.0, 4.0))))
+
+
+def vessel_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vessel.corners(_poses(spark, sf_dir)).select("vessel", "corner", *(F.round(F.col("point")[c], 6).alias(c) for c in "xyz"))
+
+
+def vessel_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point of every line of every vessel's box."""
+    lines = vessel.edges(_poses(spark, sf_dir)).select("vessel", "name", F.posexplode("points").alias("k", "point"))
+    return lines.select("vessel", "name", "k", *(F.round(F.col("point")[c], 6).alias(c) for c in "xyz"))
+
+
+def _stored(spark: SparkSession, sf_dir: str, parts: int = 1, **options) -> Store:
+    """The events, taken in so many batches by order of arrival."""
+    store, points = Store(spark, _folder(spark)), event_points(spark, sf_dir)
+    low, high = points.agg(F.min("seq"), F.max("seq")).first()
+    step = (high - low) // parts + 1
+    for k in range(parts):
+        ingest.append(points.where(F.col("seq").between(low + k * step, low + (k + 1) * step - 1)), k, store, EVENTS, 700, **options)
+    return store
 
 
 def stored_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The points of one node, in its order."""
-    accepted = _events(spark, sf_dir).accepted
-    return accepted.where((F.col("depth") == 1) & (F.col("path") == "0")).select("seq", "x", "y", "z", "r", "g", "b")
+    """The points of one node, read from a store."""
+    return _stored(spark, sf_dir).node_points("0").select("seq", "x", "y", "z", "r", "g", "b")
+
+
+def lod_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches, of which the first two become a base."""
+    return _stored(spark, sf_dir, 3, compact_every=1).accepted().select("seq", "depth", "path", "cx", "cy", "cz")
+
+
+def ingest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.progress(_stored(spark, sf_dir, 4)).select("batch_id", "points", "accepted", "dropped")
+
+
+def stored_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest points of all batches."""
+    return _stored(spark, sf_dir, 2).recent().select("seq", "x", "y", "z", "r", "g", "b")
+
+
+def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points through files of binary records and back."""
+    folder = _folder(spark)
+    records.write_records(event_points(spark, sf_dir), folder).agg(F.count(F.lit(1))).first()
+    return read_records(spark, folder).select("x", "y", "z", "r", "g", "b")
+
+
+def tile_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points through tile files and back: which tile each is in, and where."""
+    folder = _folder(spark)
+    pnts.write_tiles(_events(spark, sf_dir).accepted, folder, EVENTS.max_depth).agg(F.count(F.lit(1))).first()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, content in zip(b["name"], b["content"]):
+                spec, xyz, rgb = pnts.decode(content)
+                yield pd.DataFrame(xyz, columns=list("xyz")).assign(tile=name, points=spec["POINTS_LENGTH"], r=rgb[:, 0].astype(int), g=rgb[:, 1].astype(int), b=rgb[:, 2].astype(int))
+
+    files = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content")
+    found = files.mapInPandas(run, "x double, y double, z double, tile string, points long, r int, g int, b int")
+    return found.select("tile", "points", *(F.round(c, 3).alias(c) for c in "xyz"), "r", "g", "b")
+
+
+def exported_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an export wrote, the numbers as they stand in its text."""
+    folder = _folder(spark)
+    export(_events(spark, sf_dir), EVENTS, folder)
+    texts = spark.read.text(f"{folder}/*.json", wholetext=True).select(F.regexp_extract("_metadata.file_path", "([^/]+)$", 1).alias("file"), "value")
+    return texts.select("file", F.regexp_extract("value", r'"geometricError":\s*([^,}]+)', 1).alias("error_text"), F.regexp_count("value", F.lit(r"tileset_node_[0-9]+\.json")).cast("long").alias("children"))
+
+
+def export_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tiles and nested documents an export says it wrote."""
+    found = export(_events(spark, sf_dir, WIDE), WIDE, _folder(spark))
+    return spark.range(1).select(F.lit(found.tiles).cast("long").alias("tiles"), F.lit(found.documents).cast("long").alias("documents"))
+
+
+def node_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From ids back to paths."""
+    return node_ids(spark, sf_dir).select("id", path_of_id_column("id").alias("path"))
+
+
+def text_cartesian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as lines of text files with a header each, read as points."""
+    folder, key = _folder(spark), F.col("o_orderkey")
+    line = F.concat_ws(" ", key.cast("string"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("-1.5"), (key % 256).cast("string"), F.lit("7"), F.lit("255"))
+    lines = table(spark, sf_dir, "orders").select(F.when(key % 7 == 0, F.concat(line, F.lit(" 0 0 1"))).otherwise(line).alias("easting northing depth r g b"))
+    lines.repartition(3).write.option("header", True).option("quote", "").csv(folder)
+    return read_cartesian(spark, folder).select("x", "y", "z", "r", "g", "b")
+
+
+def text_geodetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as lines of longitude, latitude and height, read as points around their centroid."""
+    folder = _folder(spark)
+    _places(spark, sf_dir).select(F.concat_ws("\t", *(F.col(c).cast("string") for c in ("lon", "lat", "z", "r", "g", "b"))).alias("value")).write.text(folder)
+    points, _ = read_geodetic(spark, folder)
+    return points.select(*(F.round(c, 4).alias(c) for c in "xyz"), "r", "g", "b")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -261,5 +374,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         node_stats, node_children, node_children_list, leaf_nodes, node_order, node_ancestors, node_ids, node_etags, logical_root, emitted_nodes, trimmed_points, tile_box, tile_documents,
         rtc_offsets, tile_bytes, geodetic_centroid, enu_project, ecef_matrix, ecef_points, wave_surface, elevation_colour, hex_colour, survey_batches, recent_points, recent_centroid,
         recent_with_clock, clock_digits, batch_numbers, text_parse, vessel_corners, stored_node,
+        lod_level_loop, lod_first_levels, lod_incremental, ingest_progress, stored_recent, record_files, tile_points, exported_documents, export_stats, node_paths, text_cartesian, text_geodetic, vessel_edges,
     )
 }

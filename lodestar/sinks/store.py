@@ -1,6 +1,7 @@
 """The stored hierarchy: Parquet in folders of batch and depth, with a commit for each batch.
 
-Points never move once accepted, so a batch only adds rows. A batch that is written again replaces itself, and readers see committed batches only."""
+Points never move once accepted, so a batch only adds rows. A batch that is written again replaces itself, and readers see committed batches only.
+Compaction writes the rows of all batches but the last into one base, which stands for these from then on; the last one may yet be replayed."""
 
 from __future__ import annotations
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.lod import ACCEPTED, DROPPED, Lod
 
-COMMIT = "points long, accepted long, dropped long, written timestamp"
+COMMIT = "points long, accepted long, dropped long, written timestamp, last_seq long"
 
 
 @dataclass(frozen=True)
@@ -39,29 +40,61 @@ class Store:
 
     def accepted(self, before: int | None = None) -> DataFrame:
         """Of the committed batches, or of those before a batch; filters on depth and batch_id prune folders."""
-        rows = self._read("accepted", ACCEPTED)
-        known = [b for b in self.batches() if before is None or b < before]
-        return rows.where(F.col("batch_id").isin(known)) if known else rows.where("false")
+        return self._rows("accepted", ACCEPTED, before)
 
     def dropped(self) -> DataFrame:
-        known = self.batches()
-        return self._read("dropped", DROPPED).where(F.col("batch_id").isin(known) if known else "false")
+        return self._rows("dropped", DROPPED)
+
+    def base(self, before: int | None = None) -> int | None:
+        """The last batch that is part of the latest base."""
+        bases = [r["batch_id"] for r in self._read("bases", "rows long").select("batch_id").collect()]
+        return max((b for b in bases if before is None or b < before), default=None)
+
+    def batches_since_base(self) -> list[int]:
+        base = self.base()
+        return [b for b in self.batches() if base is None or b > base]
+
+    def _rows(self, kind: str, schema: str, before: int | None = None) -> DataFrame:
+        base = self.base(before)
+        known = [b for b in self.batches() if (before is None or b < before) and (base is None or b > base)]
+        rows = self._read(kind, schema)
+        rows = rows.where(F.col("batch_id").isin(known)) if known else rows.where("false")
+        return rows if base is None else rows.unionByName(self._read(f"base_{kind}", schema).where(F.col("batch_id") == base))
+
+    def last_seq(self, before: int) -> int | None:
+        """The largest seq of the batches before one."""
+        return self.commits().where(F.col("batch_id") < before).agg(F.max("last_seq")).first()[0]
+
+    def compact(self) -> None:
+        """A base of all batches but the last; what it replaces is removed once it stands."""
+        since = self.batches_since_base()[:-1]
+        if not since:
+            return
+        last, old = since[-1], self.base()
+        for kind, schema in (("accepted", ACCEPTED), ("dropped", DROPPED)):
+            rows = self._rows(kind, schema, last + 1).drop("batch_id")
+            (rows.repartition("depth").write.partitionBy("depth") if kind == "accepted" else rows.write).mode("overwrite").option("compression", "zstd").parquet(self._path(f"base_{kind}", last))
+        self.spark.range(1).select(F.lit(len(since)).cast("long").alias("rows")).coalesce(1).write.mode("overwrite").parquet(self._path("bases", last))
+        for kind in ("accepted", "dropped"):
+            for gone in [self._path(kind, b) for b in since] + ([] if old is None else [self._path(f"base_{kind}", old)]):
+                place = self.spark._jvm.org.apache.hadoop.fs.Path(gone)
+                place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
     def node_points(self, path: str, before: int | None = None) -> DataFrame:
         """A node's points in order of arrival; an unknown path has none."""
         return self.accepted(before).where((F.col("depth") == len(path)) & (F.col("path") == path)).orderBy("seq")
 
-    def recent(self) -> DataFrame:
-        known = self.batches()
+    def recent(self, before: int | None = None) -> DataFrame:
+        known = [b for b in self.batches() if before is None or b < before]
         rows = self._read("recent", "seq long, x double, y double, z double, r int, g int, b int")
         return rows.where(F.col("batch_id") == known[-1]).drop("batch_id") if known else rows.where("false").drop("batch_id")
 
-    def write(self, batch: int, lod: Lod, points: int, recent: DataFrame | None = None) -> None:
+    def write(self, batch: int, lod: Lod, points: int, recent: DataFrame | None = None, last_seq: int | None = None) -> None:
         lod.accepted.write.mode("overwrite").partitionBy("depth").option("compression", "zstd").parquet(self._path("accepted", batch))
         lod.dropped.write.mode("overwrite").parquet(self._path("dropped", batch))
         if recent is not None:
             recent.write.mode("overwrite").parquet(self._path("recent", batch))
         kept = self.spark.read.schema(ACCEPTED).parquet(self._path("accepted", batch)).count()
         lost = self.spark.read.schema(DROPPED).parquet(self._path("dropped", batch)).count()
-        row = self.spark.range(1).select(*(F.lit(n).cast("long").alias(c) for c, n in (("points", points), ("accepted", kept), ("dropped", lost))), F.current_timestamp().alias("written"))
+        row = self.spark.range(1).select(*(F.lit(n).cast("long").alias(c) for c, n in (("points", points), ("accepted", kept), ("dropped", lost))), F.current_timestamp().alias("written"), F.lit(last_seq).cast("long").alias("last_seq"))
         row.coalesce(1).write.mode("overwrite").parquet(self._path("commits", batch))

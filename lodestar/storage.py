@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,18 +17,43 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints/lodestar")
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+#: The folder of the scratch block that we are in.
+_scratch: ContextVar[str | None] = ContextVar("_scratch", default=None)
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """What is materialized within goes when the block ends, so a long-lived session keeps nothing of it."""
+    path = f"{checkpoint_dir(spark)}/lod-{uuid.uuid4().hex}"
+    token = _scratch.set(path)
+    try:
+        yield path
+    finally:
+        _scratch.reset(token)
+        filesystem, place = _hadoop(spark, path)
+        filesystem.delete(place, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df once as Parquet in the shared folder and read it back; a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/lod-{uuid.uuid4().hex}"
+    spark, within = df.sparkSession, _scratch.get()
+    path = f"{within or checkpoint_dir(spark)}/lod-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    if not within:
+        filesystem, place = _hadoop(spark, path)
+        filesystem.deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

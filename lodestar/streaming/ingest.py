@@ -1,12 +1,13 @@
 """Incremental assignment: each micro-batch takes what earlier ones left free, so any split of a stream gives the batch result.
 
 At each depth, a cell that a committed batch owns blocks the new points; in the other cells the first new point wins. seq must exceed
-that of all earlier batches. A batch that Spark replays overwrites its own folder and reads only earlier ones, so it counts once.
+that of all earlier batches, else the batch fails. Stored rows are never shuffled: the cells of the batch are sent to them. What a batch
+materializes goes when it is done. A batch that Spark replays overwrites its own folder and reads only earlier ones, so it counts once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions import cube
@@ -14,7 +15,7 @@ from ..model import CELL_COLUMNS, POINT_COLUMNS, LodOptions
 from ..operators import lod as rule
 from ..operators.batches import recent
 from ..sinks.store import Store
-from ..storage import materialize
+from ..storage import materialize, scratch, small
 
 
 def assign_batch(points: DataFrame, stored: DataFrame, options: LodOptions) -> rule.Lod:
@@ -26,10 +27,11 @@ def assign_batch(points: DataFrame, stored: DataFrame, options: LodOptions) -> r
         if live.isEmpty():
             break
         cells = rule.with_cells(live, options.grid)
-        # the few cells of the batch prune the stored rows, not the other way round
-        first = rule.first_of_cells(cells)
-        taken = stored.where(F.col("depth") == depth).select("path", *CELL_COLUMNS)
-        free = first.join(taken, ["path", *CELL_COLUMNS], "left_anti")
+        first, key = materialize(rule.first_of_cells(cells)), ["path", *CELL_COLUMNS]
+        taken = stored.where(F.col("depth") == depth).select(*key)
+        # the cells of the batch prune the stored rows, not the other way round
+        blocked = materialize(taken.join(small(first.select(*key), depth + 76), key, "left_semi"))
+        free = first.join(small(blocked, depth + 76), key, "left_anti")
         rows = materialize(rule.flagged(cells, free))
         accepted.append(rule._accepted(rows.where("won"), depth))
         left = rows.where("not won")
@@ -40,14 +42,30 @@ def assign_batch(points: DataFrame, stored: DataFrame, options: LodOptions) -> r
     return rule.Lod(rule._union(accepted, spark, rule.ACCEPTED), rule._union(dropped, spark, rule.DROPPED))
 
 
-def append(points: DataFrame, batch: int, store: Store, options: LodOptions, keep_recent: int = 300_000) -> None:
+def append(points: DataFrame, batch: int, store: Store, options: LodOptions, keep_recent: int = 300_000, compact_every: int | None = None) -> None:
     """Assign one micro-batch and commit it, with the most recent points of all batches so far."""
-    own = materialize(points.select(*POINT_COLUMNS))
-    found = assign_batch(own, store.accepted(before=batch), options)
-    last = recent(store.recent().unionByName(own).dropDuplicates(["seq"]), keep_recent)
-    store.write(batch, found, own.count(), last)
+    with scratch(points.sparkSession):
+        own = materialize(points.select(*POINT_COLUMNS))
+        n, first, last = own.agg(F.count(F.lit(1)), F.min("seq"), F.max("seq")).first()
+        before = store.last_seq(batch)
+        if n and before is not None and first <= before:
+            raise ValueError(f"batch {batch} has seq {first}, but earlier batches reach {before}")
+        found = assign_batch(own, store.accepted(before=batch), options)
+        latest = recent(store.recent(batch).unionByName(own), keep_recent)
+        store.write(batch, found, n, latest, last if n else before)
+        if compact_every and len(store.batches_since_base()) > compact_every:
+            store.compact()
 
 
-def ingest(stream: DataFrame, store: Store, options: LodOptions, checkpoint: str, keep_recent: int = 300_000) -> DataStreamWriter:
-    """A writer to start with the trigger of one's choice, such as availableNow."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda points, batch: append(points, batch, store, options, keep_recent))
+def progress(store: Store) -> DataFrame:
+    """A row for each commit: points so far, accepted and dropped so far, nodes are in `nodes.summary`; and points a second since the commit before."""
+    w = W.orderBy("batch_id")
+    so_far = [F.sum(c).over(w).alias(c) for c in ("points", "accepted", "dropped")]
+    # a row for each batch, so that one task may hold them
+    seconds = F.col("written").cast("double") - F.lag("written").over(w).cast("double")
+    return store.commits().select("batch_id", *so_far, "written", (F.col("points") / F.nullif(seconds, F.lit(0.0))).alias("points_per_second"))
+
+
+def ingest(stream: DataFrame, store: Store, options: LodOptions, checkpoint: str, keep_recent: int = 300_000, compact_every: int | None = 64) -> DataStreamWriter:
+    """A writer to start with the trigger of one's choice, such as availableNow. Each micro-batch is a commit; the source's own limits, such as maxFilesPerTrigger, set how many points that is."""
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda points, batch: append(points, batch, store, options, keep_recent, compact_every))

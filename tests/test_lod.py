@@ -57,6 +57,7 @@ CASES = {
     "uniform": (RNG.uniform(0, 400, (600, 3)), LodOptions(World(-500, -500, -500, 1000), 8, 60)),
     "clusters far from a wide world's middle": (np.concatenate([RNG.uniform(0, 50, (300, 3)) + [2e6, 8e5, 3e5], RNG.uniform(0, 20, (200, 3)) + [2.001e6, 8e5, 3e5]]), LodOptions(grid=8)),
     "duplicates": (np.repeat([[0.4, 0.4, 0.4]], 50, axis=0), LodOptions(World(-0.5, -0.5, -0.5, 1.0), 4, 12)),
+    "edges by rounding": (np.array([np.nextafter(e, e + d) for e in np.arange(1, 22) * 0.7 / 21 + 0.1 for d in (-1, 0, 1)])[RNG.integers(0, 63, (900, 3))], LodOptions(World(0.1, 0.1, 0.1, 0.7), 3, 9)),
     "edges and outside": (np.array([[0, 0, 0], [100, 0, 0], [99.999, 50, 50], [50, 50, 50], [-0.1, 1, 1], [float("nan"), 1, 1], [25, 25, 25], [25, 25, 25]]), LodOptions(World(0, 0, 0, 100), 4, 5)),
 }
 
@@ -71,6 +72,48 @@ def test_rule(spark, name, kernel_rows):
     assert lost == {k: "max_depth" if k in want else "out_of_bounds" for k in range(len(rows)) if not want.get(k)}
 
 
+def test_cells_not_apart(spark, monkeypatch):
+    """Where rounding parts a cell from the one above, whole nodes take the place of cells."""
+    rows, options = CASES["edges by rounding"]
+    met = []
+    monkeypatch.setattr(lod, "_apart", lambda done: met.append(1) or True)
+    got, lost = found(lod.assign(points(spark, rows[:200]), options))
+    want = walk(rows[:200], options)
+    assert met and got == {k: v for k, v in want.items() if v} and len(lost) == len(rows[:200]) - len(got)
+
+
+def test_recent(spark, monkeypatch):
+    """The latest are found by counts as by sorting, wherever the numbers lie."""
+    monkeypatch.setattr(batches, "TOP_ROWS", 5)
+    for numbers in (range(0, 4000, 3), [*range(50), *range(10**15, 10**15 + 9)], [-5, 7], []):
+        frame = spark.createDataFrame([(k,) for k in numbers], "seq long")
+        for n in (6, 40, 900):
+            assert [r["seq"] for r in batches.recent(frame, n).collect()] == sorted(numbers)[-n:]
+
+
+def test_scratch(spark, tmp_path):
+    """A batch leaves nothing behind in the shared folder, and a seq that is not above earlier ones fails it; compaction changes no row."""
+    from lodestar.storage import checkpoint_dir
+
+    options, store = LodOptions(World(0, 0, 0, 128), 8, 6), Store(spark, str(tmp_path / "s"))
+    frame = points(spark, np.random.default_rng(3).uniform(0, 100, (300, 3)))
+    filesystem = spark._jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
+    ls = lambda: {f.getPath().getName() for f in filesystem.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(filesystem)}
+    ingest.append(frame.where("seq < 100"), 0, store, options)
+    before = ls()
+    ingest.append(frame.where("seq between 100 and 199"), 1, store, options)
+    assert ls() == before
+    with pytest.raises(ValueError):
+        ingest.append(frame.where("seq between 150 and 250"), 2, store, options)
+    ingest.append(frame.where("seq >= 200"), 2, store, options, compact_every=1)
+    assert ls() == before and store.base() == 1 and store.batches_since_base() == [2]
+    ingest.append(frame.where("seq >= 200"), 2, store, options)
+    whole = lod.assign(frame, options)
+    assert sorted(map(tuple, store.accepted().select("seq", "path").collect())) == sorted(map(tuple, whole.accepted.select("seq", "path").collect()))
+    assert [(r["points"], r["accepted"] + r["dropped"]) for r in ingest.progress(store).orderBy("batch_id").collect()] == [(100, 100), (200, 200), (300, 300)]
+    assert {r["seq"] for r in store.recent().collect()} == set(range(300))
+
+
 def test_empty(spark):
     options = LodOptions(World(0, 0, 0, 8), 4, 3)
     result = lod.assign(spark.createDataFrame([(1, None, 1.0, 1.0, 0, 0, 0)], POINT), options)
