@@ -25,6 +25,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return found
     path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints/lodestar")
         path = spark.sparkContext.getCheckpointDir()
     return path
@@ -61,15 +63,15 @@ def batch(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def dealt(shard: np.ndarray, shards: int, **arrays: np.ndarray) -> pa.RecordBatch:
+def dealt(shard: np.ndarray, **arrays: np.ndarray) -> pa.RecordBatch:
     """A row for each shard that occurs, with the packed values of each array that go to it, in their order."""
     order = np.argsort(shard, kind="stable")
-    edges = np.searchsorted(shard[order], np.arange(shards + 1))
-    full = np.flatnonzero(np.diff(edges))
+    full, first = np.unique(shard[order], return_index=True)
+    edges = [*first.tolist(), len(shard)]
     columns = {"shard": pa.array(full, pa.int64())}
     for name, values in arrays.items():
         values = values[order]
-        columns[name] = pa.array([values[edges[k] : edges[k + 1]].tobytes() for k in full], pa.binary())
+        columns[name] = pa.array([values[a:z].tobytes() for a, z in zip(edges, edges[1:])], pa.binary())
     return batch(**columns)
 
 

@@ -7,7 +7,8 @@ are searched side by side. Hashed words that agree are confirmed by comparing th
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. Null or empty texts have no words,
 and items without words no window. Repeated items and item ids count once; a null item id is ignored. The items
-are a stated query set: they are handled in blocks of at most BLOCK windows, of which a task holds one at a time.
+are a stated query set: they are handled in blocks of at most about BLOCK windows or BLOCK_BYTES of text. A task holds one block at a
+time, and searches up to HELD bytes of documents for it before it takes the next.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import batch
-from .textbytes import ALNUM, LOWER, chunks, mix, prefix_hash, span_hash, words
+from .textbytes import ALNUM, LOWER, chunks, hashes_of, mix, words
 
-BLOCK = 1 << 19
+BLOCK, BLOCK_BYTES = 1 << 19, 4 << 20
+#: Bytes of documents for each of which several blocks are compiled once.
+HELD = 32 << 20
 #: Entries of a shift table.
 TABLE = 1 << 16
 #: Words of the stretches that are searched side by side.
@@ -105,20 +108,21 @@ def _compile(windows: dict[int, dict[tuple[bytes, ...], set[str]]]) -> list[tupl
         flat = b"".join(w for p in found for w in p)
         ends = np.cumsum([len(w) for p in found for w in p])
         data = np.frombuffer(flat, np.uint8)
-        hashes = span_hash(prefix_hash(data), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends.astype(np.int64))
+        hashes = hashes_of(data, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends.astype(np.int64))
         out.append((Patterns(m, hashes.reshape(len(found), m)), list(found), [sorted(x) for x in found.values()]))
     return out
 
 
 def blocks(benchmark: DataFrame, size: int, item_col: str, text_col: str) -> list:
     """Broadcasts of at most about BLOCK windows each, read item by item."""
-    sc, out, held, n = benchmark.sparkSession.sparkContext, [], [], 0
+    sc, out, held, n, size_of = benchmark.sparkSession.sparkContext, [], [], 0, 0
     for row in benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         held.append((row["i"], row["t"]))
         n += len(row["t"] or "") // 2 + 1
-        if n >= BLOCK:
+        size_of += len(row["t"] or "")
+        if n >= BLOCK or size_of >= BLOCK_BYTES:
             out.append(sc.broadcast(item_windows(held, size)))
-            held, n = [], 0
+            held, n, size_of = [], 0, 0
     if held:
         out.append(sc.broadcast(item_windows(held, size)))
     return out
@@ -137,25 +141,43 @@ def find_items(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: st
                 vars(shared[k]).pop("_value", None)
         return compiled[k]
 
+    def search(part: tuple, k: int, hit: np.ndarray, by_doc: list[set[str]]) -> None:
+        data, s, e, first, hashes = part
+        for p, known, ids in patterns(k):
+            for at, which in zip(*(x.tolist() for x in p.search(hashes, first))):
+                if all(data[s[at + j] : e[at + j]].tobytes() == w for j, w in enumerate(known[which])):
+                    hit[at] += 1
+                    hit[at + p.length] -= 1
+                    by_doc[int(np.searchsorted(first, at, "right")) - 1].update(ids[which])
+
+    def found(column: pa.Array) -> tuple[list[int], list[int], list[list[str]]]:
+        n_words, n_hit, items, parts = [], [], [], []
+
+        def flush() -> None:
+            hits = [(np.zeros(len(p[1]) + 1, np.int64), [set() for _ in range(len(p[3]) - 1)]) for p in parts]
+            for k in range(len(shared)):
+                for part, (hit, by_doc) in zip(parts, hits):
+                    search(part, k, hit, by_doc)
+            for (_, _, _, first, _), (hit, by_doc) in zip(parts, hits):
+                covered = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)])
+                n_words.extend(np.diff(first).tolist())
+                n_hit.extend((covered[first[1:]] - covered[first[:-1]]).tolist())
+                items.extend(sorted(x) for x in by_doc)
+            parts.clear()
+
+        for _, _, data, offsets in chunks(column):
+            data = LOWER[data]
+            s, e, first = words(data, offsets, ALNUM)
+            parts.append((data, s, e, first, hashes_of(data, s, e)))
+            # one block needs no waiting
+            if len(shared) == 1 or sum(len(p[0]) for p in parts) >= HELD:
+                flush()
+        flush()
+        return n_words, n_hit, items
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_words, n_hit, items = [], [], []
-            for lo, hi, data, offsets in chunks(b.column(1)):
-                data = LOWER[data]
-                s, e, first = words(data, offsets, ALNUM)
-                hashes = span_hash(prefix_hash(data), s, e)
-                hit, by_doc = np.zeros(len(s) + 1, np.int64), [set() for _ in range(hi - lo)]
-                for k in range(len(shared)):
-                    for p, known, ids in patterns(k):
-                        for at, which in zip(*(x.tolist() for x in p.search(hashes, first))):
-                            if all(data[s[at + j] : e[at + j]].tobytes() == w for j, w in enumerate(known[which])):
-                                hit[at] += 1
-                                hit[at + p.length] -= 1
-                                by_doc[int(np.searchsorted(first, at, "right")) - 1].update(ids[which])
-                covered = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)])
-                n_words += np.diff(first).tolist()
-                n_hit += (covered[first[1:]] - covered[first[:-1]]).tolist()
-                items += [sorted(x) for x in by_doc]
+            n_words, n_hit, items = found(b.column(1))
             yield batch(id=b.column(0), n_words=pa.array(n_words, pa.int64()), n_hit=pa.array(n_hit, pa.int64()), items=pa.array(items, pa.list_(pa.string())))
 
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -48,7 +48,7 @@ class CountingQuotientFilter:
         occupied[quotients] = True
         run_end = np.ones(len(quotients), bool)
         run_end[:-1] = quotients[1:] != quotients[:-1]
-        return cls(quotient_bits, bits, occupied, run_end, fingerprints & ((np.uint64(1) << shift) - np.uint64(1)), counts.astype(np.uint32))
+        return cls(quotient_bits, bits, occupied, run_end, fingerprints & ((np.uint64(1) << shift) - np.uint64(1)), counts.astype(np.int64))
 
     def entries(self) -> tuple[np.ndarray, np.ndarray]:
         """The fingerprints in order, and their counts."""
@@ -75,7 +75,7 @@ class CountingQuotientFilter:
         at += (1 << q) + 7 >> 3
         run_end = np.unpackbits(np.frombuffer(data, np.uint8, n + 7 >> 3, at), count=n).astype(bool)
         at += n + 7 >> 3
-        return cls(q, bits, occupied, run_end, np.frombuffer(data, np.uint64, n, at), np.frombuffer(data, np.uint32, n, at + 8 * n))
+        return cls(q, bits, occupied, run_end, np.frombuffer(data, np.uint64, n, at), np.frombuffer(data, np.int64, n, at + 8 * n))
 
 
 def repeated_fingerprints(fingerprints: DataFrame, rows: int, slice_rows: int = 1 << 19) -> DataFrame:
@@ -90,10 +90,9 @@ def repeated_fingerprints(fingerprints: DataFrame, rows: int, slice_rows: int =
         if not seen:
             return
         values, counts = np.unique(np.concatenate(seen), return_counts=True)
-        edges = np.searchsorted(values >> np.uint64(bits), np.arange((1 << slice_bits) + 1, dtype=np.uint64))
+        slices, edges = np.unique(values >> np.uint64(bits), return_index=True)
         low = values & ((np.uint64(1) << np.uint64(bits)) - np.uint64(1))
-        for k in np.flatnonzero(np.diff(edges)):
-            a, b = edges[k], edges[k + 1]
+        for k, a, b in zip(slices, edges, [*edges[1:], len(values)]):
             q = max(1, int(b - a).bit_length())
             # one size of quotient in each slice of a partition; merging needs a common one
             yield batch(slice=pa.array([int(k)], pa.int64()), filter=pa.array([CountingQuotientFilter.build(low[a:b], counts[a:b], min(q, 16), bits).dumps()], pa.binary()))

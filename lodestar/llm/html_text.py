@@ -265,7 +265,7 @@ def main_text(pages: DataFrame, least_tokens: int = 8, least_pages: int = 3, gro
 
             def flush() -> pa.RecordBatch:
                 r, p = some_pages(np.concatenate(runs), np.concatenate(of), least_pages)
-                return dealt((mix(r) % np.uint64(shards)).astype(np.int64), shards, runs=r, pages=p)
+                return dealt((mix(r) % np.uint64(shards)).astype(np.int64), runs=r, pages=p)
 
             for b in batches:
                 for (_, texts), at, page in zip(parsed(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist()):

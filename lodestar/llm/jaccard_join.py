@@ -162,7 +162,7 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, block:
                 if n.sum():
                     h = mix(np.concatenate(sets) + SALT)
                     doc = np.repeat(np.arange(len(sets), dtype=np.uint16), n)
-                    found = dealt((h % np.uint64(parts)).astype(np.int64), parts, low=(h >> np.uint64(48)).astype(np.uint16), high=(h >> np.uint64(40)).astype(np.uint8), doc=doc)
+                    found = dealt((h % np.uint64(parts)).astype(np.int64), low=(h >> np.uint64(48)).astype(np.uint16), high=(h >> np.uint64(40)).astype(np.uint8), doc=doc)
                     yield shaped(found.column(0), run, **{k: found.column(i) for i, k in enumerate(("low", "high", "doc"), 1)})
                 run += 1
 
@@ -209,7 +209,7 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, block:
         sizes = np.array([len(x) for x in lists], np.int64)
         if sizes.sum():
             tokens = np.concatenate(lists)
-            yield dealt(_of(tokens, shards), shards, token=tokens, id=np.repeat(b.column(0).to_numpy(), sizes), n=np.repeat(b.column(1).to_numpy(), sizes))
+            yield dealt(_of(tokens, shards), token=tokens, id=np.repeat(b.column(0).to_numpy(), sizes), n=np.repeat(b.column(1).to_numpy(), sizes))
 
     def grouped(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Ids in order of token and size, and which of them go with the one before."""

@@ -1,9 +1,8 @@
 """Language by words first: known words by their log frequency in each language, unseen ones by shorter and shorter character n-grams.
 
-Training counts words and the character n-grams of their types in a bounded sample of labelled
-rows (`sample_bytes` of text, chosen by a hash of the id) and keeps the most frequent `words` and `grams`
-of each language of the sample, fewer of each where more languages would make the table of logs larger than MODEL_BYTES; so the
-model has a bound and is broadcast. Only where `languages` is given, the languages with fewest words are left out beyond so many.
+Training counts words and the character n-grams of their occurrences in a bounded sample of labelled rows (`sample_bytes` of text,
+chosen by a hash of the id). Every word, n-gram and label of the sample is in the model, so the sample alone bounds it. A word or n-gram has
+entries for the languages that it was seen in only; in any other it counts half an occurrence. The model is broadcast.
 Prediction reads the whole text and nothing else.
 
 A word is a run of letters, lower-cased. A language may lack n-grams of a length, if its words are short. A text without a letter, or null, is `und` with score 0. Ties go to
@@ -20,15 +19,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import batch, materialize
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
-LONGEST, REMEMBERED = 5, 1 << 16
-#: Of the table of logs, and of the values of remembered words in one process, about.
-MODEL_BYTES, MEMORY_BYTES = 1 << 27, 1 << 25
+LONGEST, REMEMBERED, PIECE = 5, 1 << 16, 1 << 12
+#: Of the values of remembered words in one process, about.
+MEMORY_BYTES = 1 << 25
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -38,55 +37,59 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies in each language: a row of logs for each word (rows[0]) and n-gram (rows[n])."""
+    """Log frequencies in each language: of words (size 0) and n-grams (their size), as what an entry adds to the value of none."""
 
     languages: list[str]
+    #: For each size: the place of each word or n-gram, and each language's log frequency of half an occurrence.
     rows: list[dict[str, int]]
-    logs: np.ndarray
-    #: Unseen words of this process, and their values.
+    none: np.ndarray
+    #: The entries of place i are those from starts[i] to starts[i + 1].
+    starts: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+    #: Words of this process, their places in its table of values.
     seen: dict[str, int] = field(default_factory=dict)
-    values: np.ndarray | None = None
+    table: np.ndarray | None = None
 
-    def unseen(self, word: str) -> np.ndarray:
-        """The mean over the word's longest n-grams of which some are known."""
+    def mean(self, size: int, places: list[int]) -> np.ndarray:
+        parts = [slice(self.starts[i], self.starts[i + 1]) for i in places]
+        columns, values = (np.concatenate([x[p] for p in parts]) for x in (self.columns, self.values))
+        return self.none[size] + np.bincount(columns, values, len(self.languages)) / len(places)
+
+    def value(self, word: str) -> np.ndarray:
+        """Of a known word its own log frequencies; else the mean over its longest n-grams of which some are known."""
+        if (i := self.rows[0].get(word)) is not None:
+            return self.mean(0, [i])
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
             known = [i for g in grams(word, n) if (i := self.rows[n].get(g)) is not None]
             if known:
-                return self.logs[known].mean(axis=0)
+                return self.mean(n, known)
         return np.zeros(len(self.languages))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(WORD.findall((text or "").lower()))
-        if not counts or not self.languages:
+        words = WORD.findall((text or "").lower())
+        if not words or not self.languages:
             return UNKNOWN, 0.0
-        most = min(REMEMBERED, max(1, MEMORY_BYTES // (8 * len(self.languages))))
-        if self.values is None or len(self.seen) == most:
-            self.values = np.zeros((most, len(self.languages)))
+        most = max(1, min(REMEMBERED, MEMORY_BYTES // (8 * len(self.languages))))
+        if self.table is None or len(self.table) != most:
+            self.table = np.zeros((most, len(self.languages)))
             self.seen.clear()
-        words, seen, total = self.rows[0], self.seen, np.zeros(len(self.languages))
-        known, known_n, new, new_n = [], [], [], []
-        for w, n in counts.items():
-            if (i := words.get(w)) is not None:
-                known.append(i)
-                known_n.append(n)
-                continue
-            if (i := seen.get(w)) is None:
-                value = self.unseen(w)
-                if len(seen) == most:
-                    total += value * n
-                    continue
-                i = seen[w] = len(seen)
-                self.values[i] = value
-            new.append(i)
-            new_n.append(n)
-        for table, at, n in ((self.logs, known, known_n), (self.values, new, new_n)):
-            if at:
-                total += (table[at] * np.array(n)[:, None]).sum(axis=0)
+        seen, total, size = self.seen, np.zeros(len(self.languages)), min(PIECE, most)
+        for a in range(0, len(words), size):
+            piece = words[a : a + size]
+            new = set(piece).difference(seen)
+            if len(seen) + len(new) > most:
+                seen.clear()
+                new = set(piece)
+            for w in new:
+                self.table[len(seen)] = self.value(w)
+                seen[w] = len(seen)
+            total += self.table[[seen[w] for w in piece]].sum(axis=0)
         p = np.exp(total - total.max())
         return self.languages[int(np.argmax(total))], float(p.max() / p.sum())
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_bytes: int = 24 << 20, words: int = 20_000, grams_kept: int = 20_000, languages: int | None = None) -> Model:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_bytes: int = 8 << 20) -> Model:
     """labelled: rows that may be learned from; rows with null text or language teach nothing."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -109,35 +112,26 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 if part:
                     yield batch(lang=pa.array([lang] * len(part)), size=pa.array([size] * len(part), pa.int32()), gram=pa.array(list(part)), n=pa.array(list(part.values()), pa.int64()))
 
-    counts = materialize(rows.select("text", "lang").mapInArrow(count, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")))
-    if languages is not None:
-        most_words = counts.where("size = 0").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-        counts = counts.join(F.broadcast(most_words.select("lang")), "lang", "left_semi")
-    of = counts.select("lang").distinct().count()
-    share = min(1, MODEL_BYTES / (8 * max(1, of) ** 2 * (words + LONGEST * grams_kept)))
-    words, grams_kept = max(1, int(words * share)), max(1, int(grams_kept * share))
-    rank = F.row_number().over(W.partitionBy("lang", "size").orderBy(F.desc("n"), "gram"))
-    most = F.when(F.col("size") == 0, F.lit(words)).otherwise(F.lit(grams_kept))
-    total = F.sum("n").over(W.partitionBy("lang", "size"))
-    kept = counts.withColumn("total", total).withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "size", "gram", "n", "total").toPandas()
-    if not len(kept):
-        return Model([], [{} for _ in range(LONGEST + 1)], np.zeros((0, 0)))
-    names = sorted(kept["lang"].unique())
-    column = {x: k for k, x in enumerate(names)}
+    # as large as the sample allows, so the driver may hold them
+    counts = materialize(rows.select("text", "lang").mapInArrow(count, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))).toPandas()
+    names = sorted(counts["lang"].unique())
+    totals = np.zeros((LONGEST + 1, len(names)))
+    column = counts["lang"].map({x: k for k, x in enumerate(names)}).to_numpy(np.int64)
+    np.add.at(totals, (counts["size"].to_numpy(np.int64), column), counts["n"].to_numpy(float))
+    # a language without n-grams of a length is rated like the one with most
+    totals = np.where(totals > 0, totals, np.maximum(totals.max(axis=1, keepdims=True, initial=0), 1))
     tables: list[dict[str, int]] = []
-    logs: list[np.ndarray] = []
+    starts, columns, values = [np.zeros(1, np.int64)], [], []
     for size in range(LONGEST + 1):
-        part = kept[kept["size"] == size]
-        # a language without n-grams of this length is rated like the one with most
-        own = part.groupby("lang")["total"].max()
-        totals = np.array([own.get(x, own.max()) for x in names], float)
-        unique, first = np.unique(part["gram"].to_numpy(object), return_inverse=True)
-        values = np.full((len(unique), len(names)), 0.5)
-        values[first, part["lang"].map(column).to_numpy()] = part["n"]
-        begin = sum(map(len, logs))
+        mine = np.flatnonzero(counts["size"].to_numpy() == size)
+        unique, place = np.unique(counts["gram"].to_numpy(object)[mine].astype(str), return_inverse=True)
+        begin, entries = sum(map(len, tables)), sum(map(len, columns))
         tables.append({g: begin + k for k, g in enumerate(unique.tolist())})
-        logs.append(np.log(values / totals))
-    return Model(names, tables, np.concatenate(logs))
+        order = np.lexsort((column[mine], place))
+        starts.append(entries + np.cumsum(np.bincount(place, minlength=len(unique))))
+        columns.append(column[mine][order])
+        values.append(np.log(2.0 * counts["n"].to_numpy(float)[mine][order]))
+    return Model(names, tables, np.log(0.5 / totals), np.concatenate(starts).astype(np.int64), np.concatenate(columns), np.concatenate(values))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -34,9 +34,13 @@ WINDOW = 1024
 
 
 def byte_bpe(path: str) -> tiktoken.Encoding:
-    """An encoder of the byte-level BPE in a tokenizers file: its ids are the ranks of its merges."""
+    """An encoder of the byte-level BPE in a tokenizers file. It merges by ids, so they must rank as the file's merges do, else the file is refused."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+    ids = [spec["model"]["vocab"][a + b] for a, b in merges]
+    if any(a >= b for a, b in zip(ids, ids[1:])):
+        raise ValueError(f"{path}: ids do not rank as merges do")
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(BYTES[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
     #: Fixed value: the splitting pattern of byte-level BPE.
@@ -52,7 +56,7 @@ class Bins:
         self.sizes = np.zeros((window, len(limits)), np.int64)
         self.scaled = np.zeros((window, len(limits)))
         self.items: list = [None] * window
-        self.free = list(range(window))
+        self.free = list(range(window - 1, -1, -1))
         self.used = np.zeros(window, bool)
 
     def add(self, sizes: tuple[int, ...], item: object) -> None:
@@ -71,7 +75,9 @@ class Bins:
         fits = self.used & (self.sizes <= left).all(1)
         if not fits.any():
             return -1
-        return int(np.argmax(np.where(fits, self.scaled @ (left / self.limits), -1.0)))
+        # added column by column, so that ties are the same everywhere
+        product = sum(self.scaled[:, d] * room for d, room in enumerate(left / self.limits))
+        return int(np.argmax(np.where(fits, product, -1.0)))
 
     def longest(self) -> int:
         return int(np.argmax(np.where(self.used, self.sizes[:, 0], -1)))
@@ -183,6 +189,25 @@ def pack_documents(docs: DataFrame, path: str, length: int = 2048, end: int = 1,
     return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, {PIECES}").withColumnRenamed("id", id_col)
 
 
+def conversation_sizes(turns: DataFrame, path: str, end: int = 1, id_col: str = "conv_id", role_col: str = "role", text_col: str = "text", learned: str = "assistant") -> DataFrame:
+    """A row for each conversation: id_col, tokens (of all turns, an end token each), segments (turns) and loss (tokens of the turns of the role learned).
+
+    A null text is its end token alone; a null role is not learned; turns with a null id are one conversation. Sums are formed before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if path not in _encoders:
+            _encoders[path] = byte_bpe(path)
+        encode = _encoders[path].encode
+        for b in batches:
+            n = np.array([len(encode(x.as_py() or "", allowed_special="all")) + (end is not None) for x in b.column(2)], np.int64)
+            mine = np.array([x.as_py() == learned for x in b.column(1)], bool)
+            yield batch(id=b.column(0), tokens=pa.array(n), loss=pa.array(np.where(mine, n, 0)))
+
+    base = turns.select(F.col(id_col).alias("id"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    counted = base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, tokens long, loss long")
+    return counted.groupBy(F.col("id").alias(id_col)).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("segments"), F.sum("loss").alias("loss"))
+
+
 def pack_examples(examples: DataFrame, limits: tuple[int, int, int], id_col: str, tokens: str, segments: str, loss: str) -> DataFrame:
     """Instruction examples, which are not cut: id_col, sequence_id, fits. limits: on tokens, segments and loss-bearing tokens."""
 

@@ -4,10 +4,12 @@ Validated numbers and dates go through a keyed Feistel permutation of their own
 keep equal pseudonyms in every document and different ones stay different:
 
 - card numbers with a right Luhn digit: all digits but the last; the Luhn digit is computed anew
-- phone numbers: the digits after the country code
+- IBANs with a right remainder modulo 97: the digits of the account; the check digits are computed anew
+- phone numbers: the digits after the country code, which the numbering plan tells, whether it is set apart or not; without a code, as in that of +1
 - social security numbers: among the valid ones
 - IPv4 addresses: both halves; 0.0.0.0 and 127.* stay
-- dates: the day within its century-long era, written in the same style
+- dates: the day within its century-long era, written in the same style, with leading zeros or without. With slashes, the day comes first where both may
+  (`day_first=False`: the month)
 
 E-mail addresses and access keys are not numbers; they get a keyed hash in their own form. Everything else,
 invalid numbers and impossible dates included, stays as it is.
@@ -24,17 +26,20 @@ ROUNDS = 10
 MARK, ESCAPE = "\x01", "\x02"
 
 EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])"
+IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 KEY = r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?=[a-fA-F]{0,39}[0-9])(?=[0-9]{0,39}[a-fA-F])[0-9a-fA-F]{32,64})(?![A-Za-z0-9])"
 IP = r"(?<![0-9]\.)(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
-DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z]|[-/.][0-9])"
+DATE = r"(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9A-Za-z]|[-/.][0-9])"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![-0-9A-Za-z])"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}|[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4})(?![-0-9A-Za-z])"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}(?![-0-9A-Za-z])"
 #: Where two forms fit, the first is taken.
-FOUND = rf"(?<![A-Za-z0-9._%+@-])(?:{EMAIL}|{KEY}|{IP}|{DATE}|{SSN}|{PHONE}|{CARD})"
+FOUND = rf"(?:(?<![A-Za-z0-9._%+@-]){EMAIL}|(?<![A-Za-z0-9+@])(?<![0-9][-./])(?:{KEY}|{IBAN}|{IP}|{DATE}|{SSN}|{PHONE}|{CARD}))"
 #: Every text with a value has this, which is cheaper to look for.
-HINT = r"[0-9]{4}|[0-9]\.[0-9]|@|AKIA|gh[pousr]_|[0-9a-fA-F]{32}|[0-9][-. ][0-9]"
-KINDS = ("email", "key", "ip", "date", "ssn", "phone", "card")
+HINT = r"[0-9]{4}|[A-Z]{2}[0-9]{2}|[0-9]\.[0-9]|@|AKIA|gh[pousr]_|[0-9a-fA-F]{32}|[0-9][-. ][0-9]"
+KINDS = ("email", "key", "iban", "ip", "date", "ssn", "phone", "card")
+#: Fixed value: country codes of the numbering plan, of one, two or else three digits.
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
 #: Days of an era, as the product of the Feistel halves' sizes.
 ERA = (75, 487)
@@ -63,7 +68,7 @@ def _named(value: Column, then) -> Column:
 
 
 def permuted_digits(digits: Column, key: str, tweak: Column) -> Column:
-    """Of a string of 2 to 19 digits, another of the same length."""
+    """Of a string of 2 to 30 digits, another of the same length."""
     n = F.length(digits)
     a = F.floor(n / 2).cast("int")
     size = lambda k: F.pow(F.lit(10.0), k).cast("long")
@@ -107,10 +112,45 @@ def _card(x: Column, key: str) -> Column:
 
 
 def _phone(x: Column, key: str) -> Column:
-    country = F.regexp_extract(x, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
+    country = F.regexp_extract(x, COUNTRY, 0)
     rest = F.substring(x, F.length(country) + 1, F.length(x))
     d = _digits(rest)
-    return F.when(F.length(d).between(6, 15), F.concat(country, in_format(rest, permuted_digits(d, key, F.concat(F.lit("phone"), country)))))
+    plan = F.when(country == "", F.lit("+1")).otherwise(country)
+    return F.when(F.length(d).between(6, 15), F.concat(country, in_format(rest, permuted_digits(d, key, F.concat(F.lit("phone"), plan)))))
+
+
+def _modulo_97(x: Column) -> Column:
+    """Of digits and letters, which count from 10 on."""
+
+    def add(total: Column, char: Column) -> Column:
+        digit = char.rlike("^[0-9]$")
+        return F.pmod(F.when(digit, total * 10 + F.ascii(char) - 48).otherwise(total * 100 + F.ascii(char) - 55), F.lit(97))
+
+    return F.aggregate(F.split(x, ""), F.lit(0), add)
+
+
+def _iban(x: Column, key: str) -> Column:
+    bare = F.replace(x, F.lit(" "))
+    country, account = F.substring(bare, 1, 2), F.substring(bare, F.lit(5), F.length(bare))
+    d = _digits(account)
+    good = (_modulo_97(F.concat(account, country, F.substring(bare, 3, 2))) == 1) & F.length(d).between(2, 30)
+    moved = in_format(account, permuted_digits(d, key, F.concat(F.lit("iban"), country, F.regexp_replace(account, "[0-9]", "0"))))
+
+    def write(new: Column) -> Column:
+        check = F.lpad((F.lit(98) - _modulo_97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+        return F.concat(country, _spaced(F.substring(x, F.lit(3), F.length(x)), F.concat(check, new)))
+
+    return F.when(good, _named(moved, write))
+
+
+def _spaced(shape: Column, chars: Column) -> Column:
+    """chars with spaces where shape has them."""
+
+    def put(state: Column, char: Column) -> Column:
+        space = char == " "
+        return F.struct(F.concat(state["out"], F.when(space, char).otherwise(F.substring(chars, state["k"], F.lit(1)))).alias("out"), (state["k"] + (~space).cast("int")).alias("k"))
+
+    return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), put, lambda s: s["out"])
 
 
 def _ssn(x: Column, key: str) -> Column:
@@ -135,16 +175,20 @@ def _ip(x: Column, key: str) -> Column:
     return F.when(valid, _named(pair, write))
 
 
-def _date(x: Column, key: str) -> Column:
-    def moved(style: str) -> Column:
+def _date(x: Column, key: str, day_first: bool = True) -> Column:
+    def moved(long: str, short: str) -> Column:
+        return F.coalesce(styled(F.when(F.length(x) == 10, x), long), styled(F.when(F.length(x) < 10, x), short))
+
+    def styled(x: Column, style: str) -> Column:
         day = F.unix_date(F.try_to_timestamp(x, F.lit(style)).cast("date")) - F.lit(-18263)  # 1920-01-01
         n = ERA[0] * ERA[1]
         era = F.floor(day / n)
         pair = feistel(F.floor(F.pmod(day, F.lit(n)) / ERA[1]), F.pmod(day, F.lit(ERA[1])), (F.lit(ERA[0]), F.lit(ERA[1])), key, F.concat(F.lit("date"), era.cast("string")))
         return _named(pair, lambda p: F.date_format(F.date_from_unix_date((era * n + p["left"] * ERA[1] + p["right"] - 18263).cast("int")), style))
 
-    european = F.coalesce(moved("dd/MM/yyyy"), moved("MM/dd/yyyy"))
-    return F.when(x.contains("-"), moved("yyyy-MM-dd")).when(x.contains("/"), european).otherwise(moved("dd.MM.yyyy"))
+    styles = [moved("dd/MM/yyyy", "d/M/yyyy"), moved("MM/dd/yyyy", "M/d/yyyy")]
+    slashes = F.coalesce(*(styles if day_first else styles[::-1]))
+    return F.when(x.contains("-"), moved("yyyy-MM-dd", "yyyy-M-d")).when(x.contains("/"), slashes).otherwise(moved("dd.MM.yyyy", "d.M.yyyy"))
 
 
 def _hashed(x: Column, key: str) -> Column:
@@ -163,17 +207,17 @@ def _key(x: Column, key: str) -> Column:
 
 def _kind(x: Column) -> Column:
     whole = lambda p: x.rlike(rf"^(?:{p})$")
-    return F.when(x.contains("@"), "email").when(whole(KEY), "key").when(whole(IP), "ip").when(whole(DATE), "date").when(whole(SSN), "ssn").when(whole(PHONE), "phone").otherwise("card")
+    return F.when(x.contains("@"), "email").when(whole(KEY), "key").when(whole(IBAN), "iban").when(whole(IP), "ip").when(whole(DATE), "date").when(whole(SSN), "ssn").when(whole(PHONE), "phone").otherwise("card")
 
 
-def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", day_first: bool = True) -> DataFrame:
     """id_col, text with pseudonyms, n_<kind> for each kind, n_values and changed, for every row; key: the secret of the permutation."""
     text = F.col("text")
     escaped = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + "B")), F.lit(MARK), F.lit(ESCAPE + "A"))
     unescaped = lambda x: F.replace(F.replace(x, F.lit(ESCAPE + "A"), F.lit(MARK)), F.lit(ESCAPE + "B"), F.lit(ESCAPE))
     odd = text.contains(MARK) | text.contains(ESCAPE)
     marked = F.split(F.regexp_replace(F.when(odd, escaped).otherwise(text), FOUND, f"{MARK}$0{MARK}"), MARK)
-    makers = {"email": _email, "key": _key, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+    makers = {"email": _email, "key": _key, "iban": _iban, "ip": _ip, "date": lambda x, key: _date(x, key, day_first), "ssn": _ssn, "phone": _phone, "card": _card}
 
     def part(x: Column, i: Column) -> Column:
         def value(kind: Column) -> Column:

@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontamination, exact_dedup, html_text, jaccard_join, language_id, lm_scoring, packing, pseudonyms, suffix_dedup, token_counts
-from .common import table
+from .common import materialize, table
 
-#: Of the pseudonyms; a deployment sets its own.
-KEY = "lodestar-demo-key"
+#: The setting that holds the key of the pseudonyms; without it, as in tests, the key is one that protects nothing.
+KEY_SETTING, NO_KEY = "spark.lodestar.pseudonymKey", "not-a-secret"
+#: Of packed conversations: tokens, turns and learned tokens of a sequence.
+CONVERSATION_LIMITS = (8192, 32, 6144)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +25,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations under three limits at once."""
+    sizes = materialize(packing.conversation_sizes(table(spark, sf_dir, "conversations"), public_tokenizers.path("byte_bpe_50k.json")))
+    placed = packing.pack_examples(sizes, CONVERSATION_LIMITS, "conv_id", "tokens", "segments", "loss")
+    return placed.join(sizes, "conv_id").select("conv_id", "tokens", "segments", "loss", "sequence_id", "fits")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out())
     model = language_id.train(docs.where("not held_out"))
@@ -51,7 +60,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymize(table(spark, sf_dir, "documents"), KEY)
+    return pseudonyms.pseudonymize(table(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, NO_KEY))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_packing, op3_language_id, op4_html_extraction, op5_exact_dedup, op6_suffix_dedup, op7_lm_scoring, op8_jaccard_join, op9_pseudonyms, op10_token_counts)
+    f.__name__: f for f in (op1_decontamination, op2_packing, packed_conversations, op3_language_id, op4_html_extraction, op5_exact_dedup, op6_suffix_dedup, op7_lm_scoring, op8_jaccard_join, op9_pseudonyms, op10_token_counts)
 }
 
 _DEDUP = r"""

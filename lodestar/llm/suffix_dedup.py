@@ -185,7 +185,7 @@ def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", te
     base = _numbered(docs, id_col, text_col)
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(32, size // SHARD_BYTES)
-    mark = lambda ids, start, end: dealt((mix(ids.view(np.uint64)) % np.uint64(shards)).astype(np.int64), shards, id=ids, start=start.astype(np.int32), end=end.astype(np.int32))
+    mark = lambda ids, start, end: dealt((mix(ids.view(np.uint64)) % np.uint64(shards)).astype(np.int64), id=ids, start=start.astype(np.int32), end=end.astype(np.int32))
     names = ("id", "start", "end", "own", "around", "at", "spans")
 
     def shaped(b: pa.RecordBatch, marks: bool) -> pa.RecordBatch:
@@ -215,7 +215,7 @@ def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", te
         o, again = firsts(own, around, ids, at)
         if len(again):
             yield shaped(mark(*merged(ids[again], start[again], end[again])), True)
-        yield shaped(dealt((mix(own[o]) % np.uint64(shards)).astype(np.int64), shards, id=ids[o], start=start[o].astype(np.int32), end=end[o].astype(np.int32), own=own[o], around=around[o], at=at[o].astype(np.int32), spans=spans[o]), False)
+        yield shaped(dealt((mix(own[o]) % np.uint64(shards)).astype(np.int64), id=ids[o], start=start[o].astype(np.int32), end=end[o].astype(np.int32), own=own[o], around=around[o], at=at[o].astype(np.int32), spans=spans[o]), False)
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         """Marks of repeated contexts; with `own`, contexts to fetch."""
@@ -239,7 +239,7 @@ def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", te
         least_before, most_before = np.array(before_anchor(least - ANCHOR)).reshape(-1, 2).T
         start[fetch] = np.maximum(start[fetch], at[fetch] - most_before[SPLITS - 1 - np.argmax(shared[:, ::-1], 1)])
         end[fetch] = np.minimum(end[fetch], at[fetch] + least - least_before[np.argmax(shared, 1)])
-        wanted = dealt((mix(ids[fetch].view(np.uint64)) % np.uint64(shards)).astype(np.int64), shards, id=ids[fetch], start=start[fetch], end=end[fetch], own=own[fetch]).to_pandas()
+        wanted = dealt((mix(ids[fetch].view(np.uint64)) % np.uint64(shards)).astype(np.int64), id=ids[fetch], start=start[fetch], end=end[fetch], own=own[fetch]).to_pandas()
         return pd.concat([rows, wanted], ignore_index=True)
 
     shape = "shard long, id binary, start binary, end binary, own binary"

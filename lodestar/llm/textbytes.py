@@ -1,11 +1,13 @@
 """Words of many texts at once, as numpy arrays over the UTF-8 bytes of an Arrow string column.
 
-A word's identity is a 64-bit polynomial hash of its lower-cased bytes; operators that need
+A word's identity is a 64-bit hash of its lower-cased bytes: a polynomial of up to LONG bytes, a BLAKE2 digest of more, since long strings
+of a certain pattern, such as that of Thue and Morse, collide under any polynomial modulo a power of two. Operators that need
 certainty compare the bytes themselves afterwards.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -71,6 +73,18 @@ def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((h[end] - h[start]) * powers(len(h))[1][start])
 
 
+#: Bytes of a word that a polynomial tells apart well.
+LONG = 48
+
+
+def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The identity of each word data[start:end]."""
+    out = span_hash(prefix_hash(data), starts, ends)
+    for k in np.flatnonzero(ends - starts > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null is an empty text."""
     column = column.cast(pa.large_string()).fill_null("")
@@ -110,7 +124,7 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
 def word_hashes(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every lower-cased word, and the index of each text's first word."""
     starts, ends, first = words(data, offsets, kind)
-    return span_hash(prefix_hash(LOWER[data]), starts, ends), first
+    return hashes_of(LOWER[data], starts, ends), first
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:

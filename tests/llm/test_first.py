@@ -108,6 +108,69 @@ def test_pack_examples(spark):
     assert len(bins) < 1.1 * max(sum(s[k] for s in size.values()) / (2048, 8, 1024)[k] for k in range(3))
 
 
+def dot_product_packing(rows, limits):
+    """The heuristic over all rows at once: fill a sequence by what fits with the largest dot product of relative sizes and room."""
+    waiting, sequences = dict(enumerate(rows)), []
+    while waiting:
+        left, mine = np.array(limits), []
+        while True:
+            room = [z / y for y, z in zip(limits, left.tolist())]
+            able = [(s[0] / limits[0] * room[0] + s[1] / limits[1] * room[1] + s[2] / limits[2] * room[2], -k) for k, s in waiting.items() if (np.array(s) <= left).all()]
+            if not able:
+                break
+            k = -max(able)[1]
+            left = left - waiting.pop(k)
+            mine.append(k)
+        sequences.append(sorted(rows[k] for k in mine))
+    return sorted(sequences)
+
+
+def test_pack_examples_against_brute_force(spark, empty):
+    """The same sequences, and each of the three limits is what closes some sequence."""
+    rng = np.random.default_rng(4)
+    rows = [tuple(int(x) for x in (rng.integers(50, 300), rng.integers(1, 4), rng.integers(0, 50))) for _ in range(60)]
+    rows += [tuple(int(x) for x in (rng.integers(10, 40), rng.integers(5, 12), rng.integers(0, 10))) for _ in range(60)]
+    rows += [tuple(int(x) for x in (rng.integers(250, 300), 1, rng.integers(200, 250))) for _ in range(60)]
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id long, t long, s long, l long").coalesce(1)
+    for bound, limits in ((None, (1400, 24, 700)), (0, (900, 100, 5000)), (1, (20000, 15, 5000)), (2, (20000, 100, 400))):
+        got = {}
+        for r in packing.pack_examples(docs, limits, "id", "t", "s", "l").collect():
+            got.setdefault(r["sequence_id"], []).append(r["id"])
+        assert sorted(sorted(rows[k] for k in mine) for mine in got.values()) == dot_product_packing(rows, limits)
+        full = [np.sum([rows[k] for k in mine], axis=0) / limits for mine in got.values()]
+        assert bound is None or any(f.argmax() == bound and f[bound] > 0.9 for f in full)
+    assert packing.pack_examples(docs.limit(0), limits, "id", "t", "s", "l").count() == 0
+
+
+def test_packed_conversations(spark, sf_dir):
+    path, out = public_tokenizers.path("byte_bpe_50k.json"), QUERIES["packed_conversations"](spark, sf_dir).collect()
+    tokenizer, sizes = Tokenizer.from_file(path), {}
+    for r in table(spark, sf_dir, "conversations").collect():
+        n = len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+        sizes.setdefault(r["conv_id"], []).append((n, 1, n if r["role"] == "assistant" else 0))
+    assert {r["conv_id"]: (r["tokens"], r["segments"], r["loss"]) for r in out} == {k: tuple(np.sum(v, axis=0)) for k, v in sizes.items()} and len(out) == len(sizes)
+    bins = {}
+    for r in out:
+        if r["fits"]:
+            bins.setdefault(r["sequence_id"], []).append((r["tokens"], r["segments"], r["loss"]))
+    assert all((np.sum(b, axis=0) <= (8192, 32, 6144)).all() for b in bins.values()) and len(bins) < len(sizes) / 3
+    odd = spark.createDataFrame([(1, "assistant", None), (1, None, "a b"), (None, "user", ""), (None, "user", "")], "conv_id long, role string, text string")
+    got = {r["conv_id"]: (r["segments"], r["loss"]) for r in packing.conversation_sizes(odd, path).collect()}
+    assert got == {1: (2, 1), None: (2, 0)}
+    assert packing.conversation_sizes(odd.limit(0), path).count() == 0
+
+
+def test_packing_refuses_other_merges(tmp_path):
+    """An encoder that merges by ids is no good where ids do not rank as merges."""
+    import json
+
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    spec["model"]["merges"][100], spec["model"]["merges"][101] = spec["model"]["merges"][101], spec["model"]["merges"][100]
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        packing.byte_bpe(str(tmp_path / "t.json"))
+
+
 def test_language(spark, odd, empty):
     out = QUERIES["op3_language_id"](spark, "/root/testdata/sf0.01")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 40")
@@ -132,8 +195,7 @@ def test_language_of_short_words(spark):
         lang, score = model.predict(text)
         assert lang in ("en", "xx") and 0 < score <= 1
     assert model.predict("wonderfully mountainous")[0] == "en"
-    only = language_id.train(docs, languages=1)
-    assert len(only.languages) == 1 and only.predict("ab")[1] == 1.0
+    assert language_id.train(docs.where("lang = 'xx'")).predict("ab") == ("xx", 1.0)
 
 
 def test_language_memory_of_unseen_words(spark, monkeypatch):
@@ -149,17 +211,64 @@ def test_language_memory_of_unseen_words(spark, monkeypatch):
 
 
 def test_language_of_many_labels(spark, monkeypatch):
-    """Every label of the sample is in the model, however many there are; the model shrinks by words and n-grams of each."""
+    """Every label, word and n-gram of the sample is in the model, however many there are, and however little of it is remembered."""
     letters = "abcdefghijklmnopqrstuvwxyz"
-    rows = [(k, " ".join(letters[k % 26] + letters[(k // 26 + j) % 26] + letters[(k * 7 + j) % 26] for j in range(6)) + " " + f"{letters[k % 26]}{letters[k // 26]}q" * 2, f"l{k:02d}") for k in range(80)]
+    rows = [(k, letters[k % 26] + letters[k // 26] + letters[k * 7 % 26] + "q", f"l{k:03d}") for k in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language_id.train(docs)
-    assert len(model.languages) == 80 and all(model.predict(t)[0] == lang for _, t, lang in rows)
-    monkeypatch.setattr(language_id, "MODEL_BYTES", 80 * 80 * 8 * 6 * 5)
-    monkeypatch.setattr(language_id, "MEMORY_BYTES", 80 * 8 * 3)
-    less = language_id.train(docs)
-    assert len(less.languages) == 80 and less.logs.nbytes <= language_id.MODEL_BYTES and less.logs.nbytes < model.logs.nbytes
-    assert sum(less.predict(t)[0] == lang for _, t, lang in rows) > 70
+    assert len(model.languages) == 100 and all(model.predict(t)[0] == lang for _, t, lang in rows)
+    monkeypatch.setattr(language_id, "MEMORY_BYTES", 100 * 8 * 3)
+    assert all(model.predict(f"{t} {t} zz {t}")[0] == lang for _, t, lang in rows)
+
+
+def brute_language(rows):
+    """A scorer that keeps plain dictionaries of counts: rows of (text, lang) to a function of a text."""
+    counts = {}
+    for text, lang in rows:
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            counts.setdefault((0, lang), Counter())[w] += 1
+            for n in range(1, 6):
+                padded = " " + w + " "
+                counts.setdefault((n, lang), Counter()).update(padded[i : i + n] for i in range(len(padded) - n + 1))
+    names = sorted({lang for _, lang in counts})
+
+    def log(n, lang, x):
+        own = counts.get((n, lang)) or Counter()
+        total = sum(own.values()) or max(sum(c.values()) for (m, _), c in counts.items() if m == n)
+        return np.log((own[x] or 0.5) / total)
+
+    def word(w, lang):
+        if any(w in counts[0, x] for x in names):
+            return log(0, lang, w)
+        for n in range(5, 0, -1):
+            padded = " " + w + " "
+            known = [g for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if any(g in counts.get((n, x), ()) for x in names)]
+            if known:
+                return np.mean([log(n, lang, g) for g in known])
+        return 0.0
+
+    def predict(text):
+        found = re.findall(r"[^\W\d_]+", (text or "").lower())
+        if not found:
+            return "und", 0.0
+        memo = {}
+        total = np.array([sum(memo[w, x] if (w, x) in memo else memo.setdefault((w, x), word(w, x)) for w in found) for x in names])
+        p = np.exp(total - total.max())
+        return names[int(np.argmax(p))], float(p.max() / p.sum())
+
+    return predict
+
+
+def test_language_against_brute_force(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]
+    train = [(t, x) for i, t, x in rows if t is not None and x is not None and zlib.crc32(str(i).encode()) % 4 != 2][:40]
+    small = spark.createDataFrame([(k, t, x) for k, (t, x) in enumerate(train)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs, language_id.train(small)).collect()}
+    predict = brute_language(train)
+    for i, text, _ in sorted(rows, key=lambda r: len(r[1] or ""))[:120]:
+        lang, score = predict(text)
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-6
 
 
 def test_exact_dedup(spark, odd, empty):

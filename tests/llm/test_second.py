@@ -220,6 +220,69 @@ def test_pseudonyms_hint():
         assert re.fullmatch(pseudonyms.FOUND, text) and re.search(pseudonyms.HINT, text)
 
 
+def feistel(left, right, sizes, key, tweak):
+    """A second implementation, on Python's integers."""
+    for r in range(pseudonyms.ROUNDS):
+        seen = right if r % 2 == 0 else left
+        add = int(hashlib.sha256(f"{key}|{tweak}|{r}|{seen}".encode()).hexdigest()[:13], 16)
+        if r % 2 == 0:
+            left = (left + add) % sizes[0]
+        else:
+            right = (right + add) % sizes[1]
+    return left, right
+
+
+def permuted(digits, key, tweak):
+    a = len(digits) // 2
+    left, right = feistel(int(digits[:a]), int(digits[a:]), (10**a, 10 ** (len(digits) - a)), key, tweak)
+    return f"{left:0{a}d}{right:0{len(digits) - a}d}"
+
+
+def test_pseudonyms_against_a_second_implementation(spark):
+    """Both spellings of a number, and whatever stands before it, give one pseudonym, as Python's integers have it."""
+    texts = [
+        "+1-017-555-7713 or +10175557713", "tel.555-123-4567 (555) 123-4567", "id_4845168114407329", "ssn-123-45-6789", "DE89 3704 0044 0532 0130 00 and DE89370400440532013000",
+        "GB82WEST12345698765432 not GB83WEST12345698765432", "on 1984-2-9 and 1984-02-09, 9.2.1984", "03/04/1984", "+49 30 1234567",
+    ]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pseudonymize(docs)}
+    assert len(pseudonymize(docs)) == len(texts) + 1
+    d = permuted("0175557713", "k", "phone+1")
+    assert got[0] == f"+1-{d[:3]}-{d[3:6]}-{d[6:]} or +1{d}"
+    d = permuted("5551234567", "k", "phone+1")
+    assert got[1] == f"tel.{d[:3]}-{d[3:6]}-{d[6:]} ({d[:3]}) {d[3:6]}-{d[6:]}"
+    d = permuted("484516811440732", "k", "card")
+    assert got[2].startswith(f"id_{d}") and luhn(got[2][3:])
+    left, right = feistel((123 - 1) * 99 + 45 - 1, 6789 - 1, (898 * 99, 9999), "k", "ssn")
+    area = left // 99 + 1
+    assert got[3] == f"ssn-{area + (area >= 666):03d}-{left % 99 + 1:02d}-{right + 1:04d}"
+    d = permuted("370400440532013000", "k", "iban" + "DE" + "0" * 18)
+    check = 98 - int(d + "131400") % 97
+    spaced = f"DE{check:02d}{d}"
+    assert got[4] == " ".join(spaced[i : i + 4] for i in range(0, 22, 4)) + f" and {spaced}"
+    d = permuted("12345698765432", "k", "iban" + "GB" + "WEST" + "0" * 14)
+    number = "".join(str(int(c, 36)) for c in f"WEST{d}GB00")
+    assert got[5] == f"GB{98 - int(number) % 97:02d}WEST{d} not GB83WEST12345698765432"
+
+    def day(date):
+        n = (date - datetime.date(1920, 1, 1)).days
+        left, right = feistel(n // 487, n % 487, (75, 487), "k", "date0")
+        return datetime.date(1920, 1, 1) + datetime.timedelta(days=left * 487 + right)
+
+    moved = day(datetime.date(1984, 2, 9))
+    assert got[6] == f"on {moved.year}-{moved.month}-{moved.day} and {moved}, {moved.day}.{moved.month}.{moved.year}"
+    assert got[7] == f"{day(datetime.date(1984, 4, 3)):%d/%m/%Y}"
+    american = pseudonyms.pseudonymize(docs, "k", day_first=False).where("doc_id = 7").first()["text"]
+    assert american == f"{day(datetime.date(1984, 3, 4)):%m/%d/%Y}"
+    assert got[8].startswith("+49 ") and re.fullmatch(r"\+49 \d\d \d{7}", got[8])
+
+
+def test_pseudonyms_of_a_long_text(spark):
+    text = "to and fro, 4845168114407329 and 17 " * 3000
+    got = pseudonymize(spark.createDataFrame([(1, text)], "doc_id long, text string"))[0]
+    assert got["n_card"] == got["n_values"] == 3000 and len(got["text"]) == len(text) and len(set(re.findall(r"\d{16}", got["text"]))) == 1
+
+
 def test_pseudonyms_permute(spark):
     """Every value of a small format is reached once."""
     from pyspark.sql import functions as F
