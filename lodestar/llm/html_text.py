@@ -1,16 +1,21 @@
-"""Main text of web pages: structure first, then a suffix array over the pages of a host.
+"""Main text of web pages: a suffix array over the pages of each host, and structure as the vote on what it may take.
 
 A page becomes blocks of text, each in a zone: inside an article or main element, inside furniture
-(menus, headers, footers, asides, forms, adverts, notices, comments), or neither. Blocks of an article are the
-text, whatever the host repeats: repeats within articles are mostly text of their own. A page without any has its blocks of neither kind, less what the host repeats: every run of
-`least_tokens` tokens on at least `least_pages` distinct pages of the host, each page being one stream of all its blocks.
-A neutral block that runs cover entirely goes, runs that cross blocks included; of another, only
-what runs within it cover, so that a text keeps its first words where a repeated block precedes it.
+(menus, headers, footers, asides, forms, adverts, notices, comments), or neither; and it is one stream of the tokens of all its blocks. The streams of
+a host are concatenated, and for every run of `least_tokens` tokens the suffix array tells on how many distinct pages of the host it is.
 
-The runs of a host of at most `group_pages` pages are found by a suffix array over its concatenated streams. A larger host is
-in no one task: hashes of its runs are dealt into shards, with at most `least_pages` pages of each from a
-batch, and what is on that many pages is joined to the pages. Both find the same runs, up to collisions of
-64-bit hashes. Hosts whose pages all have an article need neither.
+The text of a page is its article's blocks, or those of neither kind if it has no article, less what the host repeats:
+
+- of neither kind: runs on at least `least_pages` pages
+- in an article: runs on at least `template_pages` pages and on the share `template_share` of all pages of the host. Less is not enough there, since
+  articles quote and copy each other
+
+A block that such runs cover entirely goes, runs that cross blocks included; of another, only what runs within it cover, so
+that a text keeps its first words where a repeated block precedes it.
+
+The pages of a host of at most `group_bytes` meet in one task, as 32-bit hashes of their tokens. A larger host is
+in no one task: hashes of its runs are counted in shards, summed within a batch first. Both find the same runs, up to collisions of
+32-bit hashes of tokens and 64-bit hashes of runs.
 
 Null or empty html gives an empty text. Pages without host are as of one host. Repeated rows give
 repeated results, and the repeats count as one page (same id); extra columns are ignored; an empty table gives an empty result.
@@ -19,6 +24,7 @@ repeated results, and the repeats count as one page (same id); extra columns are
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -27,8 +33,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batch, dealt, materialize, packed, small
-from .textbytes import mix, prefix_hash, span_hash
+from .common import BROADCAST_BYTES, batch, dealt, materialize, packed, small
+from .textbytes import hashes_of, mix
 
 #: SOFT: furniture by the class of an element around, in which an article may yet begin.
 ARTICLE, NEUTRAL, FURNITURE, SOFT = 2, 1, 0, -1
@@ -36,7 +42,7 @@ ARTICLE, NEUTRAL, FURNITURE, SOFT = 2, 1, 0, -1
 SHARD_RUNS = 1 << 20
 
 #: Elements of HTML by their role.
-RAW = frozenset("script style noscript template svg iframe object canvas title textarea select math audio video".split())
+RAW = frozenset("script style noscript template svg iframe title textarea select".split())
 FURNITURE_TAGS = frozenset("head nav footer aside form button dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -125,16 +131,15 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def repeated_starts(streams: list[list[str]], pages: np.ndarray, least_tokens: int, least_pages: int) -> list[np.ndarray]:
-    """For each stream, at which tokens a run of least_tokens tokens begins that is on least_pages distinct pages.
+def pages_of_runs(streams: list, pages: np.ndarray, least_tokens: int) -> list[np.ndarray]:
+    """For each stream and token, on how many distinct pages the run of least_tokens tokens that begins there is; 0 if none begins.
 
     The suffix array orders all positions by their first least_tokens tokens, by doubling."""
-    lengths = np.array([len(s) for s in streams])
-    flat = [t for s in streams for t in s]
-    if not flat:
-        return [np.zeros(0, bool) for _ in streams]
-    rank = pd.factorize(np.array(flat, object))[0].astype(np.int64)
-    n = len(rank)
+    lengths = np.array([len(s) for s in streams], np.int64)
+    n = int(lengths.sum())
+    if not n:
+        return [np.zeros(0, np.int64) for _ in streams]
+    rank = np.unique(np.concatenate([np.asarray(s) for s in streams if len(s)]), return_inverse=True)[1].astype(np.int64)
     which = np.repeat(np.arange(len(streams)), lengths)
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(n)
     done = 1
@@ -146,13 +151,13 @@ def repeated_starts(streams: list[list[str]], pages: np.ndarray, least_tokens: i
         done += step
     suffixes = np.argsort(rank, kind="stable")
     suffixes = suffixes[left[suffixes] >= least_tokens]
-    starts = np.zeros(n, bool)
+    found = np.zeros(n, np.int64)
     if len(suffixes):
         interval, page = rank[suffixes], pages[which[suffixes]]
         pair = np.unique(interval * (int(pages.max()) + 1) + page)
         of, count = np.unique(pair // (int(pages.max()) + 1), return_counts=True)
-        starts[suffixes[np.isin(interval, of[count >= least_pages])]] = True
-    return np.split(starts, np.cumsum(lengths)[:-1])
+        found[suffixes] = count[np.searchsorted(of, interval)]
+    return np.split(found, np.cumsum(lengths)[:-1])
 
 
 def covered(starts: np.ndarray, least_tokens: int) -> np.ndarray:
@@ -163,153 +168,158 @@ def covered(starts: np.ndarray, least_tokens: int) -> np.ndarray:
     return np.cumsum(edges)[: len(starts)] > 0
 
 
-def repeated_runs(streams: list[list[str]], pages: np.ndarray, least_tokens: int, least_pages: int) -> list[np.ndarray]:
+def repeated_runs(streams: list, pages: np.ndarray, least_tokens: int, least_pages: int) -> list[np.ndarray]:
     """For each stream, which tokens lie in a run of least_tokens tokens that is on least_pages distinct pages."""
-    return [covered(s, least_tokens) for s in repeated_starts(streams, pages, least_tokens, least_pages)]
+    return [covered(n >= least_pages, least_tokens) for n in pages_of_runs(streams, pages, least_tokens)]
 
 
-def run_hashes(texts: list[str], host: int, least_tokens: int) -> np.ndarray:
-    """Of the stream of these blocks, the hash of host and the run of least_tokens tokens from each token on."""
+def token_hashes(texts: list[str]) -> np.ndarray:
+    """Of the stream of these blocks, a hash of each token."""
     data = np.frombuffer(" ".join(texts).encode(), np.uint8)
-    spaces = np.flatnonzero(data == 32)
-    if len(spaces) < least_tokens - 1 or not len(data):
+    if not len(data):
         return np.zeros(0, np.uint64)
-    starts, ends = np.concatenate([[0], spaces + 1]), np.concatenate([spaces, [len(data)]])
-    n = len(starts) - least_tokens + 1
-    return mix(span_hash(prefix_hash(data), starts[:n], ends[least_tokens - 1 :]) + np.array([host], np.int64).view(np.uint64))
-
-
-def some_pages(runs: np.ndarray, pages: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs, in order, with at most so many pages of each run."""
-    order = np.lexsort((pages, runs))
-    runs, pages = runs[order], pages[order]
-    new = np.ones(len(runs), bool)
-    new[1:] = (runs[1:] != runs[:-1]) | (pages[1:] != pages[:-1])
-    runs, pages = runs[new], pages[new]
-    first = np.searchsorted(runs, runs)
-    keep = np.arange(len(runs)) - first < most
-    return runs[keep], pages[keep]
+    spaces = np.flatnonzero(data == 32)
+    return hashes_of(data, np.concatenate([[0], spaces + 1]), np.concatenate([spaces, [len(data)]]))
 
 
-def asks(zones: list[int]) -> bool:
-    """Whether the text of a page with these blocks depends on what its host repeats."""
-    return ARTICLE not in zones and NEUTRAL in zones
+def run_hashes(tokens: np.ndarray, host: int, least_tokens: int) -> np.ndarray:
+    """The hash of host and the run of least_tokens tokens from each token on."""
+    n = len(tokens) - least_tokens + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.full(n, np.array([host], np.int64).view(np.uint64)[0])
+    for k in range(least_tokens):
+        out = mix(out * np.uint64(3) + tokens[k : k + n])
+    return out
 
 
-def neutral_text(zones: list[int], texts: list[str], starts: np.ndarray, least_tokens: int) -> str:
-    """The text of a page that asks; starts: for each token of its stream, whether a repeated run begins there."""
+def text_of(zones: list[int], texts: list[str], repeats: np.ndarray | None, least_tokens: int, least: dict[int, int]) -> str:
+    """The text of a page. repeats: for each token of its stream, on how many pages the run that begins there is; least: on how many it is the host's, by zone."""
+    zone = ARTICLE if ARTICLE in zones else NEUTRAL
+    if repeats is None:
+        return "\n".join(t for z, t in zip(zones, texts) if z == zone)
+    starts = repeats >= least[zone]
     at, out, every = 0, [], covered(starts, least_tokens)
-    for zone, text in zip(zones, texts):
+    for z, text in zip(zones, texts):
         tokens = text.split(" ")
         end = at + len(tokens)
-        if zone == NEUTRAL and not every[at:end].all():
+        if z == zone and not every[at:end].all():
             own = starts[at:end].copy()
             own[max(0, len(own) - least_tokens + 1) :] = False
-            out.append(" ".join(t for t, c in zip(tokens, covered(own, least_tokens)) if not c))
+            out.append(" ".join(t for t, c in zip(tokens, covered(own, least_tokens)) if not c) if own.any() else text)
         at = end
     return "\n".join(out)
 
 
-def main_text(pages: DataFrame, least_tokens: int = 8, least_pages: int = 3, group_pages: int = 512, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id_col, url_col, text, n_chars for every row."""
+def main_text(
+    pages: DataFrame, least_tokens: int = 8, least_pages: int = 3, template_pages: int = 8, template_share: float = 0.5, group_bytes: int = 8 << 20, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
+) -> DataFrame:
+    """id_col, url_col, text, n_chars for every row. group_bytes changes how the work is done, never its result."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/?#:]*)", 1)), F.lit(""))
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host)
+    base = base.withColumns({"page": F.xxhash64("host", "id"), "row": F.xxhash64("id", "url", "html")})
     kind = base.schema["id"].dataType.simpleString()
+    sizes = materialize(base.groupBy("host").agg(F.count_distinct("page").alias("n"), F.sum(F.octet_length("html")).alias("bytes")))
 
-    def parsed(column: pa.Array) -> Iterator[tuple[list[int], list[str]]]:
+    def streams(column: pa.Array) -> Iterator[np.ndarray]:
         for x in column:
-            found = blocks(x.as_py() or "")
-            yield [z for z, _ in found], [t for _, t in found]
+            yield token_hashes([t for _, t in blocks(x.as_py() or "")])
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(asks(zones), sum(t.count(" ") + 1 for t in texts)) for zones, texts in parsed(b.column(1))]
-            yield batch(host=b.column(0), asks=pa.array([int(x) for x, _ in rows], pa.int64()), tokens=pa.array([x for _, x in rows], pa.int64()))
-
-    def by_structure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = list(parsed(b.column(2)))
-            mine = pa.array([not asks(zones) for zones, _ in rows], pa.bool_())
-            text = pa.array(["\n".join(t for t, z in zip(texts, zones) if z == ARTICLE) for zones, texts in rows], pa.string())
-            yield batch(id=b.column(0), url=b.column(1), text=text).filter(mine)
-
-    measured = base.select("host", "html").mapInArrow(measure, "host string, asks long, tokens long")
-    sizes = materialize(measured.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("asks").alias("asks"), F.sum("tokens").alias("tokens")).where("asks > 0"))
-    done = base.select("id", "url", "html").mapInArrow(by_structure, f"id {kind}, url string, text string")
-    of_hosts = lambda hosts: base.join(small(hosts.select("host"), 128), "host", "left_semi")
+            tokens = [t.astype(np.uint32).tobytes() for t in streams(b.column(3))]
+            yield batch(host=b.column(0), n=b.column(1), row=b.column(2), tokens=pa.array(tokens, pa.binary()), page=b.column(4))
 
     def in_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        number = pd.factorize(pdf["id"], use_na_sentinel=False)[0]
-        starts = repeated_starts([" ".join(ts).split(" ") if len(ts) else [] for ts in pdf["texts"]], number, least_tokens, least_pages)
-        mine = [k for k, zones in enumerate(pdf["zones"]) if asks(list(zones))]
-        text = [neutral_text(pdf["zones"].iat[k], pdf["texts"].iat[k], starts[k], least_tokens) for k in mine]
-        return pd.DataFrame({"id": pdf["id"].iloc[mine], "url": pdf["url"].iloc[mine], "text": text})
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = list(parsed(b.column(2)))
-            yield batch(id=b.column(0), url=b.column(1), zones=pa.array([z for z, _ in rows], pa.list_(pa.int8())), texts=pa.array([t for _, t in rows], pa.list_(pa.string())), key=b.column(3))
-
-    few = sizes.where(F.col("n") <= group_pages)
-    if not few.isEmpty():
-        streams = of_hosts(few).select("id", "url", "html", "host").mapInArrow(parse, f"id {kind}, url string, zones array<tinyint>, texts array<string>, host string")
-        done = done.union(streams.groupBy("host").applyInPandas(in_group, f"id {kind}, url string, text string"))
-
-    many = sizes.where(F.col("n") > group_pages)
-    tokens = many.agg(F.sum("tokens")).first()[0]
-    if tokens:
-        shards = max(16, -(-tokens // SHARD_RUNS))
+        pdf = pdf.drop_duplicates("row")
+        number = np.unique(pdf["page"].to_numpy(), return_inverse=True)[1]
+        found = pages_of_runs([np.frombuffer(t, np.uint32) for t in pdf["tokens"]], number, least_tokens)
+        at = [np.flatnonzero(n >= least_pages) for n in found]
+        rows = pd.DataFrame({"row": pdf["row"], "hashed": False, "host_pages": pdf["n"], "at": at, "n": [n[a] for n, a in zip(found, at)]})
+        return rows[[len(a) > 0 for a in at]]
+
+    shape = "row long, hashed boolean, host_pages long, at array<long>, n array<long>"
+    of_hosts = lambda hosts: base.join(small(hosts.select("host", "n"), 128), "host")
+    large = F.coalesce(F.col("bytes") > group_bytes, F.lit(False))
+    marks = of_hosts(sizes.where(~large)).select("host", "n", "row", "html", "page").mapInArrow(read, "host string, n long, row long, tokens binary, page long").groupBy("host").applyInPandas(in_group, shape)
+    many = sizes.where(large)
+    total = many.agg(F.sum("bytes")).first()[0]
+    if total:
+        # a token has about six bytes
+        shards = max(16, -(-total // (6 * SHARD_RUNS)))
+        again = materialize(base.groupBy("page").count().where("count > 1").select("page", F.lit(True).alias("repeats")))
+        rows = of_hosts(many).join(small(again, 16), "page", "left").withColumn("at", F.xxhash64("host"))
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            runs, of, held = [], [], 0
+            """Runs with on how many of the batch's pages they are; those of pages with several rows with the page instead."""
+            once, several, held = [np.zeros(0, np.uint64)], [], 0
 
             def flush() -> pa.RecordBatch:
-                r, p = some_pages(np.concatenate(runs), np.concatenate(of), least_pages)
-                return dealt((mix(r) % np.uint64(shards)).astype(np.int64), runs=r, pages=p)
+                runs, n = np.unique(np.concatenate(once), return_counts=True)
+                names = np.concatenate([np.zeros(len(runs), np.int64), *(np.full(len(r), p) for r, p in several)])
+                runs, n = np.concatenate([runs, *(r for r, _ in several)]), np.concatenate([n, np.ones(len(names) - len(n), np.int64)])
+                return dealt((mix(runs) % np.uint64(shards)).astype(np.int64), runs=runs, n=n.astype(np.uint32), pages=names)
 
             for b in batches:
-                for (_, texts), at, page in zip(parsed(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    runs.append(np.unique(run_hashes(texts, at, least_tokens)))
-                    of.append(np.full(len(runs[-1]), page, np.int64))
-                    held += len(runs[-1])
+                for tokens, at, page, repeats in zip(streams(b.column(0)), *(c.to_pylist() for c in b.columns[1:])):
+                    runs = np.unique(run_hashes(tokens, at, least_tokens))
+                    if repeats:
+                        several.append((runs, page))
+                    else:
+                        once.append(runs)
+                    held += len(runs)
                     if held >= SHARD_RUNS:
                         yield flush()
-                        runs, of, held = [], [], 0
+                        once, several, held = [np.zeros(0, np.uint64)], [], 0
             if held:
                 yield flush()
 
         def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-            runs, _ = some_pages(packed(pdf["runs"], np.uint64), packed(pdf["pages"], np.int64), least_pages)
-            runs, n = np.unique(runs, return_counts=True)
-            return pd.DataFrame({"run": runs[n >= least_pages].view(np.int64)})
+            runs, n, names = packed(pdf["runs"], np.uint64), packed(pdf["n"], np.uint32).astype(np.int64), packed(pdf["pages"], np.int64)
+            twice = np.flatnonzero(names)
+            twice = twice[np.lexsort((names[twice], runs[twice]))]
+            same = np.flatnonzero((runs[twice[1:]] == runs[twice[:-1]]) & (names[twice[1:]] == names[twice[:-1]])) + 1
+            n[twice[same]] = 0
+            runs, where = np.unique(runs, return_inverse=True)
+            n = np.bincount(where, n, len(runs)).astype(np.int64)
+            return pd.DataFrame({"run": runs[n >= least_pages].view(np.int64), "n": n[n >= least_pages]})
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                runs, of = [np.zeros(0, np.uint64)], b.column(2).to_numpy()
-                for (zones, texts), at in zip(parsed(b.column(0)), b.column(1).to_pylist()):
-                    runs.append(np.unique(run_hashes(texts, at, least_tokens)) if asks(zones) else runs[0])
-                yield batch(row=pa.array(np.repeat(of, [len(r) for r in runs[1:]])), run=pa.array(np.concatenate(runs).view(np.int64)))
-
-        def by_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                text = []
-                for zones, texts, at, found in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5))):
-                    starts = np.zeros(sum(t.count(" ") + 1 for t in texts), bool)
-                    runs = run_hashes(texts, at, least_tokens).view(np.int64)
-                    starts[: len(runs)] = np.isin(runs, np.array(found or [], np.int64))
-                    text.append(neutral_text(zones, texts, starts, least_tokens))
-                yield batch(id=b.column(0), url=b.column(1), text=pa.array(text, pa.string()))
-
-        def parse_asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in parse(batches):
-                yield b.filter(pa.array([asks(z) for z in b.column(2).to_pylist()], pa.bool_()))
-
-        large = of_hosts(many).withColumn("at", F.xxhash64("host")).withColumn("page", F.xxhash64("id")).withColumn("row", F.xxhash64("id", "url", "html"))
-        shared = large.select("html", "at", "page").mapInArrow(deal, "shard long, runs binary, pages binary")
-        repeated = materialize(shared.groupBy("shard").applyInPandas(settle, "run long"))
-        asked = large.select("html", "at", "row").mapInArrow(ask, "row long, run long").join(small(repeated, 16), "run", "left_semi")
-        found = asked.groupBy("row").agg(F.collect_set("run").alias("found"))
-        left = large.select("id", "url", "html", F.struct("row", "at").alias("key")).mapInArrow(parse_asking, f"id {kind}, url string, zones array<tinyint>, texts array<string>, key struct<row:long,at:long>")
-        left = left.select("id", "url", "zones", "texts", F.col("key.at").alias("at"), F.col("key.row").alias("row")).join(found, "row", "left")
-        done = done.union(left.select("id", "url", "zones", "texts", "at", "found").mapInArrow(by_runs, f"id {kind}, url string, text string"))
+                runs = [np.unique(run_hashes(tokens, at, least_tokens)) for tokens, at in zip(streams(b.column(0)), b.column(1).to_pylist())]
+                each = [len(r) for r in runs]
+                yield batch(row=pa.array(np.repeat(b.column(2).to_numpy(), each)), host_pages=pa.array(np.repeat(b.column(3).to_numpy(), each)), run=pa.array(np.concatenate([np.zeros(0, np.uint64), *runs]).view(np.int64)))
+
+        counted = rows.select("html", "at", "page", F.coalesce("repeats", F.lit(False)).alias("repeats")).mapInArrow(deal, "shard long, runs binary, n binary, pages binary")
+        repeated = materialize(counted.groupBy("shard").applyInPandas(settle, "run long, n long"))
+        asked = rows.select("html", "at", "row", "n").dropDuplicates(["row"]) if not again.isEmpty() else rows.select("html", "at", "row", "n")
+        found = asked.mapInArrow(ask, "row long, host_pages long, run long").join(small(repeated, 24), "run")
+        gathered = found.groupBy("row", "host_pages").agg(F.collect_list(F.struct("run", "n")).alias("runs"))
+        marks = marks.unionByName(gathered.select("row", F.lit(True).alias("hashed"), "host_pages", F.col("runs.run").alias("at"), F.col("runs.n").alias("n")))
+    marks = materialize(marks)
+    size = marks.agg(F.sum(F.size("at") * 16 + 64)).first()[0] or 0
+    marks = F.broadcast(marks) if size <= BROADCAST_BYTES else marks
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for html_, host_, hashed, host_pages, at, n in zip(*(c.to_pylist() for c in b.columns[2:])):
+                found = blocks(html_ or "")
+                zones, texts, repeats = [z for z, _ in found], [t for _, t in found], None
+                if at is not None:
+                    tokens = token_hashes(texts)
+                    repeats, at, n = np.zeros(len(tokens), np.int64), np.array(at, np.int64), np.array(n, np.int64)
+                    if hashed:
+                        order = np.argsort(at)
+                        runs = run_hashes(tokens, host_, least_tokens).view(np.int64)
+                        place = np.minimum(np.searchsorted(at[order], runs), len(at) - 1)
+                        repeats[: len(runs)] = np.where(at[order][place] == runs, n[order][place], 0)
+                    else:
+                        repeats[at] = n
+                least = {NEUTRAL: least_pages, ARTICLE: max(template_pages, math.ceil(template_share * (host_pages or 0)))}
+                out.append(text_of(zones, texts, repeats, least_tokens, least))
+            yield batch(id=b.column(0), url=b.column(1), text=pa.array(out, pa.string()))
+
+    whole = base.withColumn("host_", F.xxhash64("host")).join(marks, "row", "left").select("id", "url", "html", "host_", "hashed", "host_pages", "at", "n")
+    done = whole.mapInArrow(write, f"id {kind}, url string, text string")
     return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

@@ -333,12 +333,13 @@ def test_html_class_names():
     for name in ("ad", "site-footer", "main-nav", "cookie_notice", "x sidebar-left", "related-posts", "comments"):
         assert zone(f'<div class="{name}">No</div>') == [html_text.FURNITURE], name
         assert text(f'<article>One<div class="{name}"><p>No</p></div></article>') == ["One"], name
+    assert text("<article>a <math><mi>x</mi></math> <object>b</object><textarea>no</textarea></article>") == ["a x b"]
     for page in ('<div class="comments"><article>No</article></div>', '<aside><article>No</article></aside>', '<div class="menu"><nav><article>No</article></nav></div>', '<div class="menu" hidden><main>No</main></div>', '<main><div class="menu"><article>No</article></div></main>'):
         assert zone(page) == [html_text.FURNITURE], page
 
 
-@pytest.mark.parametrize("group_pages", [512, 16])
-def test_html_repeats_of_a_host(spark, group_pages):
+@pytest.mark.parametrize("group_bytes", [1 << 23, 1000])
+def test_html_repeats_of_a_host(spark, group_bytes):
     """A passage on three pages goes whatever the size of the host, and so do short blocks that repeat together; ids that repeat are one page."""
     rare, twice = "this rare passage stands on three pages of the large host only", "that one stands twice on the host and so it always stays here"
     pages = []
@@ -348,7 +349,7 @@ def test_html_repeats_of_a_host(spark, group_pages):
         pages.append((k, f"http://large.example/{k}", f"<body>{menu}<p>own{k} text{k} of{k} this{k}</p><p>{more}</p></body>"))
     pages += [(200, "http://large.example/a", f"<article>kept {rare}</article><p>other</p>"), (7, "http://large.example/7", pages[7][2]), (None, "http://large.example/n", "<p>null</p>"), (None, None, f"<p>{rare}</p>")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
-    got = html_text.main_text(df, group_pages=group_pages).collect()
+    got = html_text.main_text(df, group_bytes=group_bytes).collect()
     assert len(got) == len(pages)
     text = {(r["page_id"], r["url"]): r["text"] for r in got}
     for k in range(60):
@@ -357,6 +358,72 @@ def test_html_repeats_of_a_host(spark, group_pages):
     assert text[200, "http://large.example/a"] == f"kept {rare}" and text[None, "http://large.example/n"] == "null" and text[None, None] == rare
 
 
+@pytest.mark.parametrize("group_bytes", [1 << 23, 1000])
+def test_html_template_within_articles(spark, group_bytes):
+    """What half of a host's pages repeat within their articles goes; what fewer of them share is a quotation and stays."""
+    notice, quote = "sign up here for all the letters that we send each day", "he said that nobody would ever read so far into this"
+    pages = [(k, f"http://n.example/{k}", f"<article><p>own{k} a{k}</p>{f'<p>{notice}</p>' if k % 3 else ''}<p>{quote if k < 7 else f'b{k}'}</p></article>") for k in range(20)]
+    pages += [(100 + k, f"http://few.example/{k}", f"<article><p>{notice}</p><p>c{k}</p></article>") for k in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string"), group_bytes=group_bytes).collect()}
+    assert all(got[k] == f"own{k} a{k}\n{quote if k < 7 else f'b{k}'}" for k in range(20))
+    assert all(got[100 + k] == f"{notice}\nc{k}" for k in range(5))
+
+
+def test_html_of_a_large_host(spark):
+    """Three pages of two thousand share a passage, and a very long page and its repeated rows go through."""
+    rare = "one two three four five six seven eight nine ten"
+    pages = [(k, f"http://h.example/{k}", f"<p>x{k} y{k}</p><p>{rare if k in (5, 999, 1998) else f'z{k}'}</p>") for k in range(2000)]
+    long = " ".join(f"l{k}" for k in range(200_000))
+    pages += [(5000, "http://h.example/l", f"<p>{long}</p><p>{rare}</p>")] * 2
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for size in (1 << 23, 1 << 10):
+        rows = html_text.main_text(df, group_bytes=size).collect()
+        got = {r["page_id"]: r["text"] for r in rows}
+        assert len(rows) == 2002 and got[5000] == long
+        assert all(got[k] == (f"x{k} y{k}" if k in (5, 999, 1998) else f"x{k} y{k}\nz{k}") for k in range(2000))
+
+
+def brute_text(pages, least=3, template=8, share=0.5, tokens=8):
+    """Counts by dictionary on how many pages of its host each run of tokens is."""
+    host = lambda url: url.split("/")[2].lower() if url and "://" in url else ""
+    where, of_host, out = {}, {}, {}
+    parsed = {i: html_text.blocks(h or "") for i, _, h in pages}
+    for i, url, _ in pages:
+        of_host.setdefault(host(url), set()).add(i)
+        t = [x for _, text in parsed[i] for x in text.split(" ")]
+        for k in range(len(t) - tokens + 1):
+            where.setdefault((host(url), *t[k : k + tokens]), set()).add(i)
+    removed = 0
+    for i, url, _ in pages:
+        zone = max([z for z, _ in parsed[i]], default=0)
+        need = max(template, -(-share * len(of_host[host(url)]) // 1)) if zone == html_text.ARTICLE else least
+        t = [x for _, text in parsed[i] for x in text.split(" ")]
+        starts = [k for k in range(len(t) - tokens + 1) if len(where[(host(url), *t[k : k + tokens])]) >= need]
+        every, at, kept = {k + j for k in starts for j in range(tokens)}, 0, []
+        for z, text in parsed[i]:
+            own = text.split(" ")
+            end = at + len(own)
+            if z == zone and z != html_text.FURNITURE and not all(k in every for k in range(at, end)):
+                gone = {k + j for k in starts if at <= k and k + tokens <= end for j in range(tokens)}
+                kept.append(" ".join(x for k, x in enumerate(own, at) if k not in gone))
+            if z == zone and z != html_text.FURNITURE:
+                removed += len(own) - (len(kept[-1].split(" ")) if kept and not all(k in every for k in range(at, end)) else 0)
+            at = end
+        out[i] = "\n".join(kept)
+    return out, removed
+
+
+@pytest.mark.parametrize("group_bytes", [1 << 23, 2000])
+def test_html_against_brute_force(spark, group_bytes):
+    """The given pages, as they are and without their article elements, where the array decides alone and takes text away."""
+    pages = [tuple(r) for r in table(spark, "/root/testdata/sf0.01", "pages").select("page_id", "url", "html").collect()]
+    bare = [(i, url, re.sub("</?(article|nav|footer)>", "", h or "")) for i, url, h in pages]
+    for rows, takes in ((pages, False), (bare, True)):
+        want, removed = brute_text(rows)
+        got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), group_bytes=group_bytes).collect()}
+        assert got == want and (removed > 0) == takes
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_repeated_runs(seed):
     rng = np.random.default_rng(seed)
