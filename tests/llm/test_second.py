@@ -360,6 +360,20 @@ def test_pseudonyms_permute(spark):
     assert pseudonyms.pseudonymize(days, "k", "id").select("text").distinct().count() == 36525
 
 
+@pytest.mark.parametrize("name", ["op1_decontamination", "op5_exact_dedup", "op8_jaccard_join", "lm_base_scores"])
+def test_queries_against_sql(spark, sf_dir, name):
+    import duckdb
+    from lodestar.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    frame, result = QUERIES[name](spark, sf_dir), con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in result.description]
+    want = sorted(repr(tuple(r[names.index(c)] for c in sorted(names))) for r in result.fetchall())
+    assert sorted(frame.columns) == sorted(names) and sorted(repr(tuple(r[c] for c in sorted(names))) for r in frame.collect()) == want
+
+
 def test_pipeline(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = table(spark, sf_dir, "documents")
