@@ -1,9 +1,9 @@
 """Token counts: pre-tokens that are one whole token are counted directly, the rest is merged.
 
-Offline, every vocabulary string that ends a word is encoded alone; those that come out as one
-token form a table, bounded by the vocabulary. A pre-token in the table counts one. Any other is
-merged by the tokenizer library once and remembered, in a memory of bounded size. Texts with characters for which
-this module's own splitting is not proven to agree with the library go to the library whole.
+Before any text is read, the driver encodes every vocabulary string that ends a word alone; those that come out as one
+token form a table, bounded by the vocabulary and broadcast. A pre-token in the table counts one. Any other is
+merged by the tokenizer library once and remembered, in a memory of bounded size. What stands between spaces and has a character for which
+this module's own splitting is not proven to agree with the library goes to the library as it is, and is remembered too: no token crosses white space.
 
 A null or empty text has 0 bytes and 0 tokens. Rows are independent: repeated rows, null ids and
 extra columns change nothing; an empty table gives an empty result.
@@ -26,6 +26,8 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 #: Characters beyond these go to the library, as do texts that need composing.
 UNPROVEN = regex.compile(r"[^\x00-ɏ‐-‧€™]")
+#: Between spaces, what has such a character. A character that might compose with a space before it keeps that.
+ODD = regex.compile(rf"[^ \n\t]*{UNPROVEN.pattern}[^ \n\t]*")
 SPECIAL = regex.compile(r"<\|startoftext\|>|<\|endoftext\|>")
 REMEMBERED = 1 << 18
 
@@ -82,22 +84,32 @@ class _Counts(dict):
 
 
 class TokenCounter:
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: frozenset[str] | None = None):
+        """whole: what whole_tokens gives, if it is known."""
         self.tokenizer = Tokenizer.from_file(path)
-        self.counts = _Counts(whole_tokens(self.tokenizer), self.tokenizer)
-        self.pieces = regex.compile(PIECES)
+        self.counts = _Counts(whole_tokens(self.tokenizer) if whole is None else whole, self.tokenizer)
+        self.pieces, self.odd = regex.compile(PIECES), {}
 
     def __call__(self, text: str) -> int:
         if not text:
             return 0
         if UNPROVEN.search(text):
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            return sum(map(self._library_count, ODD.findall(text))) + self(ODD.sub(" ", text))
         n = 0
         if "<|" in text:
             n = len(SPECIAL.findall(text))
             return n + sum(self(part) for part in SPECIAL.split(text)) if n else self._plain_count(text)
         return self._plain_count(text)
 
+    def _library_count(self, piece: str) -> int:
+        if (n := self.odd.get(piece)) is None:
+            if len(self.odd) >= REMEMBERED:
+                self.odd.clear()
+            n = len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+            if len(piece) <= 64:
+                self.odd[piece] = n
+        return n
+
     def _plain_count(self, text: str) -> int:
         return sum(map(self.counts.__getitem__, self.pieces.findall(_normal(text))))
 
@@ -106,11 +118,13 @@ _counters: dict[str, TokenCounter] = {}
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_bytes, n_tokens, over_limit for every row; path: the tokenizer's file on every executor."""
+    """id_col, n_bytes, n_tokens, over_limit for every row; path: the tokenizer's file on the driver and every executor."""
+
+    whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(Tokenizer.from_file(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _counters:
-            _counters[path] = TokenCounter(path)
+            _counters[path] = TokenCounter(path, whole.value)
         count = _counters[path]
         for b in batches:
             texts = b.column(1)

@@ -302,6 +302,10 @@ def test_token_counts(spark, odd, empty):
     for _ in range(3000):
         text = "".join(rng.choice(letters, rng.integers(0, 30)))
         assert count(text) == len(tokenizer.encode(text, add_special_tokens=False).ids), repr(text)
+    letters = list("abÉ ё\u0301жΣςσα中文字😀‍👩🏽e\u0301\u0308 \u3000\u2009.,'sт\n") + ["<|endoftext|>", "привет", "слово мир", "λόγος", "  "]
+    for _ in range(4000):
+        text = "".join(rng.choice(letters, rng.integers(0, 24)))
+        assert count(text) == len(tokenizer.encode(text, add_special_tokens=False).ids), repr(text)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="x">
