@@ -8,7 +8,9 @@ n - ceil(t * n) + 1 shingles. Three orders are used, each of which linked docume
    other prefix shingles join documents into clusters, by chains in order of size, never by all pairs
 2. and 3. within a cluster, ascending and descending hash, pair by pair: candidates pass both, and only they are verified
 
-A cluster of more than `block` documents, or of long ones, is dealt into blocks whose pairs are separate tasks. Only links that
+A cluster of more than `block` documents, or of long ones, is first held against PIVOTS documents of its own, wherever its documents are. What links
+with a pivot is one part from then on. Only the rest is dealt into blocks, and pairs of them, and of them with blocks of the largest part,
+are separate tasks; no two documents of that part are compared again. Only links that
 join two parts are kept, then components are found by contraction. Equal sets are one class from the start.
 
 A document without words or text is linked with nothing. Rows that repeat an id are one node; a null id links
@@ -24,9 +26,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import batch, by_arrow, components, dealt, materialize, packed, small
+from .common import BROADCAST_BYTES, batch, by_arrow, components, dealt, materialize, packed, small
 from .textbytes import NOT_SPACE, chunks, mix, shingles, word_hashes
 
 SALT = np.uint64(0x5851F42D4C957F2D)
@@ -34,6 +36,8 @@ SALT = np.uint64(0x5851F42D4C957F2D)
 SHARD_SHINGLES, RUN = 1 << 17, 1 << 24
 #: Packed values that one task merges, about; tokens of a block for each document that it may hold.
 SHARD_VALUES, BLOCK_TOKENS = 1 << 20, 1024
+#: Documents of a large cluster with which all others are compared.
+PIVOTS = 4
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -99,27 +103,52 @@ class _Index:
         return found[:i]
 
 
-def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest; sets: sorted token arrays."""
+def linked(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(one, two, assume_unique=True))
+    return 100 * common >= percent * (len(one) + len(two) - common)
+
+
+def candidate(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether both sorted sets have sizes that fit and share a token of their prefixes in ascending, and in descending order."""
+    p, q = int(prefix_size(np.array(len(one)), percent)), int(prefix_size(np.array(len(two)), percent))
+    if not fits(min(len(one), len(two)), max(len(one), len(two)), percent):
+        return False
+    meet = lambda x, y: len(np.intersect1d(x, y, assume_unique=True)) > 0
+    return meet(one[:p], two[:q]) and meet(one[len(one) - p :], two[len(two) - q :])
+
+
+def links(sets: list[np.ndarray], percent: int, parts_of: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links of a spanning forest; sets: sorted token arrays; parts_of: sets with the same number, if it is not negative, are one part already."""
     n = np.array([len(x) for x in sets])
     p = prefix_size(n, percent)
     up = _Index([x[:k] for x, k in zip(sets, p)])
     down = _Index([x[len(x) - k :] for x, k in zip(sets, p)])
-    forest, out, parts = Forest(len(sets)), [], 1
+    forest, out, first = Forest(len(sets)), [], {}
 
     def link(i: int, j: int) -> bool:
-        common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        if 100 * common < percent * (n[i] + n[j] - common):
+        if not linked(sets[i], sets[j], percent):
             return False
         forest.join(i, j)
         out.append((i, j))
         return True
 
-    for i in range(1, len(sets)):
-        # where all before are one part, any link tells everything
-        if parts == 1 and (link(i, i - 1) or link(i, 0)):
+    parts = 0
+    for i in range(len(sets)):
+        part = parts_of[i] if parts_of else -1
+        if part >= 0 and part in first:
+            forest.join(i, first[part])
+            # what is linked with one of its part already may be linked with others
+            if parts == 1:
+                continue
+        else:
+            if part >= 0:
+                first[part] = i
+            # where all before are one part, any link tells everything
+            if parts == 1 and i and candidate(sets[i], sets[i - 1], percent) and link(i, i - 1):
+                continue
+            parts += 1
+        if parts == 1:
             continue
-        parts += 1
         able = up.sharing(i) & down.sharing(i) & fits(np.minimum(n[:i], n[i]), np.maximum(n[:i], n[i]), percent)
         for j in np.flatnonzero(able).tolist():
             if forest.root(i) != forest.root(j):
@@ -127,6 +156,50 @@ def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def _against_pivots(rows: DataFrame, members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links of the documents of large clusters with pivots of their own; and id, component and the pivot whose part each document is, or null.
+
+    rows: id, component and tokens; members: id and component."""
+    salt = F.pmod(F.xxhash64("id", F.lit("pivot")), F.lit(PIVOTS))
+    chosen = members.groupBy("component", salt.alias("salt")).agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("id"))
+    pivots = materialize(rows.join(small(materialize(chosen.select("id")), 16), "id", "left_semi").groupBy("component").agg(F.collect_list(F.struct("id", "tokens")).alias("pivots")))
+    size = pivots.agg(F.sum(F.aggregate("pivots", F.lit(0).cast("long"), lambda n, p: n + F.length(p["tokens"]) + 32))).first()[0] or 0
+
+    def compare(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, tokens, own, found = b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), []
+        for i, (k, pivots) in enumerate(zip(ids, own)):
+            mine = np.frombuffer(tokens[i].as_py(), np.uint64)
+            sets = ((p["id"], np.frombuffer(p["tokens"], np.uint64)) for p in pivots)
+            found.append([j for j, other in sets if j == k or candidate(mine, other, percent) and linked(mine, other, percent)])
+        yield batch(id=b.column(0), component=b.column(3), pivots=pa.array(found, pa.list_(pa.int64())))
+
+    held = rows.join(F.broadcast(pivots) if size <= BROADCAST_BYTES else pivots, "component").select("id", "tokens", "pivots", "component")
+    compared = materialize(by_arrow(held, compare, "id long, component long, pivots array<long>"))
+    parts = compared.groupBy("id", "component").agg(F.min(F.array_min("pivots")).alias("part"))
+    return compared.select(F.col("id").alias("a"), F.explode("pivots").alias("b")).where("a <> b"), materialize(parts)
+
+
+def _block_pairs(rows: DataFrame, blocks: Column) -> DataFrame:
+    """The tasks of documents of large clusters: task, component, id, tokens and part. rows: id, n, tokens, component and part; blocks: into how many a group of rows is dealt.
+
+    Documents of a cluster's largest part meet all others, not each other."""
+    sizes = rows.where("part is not null").groupBy("component", "part").agg(F.count(F.lit(1)).alias("m"))
+    main = sizes.groupBy("component").agg(F.max(F.struct("m", "part"))["part"].alias("main"))
+    rows = rows.join(small(materialize(main), 16), "component", "left").withColumn("in_main", F.coalesce(F.col("part") == F.col("main"), F.lit(False)))
+    counts = rows.groupBy("component", "in_main").agg(blocks.alias("k"))
+    dealt = counts.groupBy("component").agg(F.coalesce(F.max(F.when(F.col("in_main"), F.col("k"))), F.lit(0)).alias("mains"), F.coalesce(F.max(F.when(~F.col("in_main"), F.col("k"))), F.lit(0)).alias("others"))
+    placed = rows.join(small(materialize(dealt.where("others > 0")), 16), "component")
+    mine = F.pmod(F.xxhash64("id"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others")))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    with_main = lambda other, main: F.xxhash64("component", other.cast("long"), -1 - main.cast("long"))
+    of_main = F.transform(upto(F.col("others")), lambda k: with_main(k, mine))
+    of_other = F.concat(
+        F.transform(upto(F.col("others")), lambda k: F.xxhash64("component", F.least(k, mine).cast("long"), F.greatest(k, mine).cast("long"))),
+        F.transform(upto(F.col("mains")), lambda k: with_main(mine, k)),
+    )
+    return placed.select(F.explode(F.when(F.col("in_main"), of_main).otherwise(of_other)).alias("task"), "component", "id", "tokens", "part")
+
+
 def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id for every row. size: words of a shingle; percent: similarity of a link."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -238,26 +311,31 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, block:
     sets = materialize(by_arrow(base.join(small(named.select("id"), 16), "id", "left_semi"), whole, "id long, n long, tokens binary"))
     values = int(sets.agg(F.sum("n")).first()[0] or 0)
 
-    # verification: small clusters share a task, large ones are dealt into pairs of blocks
+    # verification: small clusters share a task, large ones are held against pivots, and what is left is dealt into pairs of blocks
     of = sets.select("id", "n").join(small(named, 32), "id")
-    sized = materialize(of.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)), F.sum("n") / BLOCK_TOKENS) / block).cast("int").alias("blocks")))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)), F.sum("n") / BLOCK_TOKENS) / block).cast("int")
+    sized = materialize(of.groupBy("component").agg(blocks.alias("blocks")))
     buckets = max(16, values // SHARD_VALUES)
-    mine = F.pmod(F.xxhash64("id"), "blocks")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64("component", F.least(k, mine), F.greatest(k, mine)))
-    tasks = F.when(F.col("blocks") == 1, F.array(F.pmod(F.xxhash64("component"), F.lit(buckets)))).otherwise(pairs)
-    placed = named.join(small(sized, 24), "component")
-    ready = sets.join(small(placed, 32), "id").select(F.explode(tasks).alias("task"), "component", "id", "tokens")
+    few = named.join(small(sized.where("blocks = 1").select("component"), 16), "component")
+    task = F.pmod(F.xxhash64("component"), F.lit(buckets))
+    ready = sets.join(small(few, 24), "id").select(task.alias("task"), "component", "id", "tokens", F.lit(None).cast("long").alias("part"))
+    found = None
+    if not sized.where("blocks > 1").isEmpty():
+        many = materialize(named.join(small(sized.where("blocks > 1").select("component"), 16), "component"))
+        found, parts = _against_pivots(sets.join(small(many, 24), "id"), many, percent)
+        ready = ready.unionByName(_block_pairs(sets.join(small(parts, 32), "id"), blocks))
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
         for _, part in pdf.drop_duplicates(["component", "id", "tokens"]).groupby("component"):
             ids = part["id"].to_numpy()
-            for i, j in links([np.frombuffer(x, np.uint64) for x in part["tokens"]], percent) if len(ids) > 1 else ():
+            for i, j in links([np.frombuffer(x, np.uint64) for x in part["tokens"]], percent, pd.factorize(part["part"])[0].tolist()) if len(ids) > 1 else ():
                 a.append(ids[i])
                 b.append(ids[j])
         return pd.DataFrame({"a": a, "b": b}, dtype=np.int64)
 
-    found = components(ready.groupBy("task").applyInPandas(verify, "a long, b long"))
-    groups = classes.select(*key, "cid", "copies").join(small(found.withColumnRenamed("v", "cid"), 24), "cid", "left")
+    verified = ready.groupBy("task").applyInPandas(verify, "a long, b long")
+    found = components(verified if found is None else verified.unionByName(found)).withColumnRenamed("v", "cid")
+    groups = classes.select(*key, "cid", "copies").join(small(found, 24), "cid", "left")
     groups = materialize(groups.where("copies > 1 or component is not null").select(*key, F.coalesce("component", "cid").alias("component")))
     return rows.select("id", *key).join(small(groups, 48), key, "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
