@@ -26,7 +26,7 @@ from .common import batch, materialize
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST, REMEMBERED, PIECE = 5, 1 << 16, 1 << 12
-#: Of the values of remembered words in one process, about.
+#: Of the values of remembered unseen words in one process, about.
 MEMORY_BYTES = 1 << 25
 
 
@@ -47,29 +47,37 @@ class Model:
     starts: np.ndarray
     columns: np.ndarray
     values: np.ndarray
-    #: Words of this process, their places in its table of values.
+    #: Unseen words of this process, their places in its table of values.
     seen: dict[str, int] = field(default_factory=dict)
     table: np.ndarray | None = None
-
-    def mean(self, size: int, places: list[int]) -> np.ndarray:
-        parts = [slice(self.starts[i], self.starts[i + 1]) for i in places]
-        columns, values = (np.concatenate([x[p] for p in parts]) for x in (self.columns, self.values))
-        return self.none[size] + np.bincount(columns, values, len(self.languages)) / len(places)
-
-    def value(self, word: str) -> np.ndarray:
-        """Of a known word its own log frequencies; else the mean over its longest n-grams of which some are known."""
-        if (i := self.rows[0].get(word)) is not None:
-            return self.mean(0, [i])
+    #: The entries once more, as lists.
+    lists: tuple[list[int], list[int], list[float]] | None = None
+
+    def summed(self, places: np.ndarray) -> np.ndarray:
+        """What all entries of these places add."""
+        start = self.starts[places]
+        n = self.starts[places + 1] - start
+        at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.columns[at], self.values[at], len(self.languages))
+
+    def unseen(self, word: str) -> np.ndarray:
+        """The mean over the word's longest n-grams of which some are known."""
+        if self.lists is None:
+            self.lists = self.starts.tolist(), self.columns.tolist(), self.values.tolist()
+        starts, columns, values = self.lists
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
             known = [i for g in grams(word, n) if (i := self.rows[n].get(g)) is not None]
             if known:
-                return self.mean(n, known)
+                # a few entries, for which plain numbers are quicker than arrays
+                total = [0.0] * len(self.languages)
+                for i in known:
+                    for e in range(starts[i], starts[i + 1]):
+                        total[columns[e]] += values[e]
+                return self.none[n] + np.array(total) / len(known)
         return np.zeros(len(self.languages))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall((text or "").lower())
-        if not words or not self.languages:
-            return UNKNOWN, 0.0
+    def remembered(self, words: list[str]) -> np.ndarray:
+        """The sum over words that are not known, through the memory of this process."""
         most = max(1, min(REMEMBERED, MEMORY_BYTES // (8 * len(self.languages))))
         if self.table is None or len(self.table) != most:
             self.table = np.zeros((most, len(self.languages)))
@@ -82,9 +90,21 @@ class Model:
                 seen.clear()
                 new = set(piece)
             for w in new:
-                self.table[len(seen)] = self.value(w)
+                self.table[len(seen)] = self.unseen(w)
                 seen[w] = len(seen)
             total += self.table[[seen[w] for w in piece]].sum(axis=0)
+        return total
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        words = WORD.findall((text or "").lower())
+        if not words or not self.languages:
+            return UNKNOWN, 0.0
+        get = self.rows[0].get
+        places = np.array([get(w, -1) for w in words])
+        known = places[places >= 0]
+        total = self.none[0] * len(known) + self.summed(known)
+        if len(known) < len(words):
+            total += self.remembered([words[k] for k in np.flatnonzero(places < 0)])
         p = np.exp(total - total.max())
         return self.languages[int(np.argmax(total))], float(p.max() / p.sum())
 
