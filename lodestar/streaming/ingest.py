@@ -18,8 +18,31 @@ from ..sinks.store import Store
 from ..storage import materialize, scratch, small
 
 
+KEY = ["path", *CELL_COLUMNS]
+
+
 def assign_batch(points: DataFrame, stored: DataFrame, options: LodOptions) -> rule.Lod:
-    """points: a micro-batch; stored: the accepted points of all earlier ones. Levels end when no point is left."""
+    """points: a micro-batch; stored: the accepted points of all earlier ones.
+
+    The first point of a cell of the root is accepted there, so cells of the root that nothing stored owns are new ground, whose points are assigned as if
+    there were no others. The points of the other cells go level by level. If rounding lets the two meet, all go level by level."""
+    inside = F.coalesce(cube.inside_world(options.world), F.lit(False))
+    live = rule.with_cells(rule.at_root(points.where(inside), options), options.grid)
+    own = stored.where("depth = 0").select(*KEY).join(small(materialize(live.select(*KEY).distinct()), 76), KEY, "left_semi")
+    taken = small(materialize(own), 76)
+    if taken.isEmpty():
+        return rule.assign(points, options)
+    ground = materialize(live.join(taken, KEY, "left_anti").select(*POINT_COLUMNS).unionByName(points.where(~inside).select(*POINT_COLUMNS)))
+    new = rule.assign(ground, options)
+    rest = by_levels(live.join(taken, KEY, "left_semi").select(*POINT_COLUMNS), stored, options)
+    cells = small(materialize(new.accepted.select(*KEY)), options.max_depth + 76)
+    if not stored.select(*KEY).unionByName(rest.accepted.select(*KEY)).join(cells, KEY, "left_semi").isEmpty():
+        return by_levels(points, stored, options)
+    return rule.Lod(new.accepted.unionByName(rest.accepted), new.dropped.unionByName(rest.dropped))
+
+
+def by_levels(points: DataFrame, stored: DataFrame, options: LodOptions) -> rule.Lod:
+    """Level by level, until no point is left."""
     inside = F.coalesce(cube.inside_world(options.world), F.lit(False))
     dropped = [points.where(~inside).select("seq", F.lit(rule.OUT_OF_BOUNDS).alias("reason"), F.lit("").alias("path"))]
     live, accepted = materialize(rule.at_root(points.where(cube.inside_world(options.world)), options)), []
@@ -27,11 +50,11 @@ def assign_batch(points: DataFrame, stored: DataFrame, options: LodOptions) -> r
         if live.isEmpty():
             break
         cells = rule.with_cells(live, options.grid)
-        first, key = materialize(rule.first_of_cells(cells)), ["path", *CELL_COLUMNS]
-        taken = stored.where(F.col("depth") == depth).select(*key)
+        first = materialize(rule.first_of_cells(cells))
+        taken = stored.where(F.col("depth") == depth).select(*KEY)
         # the cells of the batch prune the stored rows, not the other way round
-        blocked = materialize(taken.join(small(first.select(*key), depth + 76), key, "left_semi"))
-        free = first.join(small(blocked, depth + 76), key, "left_anti")
+        blocked = materialize(taken.join(small(first.select(*KEY), depth + 76), KEY, "left_semi"))
+        free = first.join(small(blocked, depth + 76), KEY, "left_anti")
         rows = materialize(rule.flagged(cells, free))
         accepted.append(rule._accepted(rows.where("won"), depth))
         left = rows.where("not won")

@@ -253,6 +253,30 @@ def test_records_and_clock(spark, tmp_path):
     assert len(clock) == 6 * 10 + 2 * 2 and {r["z"] for r in clock} == {30.0} and max(r["y"] for r in clock) == 240.0
 
 
+def test_batches_on_new_ground(spark, tmp_path, monkeypatch):
+    """Batches that overlap in space a little, hardly or wholly give what one batch gives."""
+    options = LodOptions(World(0, 0, 0, 128), 8, 6)
+    rng = np.random.default_rng(12)
+    rows = np.concatenate([rng.uniform(low, low + 50, (250, 3)) for low in (0, 40, 70, 0)] + [[[200, 0, 0]]])
+    frame = points(spark, rows)
+    whole = sorted(map(tuple, lod.assign(frame, options).accepted.select("seq", "path", "cx", "cy", "cz").collect()))
+    store = Store(spark, str(tmp_path / "s"))
+    for k in range(5):
+        ingest.append(frame.where(f"seq >= {250 * k} and seq < {250 * (k + 1)}"), k, store, options)
+    assert sorted(map(tuple, store.accepted().select("seq", "path", "cx", "cy", "cz").collect())) == whole
+    assert store.dropped().where("reason = 'out_of_bounds'").count() == 1
+
+
+def test_batches_that_meet_by_rounding(spark, tmp_path):
+    """Points next to edges of cells, in many batches."""
+    rows, options = CASES["edges by rounding"]
+    frame, store = points(spark, rows[:240]), Store(spark, str(tmp_path / "s"))
+    for k in range(3):
+        ingest.append(frame.where(f"seq >= {80 * k} and seq < {80 * (k + 1)}"), k, store, options)
+    want = walk(rows[:240], options)
+    assert {r["seq"]: (r["path"], (r["cx"], r["cy"], r["cz"])) for r in store.accepted().collect()} == {k: v for k, v in want.items() if v}
+
+
 def test_stream_and_server(spark, tmp_path):
     options = LodOptions(World(0, 0, 0, 128), 8, 6)
     rows = np.random.default_rng(11).uniform(0, 100, (900, 3))
