@@ -407,6 +407,24 @@ def test_pipeline(spark):
     assert check_packing(packed, [(r["doc_id"], r["text"]) for r in kept.collect()], public_tokenizers.path("byte_bpe_50k.json")) < 0.01
 
 
+def test_pipeline_stages_of_odd_rows(spark, odd, empty):
+    """Nulls, empty and long texts, ties, repeated rows and clashing names pass each stage, and an empty table stays one."""
+    sf_dir = "/root/testdata/sf0.001"
+    want = {"language ID": None, "exact dedup": [1, 2, 4, 6, 7, 8, 9, None], "n-gram Jaccard join": [1, 2, 3, 6, 7, 8, 9, None], "benchmark decontamination": [1, 2, 3, 3, 4, 6, 7, 8, 9, 9, None]}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, sf_dir)
+        assert out.columns == odd.columns and stage(spark, empty, sf_dir).count() == 0
+        got = sorted((r["doc_id"] for r in out.collect()), key=lambda i: (i is None, i))
+        if name == "language ID":
+            assert not {2, 3, 6} & set(got) and {1, 7, None} <= set(got)
+        elif name == "n-gram Jaccard join":
+            assert sorted(set(got), key=lambda i: (i is None, i)) == want[name]
+        else:
+            assert got == want[name], name
+    packed = corpus_pipeline.STAGES[-1][1]
+    assert packed(spark, odd, sf_dir).where("start = 0").count() == 11 and packed(spark, empty, sf_dir).count() == 0
+
+
 def test_pipeline_of_rows_without_own_ids(spark, tmp_path):
     """Null ids, an id with several texts and repeated rows are decided on row by row."""
     sf_dir = "/root/testdata/sf0.001"
