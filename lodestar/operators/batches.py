@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..storage import materialize, small
 
@@ -23,6 +23,18 @@ def dense_numbers(df: DataFrame, *order: str, name: str = "number") -> DataFrame
     return rows.join(first, "_range").select(*df.columns, number.alias(name))
 
 
+def running_starts(df: DataFrame, order: str, size: str, name: str) -> DataFrame:
+    """df with the sum of size over the rows before each in order, whose values are distinct: as dense_numbers, a total for each range is gathered."""
+    rows = materialize(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    starts, at = [], 0
+    for k, n in sorted(map(tuple, rows.groupBy("_range").agg(F.sum(size)).collect())):
+        starts.append((k, at))
+        at += n
+    first = small(df.sparkSession.createDataFrame(starts, "_range int, _first long"), 16)
+    before = F.coalesce(F.sum(size).over(W.partitionBy("_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(first, "_range").select(*df.columns, (F.col("_first") + before).alias(name))
+
+
 def batch_number(number: Column, size: int) -> Column:
     """Of dense numbers from 0: batches of size rows, the last one short."""
     return F.floor(number / size).cast("long")

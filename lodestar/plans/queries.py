@@ -20,7 +20,7 @@ from ..sources.records import read_records
 from ..sources.survey import Survey, read_survey
 from ..sources.tables import embedding_points, event_points, table
 from ..sources.text import centroid, parse_lines, project, read_cartesian, read_geodetic
-from ..storage import checkpoint_dir
+from ..storage import checkpoint_dir, materialize
 from ..streaming import ingest
 
 #: Of the event points.
@@ -44,7 +44,8 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _nodes(spark: SparkSession, sf_dir: str, options: LodOptions = EVENTS) -> DataFrame:
-    return nodes.node_stats(_events(spark, sf_dir, options).accepted, options)
+    """Written once, since most queries read nodes twice."""
+    return materialize(nodes.node_stats(_events(spark, sf_dir, options).accepted, options))
 
 
 def lod_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +153,7 @@ def logical_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def emitted_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lod.materialize(_nodes(spark, sf_dir, WIDE))
+    found = _nodes(spark, sf_dir, WIDE)
     return nodes.emitted(found, nodes.logical_root(found)).select("path", "point_count")
 
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..model import POINT, RECORD_BYTES
+from ..operators.batches import running_starts
+from ..storage import materialize, small
 
 RECORD = np.dtype([("x", "<f8"), ("y", "<f8"), ("z", "<f8"), ("r", "u1"), ("g", "u1"), ("b", "u1")])
 
@@ -22,12 +24,9 @@ def decode(content: bytes) -> np.ndarray:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Points in the order of file names and records. The files are small (a node's or the recent points); each is read whole by a task."""
     files = spark.read.format("binaryFile").load(path)
-    sizes = files.select("path", "length").sort("path").collect()
-    starts, at = [], 0
-    for s in sizes:
-        starts.append((s["path"], at))
-        at += s["length"] // RECORD_BYTES
-    placed = files.join(F.broadcast(spark.createDataFrame(starts, "path string, first long")), "path").select("first", "content")
+    sizes = files.select("path", F.floor(F.col("length") / RECORD_BYTES).cast("long").alias("n"))
+    first = materialize(running_starts(sizes, "path", "n", "first").select("path", "first"))
+    placed = files.join(small(first, 160), "path").select("first", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -6,12 +6,11 @@ that can't be read (digit groups such as 1,000 included) or a colour outside 0 t
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.geo import east_north
-from ..storage import BROADCAST_BYTES
+from ..operators.batches import running_starts
+from ..storage import materialize, small
 
 #: Rows of a partition take this many low bits of seq, splits of files the rest.
 ROW_BITS = 33
@@ -31,18 +30,11 @@ def numbered_lines(spark: SparkSession, path: str | list[str], header: bool) ->
     reader = spark.read.option("header", header).option("sep", "\x01").option("quote", "").option("escape", "").option("maxCharsPerColumn", -1)
     lines = reader.schema("value string").csv(path)
     step = min(_bytes(spark.conf.get(f"spark.sql.files.{k}")) for k in ("maxPartitionBytes", "openCostInBytes"))
-    files = sorted(lines.inputFiles())
-    hadoop, ordinal, rows = spark._jvm.org.apache.hadoop.fs.Path, 0, []
-    for f in files:
-        at = hadoop(spark._jvm.java.net.URI(f))
-        # as the scan writes it: without slashes for an empty host
-        rows.append((re.sub(r"^([^:/]+):///", r"\1:/", f), ordinal))
-        ordinal += at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen() // step + 1
-    places = spark.createDataFrame(rows, "file string, ordinal long")
-    if sum(len(r[0]) + 64 for r in rows) <= BROADCAST_BYTES:
-        places = F.broadcast(places)
-    place = F.regexp_replace("_metadata.file_path", "^([^:/]+):///", "$1:/")
-    read = lines.select(place.alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), "value")
+    # listed by Spark, which writes names in one way
+    plain = F.col("_metadata.file_path")
+    listed = spark.read.format("binaryFile").load(path).select(plain.alias("file"), (F.floor(F.col("_metadata.file_size") / step) + 1).cast("long").alias("splits"))
+    places = small(materialize(running_starts(listed, "file", "splits", "ordinal").select("file", "ordinal")), 160)
+    read = lines.select(plain.alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), "value")
     split = F.col("ordinal") + F.floor(F.col("start") / step).cast("long")
     seq = F.shiftleft(split, ROW_BITS) + F.col("row").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     return read.join(places, "file").where(F.trim("value") != "").select("file", seq.alias("seq"), "value")

@@ -215,6 +215,9 @@ def test_text(spark, tmp_path):
         (many / f"{f}.txt").write_text("h\n" + "".join(f"{f} {k} 0 1 2 3\n" for k in range(500)))
     got = text.read_cartesian(spark, str(many)).orderBy("seq").select("x", "y").collect()
     assert [tuple(r) for r in got] == [(f, k) for f in range(3) for k in range(500)]
+    for k, name in enumerate(("a b.txt", "c%20d.txt", "é#x.txt")):
+        (many / name).write_text(f"h\n{k} 9 9 1 2 3\n")
+    assert text.read_cartesian(spark, str(many)).count() == 1503
     rows = batches.in_batches(text.read_cartesian(spark, str(path)).select("seq"), 1, "seq").collect()
     assert sorted((r["number"], r["batch"]) for r in rows) == [(0, 0), (1, 1)]
     for bad in ("1 2 3 4", "1 2 3 256 0 0", "1,000 2 3 4 5 6"):
