@@ -5,7 +5,8 @@ n - ceil(t * n) + 1 shingles. Three orders are used, each of which linked docume
 
 1. rare shingles first: shards of shingles count their documents and tell each run of documents which of its
    shingles occur again. A shingle of one document alone goes no further, and a document with enough of them is done; the
-   other prefix shingles join documents into clusters, by chains in order of size, never by all pairs
+   other prefix shingles join documents into clusters, by chains in order of size, never by all pairs; the documents of a batch are chained
+   first, so that a shingle of very many of them sends a few chains
 2. and 3. within a cluster, ascending and descending hash, pair by pair: candidates pass both, and only they are verified
 
 A cluster of more than `block` documents, or of long ones, is first held against PIVOTS documents of its own, wherever its documents are. What links
@@ -156,6 +157,27 @@ def links(sets: list[np.ndarray], percent: int, parts_of: list[int] | None = Non
     return out
 
 
+def chained(token: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """Chains, for each token, of documents or of chains of them: in order of size, each that fits what comes before it goes on with that chain.
+
+    low and high: the least and largest size of each. Gives links of a spanning forest (a, b), and for each chain its token, a document, and its least and largest size.
+    A chain stands for all its documents, since sizes between two that fit fit both."""
+    order = np.lexsort((ids, high, low, token))
+    token, ids, low, high = token[order], ids[order], low[order], high[order]
+    new = np.concatenate([[True], token[1:] != token[:-1]])
+    # the largest size so far of each token, by an offset that parts tokens
+    base = (np.cumsum(new) - 1) * (int(high.max()) + 1)
+    reach = np.maximum.accumulate(high + base) - base
+    on = np.concatenate([[False], ~new[1:] & fits(np.minimum(reach[:-1], low[1:]), low[1:], percent)])
+    start = np.flatnonzero(~on)
+    at = np.flatnonzero(on & np.concatenate([[False], ids[1:] != ids[:-1]]))
+    names, both = np.unique(np.stack([ids[at], ids[at - 1]]), return_inverse=True)
+    forest = Forest(len(names))
+    joined = [(i, j) for i, j in np.unique(both.reshape(2, -1), axis=1).T.tolist() if forest.join(i, j)]
+    a, b = (names[[x[k] for x in joined]].astype(np.int64) for k in (0, 1))
+    return a, b, token[start], ids[start], low[start], np.maximum.reduceat(high, start)
+
+
 def _against_pivots(rows: DataFrame, members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links of the documents of large clusters with pivots of their own; and id, component and the pivot whose part each document is, or null.
 
@@ -200,7 +222,7 @@ def _block_pairs(rows: DataFrame, blocks: Column) -> DataFrame:
     return placed.select(F.explode(F.when(F.col("in_main"), of_main).otherwise(of_other)).alias("task"), "component", "id", "tokens", "part")
 
 
-def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id for every row. size: words of a shingle; percent: similarity of a link."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
@@ -278,28 +300,25 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, block:
     shards = _shards(int((first.agg(F.sum(F.length("prefix"))).first()[0] or 0) // 8))
 
     def post(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Chains of the batch's documents, as links in a shard below zero; and for each token and chain one document with the chain's least and largest size."""
         lists = [np.frombuffer(x.as_py(), np.uint64) for x in b.column(2)]
         sizes = np.array([len(x) for x in lists], np.int64)
         if sizes.sum():
-            tokens = np.concatenate(lists)
-            yield dealt(_of(tokens, shards), token=tokens, id=np.repeat(b.column(0).to_numpy(), sizes), n=np.repeat(b.column(1).to_numpy(), sizes))
-
-    def grouped(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Ids in order of token and size, and which of them go with the one before."""
-        token, ids, n = packed(pdf["token"], np.uint64), packed(pdf["id"], np.int64), packed(pdf["n"], np.int64)
-        order = np.lexsort((ids, n, token))
-        token, ids, n = token[order], ids[order], n[order]
-        return ids, np.concatenate([[False], (token[1:] == token[:-1]) & fits(n[:-1], n[1:], percent) & (ids[1:] != ids[:-1])])
+            n = np.repeat(b.column(1).to_numpy(), sizes)
+            a, z, token, ids, low, high = chained(np.concatenate(lists), np.repeat(b.column(0).to_numpy(), sizes), n, n, percent)
+            if len(a):
+                none = pa.array([b""], pa.binary())
+                yield batch(shard=pa.array([-1 - TaskContext.get().partitionId()], pa.int64()), token=none, id=pa.array([a.tobytes()], pa.binary()), low=pa.array([z.tobytes()], pa.binary()), high=none)
+            yield dealt(_of(token, shards), token=token, id=ids, low=low, high=high)
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, with_last = grouped(pdf)
-        at = np.flatnonzero(with_last)
-        names, both = np.unique(np.stack([ids[at], ids[at - 1]]), return_inverse=True)
-        forest = Forest(len(names))
-        joined = [(i, j) for i, j in np.unique(both.reshape(2, -1), axis=1).T.tolist() if forest.join(i, j)]
-        return pd.DataFrame({"a": names[[i for i, _ in joined]].astype(np.int64), "b": names[[j for _, j in joined]].astype(np.int64)})
-
-    posted = by_arrow(first.select("id", "n", "prefix"), post, "shard long, token binary, id binary, n binary")
+        ids, low = packed(pdf["id"], np.int64), packed(pdf["low"], np.int64)
+        if pdf["shard"].iloc[0] < 0:
+            return pd.DataFrame({"a": ids, "b": low})
+        a, z, *_ = chained(packed(pdf["token"], np.uint64), ids, low, packed(pdf["high"], np.int64), percent)
+        return pd.DataFrame({"a": a, "b": z})
+
+    posted = by_arrow(first.select("id", "n", "prefix"), post, "shard long, token binary, id binary, low binary, high binary")
     clusters = components(posted.groupBy("shard").applyInPandas(chain, "a long, b long"))
 
     # second and third order

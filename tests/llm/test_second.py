@@ -209,6 +209,33 @@ def test_jaccard_of_a_chain(spark):
     assert sorted(map(tuple, jaccard_join.similar_documents(docs, 4, 85, 8).collect())) == brute_groups(sorted(rows), 4, 85)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_chains(seed):
+    """Chains of chains connect what chains of all documents at once connect."""
+    rng = np.random.default_rng(seed)
+    token, ids = rng.integers(0, 6, 300).astype(np.uint64), rng.integers(0, 90, 300)
+    n = np.exp(rng.uniform(0, 9, 90)).astype(np.int64)[ids]
+
+    def parts(edges):
+        forest = jaccard_join.Forest(90)
+        for a, b in edges:
+            forest.join(int(a), int(b))
+        return [forest.root(i) for i in range(90)]
+
+    a, b, *_ = jaccard_join.chained(token, ids, n, n, 80)
+    edges, rest = [], []
+    for part in np.array_split(np.arange(300), 7):
+        x, y, *chains = jaccard_join.chained(token[part], ids[part], n[part], n[part], 80)
+        edges += zip(x, y)
+        rest.append(chains)
+    x, y, *_ = jaccard_join.chained(*(np.concatenate(c) for c in zip(*rest)), 80)
+    want = []
+    for t in range(6):
+        mine = sorted((int(m), int(i)) for m, i in zip(n[token == t], ids[token == t]))
+        want += [(i, j) for (m, i), (k, j) in zip(mine, mine[1:]) if 100 * m >= 80 * k]
+    assert parts(zip(a, b)) == parts([*edges, *zip(x, y)]) == parts(want)
+
+
 def test_jaccard_odd(spark, odd, empty):
     got = {tuple(r) for r in jaccard_join.similar_documents(odd, 4, 85).collect()}
     assert got == {(1, 11, 1), (4, 11, 1), (2, 0, 2), (3, 0, 3), (None, 8, None), (6, 1, 6), (7, 1, 7), (8, 1, 8), (9, 1, 9)}
