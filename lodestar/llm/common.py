@@ -1,8 +1,7 @@
-"""What the operators of this subpackage share: shared storage, safe broadcasts, Arrow helpers."""
+"""What the operators of this subpackage share: tables, Arrow helpers, components; storage is the package's."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,45 +9,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: A table of at most this many bytes may be sent to every executor.
-BROADCAST_BYTES = 48 << 20
+from ..storage import BROADCAST_BYTES, materialize, small
+
+__all__ = ["BROADCAST_BYTES", "batch", "by_arrow", "components", "dealt", "materialize", "packed", "small", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/lodestar")
-        path = spark.sparkContext.getCheckpointDir()
-    return path
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df once as Parquet in the shared folder and read it back.
-
-    Survives lost executors, is computed once, and goes when the session ends."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/lodestar-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its counted rows, at row_bytes each, fit in most bytes; else df as it is, which shuffles."""
-    return F.broadcast(df) if df.count() * row_bytes <= most else df
-
-
 def by_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow of a function of one batch."""
 
