@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -133,7 +134,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                     yield batch(lang=pa.array([lang] * len(part)), size=pa.array([size] * len(part), pa.int32()), gram=pa.array(list(part)), n=pa.array(list(part.values()), pa.int64()))
 
     # as large as the sample allows, so the driver may hold them
-    counts = materialize(rows.select("text", "lang").mapInArrow(count, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))).toPandas()
+    counts = materialize(rows.select("text", "lang").mapInArrow(count, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))).toArrow().to_pandas()
     names = sorted(counts["lang"].unique())
     totals = np.zeros((LONGEST + 1, len(names)))
     column = counts["lang"].map({x: k for k, x in enumerate(names)}).to_numpy(np.int64)
@@ -144,7 +145,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     starts, columns, values = [np.zeros(1, np.int64)], [], []
     for size in range(LONGEST + 1):
         mine = np.flatnonzero(counts["size"].to_numpy() == size)
-        unique, place = np.unique(counts["gram"].to_numpy(object)[mine].astype(str), return_inverse=True)
+        place, unique = pd.factorize(counts["gram"].to_numpy(object)[mine])
         begin, entries = sum(map(len, tables)), sum(map(len, columns))
         tables.append({g: begin + k for k, g in enumerate(unique.tolist())})
         order = np.lexsort((column[mine], place))

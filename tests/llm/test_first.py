@@ -221,6 +221,14 @@ def test_language_of_many_labels(spark, monkeypatch):
     assert all(model.predict(f"{t} {t} zz {t}")[0] == lang for _, t, lang in rows)
 
 
+def test_language_of_a_very_long_word(spark):
+    """One word of a million letters costs what it is long, not that for every word."""
+    many = lambda first: " ".join(f"{first}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600))
+    docs = spark.createDataFrame([(1, "ab" * 500_000 + " " + many("x"), "xx"), (2, many("w"), "en")], "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert model.predict("ab" * 500_000)[0] == "xx" and model.predict("waa wbb")[0] == "en" and model.predict("abababa")[0] == "xx"
+
+
 def brute_language(rows):
     """A scorer that keeps plain dictionaries of counts: rows of (text, lang) to a function of a text."""
     counts = {}
