@@ -23,7 +23,7 @@ docs is read three times and must come in the same rows for each partition, as a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -137,10 +137,13 @@ def answer(requests: pa.Table, least: int, discount: float) -> pa.Table:
         return where, (both // max(1, len(names)), names[both % max(1, len(names))], np.bincount(where, counts, len(both)).astype(np.int64))
 
     where, pairs = merged(np.repeat(at, fan), word, load("pairs", np.uint32)[0])
-    _, triples = merged(np.repeat(where, fan3), last.astype(np.uint64), load("triples", np.uint32)[0])
+    where3, triples = merged(np.repeat(where, fan3), last.astype(np.uint64), load("triples", np.uint32)[0])
     trie = NgramTrie.mapped(NgramTrie.build(contexts, total, pairs, triples, least, discount))
-    rank = trie.context(keys)
-    code, weight, code3 = trie.query(rank, fan, word, fan3, last.astype(np.uint64))
+    # what several cells ask is looked up once, in the trie's own order
+    rank = trie.context(contexts)
+    many = lambda of, n: np.bincount(of, minlength=n)
+    code, weight, code3 = trie.query(rank, many(pairs[0], len(contexts)), pairs[1], many(triples[0], len(pairs[0])), triples[1])
+    rank, code, weight, code3 = rank[at], code[where], weight[where], code3[where3]
     whole = np.zeros(len(contexts), bool)
     whole[at[(splits == 0) & (words != BEGIN)]] = True
     cut = lambda x, e: pa.array([x[a:z].tobytes() for a, z in zip(e.tolist(), e[1:].tolist())], pa.binary())
