@@ -190,7 +190,7 @@ ORACLE_SQL: dict[str, str] = {
     "lod_level_loop": f"{_levels(EVENTS)} SELECT seq, d AS depth, path, cx, cy, cz FROM acc",
     "lod_first_levels": f"{_levels(WIDE)} SELECT seq, d AS depth, path FROM acc",
     "lod_incremental": f"{_levels(EVENTS)} SELECT seq, d AS depth, path, cx, cy, cz FROM acc",
-    "ingest_progress": f"{_levels(EVENTS)}, parts AS (SELECT seq, (seq - (SELECT min(seq) FROM pts)) // (((SELECT max(seq) FROM pts) - (SELECT min(seq) FROM pts)) // 4 + 1) AS batch_id FROM pts), n AS (SELECT batch_id, count(*) AS points, count(*) FILTER (seq IN (SELECT seq FROM acc)) AS accepted FROM parts GROUP BY batch_id) SELECT batch_id::BIGINT AS batch_id, (sum(points) OVER w)::BIGINT AS points, (sum(accepted) OVER w)::BIGINT AS accepted, (sum(points - accepted) OVER w)::BIGINT AS dropped FROM n WINDOW w AS (ORDER BY batch_id)",
+    "ingest_progress": f"{_levels(EVENTS)}, parts AS (SELECT seq, (seq - (SELECT min(seq) FROM pts)) // (((SELECT max(seq) FROM pts) - (SELECT min(seq) FROM pts)) // 2 + 1) AS batch_id FROM pts), n AS (SELECT batch_id, count(*) AS points, count(*) FILTER (seq IN (SELECT seq FROM acc)) AS accepted FROM parts GROUP BY batch_id) SELECT batch_id::BIGINT AS batch_id, (sum(points) OVER w)::BIGINT AS points, (sum(accepted) OVER w)::BIGINT AS accepted, (sum(points - accepted) OVER w)::BIGINT AS dropped FROM n WINDOW w AS (ORDER BY batch_id)",
     "stored_recent": f"WITH {POINTS} {_LATEST} 700",
     "record_files": f"WITH {POINTS} SELECT x, y, z, r, g, b FROM pts",
     "tile_points": f"{_node_tables(EVENTS)}, named AS (SELECT path, point_count, {_ID} || '.pnts' AS tile FROM nodes) SELECT tile, point_count AS points, round(acc.x, 3) AS x, round(acc.y, 3) AS y, round(acc.z, 3) AS z, r, g, b FROM acc JOIN named USING (path) JOIN pts USING (seq)",

@@ -301,7 +301,7 @@ def lod_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.progress(_stored(spark, sf_dir, 4)).select("batch_id", "points", "accepted", "dropped")
+    return ingest.progress(_stored(spark, sf_dir, 2)).select("batch_id", "points", "accepted", "dropped")
 
 
 def stored_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
