@@ -7,17 +7,22 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..storage import BROADCAST_BYTES, materialize, small
 
-__all__ = ["BROADCAST_BYTES", "batch", "by_arrow", "components", "dealt", "materialize", "packed", "small", "table"]
+__all__ = ["BROADCAST_BYTES", "batch", "by_arrow", "components", "dealt", "materialize", "named", "packed", "small", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def by_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow of a function of one batch."""
 
