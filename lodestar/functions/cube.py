@@ -19,8 +19,7 @@ def world_columns(world: World) -> dict[str, Column]:
 
 def inside_world(world: World) -> Column:
     """min <= p < min + size on every axis, with literals, so that it reaches a Parquet scan. NaN and null are outside."""
-    tests = [(F.col(a) >= float(getattr(world, a))) & (F.col(a) < float(getattr(world, a) + world.size)) for a in AXES]
-    return tests[0] & tests[1] & tests[2]
+    return F.expr(" AND ".join(f"{a} >= {float(getattr(world, a))!r}D AND {a} < {float(getattr(world, a) + world.size)!r}D" for a in AXES))
 
 
 def inside_cube() -> Column:
@@ -54,7 +53,7 @@ def cell_size(grid: int) -> Column:
 
 
 def cell(grid: int) -> dict[str, Column]:
-    return {f"c{a}": F.floor((F.col(a) - F.col(f"m{a}")) / cell_size(grid)).cast("int") for a in AXES}
+    return {f"c{a}": F.expr(f"CAST(floor(({a} - m{a}) / (sz / {float(grid)!r}D)) AS int)") for a in AXES}
 
 
 def centre() -> dict[str, Column]:

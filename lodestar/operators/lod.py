@@ -14,39 +14,62 @@ compete only with points of the same cell, now and at all deeper levels, and cel
 3. The points of cells with more than `kernel_rows` points take one level: the smallest seq of each cell by a partial and a final aggregate, then one join
    on seq, which is spread evenly. No task ever holds such a cell. What is left goes on with 1.
 
+Of points at the same place only the first max_depth + 1 can ever be accepted, since each level takes one of them at most. Where cells are too large for one task, longer
+runs of equal points are found by counts and cut first, so that a million equal points take no more rounds than one.
+
+Points can be assigned next to stored ones (`stored`), which own their cells already. Stored rows take part as owners: they meet the new points of their cell in the same task, in the same
+shuffle, and what they own is a set of cells of each level that nobody else can have. Only rows of cells that the new points touch are read on.
+
 Rounding can put a point next to a cell's edge into a cell that is no part of the one above. Tasks look for such points; if there is one,
-the work is done again with whole nodes in the place of cells, which needs no such property.
+the work is done again with whole nodes in the place of cells, which needs no such property; `apart` tells which it was.
 
 Every step writes its rows to the shared checkpoint folder, so a lost executor costs only its own tasks. Points are read more than once, so their source must give the same rows each time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
 
 from ..functions import cube
 from ..model import CELL_COLUMNS, CUBE_COLUMNS, POINT_COLUMNS, LodOptions
-from ..storage import materialize, small
+from ..storage import BROADCAST_BYTES, materialize, small
 
 #: Points of one cell that a single task may finish.
 KERNEL_ROWS = 1 << 16
+#: Stored cells of the levels that all points share that may be sent to every task.
+SENT_OWNERS = 1 << 18
 ACCEPTED = "seq long, x double, y double, z double, r int, g int, b int, path string, depth int, cx int, cy int, cz int, mx double, my double, mz double, sz double"
 DROPPED = "seq long, reason string, path string"
 OUT_OF_BOUNDS, MAX_DEPTH = "out_of_bounds", "max_depth"
+#: What an owner, a stored point, owns: a node, its depth and a cell.
+OWN_COLUMNS = ("own_path", "own_depth", "ox", "oy", "oz")
 
 
 @dataclass(frozen=True)
 class Lod:
-    """accepted: points with the node and cell that they own. dropped: seq, reason, and the path where the walk ended."""
+    """accepted: points with the node and cell that they own. dropped: seq, reason, and the path where the walk ended. apart: whether all cells of these points are parts of those above."""
 
     accepted: DataFrame
     dropped: DataFrame
+    apart: bool = True
+    #: All points in the world as one frame, where one step settled them: ACCEPTED, with depth -1 for those dropped.
+    settled: DataFrame | None = None
+
+
+@dataclass
+class Owned:
+    """Cells that stored points own: the path and depth of their nodes, and the cells (n x 3)."""
+
+    path: np.ndarray
+    depth: np.ndarray
+    cell: np.ndarray
 
 
 @dataclass
@@ -60,8 +83,8 @@ class Settled:
     nested: np.ndarray
 
 
-def settle(seq: np.ndarray, points: np.ndarray, paths: np.ndarray, cubes: np.ndarray, first: int, last: int, grid: int) -> Settled:
-    """The rule for points (n x 3) at nodes of depth `first` with these paths and cubes (n x 4), through depth `last`.
+def settle(seq: np.ndarray, points: np.ndarray, paths: np.ndarray, cubes: np.ndarray, first: int, last: int, grid: int, owned: Owned | None = None) -> Settled:
+    """The rule for points (n x 3) at nodes of depth `first` with these paths and cubes (n x 4), through depth `last`, where nobody gets what is owned.
 
     All points of a level are handled at once; one stands before another in its cell by seq."""
     n = len(seq)
@@ -81,9 +104,14 @@ def settle(seq: np.ndarray, points: np.ndarray, paths: np.ndarray, cubes: np.nda
         cell = np.floor((p - c[:, :3]) / (c[:, 3:] / grid)).astype(np.int64)
         if above is not None:
             out.nested[alive] &= ((cell + upper * grid) >> 1 == above).all(1)
-        _, winner = np.unique(((node * side + cell[:, 0]) * side + cell[:, 1]) * side + cell[:, 2], return_index=True)
+        code = _code(node, cell, side)
+        _, winner = np.unique(code, return_index=True)
         won = np.zeros(len(alive), bool)
         won[winner] = True
+        if owned is not None and len(here := np.flatnonzero(owned.depth == depth)):
+            place = {name: k for k, name in enumerate(names.tolist())}
+            at = np.array([place.get(path, -1) for path in owned.path[here].tolist()])
+            won &= ~np.isin(code, _code(at, owned.cell[here], side)[at >= 0])
         end = won if depth < last else np.ones(len(alive), bool)
         done = alive[end]
         out.depth[alive[won]] = depth
@@ -100,25 +128,54 @@ def settle(seq: np.ndarray, points: np.ndarray, paths: np.ndarray, cubes: np.nda
     return out
 
 
+def _code(node: np.ndarray, cell: np.ndarray, side: np.int64) -> np.ndarray:
+    return ((node * side + cell[:, 0]) * side + cell[:, 1]) * side + cell[:, 2]
+
+
 def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     columns = lambda names: pdf[list(names)].to_numpy(float)
     return pdf["seq"].to_numpy(), columns(cube.AXES), pdf["path"].to_numpy(object), columns(CUBE_COLUMNS)
 
 
-def finish(live: DataFrame, depth: int, options: LodOptions, tasks: int, unit: tuple[str, ...] = ("path",)) -> DataFrame:
-    """All remaining levels for points whose units are small: ACCEPTED columns and `nested`, with depth -1 where the deepest level accepted none."""
+def finish(live: DataFrame, depth: int, options: LodOptions, tasks: int, unit: tuple[str, ...] = ("path",), owners: DataFrame | None = None) -> DataFrame:
+    """All remaining levels for points whose units are small: ACCEPTED columns and `nested`, with depth -1 where the deepest level accepted none.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = settle(*_arrays(pdf), depth, options.max_depth, options.grid)
-        out = pdf[list(POINT_COLUMNS)].assign(path=found.path, depth=found.depth)
-        for k, c in enumerate(CELL_COLUMNS):
-            out[c] = found.cell[:, k]
-        for k, c in enumerate(CUBE_COLUMNS):
-            out[c] = found.cubes[:, k]
-        return out.assign(nested=found.nested)
+    Units, with their owners, are dealt to tasks in one shuffle; a task settles all that it has at once. At the root no node needs to be sent."""
+    both, sent = owners is not None, () if depth == 0 else ("path", *CUBE_COLUMNS)
+    world = [float(v) for v in (options.world.x, options.world.y, options.world.z, options.world.size)]
 
-    dealt = live.select(*POINT_COLUMNS, "path", *CUBE_COLUMNS, F.pmod(F.xxhash64(*unit), F.lit(tasks)).alias("task"))
-    return dealt.groupBy("task").applyInPandas(run, f"{ACCEPTED}, nested boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows, owned = pa.Table.from_batches(held), None
+        if both:
+            own = pc.greater_equal(rows["own_depth"], 0)
+            stored, rows = rows.filter(own), rows.filter(pc.invert(own))
+            owned = Owned(_column(stored, "own_path"), _column(stored, "own_depth"), _columns(stored, OWN_COLUMNS[2:], np.int64))
+        n = rows.num_rows
+        paths = _column(rows, "path") if sent else np.full(n, "", object)
+        cubes = _columns(rows, CUBE_COLUMNS, float) if sent else np.tile(world, (n, 1))
+        found = settle(_column(rows, "seq"), _columns(rows, cube.AXES, float), paths, cubes, depth, options.max_depth, options.grid, owned)
+        columns = {c: rows[c].combine_chunks() for c in POINT_COLUMNS}
+        columns |= {"path": pa.array(found.path, pa.string()), "depth": pa.array(found.depth)} | {c: pa.array(found.cell[:, k]) for k, c in enumerate(CELL_COLUMNS)}
+        columns |= {c: pa.array(found.cubes[:, k]) for k, c in enumerate(CUBE_COLUMNS)} | {"nested": pa.array(found.nested)}
+        yield from pa.table(columns).to_batches(1 << 16)
+
+    rows = live.select(*POINT_COLUMNS, *dict.fromkeys((*sent, *unit)))
+    if both:
+        nothing = [F.lit("").alias("own_path"), F.lit(-1).alias("own_depth"), *(F.lit(0).alias(c) for c in OWN_COLUMNS[2:])]
+        place = [F.lit(0).cast(live.schema[c].dataType).alias(c) for c in POINT_COLUMNS]
+        rows = rows.select("*", *nothing).unionByName(owners.select(*place, *dict.fromkeys((*sent, *unit)), *OWN_COLUMNS))
+    return rows.repartition(tasks, *unit).mapInArrow(run, f"{ACCEPTED}, nested boolean")
+
+
+def _column(rows: pa.Table, name: str) -> np.ndarray:
+    return rows[name].to_numpy()
+
+
+def _columns(rows: pa.Table, names: tuple[str, ...], kind: type) -> np.ndarray:
+    return np.stack([_column(rows, c).astype(kind) for c in names], 1)
 
 
 def with_cells(live: DataFrame, grid: int) -> DataFrame:
@@ -142,6 +199,23 @@ def next_level(live: DataFrame, *more: Column) -> DataFrame:
     return live.select(*POINT_COLUMNS, *(c.alias(k) for k, c in moved.items()), *more)
 
 
+def owners_at_root(stored: DataFrame, options: LodOptions) -> DataFrame:
+    """Stored rows as owners, their walk at the root."""
+    own = [F.col(c).alias(o) for c, o in zip(("path", "depth", *CELL_COLUMNS), OWN_COLUMNS)]
+    return stored.select(*cube.AXES, *own, F.lit("").alias("path"), *(c.alias(k) for k, c in cube.world_columns(options.world).items()))
+
+
+def owners_below(owners: DataFrame, depth: int) -> DataFrame:
+    """Those that own nothing at this depth, one level on."""
+    moved = {"path": F.concat("path", cube.octant().cast("string")), **cube.child_of_point()}
+    return owners.where(F.col("own_depth") > depth).select(*cube.AXES, *OWN_COLUMNS, *(c.alias(k) for k, c in moved.items()))
+
+
+def owned_cells(owners: DataFrame, depth: int) -> DataFrame:
+    """path and cell of what is owned at a depth."""
+    return owners.where(F.col("own_depth") == depth).select(F.col("own_path").alias("path"), *(F.col(o).alias(c) for c, o in zip(CELL_COLUMNS, OWN_COLUMNS[2:])))
+
+
 def outside_cell_above(grid: int) -> Column:
     """Whether a point's cell is no part of its cell of the level above, above_<cell>."""
     octant = F.right("path", F.lit(1)).cast("int")
@@ -176,110 +250,237 @@ def common_levels(bounds: Row, options: LodOptions) -> tuple[str, list[float]]:
     return path, [*m, size]
 
 
-def _first_levels(live: DataFrame, path: str, end: list[float], options: LodOptions, kernel_rows: int) -> tuple[DataFrame, DataFrame]:
-    """What the levels above `path`, which holds all points, accept; and the rest, moved there."""
-    last = len(path) - 1
+def _free(firsts: DataFrame, owners: DataFrame | None, depth: int) -> DataFrame:
+    """The first points of cells that nobody owns."""
+    if owners is None:
+        return firsts
+    key = ["path", *CELL_COLUMNS]
+    return firsts.join(small(materialize(owned_cells(owners, depth)), depth + 76), key, "left_anti")
+
+
+def _first_levels(live: DataFrame, path: str, end: list[float], options: LodOptions, kernel_rows: int, owners: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None, bool] | None:
+    """What the levels above `path`, which holds all points, accept; the rest, moved there; the owners there; and whether the points' cells of these levels are parts of those above.
+
+    None if too much is owned in these levels to be sent to every task."""
+    last, spark, owned, above = len(path) - 1, live.sparkSession, None, None
+    if owners is not None:
+        above = materialize(owners.where((F.col("own_depth") <= last) & (F.col("own_path") == F.substring(F.lit(path), F.lit(1), F.col("own_depth")))))
+        if above.count() > SENT_OWNERS:
+            return None
+        rows = above.select(*OWN_COLUMNS).toPandas()
+        owned = spark.sparkContext.broadcast(Owned(rows["own_path"].to_numpy(object), rows["own_depth"].to_numpy(), rows[["ox", "oy", "oz"]].to_numpy(np.int64)))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
-            rows = b.to_pandas()
+            rows = b.to_pandas().assign(nested=True)
             held = rows if held is None else pd.concat([held, rows], ignore_index=True)
-            held = held[settle(*_arrays(held), 0, last, options.grid).depth >= 0]
+            found = settle(*_arrays(held), 0, last + 1, options.grid, owned and owned.value)
+            strange = held[~found.nested]
+            if len(strange):
+                yield pa.RecordBatch.from_pandas(strange.assign(nested=False), preserve_index=False)
+            held = held[(found.depth >= 0) & (found.depth <= last) & found.nested]
         if held is not None and len(held):
             yield pa.RecordBatch.from_pandas(held, preserve_index=False)
 
-    left = materialize(live.mapInArrow(candidates, live.schema))
+    left = materialize(live.mapInArrow(candidates, live.withColumn("nested", F.lit(True)).schema))
+    if not left.where("not nested").isEmpty():
+        return live, live, owners, False
+    left = left.drop("nested")
+    upper = replace(options, max_depth=last)
     if left.count() <= kernel_rows:
-        done = finish(left, 0, replace(options, max_depth=last), 1)
-        accepted = materialize(_accepted(done.where("depth >= 0"), F.col("depth")))
+        there = None if above is None else with_cells(above, options.grid).withColumn("path", F.lit(""))
+        accepted = materialize(_accepted(finish(left, 0, upper, 1, ("path",), there).where("depth >= 0"), F.col("depth")))
     else:
         taken = []
         for depth in range(len(path)):
             cells = with_cells(left, options.grid)
-            rows = materialize(flagged(cells, first_of_cells(cells)))
+            rows = materialize(flagged(cells, _free(first_of_cells(cells), above, depth)))
             taken.append(_accepted(rows.where("won"), depth))
             left = next_level(rows.where("not won"))
-        accepted = materialize(_union(taken, live.sparkSession, ACCEPTED))
+        accepted = materialize(_union(taken, spark, ACCEPTED))
     cubes = [F.lit(v).alias(c) for c, v in zip(CUBE_COLUMNS, end)]
     rest = live.join(small(accepted.select("seq"), 12), "seq", "left_anti").select(*POINT_COLUMNS, F.lit(path).alias("path"), *cubes)
-    return accepted, materialize(rest)
+    if owners is not None:
+        owners = owners.where((F.col("own_depth") > last) & F.col("own_path").startswith(path)).select(*cube.AXES, *OWN_COLUMNS, F.lit(path).alias("path"), *cubes)
+    return accepted, materialize(rest), owners, True
 
 
 def _union(parts: list[DataFrame], spark, schema: str) -> DataFrame:
-    out = spark.createDataFrame([], schema)
-    for p in parts:
+    if not parts:
+        return spark.createDataFrame([], schema)
+    out = parts[0]
+    for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
 def _apart(done: DataFrame) -> bool:
-    """Whether a point was met whose cells are no parts of those above."""
-    return not done.where("not nested").isEmpty()
+    """Whether no point was met whose cells are no parts of those above."""
+    return done.where("not nested").isEmpty()
+
+
+def _sizes(cells: DataFrame, owners: DataFrame | None, unit: tuple[str, ...], *more: Column) -> DataFrame:
+    """Of each unit: n points, `rows` with its owners, and more aggregates over the points."""
+    if owners is None:
+        return cells.groupBy(*unit).agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("rows"), *more)
+    # null columns stand for owners, which no aggregate but the count of rows sees
+    nulls = [F.lit(None).cast(cells.schema[c].dataType).alias(c) for c in cells.columns if c not in unit]
+    both = cells.unionByName(owners.select(*unit, *nulls))
+    return both.groupBy(*unit).agg(F.count("seq").alias("n"), F.count(F.lit(1)).alias("rows"), *more)
+
+
+def _thinned(live: DataFrame, options: LodOptions) -> tuple[DataFrame, DataFrame | None]:
+    """live without the points that come after max_depth + 1 others at their place, and those as dropped.
+
+    Equal points are counted, partial counts first; the limit of a run is a partial top of each task before anything is sent."""
+    most, place = options.max_depth + 1, list(cube.AXES)
+    runs = materialize(live.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*place))
+    if runs.isEmpty():
+        return live, None
+    runs = small(runs, 24)
+    first = live.join(runs, place, "left_semi").select(*place, "seq").withColumn("k", F.row_number().over(W.partitionBy(*place).orderBy("seq"))).where(F.col("k") <= most)
+    ends = small(materialize(first.groupBy(*place).agg(F.max("seq").alias("end"))), 32)
+    ended = live.join(ends, place, "left")
+    late = F.col("seq") > F.col("end")
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pdf = b.to_pandas()
+            if len(pdf):
+                places, at = np.unique(pdf[place].to_numpy(float), axis=0, return_inverse=True)
+                paths = np.array([deepest_path(p, options) for p in places.tolist()], object)
+                yield pa.RecordBatch.from_arrays([pa.array(pdf["seq"]), pa.array(paths[at.ravel()], pa.string())], names=["seq", "path"])
+
+    dropped = ended.where(late).select("seq", *place).mapInArrow(walked, "seq long, path string").select("seq", F.lit(MAX_DEPTH).alias("reason"), "path")
+    return materialize(ended.where(late.isNull() | ~late).select(*live.columns)), materialize(dropped)
+
 
+def deepest_path(point: list[float], options: LodOptions) -> str:
+    """The node of the deepest level that a point of the world lies in."""
+    path, m, size = "", [float(options.world.x), float(options.world.y), float(options.world.z)], float(options.world.size)
+    for _ in range(options.max_depth):
+        upper = [v >= c + size / 2 for v, c in zip(point, m)]
+        m, size = [c + size / 2 if u else c for c, u in zip(m, upper)], size / 2
+        path += str(sum(1 << k for k, u in enumerate(upper) if u))
+    return path
 
-def _by_units(live: DataFrame, depth: int, options: LodOptions, kernel_rows: int, unit: tuple[str, ...]) -> tuple[list[DataFrame], list[DataFrame]] | None:
+
+def _by_units(live: DataFrame, depth: int, options: LodOptions, kernel_rows: int, unit: tuple[str, ...], owners: DataFrame | None = None) -> tuple[list[DataFrame], list[DataFrame]] | None:
     """Steps 1 and 3 from a depth on: accepted and dropped; None if units of cells turn out not to be apart."""
     spark, accepted, dropped = live.sparkSession, [], []
     strange = F.lit(False)
     while True:
-        cells = with_cells(live, options.grid)
-        sizes = cells.groupBy(*unit).agg(F.count(F.lit(1)).alias("n"), F.count_if(strange).alias("strange"))
-        total, most, odd = sizes.agg(F.sum("n"), F.max("n"), F.sum("strange")).first()
+        cells = with_cells(live, options.grid).withColumn("strange", strange)
+        held = None if owners is None else with_cells(owners, options.grid)
+        sizes = materialize(_sizes(cells, held, unit, F.count_if("strange").alias("strange")).where("n > 0"))
+        total, most, odd = sizes.agg(F.sum("rows"), F.max("rows"), F.sum("strange")).first()
         if not total:
             break
         if len(unit) > 1 and odd:
             return None
         large, rest = None, cells
         if most > kernel_rows:
-            big = small(materialize(sizes.where(F.col("n") > kernel_rows).select(*unit)), depth + 76)
+            big = small(materialize(sizes.where(F.col("rows") > kernel_rows).select(*unit)), depth + 76)
             large, rest = cells.join(big, list(unit), "left_semi"), cells.join(big, list(unit), "left_anti")
+        near = None if held is None else held.join(small(materialize(sizes.where(F.col("rows") <= kernel_rows).select(*unit)), depth + 76), list(unit), "left_semi")
         tasks = max(spark.sparkContext.defaultParallelism, -(-total // kernel_rows))
-        done = materialize(finish(rest, depth, options, tasks, unit))
-        if len(unit) > 1 and _apart(done):
+        done = materialize(finish(rest, depth, options, tasks, unit, near))
+        if len(unit) > 1 and not _apart(done):
             return None
         accepted.append(_accepted(done.where("depth >= 0"), F.col("depth")))
         dropped.append(_dropped(done.where("depth < 0"), MAX_DEPTH))
         if large is None:
             break
-        rows = materialize(flagged(large, first_of_cells(large)))
+        far = None if held is None else materialize(held.join(big, list(unit), "left_semi"))
+        rows = materialize(flagged(large, _free(first_of_cells(large), far, depth)))
         accepted.append(_accepted(rows.where("won"), depth))
         left = rows.where("not won")
         if depth == options.max_depth:
             dropped.append(_dropped(left, MAX_DEPTH))
             break
+        owners = None if far is None else materialize(owners_below(far, depth))
         live, depth, strange = next_level(left, *(F.col(c).alias(f"above_{c}") for c in CELL_COLUMNS)), depth + 1, outside_cell_above(options.grid)
     return accepted, dropped
 
 
-def assign(points: DataFrame, options: LodOptions | None = None, kernel_rows: int = KERNEL_ROWS) -> Lod:
+def _touched(stored: DataFrame, seen: Row, options: LodOptions) -> DataFrame:
+    """Stored rows near the new points: their cells of the root lie between those of the points' bounds. With literals, so that files and row groups that lie elsewhere aren't read."""
+    size = options.world.size / options.grid
+    for a in cube.AXES:
+        low = getattr(options.world, a)
+        cells = [np.floor((seen[f"{end}_{a}"] - low) / size) for end in ("lo", "hi")]
+        # a cell more on either side, as rounding may move an edge
+        stored = stored.where((F.col(a) >= float(low + (cells[0] - 1) * size)) & (F.col(a) <= float(low + (cells[1] + 2) * size)))
+    return stored
+
+
+def bounds_of_world(options: LodOptions) -> list[Column]:
+    """Aggregates over points: n of those in the world, and where they begin and end."""
+    inside = F.coalesce(cube.inside_world(options.world), F.lit(False))
+    ends = [f(F.when(inside, F.col(a))).alias(f"{n}_{a}") for a in cube.AXES for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    return [F.count_if(inside).alias("n"), *ends]
+
+
+def assign(points: DataFrame, options: LodOptions | None = None, kernel_rows: int = KERNEL_ROWS, stored: DataFrame | None = None, apart: bool = True, bounds: Row | None = None, hold: Callable[[DataFrame], DataFrame] = materialize) -> Lod:
     """Assign every point to a node.
 
     points: the columns of model.POINT, seq unique and not null; further columns are ignored. Points outside the world, or
-    with a null or NaN coordinate, are dropped. kernel_rows changes how the work is done, never its result."""
+    with a null or NaN coordinate, are dropped. stored: accepted rows that came before all points and keep their cells; apart: what their results said of them.
+    bounds: bounds_of_world, where it is known. hold: what keeps a frame that is read several times. kernel_rows changes how the work is done, never its result."""
     options, spark = options or LodOptions(), points.sparkSession
     inside = F.coalesce(cube.inside_world(options.world), F.lit(False))
     outside = points.where(~inside).select("seq", F.lit(OUT_OF_BOUNDS).alias("reason"), F.lit("").alias("path"))
     live = at_root(points.where(cube.inside_world(options.world)), options)
     ends = [f(a).alias(f"{n}_{a}") for a in cube.AXES for f, n in ((F.min, "lo"), (F.max, "hi"))]
-    sizes = with_cells(live, options.grid).groupBy(*CELL_COLUMNS).agg(F.count(F.lit(1)).alias("n"), *ends)
     again = [f(f"{n}_{a}").alias(f"{n}_{a}") for a in cube.AXES for f, n in ((F.min, "lo"), (F.max, "hi"))]
-    seen = sizes.agg(F.sum("n").alias("n"), F.max("n").alias("most"), *again).first()
-    accepted, dropped = [], [outside]
-    if not seen["n"]:
-        return Lod(_union([], spark, ACCEPTED), _union(dropped, spark, DROPPED))
-    depth, unit = 0, ("path", *CELL_COLUMNS)
-    if seen["most"] <= kernel_rows:
-        tasks = max(spark.sparkContext.defaultParallelism, -(-seen["n"] // kernel_rows))
-        done = materialize(finish(with_cells(live, options.grid), 0, options, tasks, unit))
-        if not _apart(done):
-            return Lod(_accepted(done.where("depth >= 0"), F.col("depth")), _union([*dropped, _dropped(done.where("depth < 0"), MAX_DEPTH)], spark, DROPPED))
-        unit = ("path",)
-    live = materialize(live)
+    full = lambda c: F.when(F.col("n") > 0, F.col(c))
+    total = [F.sum("n").alias("n"), F.sum(full("rows")).alias("rows"), F.sum("rows").alias("all_rows"), F.max(full("rows")).alias("most"), F.count_if(F.col("n") > 0).alias("units"), *again]
+    nothing = lambda: Lod(_union([], spark, ACCEPTED), _union([outside], spark, DROPPED), True)
+    unit, owners = ("path", *CELL_COLUMNS), None
+    if stored is not None:
+        bounds = bounds or points.agg(*bounds_of_world(options)).first()
+        if not bounds["n"]:
+            return nothing()
+        owners = owners_at_root(_touched(stored, bounds, options) if apart else stored, options)
+        unit = unit if apart else ("path",)
+    dropped, written = [outside], False
+    for attempt in range(2):
+        cells = with_cells(live, options.grid)
+        held = None if owners is None else with_cells(owners, options.grid)
+        sizes = _sizes(cells, held, ("path", *CELL_COLUMNS), *ends)
+        seen = sizes.agg(*total).first()
+        if not seen["n"]:
+            return nothing()
+        if seen["most"] <= kernel_rows and len(unit) > 1:
+            tasks = max(spark.sparkContext.defaultParallelism, -(-seen["rows"] // kernel_rows))
+            if held is not None and seen["all_rows"] > 2 * seen["rows"]:
+                keys = materialize(sizes.where("n > 0").select(*unit))
+                held = held.join(F.broadcast(keys) if seen["units"] * 76 <= BROADCAST_BYTES else keys, list(unit), "left_semi")
+            done = hold(finish(cells, 0, options, tasks, unit, held))
+            if _apart(done):
+                return Lod(_accepted(done.where("depth >= 0"), F.col("depth")), _union([*dropped, _dropped(done.where("depth < 0"), MAX_DEPTH)], spark, DROPPED), True, done)
+            unit, owners = ("path",), None if stored is None else owners_at_root(stored, options)
+        if attempt or seen["most"] <= kernel_rows:
+            break
+        live, written = materialize(live), True
+        live, surplus = _thinned(live, options)
+        if surplus is None:
+            break
+        dropped.append(surplus)
+    live = live if written else materialize(live)
     path, end = common_levels(seen, options)
-    if path and seen["n"] > kernel_rows:
-        upper, live = _first_levels(live, path, end, options, kernel_rows)
-        accepted.append(upper)
-        depth = len(path)
-    found = _by_units(live, depth, options, kernel_rows, unit) or _by_units(live, depth, options, kernel_rows, ("path",))
-    return Lod(_union(accepted + found[0], spark, ACCEPTED), _union(dropped + found[1], spark, DROPPED))
+    first = None
+    if path and seen["n"] > kernel_rows and len(unit) > 1:
+        first = _first_levels(live, path, end, options, kernel_rows, owners)
+    if first is not None and first[3]:
+        upper, below, owners_there, _ = first
+        found = _by_units(below, len(path), options, kernel_rows, unit, owners_there)
+        if found is not None:
+            return Lod(_union([upper, *found[0]], spark, ACCEPTED), _union(dropped + found[1], spark, DROPPED))
+    elif first is None and len(unit) > 1:
+        found = _by_units(live, 0, options, kernel_rows, unit, owners)
+        if found is not None:
+            return Lod(_union(found[0], spark, ACCEPTED), _union(dropped + found[1], spark, DROPPED))
+    found = _by_units(live, 0, options, kernel_rows, ("path",), None if stored is None else owners_at_root(stored, options))
+    return Lod(_union(found[0], spark, ACCEPTED), _union(dropped + found[1], spark, DROPPED), False)

@@ -13,10 +13,15 @@ NODE = "path string, parent_path string, depth int, mx double, my double, mz dou
 
 def node_stats(accepted: DataFrame, options: LodOptions) -> DataFrame:
     """A row for each node. The root is one even if it accepted nothing; any other node accepted a point."""
-    root = accepted.sparkSession.range(1).select(F.lit("").alias("path"), F.lit(0).alias("depth"), *(c.alias(k) for k, c in cube.world_columns(options.world).items()), F.lit(0).cast("long").alias("n"))
-    own = accepted.select("path", "depth", *CUBE_COLUMNS, F.lit(1).cast("long").alias("n"))
+    return from_counts(accepted.select("path", "depth", *CUBE_COLUMNS, F.lit(1).cast("long").alias("n")), options)
+
+
+def from_counts(counts: DataFrame, options: LodOptions) -> DataFrame:
+    """The same of parts of counts, such as those that each commit of a store adds: path, depth, cube and n."""
+    root = counts.sparkSession.range(1).select(F.lit("").alias("path"), F.lit(0).alias("depth"), *(c.alias(k) for k, c in cube.world_columns(options.world).items()), F.lit(0).cast("long").alias("n"))
     # the cube is a function of the path
-    counted = own.unionByName(root).groupBy("path", "depth", *CUBE_COLUMNS).agg(F.sum("n").alias("point_count"))
+    counted = counts.select("path", "depth", *CUBE_COLUMNS, "n").unionByName(root).groupBy("path", "depth", *CUBE_COLUMNS).agg(F.sum("n").alias("point_count"))
+    counted = counted.where("point_count > 0 or depth = 0")
     parents = counted.where("depth > 0").select(parent_path(F.col("path")).alias("path")).distinct().withColumn("inner", F.lit(True))
     found = counted.join(parents, "path", "left")
     return found.select("path", parent_path(F.col("path")).alias("parent_path"), "depth", *CUBE_COLUMNS, "point_count", F.col("inner").isNull().alias("is_leaf"))

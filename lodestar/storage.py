@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -24,11 +25,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: For jobs side by side. Threads stay, since each has a connection to the JVM.
+beside = ThreadPoolExecutor(4, "lodestar")
+
 #: The folder of the scratch block that we are in.
 _scratch: ContextVar[str | None] = ContextVar("_scratch", default=None)
 
 
-def _hadoop(spark: SparkSession, path: str) -> tuple:
+def hadoop(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path, as Hadoop has them."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
@@ -42,7 +47,7 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         yield path
     finally:
         _scratch.reset(token)
-        filesystem, place = _hadoop(spark, path)
+        filesystem, place = hadoop(spark, path)
         filesystem.delete(place, True)
 
 
@@ -52,7 +57,7 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{within or checkpoint_dir(spark)}/lod-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if not within:
-        filesystem, place = _hadoop(spark, path)
+        filesystem, place = hadoop(spark, path)
         filesystem.deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,8 +1,8 @@
 """Incremental assignment: each micro-batch takes what earlier ones left free, so any split of a stream gives the batch result.
 
-At each depth, a cell that a committed batch owns blocks the new points; in the other cells the first new point wins. seq must exceed
-that of all earlier batches, else the batch fails. Stored rows are never shuffled: the cells of the batch are sent to them. What a batch
-materializes goes when it is done. A batch that Spark replays overwrites its own folder and reads only earlier ones, so it counts once.
+A cell that a committed batch owns stays its own; in the other cells the first new point wins. seq must exceed that of all earlier batches, else the batch fails.
+The rule itself takes the stored rows as owners of cells (`operators/lod`): those near the batch meet its points in one shuffle by cells of the root. What a batch
+materializes goes when it is done. A batch that Spark replays gets a new run in the place of its old one and reads only earlier ones, so it counts once.
 """
 
 from __future__ import annotations
@@ -10,78 +10,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..functions import cube
-from ..model import CELL_COLUMNS, POINT_COLUMNS, LodOptions
+from ..model import POINT_COLUMNS, LodOptions
 from ..operators import lod as rule
 from ..operators.batches import recent
 from ..sinks.store import Store
-from ..storage import materialize, scratch, small
-
-
-KEY = ["path", *CELL_COLUMNS]
-
-
-def assign_batch(points: DataFrame, stored: DataFrame, options: LodOptions) -> rule.Lod:
-    """points: a micro-batch; stored: the accepted points of all earlier ones.
-
-    The first point of a cell of the root is accepted there, so cells of the root that nothing stored owns are new ground, whose points are assigned as if
-    there were no others. The points of the other cells go level by level. If rounding lets the two meet, all go level by level."""
-    inside = F.coalesce(cube.inside_world(options.world), F.lit(False))
-    live = rule.with_cells(rule.at_root(points.where(inside), options), options.grid)
-    own = stored.where("depth = 0").select(*KEY).join(small(materialize(live.select(*KEY).distinct()), 76), KEY, "left_semi")
-    taken = small(materialize(own), 76)
-    if taken.isEmpty():
-        return rule.assign(points, options)
-    ground = materialize(live.join(taken, KEY, "left_anti").select(*POINT_COLUMNS).unionByName(points.where(~inside).select(*POINT_COLUMNS)))
-    new = rule.assign(ground, options)
-    rest = by_levels(live.join(taken, KEY, "left_semi").select(*POINT_COLUMNS), stored, options)
-    cells = small(materialize(new.accepted.select(*KEY)), options.max_depth + 76)
-    if not stored.select(*KEY).unionByName(rest.accepted.select(*KEY)).join(cells, KEY, "left_semi").isEmpty():
-        return by_levels(points, stored, options)
-    return rule.Lod(new.accepted.unionByName(rest.accepted), new.dropped.unionByName(rest.dropped))
-
-
-def by_levels(points: DataFrame, stored: DataFrame, options: LodOptions) -> rule.Lod:
-    """Level by level, until no point is left."""
-    inside = F.coalesce(cube.inside_world(options.world), F.lit(False))
-    dropped = [points.where(~inside).select("seq", F.lit(rule.OUT_OF_BOUNDS).alias("reason"), F.lit("").alias("path"))]
-    live, accepted = materialize(rule.at_root(points.where(cube.inside_world(options.world)), options)), []
-    for depth in range(options.max_depth + 1):
-        if live.isEmpty():
-            break
-        cells = rule.with_cells(live, options.grid)
-        first = materialize(rule.first_of_cells(cells))
-        taken = stored.where(F.col("depth") == depth).select(*KEY)
-        # the cells of the batch prune the stored rows, not the other way round
-        blocked = materialize(taken.join(small(first.select(*KEY), depth + 76), KEY, "left_semi"))
-        free = first.join(small(blocked, depth + 76), KEY, "left_anti")
-        rows = materialize(rule.flagged(cells, free))
-        accepted.append(rule._accepted(rows.where("won"), depth))
-        left = rows.where("not won")
-        if depth == options.max_depth:
-            dropped.append(rule._dropped(left, rule.MAX_DEPTH))
-        live = rule.next_level(left)
-    spark = points.sparkSession
-    return rule.Lod(rule._union(accepted, spark, rule.ACCEPTED), rule._union(dropped, spark, rule.DROPPED))
+from ..storage import beside, scratch
 
 
 def append(points: DataFrame, batch: int, store: Store, options: LodOptions, keep_recent: int = 300_000, compact_every: int | None = None) -> None:
-    """Assign one micro-batch and commit it, with the most recent points of all batches so far."""
-    with scratch(points.sparkSession):
-        own = materialize(points.select(*POINT_COLUMNS))
-        n, first, last = own.agg(F.count(F.lit(1)), F.min("seq"), F.max("seq")).first()
-        before = store.last_seq(batch)
-        if n and before is not None and first <= before:
-            raise ValueError(f"batch {batch} has seq {first}, but earlier batches reach {before}")
-        found = assign_batch(own, store.accepted(before=batch), options)
-        latest = recent(store.recent(batch).unionByName(own), keep_recent)
-        store.write(batch, found, n, latest, last if n else before)
-        if compact_every and len(store.batches_since_base()) > compact_every:
-            store.compact()
+    """Assign one micro-batch and commit it, with the most recent points of all batches so far.
+
+    The points are kept in memory and on disk until the commit; what is lost with an executor is read once more. The task that settles points writes them where they stay."""
+    own = points.select(*POINT_COLUMNS).persist()
+    try:
+        with scratch(points.sparkSession):
+            seen = own.agg(F.count(F.lit(1)).alias("points"), F.min("seq").alias("first"), F.max("seq").alias("last"), *rule.bounds_of_world(options)).first()
+            n, first, last = seen["points"], seen["first"], seen["last"]
+            before = store.last_seq(batch)
+            if n and before is not None and first <= before:
+                raise ValueError(f"batch {batch} has seq {first}, but earlier batches reach {before}")
+            draft = store.draft(batch)
+            latest = beside.submit(draft.put, "recent", _latest(own, n, first, last, store, batch, keep_recent))
+            found = rule.assign(own, options, stored=store.accepted(before=batch) if store.batches_before(batch) else None, apart=store.apart(batch), bounds=seen, hold=draft.settled)
+            latest.result()
+            draft.commit(found, n, last if n else before)
+            if compact_every and len(store.batches_since_base()) > compact_every:
+                store.compact()
+    finally:
+        own.unpersist()
+
+
+def _latest(own: DataFrame, n: int, first: int | None, last: int | None, store: Store, batch: int, keep: int) -> DataFrame:
+    """The `keep` points with the largest seq of all batches so far. Those of a batch come after all earlier ones."""
+    if n >= keep and n and last - first + 1 == n:
+        return own.where(F.col("seq") > last - keep)
+    if n >= keep:
+        return recent(own, keep)
+    return recent(store.recent(batch), keep - n).unionByName(own)
 
 
 def progress(store: Store) -> DataFrame:
-    """A row for each commit: points so far, accepted and dropped so far, nodes are in `nodes.summary`; and points a second since the commit before."""
+    """A row for each commit: points so far, accepted and dropped so far, and points a second since the commit before."""
     w = W.orderBy("batch_id")
     so_far = [F.sum(c).over(w).alias(c) for c in ("points", "accepted", "dropped")]
     # a row for each batch, so that one task may hold them
