@@ -35,7 +35,7 @@ def _wide_id(path: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(StringType())
-def path_of_id_column(node: pd.Series) -> pd.Series:
+def _wide_path(node: pd.Series) -> pd.Series:
     return node.map(lambda i: None if i is None else path_of_id(int(i)))
 
 
@@ -47,6 +47,17 @@ def node_id(path: Column, max_depth: int) -> Column:
     return (F.coalesce(F.conv(F.nullif(path, F.lit("")), 8, 10).cast("long"), F.lit(0)) + first).cast("string")
 
 
+def node_path(node: Column, max_depth: int) -> Column:
+    """The path of an id as text, computed where node_id is. Null for what is no id."""
+    if max_depth > LONG_DEPTH:
+        return _wide_path(node)
+    number = node.try_cast("long")
+    # the levels whose first id is not above it, but for the root's
+    depth = F.size(F.filter(F.array(*(F.lit((8**d - 1) // 7) for d in range(1, LONG_DEPTH + 1))), lambda first: first <= number))
+    first = F.element_at(F.array(*(F.lit((8**d - 1) // 7) for d in range(LONG_DEPTH + 1))), depth + 1)
+    return F.when(number == 0, "").when(number > 0, F.lpad(F.conv((number - first).cast("string"), 10, 8), depth, "0"))
+
+
 def parent_path(path: Column) -> Column:
     """Null for the root."""
     return F.when(F.length(path) > 0, F.substring(path, F.lit(1), F.length(path) - 1))

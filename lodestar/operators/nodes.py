@@ -76,6 +76,26 @@ def ancestors(nodes: DataFrame, path: str) -> DataFrame:
     return nodes.where(F.col("path").isin([path[:k] for k in range(len(path) + 1)]))
 
 
+def prefixes(path: Column) -> Column:
+    """The paths from the root to a node, itself included."""
+    return F.transform(F.sequence(F.lit(0), F.length(path)), lambda k: F.substring(path, F.lit(1), k))
+
+
+def ancestors_of(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For each path of wanted, the rows of the nodes above it and of itself, as columns of nodes beside `of`: paths are spread into their prefixes, which are keys of a join."""
+    above = wanted.select(F.col("path").alias("of"), F.explode(prefixes(F.col("path"))).alias("path"))
+    return above.join(nodes, "path").select("of", *nodes.columns)
+
+
+def subtree_totals(nodes: DataFrame) -> DataFrame:
+    """path, point_count, and of the subtree below and with each node: points, nodes and the deepest level.
+
+    Every node adds itself to each of its ancestors; partial sums come before the shuffle, so the root gets a row from each task and not one from each node."""
+    spread = nodes.select(F.explode(prefixes(F.col("path"))).alias("path"), F.col("path").alias("of"), "point_count", "depth")
+    own = F.sum(F.when(F.col("of") == F.col("path"), F.col("point_count")))
+    return spread.groupBy("path").agg(own.alias("point_count"), F.sum("point_count").alias("subtree_points"), F.count(F.lit(1)).alias("subtree_nodes"), F.max("depth").alias("deepest")).where("point_count is not null")
+
+
 def level_histogram(accepted: DataFrame, dropped: DataFrame | None = None) -> DataFrame:
     """depth and how many points each level accepted."""
     return accepted.groupBy("depth").agg(F.count(F.lit(1)).alias("accepted"))

@@ -41,6 +41,13 @@ pts AS (SELECT event_id AS seq, (user_id % 97)::DOUBLE AS x, (user_id % 89)::DOU
 VECTORS = "pts AS (SELECT vec_id AS seq, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"
 
 
+#: A third of the points at one place.
+EQUAL = """
+pts AS (SELECT event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 40.25::DOUBLE ELSE (user_id % 97)::DOUBLE END AS x, CASE WHEN event_id % 3 = 0 THEN 41.5::DOUBLE ELSE (user_id % 89)::DOUBLE END AS y,
+               CASE WHEN event_id % 3 = 0 THEN 42.75::DOUBLE ELSE abs(value) % 100 END AS z FROM events)
+"""
+
+
 def _number(v: float) -> str:
     return f"({float(v)!r})::DOUBLE"
 
@@ -199,5 +206,13 @@ ORACLE_SQL: dict[str, str] = {
     "node_paths": f"{_node_tables(EVENTS)} SELECT {_ID} AS id, path FROM nodes",
     "text_cartesian": "SELECT o_orderkey::DOUBLE AS x, o_totalprice::DECIMAL(18,2)::DOUBLE AS y, -1.5::DOUBLE AS z, (o_orderkey % 256)::INT AS r, 7 AS g, 255 AS b FROM orders",
     "text_geodetic": f"WITH {_PLACES} SELECT round((lon - lon0) * {METRES_PER_DEGREE!r}::DOUBLE * cos(radians(lat0)), 4) AS x, round((lat - lat0) * {METRES_PER_DEGREE!r}::DOUBLE, 4) AS y, round(z, 4) AS z, 1 AS r, 2 AS g, 3 AS b FROM pl, c",
+    "leaf_ancestors": f"{_node_tables(EVENTS)} SELECT leaf.path AS of, n.path, n.point_count FROM nodes leaf JOIN nodes n ON starts_with(leaf.path, n.path) WHERE leaf.is_leaf",
+    "subtree_totals": f"{_node_tables(EVENTS)} SELECT n.path, n.point_count, sum(b.point_count)::BIGINT AS subtree_points, count(*) AS subtree_nodes, max(b.depth) AS deepest FROM nodes n JOIN nodes b ON starts_with(b.path, n.path) GROUP BY n.path, n.point_count",
+    "lod_equal_points": f"{_levels(EVENTS, EQUAL)} SELECT seq, 'accepted' AS state, path FROM acc UNION ALL SELECT seq, 'max_depth', path FROM lv WHERE rn > 1 AND d = {EVENTS.max_depth} UNION ALL SELECT seq, 'out_of_bounds', '' FROM pts WHERE NOT ({_inside(0.0, 128.0)})",
+    "lod_many_batches": f"{_levels(EVENTS)} SELECT seq, d AS depth, path, cx, cy, cz FROM acc",
+    "nodes_by_deltas": f"{_node_tables(EVENTS)} SELECT path, parent_path, depth, point_count, is_leaf FROM nodes",
+    "replaced_node": f"{_levels(EVENTS)} SELECT seq, d AS depth, path FROM acc WHERE path <> '1' AND (path <> '0' OR seq % 4 = 0)",
+    "replaced_counts": f"{_levels(EVENTS)} SELECT path, d AS depth, count(*) AS points FROM acc WHERE path <> '1' AND (path <> '0' OR seq % 4 = 0) GROUP BY path, d",
+    "stored_dropped": f"{_levels(_CORNER_OPTIONS, POINTS.replace('event_id AS seq', 'event_id + CASE WHEN event_id % 100 < 50 THEN 0 ELSE 1000000000 END AS seq'))} SELECT 'max_depth' AS reason, count(*) AS n FROM lv WHERE rn > 1 AND d = 2 HAVING count(*) > 0 UNION ALL SELECT 'out_of_bounds', count(*) FROM pts WHERE NOT ({_inside(CORNER.x, CORNER.size)}) HAVING count(*) > 0",
     "stored_node": f"{_levels(EVENTS)} SELECT acc.seq, acc.x, acc.y, acc.z, r, g, b FROM acc JOIN pts ON pts.seq = acc.seq WHERE acc.path = '0'",
 }

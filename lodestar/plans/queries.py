@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import cube, geo, surface, vessel
 from ..functions.clock import clock_points
-from ..functions.ids import etag, node_id, path_of_id_column
+from ..functions.ids import etag, node_id, node_path
 from ..model import LodOptions, World
 from ..operators import batches, lod, nodes
 from ..sinks import pnts, records
@@ -136,8 +136,27 @@ def node_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def node_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes above and at the first deepest one."""
     found = _nodes(spark, sf_dir)
-    deepest = found.agg(F.min_by("path", F.struct(-F.col("depth"), F.col("path"))).alias("deepest"))
-    return found.join(F.broadcast(deepest), F.col("deepest").startswith(F.col("path"))).select("path", "depth", "point_count")
+    deepest = found.agg(F.min_by("path", F.struct(-F.col("depth"), F.col("path"))).alias("path"))
+    return nodes.ancestors_of(found, deepest).select("path", "depth", "point_count")
+
+
+def leaf_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every leaf, the nodes from the root to it."""
+    found = _nodes(spark, sf_dir)
+    return nodes.ancestors_of(found, found.where("is_leaf")).select("of", "path", "point_count")
+
+
+def subtree_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes.subtree_totals(_nodes(spark, sf_dir)).select("path", "point_count", "subtree_points", "subtree_nodes", "deepest")
+
+
+def lod_equal_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of all points at one place, where tasks are so small that the run of equal points is cut."""
+    same = lambda c, v: F.when(F.col("seq") % 3 == 0, F.lit(v)).otherwise(F.col(c)).alias(c)
+    points = event_points(spark, sf_dir).select("seq", same("x", 40.25), same("y", 41.5), same("z", 42.75), "r", "g", "b")
+    found = lod.assign(points, EVENTS, kernel_rows=1024)
+    kept = found.accepted.select("seq", F.lit("accepted").alias("state"), "path")
+    return kept.unionByName(found.dropped.select("seq", F.col("reason").alias("state"), "path"))
 
 
 def node_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,6 +319,44 @@ def lod_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, sf_dir, 3, compact_every=1).accepted().select("seq", "depth", "path", "cx", "cy", "cz")
 
 
+def lod_many_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven batches, compacted now and then."""
+    return _stored(spark, sf_dir, 7, compact_every=3).accepted().select("seq", "depth", "path", "cx", "cy", "cz")
+
+
+def nodes_by_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of a store, by what each commit added to their counts."""
+    store = _stored(spark, sf_dir, 3, compact_every=1)
+    return nodes.from_counts(store.node_counts(), EVENTS).select("path", "parent_path", "depth", "point_count", "is_leaf")
+
+
+def _replaced(spark: SparkSession, sf_dir: str) -> Store:
+    """A store whose node 0 got a new set twice, and whose node 1 was emptied; the older replacement is part of the base."""
+    store = _stored(spark, sf_dir, 2)
+    store.replace(store.node_points("0").where("seq % 2 = 0"), spark.createDataFrame([("1",)], "path string"))
+    store.replace(store.node_points("0").where("seq % 4 = 0"))
+    return store
+
+
+def replaced_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replaced(spark, sf_dir).accepted().select("seq", "depth", "path")
+
+
+def replaced_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of nodes after replacements and a compaction."""
+    store = _replaced(spark, sf_dir)
+    store.compact()
+    return store.node_counts().select("path", "depth", F.col("n").alias("points"))
+
+
+def stored_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store says of the points that no level took or that lie outside the world, over two batches."""
+    options, store, points = LodOptions(CORNER, 8, 2), Store(spark, _folder(spark)), event_points(spark, sf_dir)
+    for k in range(2):
+        ingest.append(points.where(f"seq % 100 {'<' if k == 0 else '>='} 50").withColumn("seq", F.col("seq") + F.lit(k * 10**9)), k, store, options, 100)
+    return store.dropped().groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def ingest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.progress(_stored(spark, sf_dir, 2)).select("batch_id", "points", "accepted", "dropped")
 
@@ -348,7 +405,7 @@ def export_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def node_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From ids back to paths."""
-    return node_ids(spark, sf_dir).select("id", path_of_id_column("id").alias("path"))
+    return node_ids(spark, sf_dir).select("id", node_path(F.col("id"), EVENTS.max_depth).alias("path"))
 
 
 def text_cartesian(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,6 +432,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         node_stats, node_children, node_children_list, leaf_nodes, node_order, node_ancestors, node_ids, node_etags, logical_root, emitted_nodes, trimmed_points, tile_box, tile_documents,
         rtc_offsets, tile_bytes, geodetic_centroid, enu_project, ecef_matrix, ecef_points, wave_surface, elevation_colour, hex_colour, survey_batches, recent_points, recent_centroid,
         recent_with_clock, clock_digits, batch_numbers, text_parse, vessel_corners, stored_node,
-        lod_level_loop, lod_first_levels, lod_incremental, ingest_progress, stored_recent, record_files, tile_points, exported_documents, export_stats, node_paths, text_cartesian, text_geodetic, vessel_edges,
+        lod_level_loop, lod_first_levels, lod_incremental, ingest_progress, stored_recent, record_files, tile_points, exported_documents, export_stats, node_paths, leaf_ancestors, subtree_totals, lod_equal_points, lod_many_batches, nodes_by_deltas, replaced_node, replaced_counts, stored_dropped, text_cartesian, text_geodetic, vessel_edges,
     )
 }

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import threading
+import uuid
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from ..operators.batches import recent_centroid
 from ..sinks import pnts, records
 from ..sinks.store import Store
 from ..sinks.tileset import documents, with_transform
-from ..storage import materialize
+from ..storage import checkpoint_dir, hadoop
 
 
 class TileService:
@@ -32,17 +33,25 @@ class TileService:
 
     def __init__(self, store: Store, options: LodOptions, reference: GeoReference | None = None):
         self.store, self.options, self.reference = store, options, reference
-        self._lock, self._batch, self._nodes, self._root = threading.Lock(), None, None, ""
+        self._lock, self._version, self._nodes, self._root = threading.Lock(), None, None, ""
+        #: Folders of the nodes, and of those before.
+        self._at = self._before = None
 
-    def _refresh(self) -> int:
+    def _refresh(self) -> None:
+        """The nodes as of the last commit: sums over what commits added to their counts, so no points are read. Requests under way keep the nodes before."""
         with self._lock:
-            batches = self.store.batches()
-            last = batches[-1] if batches else -1
-            if last != self._batch:
-                self._nodes = materialize(node_operators.node_stats(self.store.accepted(), self.options))
-                self._root = node_operators.logical_root(self._nodes).first()["path"]
-                self._batch = last
-            return last
+            version = self.store.manifest().version
+            if version != self._version:
+                spark, old = self.store.spark, self._at
+                self._at = f"{checkpoint_dir(spark)}/served-{uuid.uuid4().hex}"
+                node_operators.from_counts(self.store.node_counts(), self.options).sortWithinPartitions("path").write.parquet(self._at)
+                filesystem, place = hadoop(spark, self._at)
+                filesystem.deleteOnExit(place)
+                nodes = spark.read.schema(node_operators.NODE).parquet(self._at)
+                self._root, self._nodes, self._version = node_operators.logical_root(nodes).first()["path"], nodes, version
+                if self._before is not None:
+                    hadoop(spark, self._before)[0].delete(hadoop(spark, self._before)[1], True)
+                self._before = old
 
     def _document(self, path: str) -> str | None:
         near = self._nodes.where((F.col("path") == path) | (F.col("parent_path") == path))
@@ -63,7 +72,7 @@ class TileService:
         return row and (f'"{id_of_path(path)}-{row["point_count"]}"', tuple(row[c] for c in CUBE_COLUMNS))
 
     def content(self, path: str, cube: tuple) -> bytes:
-        rows = self.store.node_points(path, self._batch + 1).select(*POINT_COLUMNS).toPandas()
+        rows = self.store.node_points(path).select(*POINT_COLUMNS).toPandas()
         return pnts.encode(cube, rows[["x", "y", "z"]].to_numpy(), rows[["r", "g", "b"]].to_numpy())
 
     def recent(self) -> bytes:
