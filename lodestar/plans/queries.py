@@ -358,7 +358,47 @@ def stored_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.progress(_stored(spark, sf_dir, 2)).select("batch_id", "points", "accepted", "dropped")
+    return ingest.progress(_stored(spark, sf_dir, 2)).select("batch_id", "points", "accepted", "dropped", "nodes")
+
+
+def commit_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine micro-batches, the commits of which wait for 3,000 points, the last ones for the end."""
+    store, points = Store(spark, _folder(spark)), event_points(spark, sf_dir)
+    low, high = points.agg(F.min("seq"), F.max("seq")).first()
+    step = (high - low) // 9 + 1
+    for k in range(9):
+        ingest.append_grouped(points.where(F.col("seq").between(low + k * step, low + (k + 1) * step - 1)), k, store, EVENTS, 3000, 700)
+    ingest.flush(store, EVENTS, 700)
+    return store.commits().select("batch_id", "points", "accepted")
+
+
+def _text_stream(spark: SparkSession, sf_dir: str) -> Store:
+    """Events as text files that appear one after the other in a folder, taken in by a stream, with its progress."""
+    folder, points = _folder(spark), event_points(spark, sf_dir)
+    low, high = points.agg(F.min("seq"), F.max("seq")).first()
+    step = (high - low) // 3 + 1
+    line = F.concat_ws(" ", *(F.col(c).cast("string") for c in "xyzrgb")).alias("easting northing depth r g b")
+    for k in range(3):
+        part = points.where(F.col("seq").between(low + k * step, low + (k + 1) * step - 1)).coalesce(1).sortWithinPartitions("seq")
+        part.select(line).write.mode("append").option("header", True).option("quote", "").csv(f"{folder}/in")
+    store = Store(spark, f"{folder}/store")
+    log = ingest.ProgressLog(store, 0)
+    spark.streams.addListener(log)
+    try:
+        ingest.ingest_text(spark, f"{folder}/in", store, EVENTS, f"{folder}/checkpoint", files_per_trigger=1, keep_recent=700).trigger(availableNow=True).start().awaitTermination()
+        log.wait()
+    finally:
+        spark.streams.removeListener(log)
+    return store
+
+
+def text_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_stream(spark, sf_dir).accepted().select("x", "y", "z", "r", "g", "b", "depth", "path")
+
+
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points so far at the end of each micro-batch, as the listener heard of them."""
+    return _text_stream(spark, sf_dir).progress().select("batch_id", "points")
 
 
 def stored_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -432,6 +472,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         node_stats, node_children, node_children_list, leaf_nodes, node_order, node_ancestors, node_ids, node_etags, logical_root, emitted_nodes, trimmed_points, tile_box, tile_documents,
         rtc_offsets, tile_bytes, geodetic_centroid, enu_project, ecef_matrix, ecef_points, wave_surface, elevation_colour, hex_colour, survey_batches, recent_points, recent_centroid,
         recent_with_clock, clock_digits, batch_numbers, text_parse, vessel_corners, stored_node,
-        lod_level_loop, lod_first_levels, lod_incremental, ingest_progress, stored_recent, record_files, tile_points, exported_documents, export_stats, node_paths, leaf_ancestors, subtree_totals, lod_equal_points, lod_many_batches, nodes_by_deltas, replaced_node, replaced_counts, stored_dropped, text_cartesian, text_geodetic, vessel_edges,
+        lod_level_loop, lod_first_levels, lod_incremental, ingest_progress, stored_recent, record_files, tile_points, exported_documents, export_stats, node_paths, leaf_ancestors, subtree_totals, lod_equal_points, lod_many_batches, nodes_by_deltas, replaced_node, replaced_counts, stored_dropped, commit_cadence, text_stream, stream_progress, text_cartesian, text_geodetic, vessel_edges,
     )
 }

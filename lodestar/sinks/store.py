@@ -21,7 +21,8 @@ from ..model import CUBE_COLUMNS, POINT
 from ..operators.lod import ACCEPTED, DROPPED, MAX_DEPTH, Lod
 from ..storage import beside, hadoop, materialize, small
 
-COMMIT = "batch_id long, points long, accepted long, dropped long, nodes long, written timestamp, last_seq long"
+COMMIT = "batch_id long, points long, accepted long, dropped long, nodes long, new_nodes long, written timestamp, last_seq long"
+PROGRESS = "batch_id long, points long, elapsed_ms long, points_per_second double"
 COUNTS = "path string, depth int, mx double, my double, mz double, sz double, n long"
 _SCHEMAS = {"accepted": f"{ACCEPTED}, version long", "dropped": DROPPED, "counts": COUNTS, "replaced": "path string, version long", "recent": POINT}
 #: Rows of a file, and bytes of a row group.
@@ -208,6 +209,46 @@ class Store:
     def _counted(rows: DataFrame) -> DataFrame:
         return rows.groupBy("path", "depth", *CUBE_COLUMNS).agg(F.count(F.lit(1)).alias("n"))
 
+    def last_batch(self) -> int | None:
+        return max((r.batch for r in self._runs() if r.batch is not None), default=None)
+
+    def put_pending(self, points: DataFrame, batch: int) -> dict[int, int]:
+        """Points that wait for a commit, in the place of those of the same batch; returns how many wait, by batch. The small file that names them is written last."""
+        name = f"{batch}-{uuid.uuid4().hex}"
+        points.write.option("compression", "zstd").parquet(self._path("pending", "rows", name))
+        rows = self.spark.read.schema(POINT).parquet(self._path("pending", "rows", name))
+        n, last = rows.agg(F.count(F.lit(1)), F.max("seq")).first()
+        self._put(json.dumps({"name": name, "points": n, "last_seq": last}), "pending", "batches", f"{batch:012d}.json")
+        return {b: p["points"] for b, p in self.pending().items()}
+
+    def pending(self) -> dict[int, dict]:
+        """What waits, by batch; what a commit holds already doesn't."""
+        last = self.last_batch()
+        found = {int(n.removesuffix(".json")): n for n in self._names("pending/batches")}
+        return {b: json.loads(self._get("pending", "batches", n)) for b, n in found.items() if last is None or b > last}
+
+    def pending_seq(self, before: int) -> int | None:
+        return max((p["last_seq"] for b, p in self.pending().items() if b < before and p["last_seq"] is not None), default=None)
+
+    def pending_points(self) -> DataFrame:
+        folders = [self._path("pending", "rows", p["name"]) for p in self.pending().values()]
+        return self.spark.read.schema(POINT).parquet(*folders) if folders else self.spark.createDataFrame([], POINT)
+
+    def drop_pending(self, through: int) -> None:
+        """Remove what waited for batches up to one."""
+        for kind in ("batches", "rows"):
+            for name in self._names(f"pending/{kind}"):
+                if int(name.removesuffix(".json").split("-")[0]) <= through:
+                    filesystem, place = hadoop(self.spark, self._path("pending", kind, name))
+                    filesystem.delete(place, True)
+
+    def put_progress(self, row: dict) -> None:
+        self._put(json.dumps(row), "progress", f"{row['batch_id']:012d}.json")
+
+    def progress(self) -> DataFrame:
+        """What a ProgressLog wrote."""
+        return self.spark.read.schema(PROGRESS).json(self._path("progress")) if self._names("progress") else self.spark.createDataFrame([], PROGRESS)
+
     def draft(self, batch: int) -> Draft:
         before = self.manifest()
         return Draft(self, before, Run(f"{batch}-{uuid.uuid4().hex}", before.version + 1, "batch", batch))
@@ -281,9 +322,13 @@ class Draft:
         rows = self.store.spark.read.schema(ACCEPTED).parquet(self.store._path("runs", self.run.name, "accepted")).where("depth >= 0")
         nodes = self.put("counts", self.store._counted(rows))
         lost.result()
+        # the nodes that had no points before this batch
+        known = [r for r in self.before.runs if r.batch is None or r.batch < self.run.batch]
+        mine = self.store._read("counts", [self.run]).where("depth > 0").select("path")
+        new = mine.join(self.store._read("counts", known).groupBy("path").agg(F.sum("n").alias("n")).where("n > 0"), "path", "left_anti").count() if known else mine.count()
         kept = self.store._read("counts", [self.run]).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         batch, written_at = self.run.batch, time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime())
-        row = {"batch_id": batch, "points": points, "accepted": kept, "dropped": points - kept, "nodes": nodes, "written": f"{written_at}.{time.time_ns() // 1000 % 1_000_000:06d}Z", "last_seq": last_seq}
+        row = {"batch_id": batch, "points": points, "accepted": kept, "dropped": points - kept, "nodes": nodes, "new_nodes": new, "written": f"{written_at}.{time.time_ns() // 1000 % 1_000_000:06d}Z", "last_seq": last_seq}
         self.store._put(json.dumps(row), "commits", f"{batch:012d}.json")
         run = replace(self.run, last_seq=last_seq, apart=lod.apart)
         self.store._commit(self.before, [*(r for r in self.before.runs if not (r.kind == "batch" and r.batch == batch)), run])

@@ -22,22 +22,50 @@ def _bytes(text: str) -> int:
     return int(float(number[:-1]) * (1 << units[number[-1]])) if number[-1] in units else int(number)
 
 
-def numbered_lines(spark: SparkSession, path: str | list[str], header: bool) -> DataFrame:
-    """file, seq and value of every line that isn't blank, without the first line of each file if header.
+def _lines(reader, path: str | list[str], header: bool) -> DataFrame:
+    """value of every line, with the file, where its split of the file begins, and the file's size."""
+    lines = reader.option("header", header).option("sep", "\x01").option("quote", "").option("escape", "").option("maxCharsPerColumn", -1).schema("value string").csv(path)
+    # names as Spark lists them, which writes them in one way
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"), "value")
+
+
+def _numbered(read: DataFrame, files: DataFrame, first: int = 0) -> DataFrame:
+    """file, seq and value of lines in order of file names and places: of a static frame of _lines, of which files (file, size) lists the files.
 
-    seq orders lines by file name, then by place in the file. It is computed in the scan itself: a split of a file has an
-    ordinal, since splits begin at least `step` bytes apart, and rows of a split keep their order within a task."""
-    reader = spark.read.option("header", header).option("sep", "\x01").option("quote", "").option("escape", "").option("maxCharsPerColumn", -1)
-    lines = reader.schema("value string").csv(path)
+    A split of a file has an ordinal, from `first` on, since splits begin at least `step` bytes apart, and rows of a split keep their order within a task."""
+    spark = read.sparkSession
     step = min(_bytes(spark.conf.get(f"spark.sql.files.{k}")) for k in ("maxPartitionBytes", "openCostInBytes"))
-    # listed by Spark, which writes names in one way
-    plain = F.col("_metadata.file_path")
-    listed = spark.read.format("binaryFile").load(path).select(plain.alias("file"), (F.floor(F.col("_metadata.file_size") / step) + 1).cast("long").alias("splits"))
+    listed = files.select("file", (F.floor(F.col("size") / step) + 1).cast("long").alias("splits"))
     places = small(materialize(running_starts(listed, "file", "splits", "ordinal").select("file", "ordinal")), 160)
-    read = lines.select(plain.alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), "value")
-    split = F.col("ordinal") + F.floor(F.col("start") / step).cast("long")
+    split = F.lit(first) + F.col("ordinal") + F.floor(F.col("start") / step).cast("long")
     seq = F.shiftleft(split, ROW_BITS) + F.col("row").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    return read.join(places, "file").where(F.trim("value") != "").select("file", seq.alias("seq"), "value")
+    return read.withColumn("row", F.monotonically_increasing_id()).join(places, "file").where(F.trim("value") != "").select("file", seq.alias("seq"), "value")
+
+
+def numbered_lines(spark: SparkSession, path: str | list[str], header: bool) -> DataFrame:
+    """file, seq and value of every line that isn't blank, without the first line of each file if header. seq is computed in the scan itself."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
+    return _numbered(_lines(spark.read, path, header), files)
+
+
+def stream_lines(spark: SparkSession, folder: str, header: bool = False, files_per_trigger: int | None = None) -> DataFrame:
+    """A stream of the lines of text files as they appear in a folder. Spark's own file source reads them, so any file system will do, and its log knows which were read.
+
+    `points_of_batch` makes points of a micro-batch."""
+    reader = spark.readStream if files_per_trigger is None else spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
+    return _lines(reader, folder, header)
+
+
+def points_of_batch(lines: DataFrame, after: int | None, names: tuple[str, str, str] = ("x", "y", "z"), origin: tuple[float, float] | None = None) -> DataFrame:
+    """Points of a micro-batch of stream_lines, in order of file names and places, all with a seq above `after`; a batch that comes again has the same ones.
+
+    origin: of geodetic files, the longitude and latitude around which to project; a stream has no centroid before it ends. What can't be parsed fails the batch, with its file and text."""
+    first = 0 if after is None else (after >> ROW_BITS) + 1
+    files = lines.groupBy("file").agg(F.max("size").alias("size"))
+    rows = parse_lines(_numbered(lines, files, first), names if origin is None else ("lon", "lat", "z"))
+    if origin is None:
+        return rows
+    return project(rows, rows.sparkSession.range(1).select(F.lit(float(origin[0])).alias("lon0"), F.lit(float(origin[1])).alias("lat0")))
 
 
 def _checked(value: Column, file: Column) -> Column:

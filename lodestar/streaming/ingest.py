@@ -7,13 +7,18 @@ materializes goes when it is done. A batch that Spark replays gets a new run in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
-from pyspark.sql.streaming import DataStreamWriter
+import threading
+import time
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 
 from ..model import POINT_COLUMNS, LodOptions
 from ..operators import lod as rule
 from ..operators.batches import recent
 from ..sinks.store import Store
+from ..sources.text import points_of_batch, stream_lines
 from ..storage import beside, scratch
 
 
@@ -49,15 +54,103 @@ def _latest(own: DataFrame, n: int, first: int | None, last: int | None, store:
     return recent(store.recent(batch), keep - n).unionByName(own)
 
 
+def append_grouped(points: DataFrame, batch: int, store: Store, options: LodOptions, every: int, keep_recent: int = 300_000, compact_every: int | None = None) -> bool:
+    """Take a micro-batch into the log of pending points; once at least `every` points are pending, which is looked at when a batch ends, commit all of them as this batch.
+
+    A batch that comes again replaces its own points in the log, or does nothing if it was committed. Returns whether it committed."""
+    if (last := store.last_batch()) is not None and batch <= last:
+        return False
+    pending = store.put_pending(points.select(*POINT_COLUMNS), batch)
+    if sum(pending.values()) < every:
+        return False
+    flush(store, options, keep_recent, compact_every)
+    return True
+
+
+def flush(store: Store, options: LodOptions, keep_recent: int = 300_000, compact_every: int | None = None) -> None:
+    """Commit what is pending, if anything is."""
+    pending = store.pending()
+    if pending:
+        append(store.pending_points(), max(pending), store, options, keep_recent, compact_every)
+        store.drop_pending(max(pending))
+
+
 def progress(store: Store) -> DataFrame:
-    """A row for each commit: points so far, accepted and dropped so far, and points a second since the commit before."""
+    """A row for each commit: points, accepted, dropped and nodes so far, and points a second since the commit before. The root counts as a node from the start."""
     w = W.orderBy("batch_id")
     so_far = [F.sum(c).over(w).alias(c) for c in ("points", "accepted", "dropped")]
     # a row for each batch, so that one task may hold them
     seconds = F.col("written").cast("double") - F.lag("written").over(w).cast("double")
-    return store.commits().select("batch_id", *so_far, "written", (F.col("points") / F.nullif(seconds, F.lit(0.0))).alias("points_per_second"))
+    return store.commits().select("batch_id", *so_far, (F.sum("new_nodes").over(w) + 1).alias("nodes"), "written", (F.col("points") / F.nullif(seconds, F.lit(0.0))).alias("points_per_second"))
+
+
+#: Of the metrics that a stream gives while it runs.
+OBSERVED = "lodestar"
+
+
+class ProgressLog(StreamingQueryListener):
+    """Writes how far a stream got, as it goes, to the store: a row when a micro-batch ends, if `least_ms` have passed since the row before, and one at the end.
+
+    Points are counted where the stream reads them, by an observation, so no job runs for it; nodes are those of the store's commits. A listener outlives its query; remove it from the session's streams."""
+
+    def __init__(self, store: Store, least_ms: int = 500):
+        self.store, self.least, self.points, self.batch = store, least_ms / 1000, 0, -1
+        self.began, self.wrote, self.pending, self.ended = time.monotonic(), float("-inf"), None, threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        self.began = time.monotonic()
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics.get(OBSERVED)
+        if seen is None or event.progress.batchId <= self.batch:
+            return
+        self.points, self.batch = self.points + seen["points"], event.progress.batchId
+        elapsed = time.monotonic() - self.began
+        self.pending = {"batch_id": self.batch, "points": self.points, "elapsed_ms": int(1000 * elapsed), "points_per_second": self.points / max(elapsed, 1e-3)}
+        if time.monotonic() - self.wrote >= self.least:
+            self._write()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._write()
+        self.ended.set()
+
+    def wait(self, seconds: float = 60.0) -> None:
+        """Until the last row is written; events come a little after the query's end."""
+        self.ended.wait(seconds)
+
+    def _write(self) -> None:
+        if self.pending is not None:
+            self.store.put_progress(self.pending)
+            self.pending, self.wrote = None, time.monotonic()
+
+
+def ingest(stream: DataFrame, store: Store, options: LodOptions, checkpoint: str, keep_recent: int = 300_000, compact_every: int | None = 64, every: int | None = None, points_of: Callable[[DataFrame, int | None], DataFrame] | None = None) -> DataStreamWriter:
+    """A writer to start with the trigger of one's choice, such as availableNow. The source's own limits, such as maxFilesPerTrigger, set how many points a micro-batch has.
+
+    Each micro-batch is a commit, or with `every`, those of at least so many points (`flush` commits the rest when the stream has ended). points_of: makes points of a micro-batch that
+    isn't points yet, all with a seq above the one given, as `sources.text.points_of_batch` does."""
+
+    def take(rows: DataFrame, batch: int) -> None:
+        rows = rows.persist()  # so that the source is read, and counted, once
+        try:
+            with scratch(rows.sparkSession):
+                points = rows
+                if points_of is not None:
+                    after = [s for s in (store.last_seq(batch), store.pending_seq(batch)) if s is not None]
+                    points = points_of(rows, max(after, default=None))
+                if every is None:
+                    append(points, batch, store, options, keep_recent, compact_every)
+                else:
+                    append_grouped(points, batch, store, options, every, keep_recent, compact_every)
+        finally:
+            rows.unpersist()
+
+    return stream.observe(OBSERVED, F.count(F.lit(1)).alias("points")).writeStream.option("checkpointLocation", checkpoint).foreachBatch(take)
 
 
-def ingest(stream: DataFrame, store: Store, options: LodOptions, checkpoint: str, keep_recent: int = 300_000, compact_every: int | None = 64) -> DataStreamWriter:
-    """A writer to start with the trigger of one's choice, such as availableNow. Each micro-batch is a commit; the source's own limits, such as maxFilesPerTrigger, set how many points that is."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda points, batch: append(points, batch, store, options, keep_recent, compact_every))
+def ingest_text(spark: SparkSession, folder: str, store: Store, options: LodOptions, checkpoint: str, header: bool = True, files_per_trigger: int | None = None, origin: tuple[float, float] | None = None, **more) -> DataStreamWriter:
+    """Text files of points as they appear in a folder, Cartesian or, with an origin, geodetic; their hierarchy is that of one read of the files in the order of their arrival."""
+    return ingest(stream_lines(spark, folder, header, files_per_trigger), store, options, checkpoint, points_of=lambda lines, after: points_of_batch(lines, after, origin=origin), **more)
