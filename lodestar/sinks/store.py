@@ -25,8 +25,8 @@ COMMIT = "batch_id long, points long, accepted long, dropped long, nodes long, n
 PROGRESS = "batch_id long, points long, elapsed_ms long, points_per_second double"
 COUNTS = "path string, depth int, mx double, my double, mz double, sz double, n long"
 _SCHEMAS = {"accepted": f"{ACCEPTED}, version long", "dropped": DROPPED, "counts": COUNTS, "replaced": "path string, version long", "recent": POINT}
-#: Rows of a file, and bytes of a row group.
-FILE_ROWS, GROUP_BYTES = 1 << 21, 8 << 20
+#: Rows of a file, bytes of a row group, and rows of a page, of which an index knows the least and the largest path.
+FILE_ROWS, GROUP_BYTES, PAGE_ROWS = 1 << 21, 8 << 20, 1 << 12
 
 
 @dataclass(frozen=True)
@@ -156,7 +156,7 @@ class Store:
             return rows
         last = self._read("replaced", replaced).groupBy("path").agg(F.max("version").alias("since"))
         last = small(materialize(last), 160)
-        return rows.join(last, "path", "left").where(F.col("since").isNull() | (F.col("version") >= F.col("since"))).drop("since")
+        return rows.join(last, "path", "left").where(F.col("since").isNull() | (F.col("version") >= F.col("since"))).select(*rows.columns)
 
     def accepted(self, before: int | None = None) -> DataFrame:
         """Of the committed batches, or of those before a batch. Filters on depth and path read the row groups that may have such rows."""
@@ -196,7 +196,7 @@ class Store:
         """Rows of a run by depth and path. With a number of files, each is a range of these, so a level or a node with most rows has many tasks; without, rows stay in their
         tasks, which hold whole cells of the root, and are sorted there."""
         ranged = rows if files is None else rows.repartitionByRange(files, "depth", "path", "seq")
-        options = {"compression": "zstd", "parquet.block.size": GROUP_BYTES, "parquet.bloom.filter.enabled#path": "true", "parquet.bloom.filter.expected.ndv#path": 1 << 14}
+        options = {"compression": "zstd", "parquet.block.size": GROUP_BYTES, "parquet.page.row.count.limit": PAGE_ROWS, "parquet.bloom.filter.enabled#path": "true", "parquet.bloom.filter.expected.ndv#path": 1 << 14}
         ranged.sortWithinPartitions("depth", "path", "seq").write.mode(mode).options(**options).parquet(self._path("runs", name, "accepted"))
 
     def _files(self, n: int) -> int:
