@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -48,6 +49,24 @@ def byte_bpe(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
+#: White space beyond so many characters is encoded as the one piece that the pattern makes of it, since the matcher's stack holds about a million of them.
+LONG_SPACE = 1 << 16
+_LONG_SPACES = regex.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_SPACE},}}+")
+
+
+def encode(encoder: tiktoken.Encoding, text: str) -> list[int]:
+    """The ids of a text of any kind. Of a long run of white space before something else, the last character belongs to what follows."""
+    if len(text) < LONG_SPACE or not (runs := [m.span() for m in _LONG_SPACES.finditer(text)]):
+        return encoder.encode(text, allowed_special="all")
+    out, at = [], 0
+    for start, end in runs:
+        stop = end if end == len(text) else end - 1
+        out += encoder.encode(text[at:start], allowed_special="all")
+        out += encoder._encode_single_piece(text[start:stop])
+        at = stop
+    return out + encoder.encode(text[at:], allowed_special="all")
+
+
 class Bins:
     """Waiting sizes, and the choice among them."""
 
@@ -165,7 +184,7 @@ def pack_documents(docs: DataFrame, path: str, length: int = 2048, end: int = 1,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
             _encoders[path] = byte_bpe(path)
-        encode, packer, ended = _encoders[path].encode, DocumentPacker(length, segments, least), np.array([end], np.uint16 if end < 1 << 16 else np.uint32)
+        encoder, packer, ended = _encoders[path], DocumentPacker(length, segments, least), np.array([end], np.uint16 if end < 1 << 16 else np.uint32)
 
         def rows() -> pa.RecordBatch:
             names = ("id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -177,7 +196,7 @@ def pack_documents(docs: DataFrame, path: str, length: int = 2048, end: int = 1,
         for b in batches:
             kinds = b.column(0).type
             for doc, text in zip(b.column(0), b.column(1)):
-                ids = encode(text.as_py() or "", allowed_special="all")
+                ids = encode(encoder, text.as_py() or "")
                 packer.document(doc.as_py(), np.array([*ids, end], ended.dtype))
                 if len(packer.rows) >= 4096:
                     yield rows()
@@ -197,9 +216,9 @@ def conversation_sizes(turns: DataFrame, path: str, end: int = 1, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
             _encoders[path] = byte_bpe(path)
-        encode = _encoders[path].encode
+        encoder = _encoders[path]
         for b in batches:
-            n = np.array([len(encode(x.as_py() or "", allowed_special="all")) + (end is not None) for x in b.column(2)], np.int64)
+            n = np.array([len(encode(encoder, x.as_py() or "")) + (end is not None) for x in b.column(2)], np.int64)
             mine = np.array([x.as_py() == learned for x in b.column(1)], bool)
             yield batch(id=b.column(0), tokens=pa.array(n), loss=pa.array(np.where(mine, n, 0)))
 
@@ -209,7 +228,7 @@ def conversation_sizes(turns: DataFrame, path: str, end: int = 1, id_col: str =
 
 
 def pack_examples(examples: DataFrame, limits: tuple[int, int, int], id_col: str, tokens: str, segments: str, loss: str) -> DataFrame:
-    """Instruction examples, which are not cut: id_col, sequence_id, fits. limits: on tokens, segments and loss-bearing tokens."""
+    """Instruction examples, which are not cut: id_col, tokens, segments, loss, sequence_id, fits; a null size is 0. limits: on tokens, segments and loss-bearing tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, ids, out, kind = Bins(limits), _sequences(), [], None
@@ -218,21 +237,21 @@ def pack_examples(examples: DataFrame, limits: tuple[int, int, int], id_col: str
             k, left = next(ids), bins.limits.copy()
             while (i := bins.best(left)) >= 0:
                 left = left - bins.sizes[i]
-                out.append((bins.take(i), k, True))
+                out.append((*bins.take(i), k, True))
 
         def rows() -> pa.RecordBatch:
-            done = [pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 3, (kind, pa.int64(), pa.bool_()))]
+            done = [pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 6, (kind, *[pa.int64()] * 4, pa.bool_()))]
             out.clear()
-            return batch(id=done[0], sequence_id=done[1], fits=done[2])
+            return batch(**dict(zip(("id", "tokens", "segments", "loss", "sequence_id", "fits"), done)))
 
         for b in batches:
             kind = b.column(0).type
             for i, *sizes in zip(*(c.to_pylist() for c in b.columns)):
                 sizes = tuple(x or 0 for x in sizes)
                 if any(x > y for x, y in zip(sizes, limits)):
-                    out.append((i, next(ids), False))
+                    out.append((i, *sizes, next(ids), False))
                     continue
-                bins.add(sizes, i)
+                bins.add(sizes, (i, *sizes))
                 if not bins.free:
                     while bins.used.sum() > len(bins.items) // 2:
                         sequence()
@@ -243,4 +262,6 @@ def pack_examples(examples: DataFrame, limits: tuple[int, int, int], id_col: str
             yield rows()
 
     base = examples.select(F.col(id_col).alias("id"), *(F.col(c).cast("long").alias(n) for c, n in ((tokens, "tokens"), (segments, "segments"), (loss, "loss"))))
-    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, sequence_id long, fits boolean").withColumnRenamed("id", id_col)
+    placed = base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, tokens long, segments long, loss long, sequence_id long, fits boolean")
+    names = (id_col, tokens, segments, loss, "sequence_id", "fits")
+    return placed.toDF(*names)
