@@ -22,10 +22,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import named as _named
+
 ROUNDS = 10
 MARK, ESCAPE = "\x01", "\x02"
 
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])"
+#: A domain has at most 253 characters, so 126 dots; the matcher's stack grows with repeated groups.
+EMAIL = r"[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9.-]{1,253}+(?![A-Za-z0-9.-]))[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,126}\.[A-Za-z]{2,}(?![A-Za-z0-9])"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 KEY = r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?=[a-fA-F]{0,39}[0-9])(?=[0-9]{0,39}[a-fA-F])[0-9a-fA-F]{32,64})(?![A-Za-z0-9])"
 IP = r"(?<![0-9]\.)(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
@@ -45,13 +48,22 @@ COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9
 ERA = (75, 487)
 
 
-def feistel(left: Column, right: Column, sizes: tuple[Column, Column], key: str, tweak: Column) -> Column:
+def key_of_executors(variable: str) -> Column:
+    """The key that executors have in an environment variable. A text key is a literal, which plans and the event log show."""
+    return F.coalesce(F.reflect(F.lit("java.lang.System"), F.lit("getenv"), F.lit(variable)), F.raise_error(F.lit(f"{variable} is not set")).cast("string"))
+
+
+def _of(key: str | Column) -> Column:
+    return F.lit(key) if isinstance(key, str) else key
+
+
+def feistel(left: Column, right: Column, sizes: tuple[Column, Column], key: str | Column, tweak: Column) -> Column:
     """A permutation of pairs (left below sizes[0], right below sizes[1]) as a struct."""
 
     def step(pair: Column, r: Column) -> Column:
         even = r % 2 == 0
         seen = F.when(even, pair["right"]).otherwise(pair["left"])
-        hashed = F.sha2(F.concat_ws("|", F.lit(key), tweak, r.cast("string"), seen.cast("string")).cast("binary"), 256)
+        hashed = F.sha2(F.concat_ws("|", _of(key), tweak, r.cast("string"), seen.cast("string")).cast("binary"), 256)
         add = F.conv(F.substring(hashed, 1, 13), 16, 10).cast("long")
         return F.struct(
             F.when(even, F.pmod(pair["left"] + add, sizes[0])).otherwise(pair["left"]).alias("left"),
@@ -62,12 +74,7 @@ def feistel(left: Column, right: Column, sizes: tuple[Column, Column], key: str,
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
 
 
-def _named(value: Column, then) -> Column:
-    """then(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
-def permuted_digits(digits: Column, key: str, tweak: Column) -> Column:
+def permuted_digits(digits: Column, key: str | Column | Column, tweak: Column) -> Column:
     """Of a string of 2 to 30 digits, another of the same length."""
     n = F.length(digits)
     a = F.floor(n / 2).cast("int")
@@ -104,14 +111,14 @@ def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
-def _card(x: Column, key: str) -> Column:
+def _card(x: Column, key: str | Column) -> Column:
     d = _digits(x)
     payload = F.substring(d, F.lit(1), F.length(d) - 1)
     new = permuted_digits(payload, key, F.lit("card"))
     return F.when(luhn(payload) == F.right(d, F.lit(1)), in_format(x, _named(new, lambda p: F.concat(p, luhn(p)))))
 
 
-def _phone(x: Column, key: str) -> Column:
+def _phone(x: Column, key: str | Column) -> Column:
     country = F.regexp_extract(x, COUNTRY, 0)
     rest = F.substring(x, F.length(country) + 1, F.length(x))
     d = _digits(rest)
@@ -129,7 +136,7 @@ def _modulo_97(x: Column) -> Column:
     return F.aggregate(F.split(x, ""), F.lit(0), add)
 
 
-def _iban(x: Column, key: str) -> Column:
+def _iban(x: Column, key: str | Column) -> Column:
     bare = F.replace(x, F.lit(" "))
     country, account = F.substring(bare, 1, 2), F.substring(bare, F.lit(5), F.length(bare))
     d = _digits(account)
@@ -153,7 +160,7 @@ def _spaced(shape: Column, chars: Column) -> Column:
     return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), put, lambda s: s["out"])
 
 
-def _ssn(x: Column, key: str) -> Column:
+def _ssn(x: Column, key: str | Column) -> Column:
     area, group, serial = (F.substring(x, *p).cast("long") for p in ((1, 3), (5, 2), (8, 4)))
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     pair = feistel((area - 1 - (area > 666).cast("int")) * 99 + group - 1, serial - 1, (F.lit(898 * 99), F.lit(9999)), key, F.lit("ssn"))
@@ -167,7 +174,7 @@ def _ssn(x: Column, key: str) -> Column:
     return F.when(valid, _named(pair, write))
 
 
-def _ip(x: Column, key: str) -> Column:
+def _ip(x: Column, key: str | Column) -> Column:
     o = [F.split_part(x, F.lit("."), F.lit(k)).cast("long") for k in (1, 2, 3, 4)]
     valid = (o[0] < 256) & (o[1] < 256) & (o[2] < 256) & (o[3] < 256) & (o[0] != 127) & ~((o[0] == 0) & (o[1] == 0) & (o[2] == 0) & (o[3] == 0))
     pair = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], (F.lit(65536), F.lit(65536)), key, F.lit("ip"))
@@ -175,7 +182,7 @@ def _ip(x: Column, key: str) -> Column:
     return F.when(valid, _named(pair, write))
 
 
-def _date(x: Column, key: str, day_first: bool = True) -> Column:
+def _date(x: Column, key: str | Column, day_first: bool = True) -> Column:
     def moved(long: str, short: str) -> Column:
         return F.coalesce(styled(F.when(F.length(x) == 10, x), long), styled(F.when(F.length(x) < 10, x), short))
 
@@ -191,15 +198,15 @@ def _date(x: Column, key: str, day_first: bool = True) -> Column:
     return F.when(x.contains("-"), moved("yyyy-MM-dd", "yyyy-M-d")).when(x.contains("/"), slashes).otherwise(moved("dd.MM.yyyy", "d.M.yyyy"))
 
 
-def _hashed(x: Column, key: str) -> Column:
-    return F.sha2(F.concat(F.lit(f"{key}|"), x).cast("binary"), 256)
+def _hashed(x: Column, key: str | Column) -> Column:
+    return F.sha2(F.concat(_of(key), F.lit("|"), x).cast("binary"), 256)
 
 
-def _email(x: Column, key: str) -> Column:
+def _email(x: Column, key: str | Column) -> Column:
     return F.concat(F.lit("u"), F.substring(_hashed(F.lower(x), key), 1, 16), F.lit("@mail.invalid"))
 
 
-def _key(x: Column, key: str) -> Column:
+def _key(x: Column, key: str | Column) -> Column:
     head = F.regexp_extract(x, "^(?:AKIA|gh[pousr]_)", 0)
     tail = F.substring(_hashed(F.lower(x), key), F.lit(1), F.length(x) - F.length(head))
     return F.concat(head, F.when(F.upper(x) == x, F.upper(tail)).otherwise(tail))
@@ -210,8 +217,8 @@ def _kind(x: Column) -> Column:
     return F.when(x.contains("@"), "email").when(whole(KEY), "key").when(whole(IBAN), "iban").when(whole(IP), "ip").when(whole(DATE), "date").when(whole(SSN), "ssn").when(whole(PHONE), "phone").otherwise("card")
 
 
-def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", day_first: bool = True) -> DataFrame:
-    """id_col, text with pseudonyms, n_<kind> for each kind, n_values and changed, for every row; key: the secret of the permutation."""
+def pseudonymize(docs: DataFrame, key: str | Column, id_col: str = "doc_id", text_col: str = "text", day_first: bool = True) -> DataFrame:
+    """id_col, text with pseudonyms, n_<kind> for each kind, n_values and changed, for every row; key: the secret of the permutation, as a text or a column that gives it."""
     text = F.col("text")
     escaped = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + "B")), F.lit(MARK), F.lit(ESCAPE + "A"))
     unescaped = lambda x: F.replace(F.replace(x, F.lit(ESCAPE + "A"), F.lit(MARK)), F.lit(ESCAPE + "B"), F.lit(ESCAPE))
