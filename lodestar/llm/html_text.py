@@ -10,6 +10,8 @@ The text of a page is its article's blocks, or those of neither kind if it has n
 - in an article: runs on at least `template_pages` pages and on the share `template_share` of all pages of the host. Less is not enough there, since
   articles quote and copy each other
 
+Pages of the same html count once. An article of which less than a tenth would be left is itself what is copied
+(mirrors, print views) and stays whole, as does any text of which nothing would be left.
 A block that such runs cover entirely goes, runs that cross blocks included; of another, only what runs within it cover, so
 that a text keeps its first words where a repeated block precedes it.
 
@@ -18,7 +20,7 @@ in no one task: hashes of its runs are counted in shards, summed within a batch
 32-bit hashes of tokens and 64-bit hashes of runs.
 
 Null or empty html gives an empty text. Pages without host are as of one host. Repeated rows give
-repeated results, and the repeats count as one page (same id); extra columns are ignored; an empty table gives an empty result.
+repeated results; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -56,8 +58,12 @@ LISTED_WORDS = frozenset("ad ads advert adverts advertisement sponsor sponsored
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ARTICLE_WORDS = frozenset("article articlebody entry-content post-content post-body article-body article-content main-content story-body".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/!?][^>]*>?", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: A comment, a tag, a tag whose quotes don't pair, or another declaration.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|<[/!?][^>]*>?", re.S)
+#: A name and its value; a value is never looked at as a name.
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+TELLING = re.compile("class|id|role|itemprop|hidden", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WORDS = re.compile(r"[a-z]+(?:-[a-z]+)?")
 
 
@@ -65,12 +71,14 @@ def _zone(tag: str, attributes: str, zone: int) -> int:
     """The zone of an element within zone. Furniture stays furniture, but an article in what only a class marks is one; furniture in an article is furniture."""
     if zone == FURNITURE or tag in FURNITURE_TAGS or (tag == "header" and zone != ARTICLE):
         return FURNITURE
-    if attributes:
-        found = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)}
+    if attributes and TELLING.search(attributes):
+        found: dict[str, str] = {}
+        for k, v in ATTRIBUTE.findall(attributes):
+            found.setdefault(k.lower(), v.strip("\"'").lower())
         if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in FURNITURE_ROLES:
             return FURNITURE
         names = f"{found.get('class', '')} {found.get('id', '')}"
-        if tag not in ("body", "html", "article", "main"):
+        if tag not in ("body", "html", "article", "main") and not (zone == ARTICLE and tag in HEADINGS):
             marks = [p for p in (set(re.split(r"[^a-z]+", x)) - {""} for x in names.split()) if p & FURNITURE_WORDS and p <= FURNITURE_WORDS | PLACE_WORDS]
             if marks:
                 return FURNITURE if zone == ARTICLE or any(p & LISTED_WORDS for p in marks) else SOFT
@@ -79,6 +87,13 @@ def _zone(tag: str, attributes: str, zone: int) -> int:
     return ARTICLE if tag in ("article", "main") else zone
 
 
+def _ends(inside: str, tag: str) -> bool:
+    """Whether an element that may lack its end tag ends where another begins."""
+    if inside == "p":
+        return tag in BLOCK_TAGS
+    return inside in LOOSE and (inside == tag or (inside in ("td", "th") and tag in ("td", "th", "tr")) or (inside in ("dt", "dd") and tag in ("dt", "dd")))
+
+
 def blocks(page: str) -> list[tuple[int, str]]:
     """(zone, text) of every block that has text, in page order."""
     out: list[tuple[int, str]] = []
@@ -99,10 +114,11 @@ def blocks(page: str) -> list[tuple[int, str]]:
             break
         if m.start() > at:
             parts.append(page[at : m.start()])
-        at, tag = m.end(), (m[2] or "").lower()
+        at, tag = m.end(), (m[2] or m[5] or "").lower()
         if not tag:
             continue
-        if tag in RAW and not m[1]:
+        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
+        if tag in RAW and not closing:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             end()
             at = close.end() if close else size
@@ -111,9 +127,14 @@ def blocks(page: str) -> list[tuple[int, str]]:
             end()
         elif tag == "br":
             parts.append(" ")
-        if tag in VOID or tag in LOOSE:
+        if tag in VOID:
             continue
-        if m[1]:
+        if not closing and stack and _ends(stack[-1][0], tag):
+            end()
+            zone = stack.pop()[1]
+        if tag in LOOSE and not closing and not (attributes and _zone(tag, attributes, zone) < zone):
+            continue  # only one that is furniture has a place on the stack
+        if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     if stack[k][1] != zone:
@@ -121,8 +142,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
                     zone = stack[k][1]
                     del stack[k:]
                     break
-        elif not m[3].endswith("/") or tag in BLOCK_TAGS:
-            inner = _zone(tag, m[3], zone)
+        elif not attributes.endswith("/") or tag in BLOCK_TAGS:
+            inner = _zone(tag, attributes, zone)
             if inner != zone:
                 end()
             stack.append((tag, zone))
@@ -200,6 +221,11 @@ def text_of(zones: list[int], texts: list[str], repeats: np.ndarray | None, leas
         return "\n".join(t for z, t in zip(zones, texts) if z == zone)
     starts = repeats >= least[zone]
     at, out, every = 0, [], covered(starts, least_tokens)
+    whole = "\n".join(t for z, t in zip(zones, texts) if z == zone)
+    if zone == ARTICLE:
+        mine = np.concatenate([np.full(len(t.split(" ")), z == zone) for z, t in zip(zones, texts)])
+        if 10 * (mine & ~every).sum() < mine.sum():
+            return whole
     for z, text in zip(zones, texts):
         tokens = text.split(" ")
         end = at + len(tokens)
@@ -208,7 +234,7 @@ def text_of(zones: list[int], texts: list[str], repeats: np.ndarray | None, leas
             own[max(0, len(own) - least_tokens + 1) :] = False
             out.append(" ".join(t for t, c in zip(tokens, covered(own, least_tokens)) if not c) if own.any() else text)
         at = end
-    return "\n".join(out)
+    return "\n".join(out) or whole
 
 
 def main_text(
@@ -217,7 +243,7 @@ def main_text(
     """id_col, url_col, text, n_chars for every row. group_bytes changes how the work is done, never its result."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/?#:]*)", 1)), F.lit(""))
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host)
-    base = base.withColumns({"page": F.xxhash64("host", "id"), "row": F.xxhash64("id", "url", "html")})
+    base = base.withColumns({"page": F.xxhash64("host", "html"), "row": F.xxhash64("id", "url", "html")})
     kind = base.schema["id"].dataType.simpleString()
     sizes = materialize(base.groupBy("host").agg(F.count_distinct("page").alias("n"), F.sum(F.octet_length("html")).alias("bytes")))
 
