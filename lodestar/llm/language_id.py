@@ -13,6 +13,7 @@ gives `und` for every text with letters too.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,7 +26,17 @@ from pyspark.sql import DataFrame, functions as F
 from .common import batch, materialize
 
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+
+
+def _characters(kinds: str) -> str:
+    """The characters whose category begins with one of kinds, as ranges of a pattern."""
+    mine = [k for k in range(0x110000) if unicodedata.category(chr(k))[0] in kinds]
+    cuts = [0, *(k for k in range(1, len(mine)) if mine[k] != mine[k - 1] + 1), len(mine)]
+    return "".join(f"\\U{mine[a]:08x}-\\U{mine[z - 1]:08x}" for a, z in zip(cuts, cuts[1:]))
+
+
+#: A letter, then letters and the marks that belong to them.
+WORD = re.compile(f"[{_characters('L')}][{_characters('LM')}]*")
 LONGEST, REMEMBERED, PIECE = 5, 1 << 16, 1 << 12
 #: Of the values of remembered unseen words in one process, about.
 MEMORY_BYTES = 1 << 25
