@@ -88,17 +88,17 @@ class Patterns:
 
 
 def item_windows(texts: list[tuple[object, str | None]], size: int) -> dict[int, dict[tuple[bytes, ...], set[str]]]:
-    """By length, the windows of all items and the ids of the items that have them."""
+    """By length, the windows of all items and the ids of the items that have them; an item without id has windows, but no id to name."""
     out: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
     for item, text in texts:
-        if item is None or not text:
+        if not text:
             continue
         data = LOWER[np.frombuffer(text.encode(), np.uint8)]
         s, e, _ = words(data, np.array([0, len(data)]), ALNUM)
         own = [data[a:b].tobytes() for a, b in zip(s, e)]
         m = min(size, len(own))
         for i in range(len(own) - m + 1 if own else 0):
-            out.setdefault(m, {}).setdefault(tuple(own[i : i + m]), set()).add(str(item))
+            out.setdefault(m, {}).setdefault(tuple(own[i : i + m]), set()).update(() if item is None else (str(item),))
     return out
 
 

@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontamination, divergence, exact_dedup, html_text, jaccard_join, language_id, lm_scoring, packing, pseudonyms, quality_rules, suffix_dedup, token_counts, whitening
-from .common import materialize, table
+from .common import table
 
-#: The setting that holds the key of the pseudonyms; without it, as in tests, the key is one that protects nothing.
-KEY_SETTING, NO_KEY = "spark.lodestar.pseudonymKey", "not-a-secret"
+#: The setting that names the environment variable of the executors that holds the key of the pseudonyms, so that neither settings nor plans have it. Without it, as in tests, the key
+#: is one that protects nothing.
+KEY_SETTING, NO_KEY = "spark.lodestar.pseudonymSecretVariable", "not-a-secret"
 #: Of packed conversations: tokens, turns and learned tokens of a sequence.
 CONVERSATION_LIMITS = (8192, 32, 6144)
 
@@ -27,9 +28,8 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole conversations under three limits at once."""
-    sizes = materialize(packing.conversation_sizes(table(spark, sf_dir, "conversations"), public_tokenizers.path("byte_bpe_50k.json")))
-    placed = packing.pack_examples(sizes, CONVERSATION_LIMITS, "conv_id", "tokens", "segments", "loss")
-    return placed.join(sizes, "conv_id").select("conv_id", "tokens", "segments", "loss", "sequence_id", "fits")
+    sizes = packing.conversation_sizes(table(spark, sf_dir, "conversations"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_examples(sizes, CONVERSATION_LIMITS, "conv_id", "tokens", "segments", "loss")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,8 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymize(table(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, NO_KEY))
+    name = spark.conf.get(KEY_SETTING, None)
+    return pseudonyms.pseudonymize(table(spark, sf_dir, "documents"), NO_KEY if name is None else pseudonyms.key_of_executors(name))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,9 +110,9 @@ _ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _NOT_SPACE = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 
 _ITEMS = f"""
-WITH it AS (SELECT item_id::VARCHAR AS item, {_ALNUM} AS w FROM benchmark WHERE item_id IS NOT NULL),
+WITH it AS (SELECT item_id::VARCHAR AS item, {_ALNUM} AS w FROM benchmark),
 windows AS (
-  SELECT m, array_to_string(w[i:i + m - 1], ' ') AS win, list(DISTINCT item) AS items
+  SELECT m, array_to_string(w[i:i + m - 1], ' ') AS win, coalesce(list(DISTINCT item) FILTER (item IS NOT NULL), []) AS items
   FROM (SELECT item, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT *, least(10, len(w)) AS m FROM it WHERE len(w) > 0))
   GROUP BY ALL),
 d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
@@ -177,11 +178,13 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank F
 """
 
 _LEDGER = r"""
-WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 win AS (SELECT k, i, array_to_string(w[i:i + 7], ' ') AS win FROM (SELECT k, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
 often AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, win) AS c FROM win) WHERE c > 1),
 rep AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest(range(i, i + 8)) AS j FROM often) GROUP BY k),
-lines AS (SELECT k, count(*) AS n, count(DISTINCT line) AS kinds FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-]') GROUP BY k),
+lines AS (SELECT k, count(*) AS n, count(DISTINCT line) AS kinds FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY k),
 m AS (
   SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          coalesce(lines.n, 0) AS n_lines, coalesce(lines.n - kinds, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
