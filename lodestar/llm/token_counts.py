@@ -11,6 +11,7 @@ extra columns change nothing; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Iterator
 
@@ -83,10 +84,31 @@ class _Counts(dict):
         return n
 
 
+#: What a file must say for the rules above to hold of it.
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def load(path: str) -> Tokenizer:
+    """The tokenizer of a file. One that normalises, splits or merges in another way than this module counts is refused."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    split = {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}
+    same = (
+        (spec["normalizer"] or {}).get("normalizers") == _NORMALIZERS and len(steps) == 2 and steps[0] == split and steps[1].get("type") == "ByteLevel"
+        and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex") and spec["model"]["type"] == "BPE" and spec["model"].get("end_of_word_suffix") == "</w>"
+        and not spec["model"].get("dropout") and not spec["model"].get("ignore_merges") and sorted(t["content"] for t in spec["added_tokens"]) == ["<|endoftext|>", "<|startoftext|>"]
+    )
+    if not same:
+        raise ValueError(f"{path}: counts of this tokenizer would not be the library's")
+    return Tokenizer.from_file(path)
+
+
 class TokenCounter:
     def __init__(self, path: str, whole: frozenset[str] | None = None):
         """whole: what whole_tokens gives, if it is known."""
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = load(path)
         self.counts = _Counts(whole_tokens(self.tokenizer) if whole is None else whole, self.tokenizer)
         self.pieces, self.odd = regex.compile(PIECES), {}
 
@@ -120,7 +142,7 @@ _counters: dict[str, TokenCounter] = {}
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_bytes, n_tokens, over_limit for every row; path: the tokenizer's file on the driver and every executor."""
 
-    whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(Tokenizer.from_file(path)))
+    whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(load(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _counters:
