@@ -29,6 +29,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -67,6 +68,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WORDS = re.compile(r"[a-z]+(?:-[a-z]+)?")
 
 
+@lru_cache(4096)
 def _zone(tag: str, attributes: str, zone: int) -> int:
     """The zone of an element within zone. Furniture stays furniture, but an article in what only a class marks is one; furniture in an article is furniture."""
     if zone == FURNITURE or tag in FURNITURE_TAGS or (tag == "header" and zone != ARTICLE):
