@@ -71,6 +71,13 @@ class Owned:
     depth: np.ndarray
     cell: np.ndarray
 
+    def at(self, depth: int, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """What is owned in these nodes of a depth: positions among the names, and cells."""
+        here = np.flatnonzero(self.depth == depth)
+        place = {name: k for k, name in enumerate(names)}
+        at = np.array([place.get(path, -1) for path in self.path[here].tolist()], np.int64)
+        return at[at >= 0], self.cell[here][at >= 0]
+
 
 @dataclass
 class Settled:
@@ -84,7 +91,7 @@ class Settled:
 
 
 def settle(seq: np.ndarray, points: np.ndarray, paths: np.ndarray, cubes: np.ndarray, first: int, last: int, grid: int, owned: Owned | None = None) -> Settled:
-    """The rule for points (n x 3) at nodes of depth `first` with these paths and cubes (n x 4), through depth `last`, where nobody gets what is owned.
+    """The rule for points (n x 3) at nodes of depth `first` with these paths and cubes (n x 4), through depth `last`, where nobody gets what is owned (anything with `at`).
 
     All points of a level are handled at once; one stands before another in its cell by seq."""
     n = len(seq)
@@ -108,10 +115,8 @@ def settle(seq: np.ndarray, points: np.ndarray, paths: np.ndarray, cubes: np.nda
         _, winner = np.unique(code, return_index=True)
         won = np.zeros(len(alive), bool)
         won[winner] = True
-        if owned is not None and len(here := np.flatnonzero(owned.depth == depth)):
-            place = {name: k for k, name in enumerate(names.tolist())}
-            at = np.array([place.get(path, -1) for path in owned.path[here].tolist()])
-            won &= ~np.isin(code, _code(at, owned.cell[here], side)[at >= 0])
+        if owned is not None:
+            won &= ~np.isin(code, _code(*owned.at(depth, names.tolist()), side))
         end = won if depth < last else np.ones(len(alive), bool)
         done = alive[end]
         out.depth[alive[won]] = depth
@@ -236,6 +241,11 @@ def _dropped(rows: DataFrame, reason: str) -> DataFrame:
     return rows.select("seq", F.lit(reason).alias("reason"), "path")
 
 
+def of_settled(done: DataFrame, dropped: list[DataFrame]) -> Lod:
+    """The result from settled points (ACCEPTED, with depth -1 where no level took one) and those dropped before."""
+    return Lod(_accepted(done.where("depth >= 0"), F.col("depth")), _union([*dropped, _dropped(done.where("depth < 0"), MAX_DEPTH)], done.sparkSession, DROPPED), True, done)
+
+
 def common_levels(bounds: Row, options: LodOptions) -> tuple[str, list[float]]:
     """The deepest path of which all points between the bounds are part, at most max_depth long, and its cube."""
     path, (x, y, z, size) = "", (float(v) for v in (options.world.x, options.world.y, options.world.z, options.world.size))
@@ -459,7 +469,7 @@ def assign(points: DataFrame, options: LodOptions | None = None, kernel_rows: in
                 held = held.join(F.broadcast(keys) if seen["units"] * 76 <= BROADCAST_BYTES else keys, list(unit), "left_semi")
             done = hold(finish(cells, 0, options, tasks, unit, held))
             if _apart(done):
-                return Lod(_accepted(done.where("depth >= 0"), F.col("depth")), _union([*dropped, _dropped(done.where("depth < 0"), MAX_DEPTH)], spark, DROPPED), True, done)
+                return of_settled(done, dropped)
             unit, owners = ("path",), None if stored is None else owners_at_root(stored, options)
         if attempt or seen["most"] <= kernel_rows:
             break

@@ -202,6 +202,7 @@ ORACLE_SQL: dict[str, str] = {
     "ingest_progress": f"{_levels(EVENTS)}, {_PARTS.format(k=2)}, n AS (SELECT batch_id, count(*) AS points, count(*) FILTER (seq IN (SELECT seq FROM acc)) AS accepted FROM parts GROUP BY batch_id), born AS (SELECT batch_id, count(*) AS nodes FROM (SELECT path, min(batch_id) AS batch_id FROM acc JOIN parts USING (seq) WHERE path <> '' GROUP BY path) GROUP BY batch_id) SELECT batch_id::BIGINT AS batch_id, (sum(points) OVER w)::BIGINT AS points, (sum(accepted) OVER w)::BIGINT AS accepted, (sum(points - accepted) OVER w)::BIGINT AS dropped, (sum(coalesce(nodes, 0)) OVER w + 1)::BIGINT AS nodes FROM n LEFT JOIN born USING (batch_id) WINDOW w AS (ORDER BY batch_id)",
     "commit_cadence": f"{_levels(EVENTS)}, {_PARTS.format(k=9)}, n AS (SELECT batch_id, count(*) AS points, count(*) FILTER (seq IN (SELECT seq FROM acc)) AS accepted FROM parts GROUP BY batch_id), run AS (SELECT 0::BIGINT AS batch_id, points AS waits, points >= 3000 AS commits, 0 AS grp FROM n WHERE batch_id = 0 UNION ALL SELECT n.batch_id, CASE WHEN run.commits THEN n.points ELSE run.waits + n.points END, CASE WHEN run.commits THEN n.points ELSE run.waits + n.points END >= 3000, run.grp + run.commits::INT FROM run JOIN n ON n.batch_id = run.batch_id + 1) SELECT max(batch_id)::BIGINT AS batch_id, sum(points)::BIGINT AS points, sum(accepted)::BIGINT AS accepted FROM run JOIN n USING (batch_id) GROUP BY grp",
     "text_stream": f"{_levels(EVENTS)} SELECT acc.x, acc.y, acc.z, pts.r, pts.g, pts.b, acc.d AS depth, acc.path FROM acc JOIN pts USING (seq)",
+    "keyed_stream": f"{_levels(EVENTS)} SELECT seq, d AS depth, path, cx, cy, cz FROM acc",
     "stream_progress": f"WITH {POINTS}, {_PARTS.format(k=3)} SELECT batch_id::BIGINT AS batch_id, (sum(count(*)) OVER (ORDER BY batch_id))::BIGINT AS points FROM parts GROUP BY batch_id",
     "stored_recent": f"WITH {POINTS} {_LATEST} 700",
     "record_files": f"WITH {POINTS} SELECT x, y, z, r, g, b FROM pts",

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import cube, geo, surface, vessel
 from ..functions.clock import clock_points
 from ..functions.ids import etag, node_id, node_path
-from ..model import LodOptions, World
+from ..model import POINT, LodOptions, World
 from ..operators import batches, lod, nodes
 from ..sinks import pnts, records
 from ..sinks.store import Store
@@ -21,7 +21,7 @@ from ..sources.survey import Survey, read_survey
 from ..sources.tables import embedding_points, event_points, table
 from ..sources.text import centroid, parse_lines, project, read_cartesian, read_geodetic
 from ..storage import checkpoint_dir, materialize
-from ..streaming import ingest
+from ..streaming import ingest, keyed
 
 #: Of the event points.
 EVENTS = LodOptions(World(0.0, 0.0, 0.0, 128.0), grid=8, max_depth=12)
@@ -401,6 +401,19 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text_stream(spark, sf_dir).progress().select("batch_id", "points")
 
 
+def keyed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as three micro-batches of a stream whose state knows what is owned, by cells of the second level."""
+    folder, points = _folder(spark), event_points(spark, sf_dir)
+    low, high = points.agg(F.min("seq"), F.max("seq")).first()
+    step = (high - low) // 3 + 1
+    for k in range(3):
+        points.where(F.col("seq").between(low + k * step, low + (k + 1) * step - 1)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    own, store = keyed.state_session(spark, spark.sparkContext.defaultParallelism), Store(spark, f"{folder}/store")
+    stream = own.readStream.schema(POINT).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    keyed.ingest_keyed(stream, store, EVENTS, f"{folder}/checkpoint", split=2, keep_recent=700).trigger(availableNow=True).start().awaitTermination()
+    return store.accepted().select("seq", "depth", "path", "cx", "cy", "cz")
+
+
 def stored_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest points of all batches."""
     return _stored(spark, sf_dir, 2).recent().select("seq", "x", "y", "z", "r", "g", "b")
@@ -472,6 +485,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         node_stats, node_children, node_children_list, leaf_nodes, node_order, node_ancestors, node_ids, node_etags, logical_root, emitted_nodes, trimmed_points, tile_box, tile_documents,
         rtc_offsets, tile_bytes, geodetic_centroid, enu_project, ecef_matrix, ecef_points, wave_surface, elevation_colour, hex_colour, survey_batches, recent_points, recent_centroid,
         recent_with_clock, clock_digits, batch_numbers, text_parse, vessel_corners, stored_node,
-        lod_level_loop, lod_first_levels, lod_incremental, ingest_progress, stored_recent, record_files, tile_points, exported_documents, export_stats, node_paths, leaf_ancestors, subtree_totals, lod_equal_points, lod_many_batches, nodes_by_deltas, replaced_node, replaced_counts, stored_dropped, commit_cadence, text_stream, stream_progress, text_cartesian, text_geodetic, vessel_edges,
+        lod_level_loop, lod_first_levels, lod_incremental, ingest_progress, stored_recent, record_files, tile_points, exported_documents, export_stats, node_paths, leaf_ancestors, subtree_totals, lod_equal_points, lod_many_batches, nodes_by_deltas, replaced_node, replaced_counts, stored_dropped, commit_cadence, text_stream, keyed_stream, stream_progress, text_cartesian, text_geodetic, vessel_edges,
     )
 }

@@ -40,6 +40,8 @@ class Run:
     last_seq: int | None = None
     apart: bool = True
     replaces: bool = False
+    #: Whether nodes of this run were replaced, also if compaction folded that in.
+    edited: bool = False
 
 
 @dataclass(frozen=True)
@@ -184,6 +186,10 @@ class Store:
         """Whether all cells of the stored points are parts of those above."""
         return all(r.apart for r in self._runs(before))
 
+    def edited(self, before: int | None = None) -> bool:
+        """Whether any node was ever replaced."""
+        return any(r.edited for r in self._runs(before))
+
     def node_points(self, path: str, before: int | None = None) -> DataFrame:
         """A node's points in order of arrival; an unknown path has none."""
         return self.accepted(before).where((F.col("depth") == len(path)) & (F.col("path") == path)).orderBy("seq")
@@ -256,7 +262,7 @@ class Store:
     def replace(self, rows: DataFrame, removed: DataFrame | None = None) -> None:
         """Each node that rows (ACCEPTED) or removed (path) name has these rows from now on, and no others; other nodes stay as they are."""
         before = self.manifest()
-        run = Run(f"r-{uuid.uuid4().hex}", before.version + 1, "replacement", replaces=True)
+        run = Run(f"r-{uuid.uuid4().hex}", before.version + 1, "replacement", replaces=True, edited=True)
         at = lambda kind: self._path("runs", run.name, kind)
         rows = materialize(rows.select(*(c.split()[0] for c in ACCEPTED.split(", "))))
         names = rows.select("path") if removed is None else rows.select("path").union(removed.select("path"))
@@ -281,7 +287,7 @@ class Store:
         stay = [r for r in before.runs if r not in folded]
         known = [r.batch for r in folded if r.batch is not None]
         seqs = [r.last_seq for r in folded if r.last_seq is not None]
-        run = Run(f"base-{uuid.uuid4().hex}", max(r.version for r in folded), "base", max(known, default=None), max(seqs, default=None), all(r.apart for r in folded))
+        run = Run(f"base-{uuid.uuid4().hex}", max(r.version for r in folded), "base", max(known, default=None), max(seqs, default=None), all(r.apart for r in folded), edited=any(r.edited for r in folded))
         at = lambda kind: self._path("runs", run.name, kind)
         rows = self._current(folded)
         # rows that stay may be older than nodes that a replacement after the base hides, so they keep their versions

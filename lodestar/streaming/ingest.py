@@ -10,6 +10,7 @@ from __future__ import annotations
 import threading
 import time
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
@@ -22,27 +23,36 @@ from ..sources.text import points_of_batch, stream_lines
 from ..storage import beside, scratch
 
 
-def append(points: DataFrame, batch: int, store: Store, options: LodOptions, keep_recent: int = 300_000, compact_every: int | None = None) -> None:
+def append(points: DataFrame, batch: int, store: Store, options: LodOptions, keep_recent: int = 300_000, compact_every: int | None = None, keyed: bool = False) -> None:
     """Assign one micro-batch and commit it, with the most recent points of all batches so far.
 
-    The points are kept in memory and on disk until the commit; what is lost with an executor is read once more. The task that settles points writes them where they stay."""
-    own = points.select(*POINT_COLUMNS).persist()
+    The points are kept in memory and on disk until the commit; what is lost with an executor is read once more. The task that settles points writes them where they stay.
+    keyed: the points come settled by `streaming.keyed`. That is committed as it is, unless a point's cells are no parts of those above or nodes of the store were replaced:
+    then, and for all later batches, the stored rows decide."""
+    rows = (points if keyed else points.select(*POINT_COLUMNS)).persist()
+    own = rows.select(*POINT_COLUMNS)
     try:
         with scratch(points.sparkSession):
-            seen = own.agg(F.count(F.lit(1)).alias("points"), F.min("seq").alias("first"), F.max("seq").alias("last"), *rule.bounds_of_world(options)).first()
+            strange = F.count_if(~F.col("nested")) if keyed else F.lit(0)
+            seen = rows.agg(strange.alias("strange"), F.count(F.lit(1)).alias("points"), F.min("seq").alias("first"), F.max("seq").alias("last"), *rule.bounds_of_world(options)).first()
             n, first, last = seen["points"], seen["first"], seen["last"]
             before = store.last_seq(batch)
             if n and before is not None and first <= before:
                 raise ValueError(f"batch {batch} has seq {first}, but earlier batches reach {before}")
             draft = store.draft(batch)
             latest = beside.submit(draft.put, "recent", _latest(own, n, first, last, store, batch, keep_recent))
-            found = rule.assign(own, options, stored=store.accepted(before=batch) if store.batches_before(batch) else None, apart=store.apart(batch), bounds=seen, hold=draft.settled)
+            apart = store.apart(batch) and not seen["strange"]
+            if keyed and apart and not store.edited(batch):
+                outside = rows.where("not inside").select("seq", F.lit(rule.OUT_OF_BOUNDS).alias("reason"), F.lit("").alias("path"))
+                found = rule.of_settled(draft.settled(rows.where("inside").drop("inside")), [outside])
+            else:
+                found = rule.assign(own, options, stored=store.accepted(before=batch) if store.batches_before(batch) else None, apart=apart, bounds=seen, hold=draft.settled)
             latest.result()
-            draft.commit(found, n, last if n else before)
+            draft.commit(replace(found, apart=found.apart and apart), n, last if n else before)
             if compact_every and len(store.batches_since_base()) > compact_every:
                 store.compact()
     finally:
-        own.unpersist()
+        rows.unpersist()
 
 
 def _latest(own: DataFrame, n: int, first: int | None, last: int | None, store: Store, batch: int, keep: int) -> DataFrame:
