@@ -10,8 +10,9 @@ n - ceil(t * n) + 1 shingles. Three orders are used, each of which linked docume
 2. and 3. within a cluster, ascending and descending hash, pair by pair: candidates pass both, and only they are verified
 
 A cluster of more than `block` documents, or of long ones, is first held against PIVOTS documents of its own, wherever its documents are. What links
-with a pivot is one part from then on. Only the rest is dealt into blocks, and pairs of them, and of them with blocks of the largest part,
-are separate tasks; no two documents of that part are compared again. Only links that
+with a pivot is one part from then on, and the largest part of a cluster is never compared with itself again. While more than a block is outside that part, a further
+order parts the cluster once more (documents that share no prefix shingle under it can't be linked), and pivots of what is outside follow. Only
+what such rounds no longer lower by a tenth is dealt into blocks, and pairs of them, and of them with blocks of the largest part, are separate tasks. Only links that
 join two parts are kept, then components are found by contraction. Equal sets are one class from the start.
 
 A document without words or text is linked with nothing. Rows that repeat an id are one node; a null id links
@@ -22,6 +23,8 @@ gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -178,12 +181,40 @@ def chained(token: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarra
     return a, b, token[start], ids[start], low[start], np.maximum.reduceat(high, start)
 
 
-def _against_pivots(rows: DataFrame, members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links of the documents of large clusters with pivots of their own; and id, component and the pivot whose part each document is, or null.
+def _chains(first: DataFrame, percent: int) -> DataFrame:
+    """Clusters of documents (v, component) by chains through the tokens that they list. first: id, n and prefix, a packed list of tokens."""
+    shards = _shards(int((first.agg(F.sum(F.length("prefix"))).first()[0] or 0) // 8))
 
-    rows: id, component and tokens; members: id and component."""
-    salt = F.pmod(F.xxhash64("id", F.lit("pivot")), F.lit(PIVOTS))
-    chosen = members.groupBy("component", salt.alias("salt")).agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("id"))
+    def post(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Chains of the batch's documents, as links in a shard below zero; and for each token and chain one document with the chain's least and largest size."""
+        lists = [np.frombuffer(x.as_py(), np.uint64) for x in b.column(2)]
+        sizes = np.array([len(x) for x in lists], np.int64)
+        if sizes.sum():
+            n = np.repeat(b.column(1).to_numpy(), sizes)
+            a, z, token, ids, low, high = chained(np.concatenate(lists), np.repeat(b.column(0).to_numpy(), sizes), n, n, percent)
+            if len(a):
+                none = pa.array([b""], pa.binary())
+                yield batch(shard=pa.array([-1 - TaskContext.get().partitionId()], pa.int64()), token=none, id=pa.array([a.tobytes()], pa.binary()), low=pa.array([z.tobytes()], pa.binary()), high=none)
+            yield dealt(_of(token, shards), token=token, id=ids, low=low, high=high)
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, low = packed(pdf["id"], np.int64), packed(pdf["low"], np.int64)
+        if pdf["shard"].iloc[0] < 0:
+            return pd.DataFrame({"a": ids, "b": low})
+        a, z, *_ = chained(packed(pdf["token"], np.uint64), ids, low, packed(pdf["high"], np.int64), percent)
+        return pd.DataFrame({"a": a, "b": z})
+
+    posted = by_arrow(first.select("id", "n", "prefix"), post, "shard long, token binary, id binary, low binary, high binary")
+    return components(posted.groupBy("shard").applyInPandas(chain, "a long, b long"))
+
+
+def _against_pivots(rows: DataFrame, members: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Links of the documents of large clusters with pivots from outside the cluster's largest part; and id, n, component and part of the other documents.
+
+    rows: id, n, component, part and tokens; members: id, component and in_main. A pivot has met all of its cluster and is done with. The part is that of before, else a pivot that links."""
+    salt = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(PIVOTS))
+    outside = members.where("not in_main")
+    chosen = outside.groupBy("component", salt.alias("salt")).agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("id"))
     pivots = materialize(rows.join(small(materialize(chosen.select("id")), 16), "id", "left_semi").groupBy("component").agg(F.collect_list(F.struct("id", "tokens")).alias("pivots")))
     size = pivots.agg(F.sum(F.aggregate("pivots", F.lit(0).cast("long"), lambda n, p: n + F.length(p["tokens"]) + 32))).first()[0] or 0
 
@@ -193,21 +224,74 @@ def _against_pivots(rows: DataFrame, members: DataFrame, percent: int) -> tuple[
             mine = np.frombuffer(tokens[i].as_py(), np.uint64)
             sets = ((p["id"], np.frombuffer(p["tokens"], np.uint64)) for p in pivots)
             found.append([j for j, other in sets if j == k or candidate(mine, other, percent) and linked(mine, other, percent)])
-        yield batch(id=b.column(0), component=b.column(3), pivots=pa.array(found, pa.list_(pa.int64())))
+        yield batch(id=b.column(0), component=b.column(3), part=b.column(4), n=b.column(5), pivots=pa.array(found, pa.list_(pa.int64())))
+
+    held = rows.join(F.broadcast(pivots) if size <= BROADCAST_BYTES else pivots, "component").select("id", "tokens", "pivots", "component", "part", "n")
+    compared = materialize(by_arrow(held, compare, "id long, component long, part long, n long, pivots array<long>"))
+    is_pivot = F.max(F.array_contains("pivots", F.col("id"))).alias("is_pivot")
+    parts = compared.groupBy("id", "component").agg(F.sum("n").alias("n"), F.coalesce(F.min("part"), F.min(F.array_min("pivots"))).alias("part"), is_pivot)
+    return compared.select(F.col("id").alias("a"), F.explode("pivots").alias("b")).where("a <> b"), parts.where("not is_pivot").drop("is_pivot")
+
+
+def _mains(state: DataFrame) -> DataFrame:
+    """state with in_main: whether a document is of the largest part of its cluster."""
+    sizes = state.where("part is not null").groupBy("component", "part").agg(F.count(F.lit(1)).alias("m"))
+    main = sizes.groupBy("component").agg(F.max(F.struct("m", "part"))["part"].alias("main"))
+    return materialize(state.join(small(materialize(main), 16), "component", "left").withColumn("in_main", F.coalesce(F.col("part") == F.col("main"), F.lit(False))).drop("main"))
+
 
-    held = rows.join(F.broadcast(pivots) if size <= BROADCAST_BYTES else pivots, "component").select("id", "tokens", "pivots", "component")
-    compared = materialize(by_arrow(held, compare, "id long, component long, pivots array<long>"))
-    parts = compared.groupBy("id", "component").agg(F.min(F.array_min("pivots")).alias("part"))
-    return compared.select(F.col("id").alias("a"), F.explode("pivots").alias("b")).where("a <> b"), materialize(parts)
+def _parted(rows: DataFrame, percent: int, turn: int) -> DataFrame:
+    """id and component of the documents of large clusters that may still link: those that share a prefix token under an order of this turn, within their cluster. rows: id, n, component and tokens."""
+    salt = mix(np.array([turn], np.uint64) + SALT)
+
+    def prefixes(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        own, out = mix(b.column(3).to_numpy().astype(np.uint64) ^ SALT), []
+        for i, tokens in enumerate(b.column(2)):
+            rank = np.sort(mix(np.frombuffer(tokens.as_py(), np.uint64) ^ salt))
+            out.append(mix(rank[: int(prefix_size(np.array(len(rank)), percent))] ^ own[i]).tobytes())
+        yield batch(id=b.column(0), n=b.column(1), prefix=pa.array(out, pa.binary()))
+
+    first = materialize(by_arrow(rows.select("id", "n", "tokens", "component"), prefixes, "id long, n long, prefix binary"))
+    return _chains(first, percent).withColumnRenamed("v", "id")
+
+
+def _large_clusters(sets: DataFrame, many: DataFrame, percent: int, block: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Links of large clusters that rounds of pivots found, and tasks for what is left: task, component, id, tokens and part. sets: id, n and tokens; many: id and component."""
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)), F.sum("n") / BLOCK_TOKENS) / block).cast("int")
+    part = F.lit(None).cast("long").alias("part")
+    state, found, tasks, before = many.select("id", "component", part, F.lit(False).alias("in_main")), [], [], None
+    for turn in count():
+        links, state = _against_pivots(sets.join(small(state, 40), "id"), state, percent, turn)
+        found.append(links)
+        state = _mains(state)
+        outside = materialize(state.where("not in_main").groupBy("component").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("m")))
+        again = outside.where("blocks > 1")
+        m = again.agg(F.sum("m")).first()[0] or 0
+        last = not m or before is not None and 10 * m > 9 * before
+        ended = state if last else state.join(small(again.select("component"), 8), "component", "left_anti")
+        tasks.append(_block_pairs(sets.join(small(ended.drop("n"), 40), "id"), blocks))
+        if last:
+            break
+        before = m
+        left = state.join(small(again.select("component"), 8), "component", "left_semi").select("id", "n", "component")
+        merged = components(reduce(DataFrame.unionByName, found)).select(F.col("v").alias("id"), F.col("component").alias("part"))
+        left = materialize(left.join(merged, "id", "left"))
+        parted = _parted(sets.join(small(left.select("id", "component"), 24), "id"), percent, turn)
+        left = materialize(left.drop("component").join(small(parted, 24), "id"))
+        sized = materialize(left.groupBy("component").agg(blocks.alias("blocks")))
+        whole = left.join(small(sized.where("blocks = 1").select("component"), 8), "component", "left_semi").select("id", "component", "part")
+        tasks.append(sets.join(small(whole, 32), "id").select((-1 - F.pmod(F.xxhash64("component"), F.lit(buckets))).alias("task"), "component", "id", "tokens", "part"))
+        left = left.join(small(sized.where("blocks > 1").select("component"), 8), "component", "left_semi")
+        state = _mains(left).drop("n")
+        if state.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, tasks)
 
 
 def _block_pairs(rows: DataFrame, blocks: Column) -> DataFrame:
-    """The tasks of documents of large clusters: task, component, id, tokens and part. rows: id, n, tokens, component and part; blocks: into how many a group of rows is dealt.
+    """The tasks of documents of large clusters: task, component, id, tokens and part. rows: id, n, tokens, component, part and in_main; blocks: into how many a group of rows is dealt.
 
     Documents of a cluster's largest part meet all others, not each other."""
-    sizes = rows.where("part is not null").groupBy("component", "part").agg(F.count(F.lit(1)).alias("m"))
-    main = sizes.groupBy("component").agg(F.max(F.struct("m", "part"))["part"].alias("main"))
-    rows = rows.join(small(materialize(main), 16), "component", "left").withColumn("in_main", F.coalesce(F.col("part") == F.col("main"), F.lit(False)))
     counts = rows.groupBy("component", "in_main").agg(blocks.alias("k"))
     dealt = counts.groupBy("component").agg(F.coalesce(F.max(F.when(F.col("in_main"), F.col("k"))), F.lit(0)).alias("mains"), F.coalesce(F.max(F.when(~F.col("in_main"), F.col("k"))), F.lit(0)).alias("others"))
     placed = rows.join(small(materialize(dealt.where("others > 0")), 16), "component")
@@ -297,29 +381,7 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, block:
     told = asked.groupBy("shard").applyInPandas(tell, "shard long, run long, low binary, high binary, doc binary, often binary")
     first = materialize(told.groupBy("run").applyInPandas(prefixes, "id long, n long, prefix binary"))
     first = first.join(small(classes.select(F.col("cid").alias("id")), 16), "id", "left_semi")
-    shards = _shards(int((first.agg(F.sum(F.length("prefix"))).first()[0] or 0) // 8))
-
-    def post(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """Chains of the batch's documents, as links in a shard below zero; and for each token and chain one document with the chain's least and largest size."""
-        lists = [np.frombuffer(x.as_py(), np.uint64) for x in b.column(2)]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        if sizes.sum():
-            n = np.repeat(b.column(1).to_numpy(), sizes)
-            a, z, token, ids, low, high = chained(np.concatenate(lists), np.repeat(b.column(0).to_numpy(), sizes), n, n, percent)
-            if len(a):
-                none = pa.array([b""], pa.binary())
-                yield batch(shard=pa.array([-1 - TaskContext.get().partitionId()], pa.int64()), token=none, id=pa.array([a.tobytes()], pa.binary()), low=pa.array([z.tobytes()], pa.binary()), high=none)
-            yield dealt(_of(token, shards), token=token, id=ids, low=low, high=high)
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, low = packed(pdf["id"], np.int64), packed(pdf["low"], np.int64)
-        if pdf["shard"].iloc[0] < 0:
-            return pd.DataFrame({"a": ids, "b": low})
-        a, z, *_ = chained(packed(pdf["token"], np.uint64), ids, low, packed(pdf["high"], np.int64), percent)
-        return pd.DataFrame({"a": a, "b": z})
-
-    posted = by_arrow(first.select("id", "n", "prefix"), post, "shard long, token binary, id binary, low binary, high binary")
-    clusters = components(posted.groupBy("shard").applyInPandas(chain, "a long, b long"))
+    clusters = _chains(first, percent)
 
     # second and third order
     def whole(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -341,8 +403,8 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80, block:
     found = None
     if not sized.where("blocks > 1").isEmpty():
         many = materialize(named.join(small(sized.where("blocks > 1").select("component"), 16), "component"))
-        found, parts = _against_pivots(sets.join(small(many, 24), "id"), many, percent)
-        ready = ready.unionByName(_block_pairs(sets.join(small(parts, 32), "id"), blocks))
+        found, rest = _large_clusters(sets, many, percent, block, buckets)
+        ready = ready.unionByName(rest)
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []

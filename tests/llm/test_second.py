@@ -209,6 +209,24 @@ def test_jaccard_of_a_chain(spark):
     assert sorted(map(tuple, jaccard_join.similar_documents(docs, 4, 85, 8).collect())) == brute_groups(sorted(rows), 4, 85)
 
 
+def test_jaccard_of_clusters_that_hardly_link(spark, monkeypatch):
+    """Texts of few words share prefixes in any order, so one cluster has nearly all, but only edited copies link: rounds of pivots and of further orders come before blocks."""
+    rng, rows = np.random.default_rng(5), []
+    for _ in range(90):
+        text = [f"w{j}" for j in rng.choice(150, 20, replace=False)]
+        for copy in range(int(rng.integers(1, 4))):
+            text[copy] = f"c{copy}"
+            rows.append((len(rows), " ".join(text)))
+    for k in range(40):
+        rows.append((len(rows), " ".join(f"t{k}" if j == k % 30 else f"w{j}" for j in range(30))))
+    turns = []
+    real = jaccard_join._parted
+    monkeypatch.setattr(jaccard_join, "_parted", lambda rows, percent, turn: turns.append(turn) or real(rows, percent, turn))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.similar_documents(docs, 1, 70, 6).collect())) == brute_groups(rows, 1, 70)
+    assert turns
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_chains(seed):
     """Chains of chains connect what chains of all documents at once connect."""
