@@ -35,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window as W, functions as F
 
 from ..functions import cube
 from ..model import CELL_COLUMNS, CUBE_COLUMNS, POINT_COLUMNS, LodOptions
@@ -43,6 +43,8 @@ from ..storage import BROADCAST_BYTES, materialize, small
 
 #: Points of one cell that a single task may finish.
 KERNEL_ROWS = 1 << 16
+#: Rows that a task settles at once, if its units are smaller than that.
+HELD_ROWS = 1 << 16
 #: Stored cells of the levels that all points share that may be sent to every task.
 SENT_OWNERS = 1 << 18
 ACCEPTED = "seq long, x double, y double, z double, r int, g int, b int, path string, depth int, cx int, cy int, cz int, mx double, my double, mz double, sz double"
@@ -145,15 +147,16 @@ def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 def finish(live: DataFrame, depth: int, options: LodOptions, tasks: int, unit: tuple[str, ...] = ("path",), owners: DataFrame | None = None) -> DataFrame:
     """All remaining levels for points whose units are small: ACCEPTED columns and `nested`, with depth -1 where the deepest level accepted none.
 
-    Units, with their owners, are dealt to tasks in one shuffle; a task settles all that it has at once. At the root no node needs to be sent."""
+    Units, with their owners, are dealt to tasks in one shuffle and sorted there, so that a task settles some whole units at a time and holds no others. At the root no node needs to be sent."""
     both, sent = owners is not None, () if depth == 0 else ("path", *CUBE_COLUMNS)
     world = [float(v) for v in (options.world.x, options.world.y, options.world.z, options.world.size)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows, owned = pa.Table.from_batches(held), None
+        for rows in whole_units(batches, unit, HELD_ROWS):
+            yield from settled(rows)
+
+    def settled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        owned = None
         if both:
             own = pc.greater_equal(rows["own_depth"], 0)
             stored, rows = rows.filter(own), rows.filter(pc.invert(own))
@@ -172,7 +175,31 @@ def finish(live: DataFrame, depth: int, options: LodOptions, tasks: int, unit: t
         nothing = [F.lit("").alias("own_path"), F.lit(-1).alias("own_depth"), *(F.lit(0).alias(c) for c in OWN_COLUMNS[2:])]
         place = [F.lit(0).cast(live.schema[c].dataType).alias(c) for c in POINT_COLUMNS]
         rows = rows.select("*", *nothing).unionByName(owners.select(*place, *dict.fromkeys((*sent, *unit)), *OWN_COLUMNS))
-    return rows.repartition(tasks, *unit).mapInArrow(run, f"{ACCEPTED}, nested boolean")
+    return rows.repartition(tasks, *unit).sortWithinPartitions(*unit).mapInArrow(run, f"{ACCEPTED}, nested boolean")
+
+
+def whole_units(batches: Iterator[pa.RecordBatch], unit: tuple[str, ...], least: int) -> Iterator[pa.Table]:
+    """Of batches sorted by unit, tables of whole units, cut at the first new unit after `least` rows."""
+    held, n = [], 0
+    for b in batches:
+        if n >= least and b.num_rows:
+            last = held[-1].slice(held[-1].num_rows - 1)
+            differ = [pc.not_equal(b[c], last[c][0]) for c in unit]
+            ends = [k for k in (pc.index(d, True).as_py() for d in differ) if k >= 0]
+            if ends:
+                end = min(ends)
+                yield pa.Table.from_batches([*held, b.slice(0, end)])
+                held, n, b = [], 0, b.slice(end)
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _tasks(spark: SparkSession, rows: int) -> int:
+    """For so many rows in small units; by what a task may hold, however small the units are."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // KERNEL_ROWS))
 
 
 def _column(rows: pa.Table, name: str) -> np.ndarray:
@@ -394,7 +421,7 @@ def _by_units(live: DataFrame, depth: int, options: LodOptions, kernel_rows: int
             big = small(materialize(sizes.where(F.col("rows") > kernel_rows).select(*unit)), depth + 76)
             large, rest = cells.join(big, list(unit), "left_semi"), cells.join(big, list(unit), "left_anti")
         near = None if held is None else held.join(small(materialize(sizes.where(F.col("rows") <= kernel_rows).select(*unit)), depth + 76), list(unit), "left_semi")
-        tasks = max(spark.sparkContext.defaultParallelism, -(-total // kernel_rows))
+        tasks = _tasks(spark, total)
         done = materialize(finish(rest, depth, options, tasks, unit, near))
         if len(unit) > 1 and not _apart(done):
             return None
@@ -463,7 +490,7 @@ def assign(points: DataFrame, options: LodOptions | None = None, kernel_rows: in
         if not seen["n"]:
             return nothing()
         if seen["most"] <= kernel_rows and len(unit) > 1:
-            tasks = max(spark.sparkContext.defaultParallelism, -(-seen["rows"] // kernel_rows))
+            tasks = _tasks(spark, seen["rows"])
             if held is not None and seen["all_rows"] > 2 * seen["rows"]:
                 keys = materialize(sizes.where("n > 0").select(*unit))
                 held = held.join(F.broadcast(keys) if seen["units"] * 76 <= BROADCAST_BYTES else keys, list(unit), "left_semi")

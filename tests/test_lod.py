@@ -6,6 +6,7 @@ import urllib.error
 import urllib.request
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from lodestar.functions import geo, ids
 from lodestar.functions.clock import clock_at
@@ -318,3 +319,32 @@ def test_stream_and_server(spark, tmp_path):
         assert len(latest) > 100 and np.allclose(latest["x"][:100], rows[800:, 0]) and get("/")[0] == 200
     finally:
         http.shutdown()
+
+
+def test_tasks_of_small_units(spark, monkeypatch):
+    """How many tasks there are depends on the rows, not on how few of them a cell may have."""
+    seen, finish = [], lod.finish
+
+    def watched(live, depth, options, tasks, *more):
+        seen.append((depth, tasks))
+        return finish(live, depth, options, tasks, *more)
+
+    monkeypatch.setattr(lod, "finish", watched)
+    rows = spark.range(4000).select(F.col("id").alias("seq"), *((F.col("id") * k % 1009 / 8.0).alias(a) for k, a in zip((7, 31, 57), "xyz")), *(F.lit(1).alias(c) for c in "rgb"))
+    world = LodOptions(World(0.0, 0.0, 0.0, 128.0), 8, 12)
+    plain = lod.assign(rows, world).accepted.select("seq", "path").collect()
+    looped = lod.assign(rows, world, kernel_rows=2).accepted.select("seq", "path").collect()
+    assert sorted(plain) == sorted(looped)
+    assert max(depth for depth, _ in seen) > 0 and {tasks for _, tasks in seen} == {spark.sparkContext.defaultParallelism}
+
+
+def test_whole_units():
+    """Held rows end with a unit; none is parted or lost, whatever the batches."""
+    unit = [0] * 5 + [1] * 40 + [2] + [3] * 9 + [4] * 2
+    table = pa.table({"cx": unit, "cy": [0] * len(unit), "n": range(len(unit))})
+    for size in (1, 3, 16, 100):
+        parts = list(lod.whole_units(iter(table.to_batches(size)), ("cx", "cy"), 8))
+        assert pa.concat_tables(parts).to_pydict() == table.to_pydict()
+        ends = [set(p["cx"].to_pylist()) for p in parts]
+        assert all(not a & b for a, b in zip(ends, ends[1:])) and all(len(p) >= 8 for p in parts[:-1])
+    assert list(lod.whole_units(iter([]), ("cx", "cy"), 8)) == []
