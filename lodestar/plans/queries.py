@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import cube, geo, surface, vessel
@@ -13,7 +12,7 @@ from ..functions.clock import clock_points
 from ..functions.ids import etag, node_id, node_path
 from ..model import POINT, LodOptions, World
 from ..operators import batches, lod, nodes
-from ..sinks import pnts, records
+from ..sinks import files, pnts, records
 from ..sinks.store import Store
 from ..sinks.tileset import documents, export
 from ..sources.records import read_records
@@ -429,24 +428,16 @@ def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tile_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points through tile files and back: which tile each is in, and where."""
     folder = _folder(spark)
-    pnts.write_tiles(_events(spark, sf_dir).accepted, folder, EVENTS.max_depth).agg(F.count(F.lit(1))).first()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for name, content in zip(b["name"], b["content"]):
-                spec, xyz, rgb = pnts.decode(content)
-                yield pd.DataFrame(xyz, columns=list("xyz")).assign(tile=name, points=spec["POINTS_LENGTH"], r=rgb[:, 0].astype(int), g=rgb[:, 1].astype(int), b=rgb[:, 2].astype(int))
-
-    files = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content")
-    found = files.mapInPandas(run, "x double, y double, z double, tile string, points long, r int, g int, b int")
+    written = materialize(pnts.write_tiles(_events(spark, sf_dir).accepted, folder).select("file"))
+    found = pnts.read_tiles(written, folder)
     return found.select("tile", "points", *(F.round(c, 3).alias(c) for c in "xyz"), "r", "g", "b")
 
 
 def exported_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an export wrote, the numbers as they stand in its text."""
     folder = _folder(spark)
-    export(_events(spark, sf_dir), EVENTS, folder)
-    texts = spark.read.text(f"{folder}/*.json", wholetext=True).select(F.regexp_extract("_metadata.file_path", "([^/]+)$", 1).alias("file"), "value")
+    written = export(_events(spark, sf_dir), EVENTS, folder).written
+    texts = files.read(written, folder).select("file", F.col("content").cast("string").alias("value"))
     return texts.select("file", F.regexp_extract("value", r'"geometricError":\s*([^,}]+)', 1).alias("error_text"), F.regexp_count("value", F.lit(r"tileset_node_[0-9]+\.json")).cast("long").alias("children"))
 
 

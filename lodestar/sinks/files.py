@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyarrow import fs as afs
+from pyspark.sql import DataFrame
+
+#: Files of one batch that goes back to Spark.
+BATCH_FILES = 1 << 10
 
 
 def resolve(path: str) -> tuple[afs.FileSystem, str]:
@@ -19,3 +25,22 @@ def write(filesystem: afs.FileSystem, path: str, content: bytes) -> None:
     with filesystem.open_output_stream(part) as f:
         f.write(content)
     filesystem.move(part, path)
+
+
+def read(names: DataFrame, folder: str) -> DataFrame:
+    """file and content (bytes) of the files under folder that names (file) has, opened by name in the tasks.
+
+    Nobody lists the folder: a listing of Spark's passes every file through the driver and plans a few of them to a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, base = resolve(folder)
+        for b in batches:
+            for start in range(0, b.num_rows, BATCH_FILES):
+                part = b["file"].slice(start, BATCH_FILES)
+                contents = []
+                for name in part.to_pylist():
+                    with filesystem.open_input_stream(f"{base}/{name}") as f:
+                        contents.append(f.read())
+                yield pa.RecordBatch.from_arrays([part, pa.array(contents, pa.binary())], names=["file", "content"])
+
+    return names.select("file").mapInArrow(run, "file string, content binary")

@@ -7,10 +7,10 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
-from ..functions.ids import content_name, node_id
+from ..functions.ids import id_of_path
 from ..model import CUBE_COLUMNS
 from . import files
 
@@ -45,35 +45,64 @@ def decode(content: bytes) -> tuple[dict, np.ndarray, np.ndarray]:
 TILE = "path string, file string, points long, bytes long"
 
 
-def write_tiles(accepted: DataFrame, folder: str, max_depth: int) -> DataFrame:
+def write_tiles(accepted: DataFrame, folder: str) -> DataFrame:
     """A file for each node under folder, points in order of seq; lazily: TILE rows of what was written.
 
     Rows are sorted by node within a task, and a node has at most (cells + 1) ** 3 points, which are held one node at a time."""
     names = accepted.select("seq", "x", "y", "z", "r", "g", "b", "path", *CUBE_COLUMNS)
-    ordered = names.repartition("path").sortWithinPartitions("path", "seq").withColumn("file", content_name(node_id(F.col("path"), max_depth)))
+    ordered = names.repartition("path").sortWithinPartitions("path", "seq").drop("seq")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = files.resolve(folder)
         filesystem.create_dir(base, recursive=True)
 
-        def tile(rows: pd.DataFrame) -> tuple[str, str, int, int]:
-            first = rows.iloc[0]
-            content = encode(tuple(first[c] for c in CUBE_COLUMNS), rows[["x", "y", "z"]].to_numpy(), rows[["r", "g", "b"]].to_numpy())
-            files.write(filesystem, f"{base}/{first['file']}", content)
-            return first["path"], first["file"], len(rows), len(content)
+        def tile(path: str, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[str, str, int, int]:
+            cubes, xyz, rgb = (np.concatenate(p) for p in zip(*parts))
+            file = f"{id_of_path(path)}.pnts"
+            content = encode(tuple(cubes[0]), xyz, rgb)
+            files.write(filesystem, f"{base}/{file}", content)
+            return path, file, len(xyz), len(content)
 
-        held: list[pd.DataFrame] = []
+        last, held = None, []
         for b in batches:
-            groups = [g for _, g in b.groupby("path", sort=False)]
+            if not b.num_rows:
+                continue
+            paths = b["path"].to_numpy(zero_copy_only=False)
+            columns = [np.stack([b[c].to_numpy() for c in names], 1) for names in (CUBE_COLUMNS, ("x", "y", "z"), ("r", "g", "b"))]
+            starts = [0, *(np.flatnonzero(paths[1:] != paths[:-1]) + 1).tolist(), len(paths)]
             out = []
-            for g in groups:
-                if held and held[0]["path"].iloc[0] != g["path"].iloc[0]:
-                    out.append(tile(pd.concat(held)))
+            for start, end in zip(starts, starts[1:]):
+                if held and paths[start] != last:
+                    out.append(tile(last, held))
                     held = []
-                held.append(g)
+                last = paths[start]
+                held.append(tuple(c[start:end] for c in columns))
+            held[-1] = tuple(c.copy() for c in held[-1])  # so that no more of the batch is held on
             if out:
-                yield pd.DataFrame(out, columns=["path", "file", "points", "bytes"])
+                yield _tile_rows(out)
         if held:
-            yield pd.DataFrame([tile(pd.concat(held))], columns=["path", "file", "points", "bytes"])
+            yield _tile_rows([tile(last, held)])
 
-    return ordered.mapInPandas(run, TILE)
+    return ordered.mapInArrow(run, TILE)
+
+
+def _tile_rows(rows: list[tuple[str, str, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["path", "file", "points", "bytes"])
+
+
+def read_tiles(written: DataFrame, folder: str) -> DataFrame:
+    """A row for each point of the tiles that written (file) names: x, y, z, its tile, the points that this says it has, and r, g, b."""
+    schema = pa.schema([*((c, pa.float64()) for c in "xyz"), ("tile", pa.string()), ("points", pa.int64()), *((c, pa.int32()) for c in "rgb")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [decode(content) for content in b["content"].to_pylist()]
+            n = [len(xyz) for _, xyz, _ in found]
+            if not sum(n):
+                continue
+            xyz, rgb = (np.concatenate([f[k] for f in found]) for k in (1, 2))
+            tiles, points = (np.repeat(np.array(v, kind), n) for v, kind in ((b["file"].to_pylist(), object), ([spec["POINTS_LENGTH"] for spec, _, _ in found], np.int64)))
+            columns = [*(xyz[:, k] for k in range(3)), tiles, points, *(rgb[:, k].astype(np.int32) for k in range(3))]
+            yield from pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema).to_batches(1 << 16)
+
+    return files.read(written, folder).mapInArrow(run, "x double, y double, z double, tile string, points long, r int, g int, b int")

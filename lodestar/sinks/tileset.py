@@ -49,14 +49,16 @@ def with_transform(document: str, reference: GeoReference | None) -> str:
 
 
 def _write_documents(rows: DataFrame, folder: str) -> DataFrame:
+    """Lazily: the names of what was written."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filesystem, base = files.resolve(folder)
         for b in batches:
             for name, text in zip(b["file"], b["document"]):
                 files.write(filesystem, f"{base}/{name}", text.encode())
-            yield pd.DataFrame({"n": [len(b)]})
+            yield b[["file"]]
 
-    return rows.select("file", "document").mapInPandas(run, "n long")
+    return rows.select("file", "document").mapInPandas(run, "file string")
 
 
 @dataclass(frozen=True)
@@ -66,6 +68,8 @@ class ExportStats:
     metadata_ms: int
     tiles: int
     documents: int
+    #: file: the names of all documents in the folder, the top one's too.
+    written: DataFrame
 
 
 def export(lod: Lod, options: LodOptions, folder: str, refine: str = ADD, reference: GeoReference | None = None, name: str = "tileset.json", trim: bool = True) -> ExportStats:
@@ -82,13 +86,15 @@ def export(lod: Lod, options: LodOptions, folder: str, refine: str = ADD, refere
     walk = lap()
     filesystem, base = files.resolve(folder)
     filesystem.create_dir(f"{base}/content", recursive=True)
-    tiles = pnts.write_tiles(node_operators.subtree(lod.accepted, start), f"{folder.rstrip('/')}/content", options.max_depth).agg(F.count("*")).first()[0]
+    tiles = pnts.write_tiles(node_operators.subtree(lod.accepted, start), f"{folder.rstrip('/')}/content").agg(F.count("*")).first()[0]
     top = texts.where(F.col("path") == start).first()
     root = shown.where(F.col("path") == start).first()
     if not root["point_count"]:  # a root that nothing reached still has its tile
         files.write(filesystem, f"{base}/content/{top['id']}.pnts", pnts.encode((root["mx"], root["my"], root["mz"], root["sz"]), [], []))
         tiles += 1
     content = lap()
-    nested = _write_documents(texts.where(F.col("path") != start), folder).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    written = materialize(_write_documents(texts.where(F.col("path") != start), folder))
+    nested = written.count()
     files.write(filesystem, f"{base}/{name}", with_transform(top["document"], reference).encode())
-    return ExportStats(walk, content, lap(), tiles, nested)
+    written = written.unionByName(spark.range(1).select(F.lit(name).alias("file")))
+    return ExportStats(walk, content, lap(), tiles, nested, written)

@@ -12,6 +12,7 @@ from lodestar.functions import geo, ids
 from lodestar.functions.clock import clock_at
 from lodestar.model import POINT, GeoReference, LodOptions, World
 from lodestar.operators import batches, lod, nodes
+from lodestar.plans import queries
 from lodestar.sinks import pnts, records, tileset
 from lodestar.sinks.store import Store
 from lodestar.sources import records as record_source
@@ -348,3 +349,33 @@ def test_whole_units():
         ends = [set(p["cx"].to_pylist()) for p in parts]
         assert all(not a & b for a, b in zip(ends, ends[1:])) and all(len(p) >= 8 for p in parts[:-1])
     assert list(lod.whole_units(iter([]), ("cx", "cy"), 8)) == []
+
+
+def test_files_are_read_by_name(spark, sf_dir):
+    """No listing of written files passes the driver: what is read back comes from names that the tasks which wrote them gave."""
+    for query, kind in ((queries.exported_documents, ".json"), (queries.tile_points, ".pnts")):
+        found = query(spark, sf_dir)
+        assert not any(kind in name for name in found.inputFiles()) and found.count()
+
+
+def test_tiles_over_batches(spark, tmp_path, monkeypatch):
+    """A tile whose points come in many batches of rows, next to tiny ones, is one whole file with its points in order of seq; export names all documents that it wrote."""
+    rows = [(5 + (k * 37 % 97) / 100, 5.0, 5.0) for k in range(300)] + [(k % 90 + 0.5, 60.0, 70.0) for k in range(40)]
+    world = LodOptions(World(0.0, 0.0, 0.0, 128.0), 64, 3)
+    result = lod.assign(points(spark, rows), world)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        written = pnts.write_tiles(result.accepted, str(tmp_path / "tiles")).collect()
+        back = pnts.read_tiles(spark.createDataFrame(written).select("file"), str(tmp_path / "tiles")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = {}
+    for r in result.accepted.orderBy("seq").collect():
+        expected.setdefault(f"{ids.id_of_path(r['path'])}.pnts", []).append((r["x"], r["r"]))
+    assert {r["file"]: r["points"] for r in written} == {k: len(v) for k, v in expected.items()} and max(map(len, expected.values())) > 14
+    for name, wanted in expected.items():
+        spec, xyz, rgb = pnts.decode((tmp_path / "tiles" / name).read_bytes())
+        assert spec["POINTS_LENGTH"] == len(wanted) and np.allclose(xyz[:, 0], [x for x, _ in wanted], atol=1e-3) and rgb[:, 0].tolist() == [r for _, r in wanted]
+    assert sorted((r["tile"], r["points"]) for r in back) == sorted((k, len(v)) for k, v in expected.items() for _ in v)
+    stats = tileset.export(result, world, str(tmp_path / "out"), trim=False)
+    assert sorted(r["file"] for r in stats.written.collect()) == sorted(p.name for p in (tmp_path / "out").glob("*.json")) and stats.written.count() == stats.documents + 1
