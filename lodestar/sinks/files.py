@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs as afs
@@ -20,11 +22,29 @@ def resolve(path: str) -> tuple[afs.FileSystem, str]:
 
 
 def write(filesystem: afs.FileSystem, path: str, content: bytes) -> None:
-    """All or nothing on a store whose renames replace, so that a task that runs twice leaves one whole file."""
-    part = f"{path}.part"
-    with filesystem.open_output_stream(part) as f:
-        f.write(content)
-    filesystem.move(part, path)
+    """One file, written as those of `writer` are."""
+    folder, name = path.rsplit("/", 1)
+    with writer(filesystem, folder) as put:
+        put(name, content)
+
+
+@contextmanager
+def writer(filesystem: afs.FileSystem, folder: str) -> Iterator[Callable[[str, bytes], None]]:
+    """put(name, content) for a task that writes many files: all or nothing on a store whose renames replace, so that a task that runs twice leaves whole files.
+
+    Drafts have a folder of their own, which goes at the end. A folder takes one change at a time, whoever makes it, so the one that all tasks write to gets only the finished names."""
+    drafts = f"{folder}/.drafts-{uuid.uuid4().hex}"
+
+    def put(name: str, content: bytes) -> None:
+        with filesystem.open_output_stream(f"{drafts}/draft") as f:
+            f.write(content)
+        filesystem.move(f"{drafts}/draft", f"{folder}/{name}")
+
+    filesystem.create_dir(drafts, recursive=True)
+    try:
+        yield put
+    finally:
+        filesystem.delete_dir(drafts)
 
 
 def read(names: DataFrame, folder: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,14 +53,15 @@ def write_tiles(accepted: DataFrame, folder: str) -> DataFrame:
     ordered = names.repartition("path").sortWithinPartitions("path", "seq").drop("seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filesystem, base = files.resolve(folder)
-        filesystem.create_dir(base, recursive=True)
+        with files.writer(*files.resolve(folder)) as put:
+            yield from tiles(batches, put)
 
+    def tiles(batches: Iterator[pa.RecordBatch], put: Callable[[str, bytes], None]) -> Iterator[pa.RecordBatch]:
         def tile(path: str, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[str, str, int, int]:
             cubes, xyz, rgb = (np.concatenate(p) for p in zip(*parts))
             file = f"{id_of_path(path)}.pnts"
             content = encode(tuple(cubes[0]), xyz, rgb)
-            files.write(filesystem, f"{base}/{file}", content)
+            put(file, content)
             return path, file, len(xyz), len(content)
 
         last, held = None, []

@@ -52,11 +52,11 @@ def _write_documents(rows: DataFrame, folder: str) -> DataFrame:
     """Lazily: the names of what was written."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filesystem, base = files.resolve(folder)
-        for b in batches:
-            for name, text in zip(b["file"], b["document"]):
-                files.write(filesystem, f"{base}/{name}", text.encode())
-            yield b[["file"]]
+        with files.writer(*files.resolve(folder)) as put:
+            for b in batches:
+                for name, text in zip(b["file"], b["document"]):
+                    put(name, text.encode())
+                yield b[["file"]]
 
     return rows.select("file", "document").mapInPandas(run, "file string")
 

@@ -13,7 +13,7 @@ from lodestar.functions.clock import clock_at
 from lodestar.model import POINT, GeoReference, LodOptions, World
 from lodestar.operators import batches, lod, nodes
 from lodestar.plans import queries
-from lodestar.sinks import pnts, records, tileset
+from lodestar.sinks import files, pnts, records, tileset
 from lodestar.sinks.store import Store
 from lodestar.sources import records as record_source
 from lodestar.sources import text
@@ -379,3 +379,16 @@ def test_tiles_over_batches(spark, tmp_path, monkeypatch):
     assert sorted((r["tile"], r["points"]) for r in back) == sorted((k, len(v)) for k, v in expected.items() for _ in v)
     stats = tileset.export(result, world, str(tmp_path / "out"), trim=False)
     assert sorted(r["file"] for r in stats.written.collect()) == sorted(p.name for p in (tmp_path / "out").glob("*.json")) and stats.written.count() == stats.documents + 1
+
+
+def test_drafts_apart(tmp_path):
+    """A folder that many tasks write to gets finished names only; drafts have a folder of their own, which goes even if the task fails."""
+    filesystem, base = files.resolve(str(tmp_path))
+    seen = set()
+    with pytest.raises(TypeError), files.writer(filesystem, base) as put:
+        for k in range(3):
+            put(f"{k}.json", b"{}")
+            seen |= {p.name for p in tmp_path.iterdir() if p.is_file()}
+        put("3.json", None)
+    files.write(filesystem, f"{base}/2.json", b"[]")
+    assert seen == {"0.json", "1.json", "2.json"} == {p.name for p in tmp_path.iterdir()} and (tmp_path / "2.json").read_bytes() == b"[]"
