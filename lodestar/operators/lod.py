@@ -147,12 +147,13 @@ def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 def finish(live: DataFrame, depth: int, options: LodOptions, tasks: int, unit: tuple[str, ...] = ("path",), owners: DataFrame | None = None) -> DataFrame:
     """All remaining levels for points whose units are small: ACCEPTED columns and `nested`, with depth -1 where the deepest level accepted none.
 
-    Units, with their owners, are dealt to tasks in one shuffle and sorted there, so that a task settles some whole units at a time and holds no others. At the root no node needs to be sent."""
+    Units, with their owners, are dealt to tasks in one shuffle and sorted there, so that a task settles some whole units at a time and holds no others. At the root no node needs to be sent.
+    One number stands for a unit, by which Spark sorts without a look at the rows; units of the same number are settled together, which changes nothing."""
     both, sent = owners is not None, () if depth == 0 else ("path", *CUBE_COLUMNS)
     world = [float(v) for v in (options.world.x, options.world.y, options.world.z, options.world.size)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_units(batches, unit, HELD_ROWS):
+        for rows in whole_units(batches, ("unit",), HELD_ROWS):
             yield from settled(rows)
 
     def settled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -170,12 +171,16 @@ def finish(live: DataFrame, depth: int, options: LodOptions, tasks: int, unit: t
         columns |= {c: pa.array(found.cubes[:, k]) for k, c in enumerate(CUBE_COLUMNS)} | {"nested": pa.array(found.nested)}
         yield from pa.table(columns).to_batches(1 << 16)
 
-    rows = live.select(*POINT_COLUMNS, *dict.fromkeys((*sent, *unit)))
+    rows = live.select(*POINT_COLUMNS, *sent, _unit_number(unit))
     if both:
         nothing = [F.lit("").alias("own_path"), F.lit(-1).alias("own_depth"), *(F.lit(0).alias(c) for c in OWN_COLUMNS[2:])]
         place = [F.lit(0).cast(live.schema[c].dataType).alias(c) for c in POINT_COLUMNS]
-        rows = rows.select("*", *nothing).unionByName(owners.select(*place, *dict.fromkeys((*sent, *unit)), *OWN_COLUMNS))
-    return rows.repartition(tasks, *unit).sortWithinPartitions(*unit).mapInArrow(run, f"{ACCEPTED}, nested boolean")
+        rows = rows.select("*", *nothing).unionByName(owners.select(*place, *sent, _unit_number(unit), *OWN_COLUMNS))
+    return rows.repartition(tasks, "unit").sortWithinPartitions("unit").mapInArrow(run, f"{ACCEPTED}, nested boolean")
+
+
+def _unit_number(unit: tuple[str, ...]) -> Column:
+    return F.xxhash64(*unit).alias("unit")
 
 
 def whole_units(batches: Iterator[pa.RecordBatch], unit: tuple[str, ...], least: int) -> Iterator[pa.Table]:

@@ -1,6 +1,7 @@
 """The rule against a walk of one point at a time, and the facts of nodes, sources, sinks, streams and the server."""
 
 import json
+import re
 import threading
 import urllib.error
 import urllib.request
@@ -392,3 +393,16 @@ def test_drafts_apart(tmp_path):
         put("3.json", None)
     files.write(filesystem, f"{base}/2.json", b"[]")
     assert seen == {"0.json", "1.json", "2.json"} == {p.name for p in tmp_path.iterdir()} and (tmp_path / "2.json").read_bytes() == b"[]"
+
+
+def test_units_by_number(spark, monkeypatch):
+    """Units are sorted by one number each, which Spark does without comparing rows; those that share a number don't disturb each other, with owners or without."""
+    rows, options = CASES["uniform"]
+    live = lod.with_cells(lod.at_root(points(spark, rows), options), options.grid)
+    plan = lod.finish(live, 0, options, 4, ("path", "cx", "cy", "cz"))._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Sort \[(\w+)#\d+L ASC NULLS FIRST\], false", plan) == ["unit"]
+    monkeypatch.setattr(lod, "_unit_number", lambda unit: F.lit(7).cast("long").alias("unit"))
+    frame, want = points(spark, rows), {k: v for k, v in walk(rows, options).items() if v}
+    first = lod.assign(frame.where("seq < 250"), options)
+    later = lod.assign(frame.where("seq >= 250"), options, stored=first.accepted)
+    assert found(first)[0] | found(later)[0] == want == found(lod.assign(frame, options, kernel_rows=40))[0]
