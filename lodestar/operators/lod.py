@@ -6,13 +6,13 @@ go on to the node's child that they lie in. What is left after the deepest level
 How it is run: the cells of a level part those of the level above, since nodes halve and every node has as many cells. So points
 compete only with points of the same cell, now and at all deeper levels, and cells can be settled apart from each other.
 
-1. Cells of at most `kernel_rows` points, in nearly all data sets all cells of the root, are finished at once: one shuffle by cell,
-   and each task takes its cells through all levels.
+1. Cells of at most `kernel_rows` points, in nearly all data sets all cells of the root, are finished at once, of whatever level they are: one shuffle by cell,
+   and each task takes its cells through all levels below.
 2. If a cell has more, levels at which all points still lie in one node, of which a small data set in a large world has many, are done in
    one pass. Each task keeps the points that its own points alone would accept there: fewer competitors never send a point deeper, so
    these contain everything accepted, and they are few. The rule over them gives the true choice.
-3. The points of cells with more than `kernel_rows` points take one level: the smallest seq of each cell by a partial and a final aggregate, then one join
-   on seq, which is spread evenly. No task ever holds such a cell. What is left goes on with 1.
+3. The points of cells with more than `kernel_rows` points take one level: one aggregate, partial counts first, gives the size and the smallest seq of each cell, one join marks
+   the points by it, and what is left goes on with 3. Cells that are hot are sent to all tasks, so no task ever holds one. Small cells wait for 1 until no cell is large.
 
 Of points at the same place only the first max_depth + 1 can ever be accepted, since each level takes one of them at most. Where cells are too large for one task, longer
 runs of equal points are found by counts and cut first, so that a million equal points take no more rounds than one.
@@ -45,6 +45,8 @@ from ..storage import BROADCAST_BYTES, materialize, small
 KERNEL_ROWS = 1 << 16
 #: Rows that a task settles at once, if its units are smaller than that.
 HELD_ROWS = 1 << 16
+#: Rows of a task that takes a level.
+LEVEL_ROWS = 1 << 18
 #: Stored cells of the levels that all points share that may be sent to every task.
 SENT_OWNERS = 1 << 18
 ACCEPTED = "seq long, x double, y double, z double, r int, g int, b int, path string, depth int, cx int, cy int, cz int, mx double, my double, mz double, sz double"
@@ -52,6 +54,8 @@ DROPPED = "seq long, reason string, path string"
 OUT_OF_BOUNDS, MAX_DEPTH = "out_of_bounds", "max_depth"
 #: What an owner, a stored point, owns: a node, its depth and a cell.
 OWN_COLUMNS = ("own_path", "own_depth", "ox", "oy", "oz")
+#: A point, the node that it is at, and its cell there.
+AT_NODES = (*POINT_COLUMNS, "path", *CUBE_COLUMNS, *CELL_COLUMNS)
 
 
 @dataclass(frozen=True)
@@ -98,7 +102,8 @@ def settle(seq: np.ndarray, points: np.ndarray, paths: np.ndarray, cubes: np.nda
     All points of a level are handled at once; one stands before another in its cell by seq."""
     n = len(seq)
     out = Settled(np.full(n, -1, np.int32), np.empty(n, object), np.zeros((n, 3), np.int32), np.zeros((n, 4)), np.ones(n, bool))
-    names, node = np.unique(paths.astype(str), return_inverse=True)
+    node, found = pd.factorize(paths)
+    names = found.astype(str) if n else np.zeros(0, str)
     at = np.zeros(len(names), np.int64)
     at[node] = np.arange(n)
     own = cubes[at] if n else np.zeros((0, 4))
@@ -122,7 +127,7 @@ def settle(seq: np.ndarray, points: np.ndarray, paths: np.ndarray, cubes: np.nda
         end = won if depth < last else np.ones(len(alive), bool)
         done = alive[end]
         out.depth[alive[won]] = depth
-        out.path[done], out.cell[done], out.cubes[done] = names[node[end]], cell[end], c[end]
+        out.path[done], out.cell[done], out.cubes[done] = names.astype(object)[node[end]], cell[end], c[end]
         alive, node, p, c, above = alive[~end], node[~end], p[~end], c[~end], cell[~end]
         if not len(alive):
             break
@@ -147,16 +152,19 @@ def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 def finish(live: DataFrame, depth: int, options: LodOptions, tasks: int, unit: tuple[str, ...] = ("path",), owners: DataFrame | None = None) -> DataFrame:
     """All remaining levels for points whose units are small: ACCEPTED columns and `nested`, with depth -1 where the deepest level accepted none.
 
-    Units, with their owners, are dealt to tasks in one shuffle and sorted there, so that a task settles some whole units at a time and holds no others. At the root no node needs to be sent.
+    Units, with their owners, are dealt to tasks in one shuffle and sorted there, so that a task settles some whole units at a time and holds no others. At depth 0 no node needs to be sent;
+    else the paths say at which level a unit begins, and levels may differ.
     One number stands for a unit, by which Spark sorts without a look at the rows; units of the same number are settled together, which changes nothing."""
     both, sent = owners is not None, () if depth == 0 else ("path", *CUBE_COLUMNS)
     world = [float(v) for v in (options.world.x, options.world.y, options.world.z, options.world.size)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_units(batches, ("unit",), HELD_ROWS):
-            yield from settled(rows)
+            levels = pc.binary_length(rows["path"]) if sent else None
+            for level in [0] if levels is None else sorted(pc.unique(levels).to_pylist()):
+                yield from settled(rows if levels is None else rows.filter(pc.equal(levels, level)), level)
 
-    def settled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    def settled(rows: pa.Table, level: int) -> Iterator[pa.RecordBatch]:
         owned = None
         if both:
             own = pc.greater_equal(rows["own_depth"], 0)
@@ -165,7 +173,7 @@ def finish(live: DataFrame, depth: int, options: LodOptions, tasks: int, unit: t
         n = rows.num_rows
         paths = _column(rows, "path") if sent else np.full(n, "", object)
         cubes = _columns(rows, CUBE_COLUMNS, float) if sent else np.tile(world, (n, 1))
-        found = settle(_column(rows, "seq"), _columns(rows, cube.AXES, float), paths, cubes, depth, options.max_depth, options.grid, owned)
+        found = settle(_column(rows, "seq"), _columns(rows, cube.AXES, float), paths, cubes, level, options.max_depth, options.grid, owned)
         columns = {c: rows[c].combine_chunks() for c in POINT_COLUMNS}
         columns |= {"path": pa.array(found.path, pa.string()), "depth": pa.array(found.depth)} | {c: pa.array(found.cell[:, k]) for k, c in enumerate(CELL_COLUMNS)}
         columns |= {c: pa.array(found.cubes[:, k]) for k, c in enumerate(CUBE_COLUMNS)} | {"nested": pa.array(found.nested)}
@@ -180,7 +188,8 @@ def finish(live: DataFrame, depth: int, options: LodOptions, tasks: int, unit: t
 
 
 def _unit_number(unit: tuple[str, ...]) -> Column:
-    return F.xxhash64(*unit).alias("unit")
+    """Of a hash, below the level, so that units of a level lie together."""
+    return (F.shiftleft(F.length("path").cast("long"), 56) + F.shiftrightunsigned(F.xxhash64(*unit), 8)).alias("unit")
 
 
 def whole_units(batches: Iterator[pa.RecordBatch], unit: tuple[str, ...], least: int) -> Iterator[pa.Table]:
@@ -207,6 +216,11 @@ def _tasks(spark: SparkSession, rows: int) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-rows // KERNEL_ROWS))
 
 
+def _spread(live: DataFrame, rows: int) -> DataFrame:
+    """live, written by as many tasks as it is worth, however few files or row groups the source has; the levels are read as they were written."""
+    return materialize(live.repartition(max(live.sparkSession.sparkContext.defaultParallelism, -(-rows // LEVEL_ROWS)), "seq"))
+
+
 def _column(rows: pa.Table, name: str) -> np.ndarray:
     return rows[name].to_numpy()
 
@@ -408,41 +422,80 @@ def deepest_path(point: list[float], options: LodOptions) -> str:
     return path
 
 
+def _marked(cells: DataFrame, marks: DataFrame, n: int, hot: int, depth: int) -> DataFrame:
+    """cells with the `first` point and `large` of the n cells that marks have. Marks that are too many to be sent meet the points in a shuffle by cell, which hot cells take no part in."""
+    key = ["path", *CELL_COLUMNS]
+    found = marks.select(*key, "first", F.lit(True).alias("large"))
+    if n * (depth + 92) <= BROADCAST_BYTES:
+        return cells.join(F.broadcast(found), key, "left")
+    if not hot:
+        return cells.join(found, key, "left")
+    few = F.broadcast(marks.where(F.col("rows") > KERNEL_ROWS).select(*key, "first", F.lit(True).alias("large")))
+    return cells.join(few, key).unionByName(cells.join(few, key, "left_anti").join(found, key, "left"))
+
+
+def _moved(marked: DataFrame, grid: int) -> DataFrame:
+    """Points that are `left` at the children that they lie in, with their cells there and whether these are no parts of the cells above; the others stay as they are."""
+    moved = {"path": F.concat("path", cube.octant().cast("string")), **cube.child_of_point()}
+    there = [F.when(F.col("left"), c).otherwise(F.col(k)).alias(k) for k, c in moved.items()]
+    below = with_cells(marked.select(*POINT_COLUMNS, *there, "won", "left", *(F.col(c).alias(f"above_{c}") for c in CELL_COLUMNS)), grid)
+    return below.select(*AT_NODES, "won", "left", F.when(F.col("left"), outside_cell_above(grid)).otherwise(F.lit(False)).alias("strange"))
+
+
 def _by_units(live: DataFrame, depth: int, options: LodOptions, kernel_rows: int, unit: tuple[str, ...], owners: DataFrame | None = None) -> tuple[list[DataFrame], list[DataFrame]] | None:
-    """Steps 1 and 3 from a depth on: accepted and dropped; None if units of cells turn out not to be apart."""
-    spark, accepted, dropped = live.sparkSession, [], []
-    strange = F.lit(False)
+    """Steps 1 and 3 from a depth on: accepted and dropped; None if units of cells turn out not to be apart.
+
+    A level takes one aggregate, whose rows are the cells, and one pass that marks the points. Units that are small wait, each at its level, and are finished together."""
+    spark, accepted, dropped, rest, near, waiting = live.sparkSession, [], [], [], [], 0
+    key, large = ["path", *CELL_COLUMNS], F.col("rows") > kernel_rows
+    cells = with_cells(live, options.grid).withColumn("strange", F.lit(False))
     while True:
-        cells = with_cells(live, options.grid).withColumn("strange", strange)
         held = None if owners is None else with_cells(owners, options.grid)
-        sizes = materialize(_sizes(cells, held, unit, F.count_if("strange").alias("strange")).where("n > 0"))
-        total, most, odd = sizes.agg(F.sum("rows"), F.max("rows"), F.sum("strange")).first()
+        firsts = materialize(_sizes(cells, held, tuple(key), F.count_if("strange").alias("strange"), F.min("seq").alias("first")))
+        sizes = firsts if len(unit) > 1 else firsts.groupBy("path").agg(*(F.sum(c).alias(c) for c in ("n", "rows", "strange")))
+        sizes = sizes.where("n > 0")
+        full = sizes.agg(F.sum("rows"), F.sum("strange"), F.count_if(large), F.sum(F.when(large, F.col("rows"))), F.count_if(F.col("rows") > KERNEL_ROWS)).first()
+        total, odd, n, in_large, hot = (v or 0 for v in full)
         if not total:
             break
         if len(unit) > 1 and odd:
             return None
-        large, rest = None, cells
-        if most > kernel_rows:
-            big = small(materialize(sizes.where(F.col("rows") > kernel_rows).select(*unit)), depth + 76)
-            large, rest = cells.join(big, list(unit), "left_semi"), cells.join(big, list(unit), "left_anti")
-        near = None if held is None else held.join(small(materialize(sizes.where(F.col("rows") <= kernel_rows).select(*unit)), depth + 76), list(unit), "left_semi")
-        tasks = _tasks(spark, total)
-        done = materialize(finish(rest, depth, options, tasks, unit, near))
-        if len(unit) > 1 and not _apart(done):
-            return None
-        accepted.append(_accepted(done.where("depth >= 0"), F.col("depth")))
-        dropped.append(_dropped(done.where("depth < 0"), MAX_DEPTH))
-        if large is None:
+        waiting += total - in_large
+        if not n:
+            rest.append(cells.select(*AT_NODES))
+            near.append(held)
             break
-        far = None if held is None else materialize(held.join(big, list(unit), "left_semi"))
-        rows = materialize(flagged(large, _free(first_of_cells(large), far, depth)))
+        marks = firsts.where("n > 0")
+        if len(unit) > 1:
+            marks = marks.where(large)
+        else:
+            marks = materialize(marks.join(small(materialize(sizes.where(large).select("path")), depth + 60), "path", "left_semi"))
+            n, hot = marks.count(), marks.where(F.col("rows") > KERNEL_ROWS).count()
+        if held is not None:
+            small_units = small(materialize(sizes.where(~large).select(*unit)), depth + 76)
+            big_units = small(materialize(sizes.where(large).select(*unit)), depth + 76)
+            near.append(held.join(small_units, list(unit), "left_semi"))
+            far = materialize(held.join(big_units, list(unit), "left_semi"))
+            taken = owned_cells(far, depth).distinct().withColumn("taken", F.lit(True))
+            marks = materialize(marks.join(taken, key, "left").withColumn("first", F.when(F.col("taken").isNull(), F.col("first"))).drop("taken"))
+        marked = _marked(cells, marks, n, hot, depth).withColumns({"large": F.coalesce("large", F.lit(False)), "won": F.coalesce(F.col("seq") == F.col("first"), F.lit(False))})
+        marked = marked.select(*AT_NODES, "won", (F.col("large") & ~F.col("won")).alias("left"))
+        rows = materialize(marked if depth == options.max_depth else _moved(marked, options.grid))
         accepted.append(_accepted(rows.where("won"), depth))
-        left = rows.where("not won")
+        if total > in_large:
+            rest.append(rows.where("not won and not left").select(*AT_NODES))
         if depth == options.max_depth:
-            dropped.append(_dropped(left, MAX_DEPTH))
+            dropped.append(_dropped(rows.where("left"), MAX_DEPTH))
             break
-        owners = None if far is None else materialize(owners_below(far, depth))
-        live, depth, strange = next_level(left, *(F.col(c).alias(f"above_{c}") for c in CELL_COLUMNS)), depth + 1, outside_cell_above(options.grid)
+        owners = None if held is None else materialize(owners_below(far, depth))
+        cells, depth = rows.where("left").drop("won", "left"), depth + 1
+    if rest:
+        owned = None if owners is None else _union(near, spark, "")
+        done = materialize(finish(_union(rest, spark, ""), depth, options, _tasks(spark, waiting), unit, owned))
+        if len(unit) > 1 and not _apart(done):
+            return None
+        accepted.append(_accepted(done.where("depth >= 0"), F.col("depth")))
+        dropped.append(_dropped(done.where("depth < 0"), MAX_DEPTH))
     return accepted, dropped
 
 
@@ -505,12 +558,12 @@ def assign(points: DataFrame, options: LodOptions | None = None, kernel_rows: in
             unit, owners = ("path",), None if stored is None else owners_at_root(stored, options)
         if attempt or seen["most"] <= kernel_rows:
             break
-        live, written = materialize(live), True
+        live, written = _spread(live, seen["n"]), True
         live, surplus = _thinned(live, options)
         if surplus is None:
             break
         dropped.append(surplus)
-    live = live if written else materialize(live)
+    live = live if written else _spread(live, seen["n"])
     path, end = common_levels(seen, options)
     first = None
     if path and seen["n"] > kernel_rows and len(unit) > 1:

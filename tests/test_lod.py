@@ -406,3 +406,38 @@ def test_units_by_number(spark, monkeypatch):
     first = lod.assign(frame.where("seq < 250"), options)
     later = lod.assign(frame.where("seq >= 250"), options, stored=first.accepted)
     assert found(first)[0] | found(later)[0] == want == found(lod.assign(frame, options, kernel_rows=40))[0]
+
+
+def test_level_takes_two_steps(spark, monkeypatch):
+    """A level of the loop writes its cells and its marked points and nothing else; small cells of all levels, with their owners, are finished together."""
+    rows, options = CASES["uniform"]
+    frame, want = points(spark, rows), {k: v for k, v in walk(rows, options).items() if v}
+    wrote, ends, write, finish = [], [], lod.materialize, lod.finish
+    monkeypatch.setattr(lod, "materialize", lambda df: wrote.append(df.columns) or write(df))
+    monkeypatch.setattr(lod, "finish", lambda live, depth, *more: ends.append(depth) or finish(live, depth, *more))
+    result = lod._by_units(lod.at_root(frame, options), 0, options, 2, ("path", "cx", "cy", "cz"))
+    assert {r["seq"]: (r["path"], (r["cx"], r["cy"], r["cz"])) for part in result[0] for r in part.collect()} == want
+    assert len(ends) == 1 and ends[0] >= 3 and len(wrote) <= 2 * (ends[0] + 1) + 1
+    first = lod.assign(frame.where("seq < 250"), options, kernel_rows=2)
+    ends.clear()
+    later = lod.assign(frame.where("seq >= 250"), options, kernel_rows=2, stored=first.accepted)
+    assert len(ends) == 1 and found(first)[0] | found(later)[0] == want
+
+
+def test_marks_that_are_not_sent(spark, monkeypatch):
+    """Where too many cells are large to send them all, hot ones are sent and the others meet their points in a shuffle; the result is the same."""
+    rows, options = CASES["uniform"]
+    want = {k: v for k, v in walk(rows, options).items() if v}
+    monkeypatch.setattr(lod, "BROADCAST_BYTES", 200)
+    for hot in (1 << 16, 8):
+        monkeypatch.setattr(lod, "KERNEL_ROWS", hot)
+        assert found(lod.assign(points(spark, rows), options, kernel_rows=2))[0] == want
+
+
+def test_levels_of_one_file(spark, monkeypatch):
+    """A level has the tasks that its rows are worth, though the source has only one."""
+    rows, options = CASES["uniform"][0], LodOptions(World(0, 0, 0, 512), 8, 20)
+    seen, take = [], lod._by_units
+    monkeypatch.setattr(lod, "_by_units", lambda live, *more: seen.append(live.select(F.spark_partition_id().alias("k")).distinct().count()) or take(live, *more))
+    assert found(lod.assign(points(spark, rows).coalesce(1), options, kernel_rows=2))[0] == {k: v for k, v in walk(rows, options).items() if v}
+    assert seen == [spark.sparkContext.defaultParallelism]
