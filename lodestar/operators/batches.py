@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..storage import materialize, small
+from ..storage import local_rows, materialize, small
 
 
 def dense_numbers(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
@@ -18,7 +18,7 @@ def dense_numbers(df: DataFrame, *order: str, name: str = "number") -> DataFrame
     for k, n in counts:
         starts.append((k, at))
         at += n
-    first = small(df.sparkSession.createDataFrame(starts, "_range long, _first long"), 16)
+    first = small(local_rows(df.sparkSession, starts, "_range long, _first long"), 16)
     number = F.col("_first") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
     return rows.join(first, "_range").select(*df.columns, number.alias(name))
 
@@ -30,7 +30,7 @@ def running_starts(df: DataFrame, order: str, size: str, name: str) -> DataFrame
     for k, n in sorted(map(tuple, rows.groupBy("_range").agg(F.sum(size)).collect())):
         starts.append((k, at))
         at += n
-    first = small(df.sparkSession.createDataFrame(starts, "_range int, _first long"), 16)
+    first = small(local_rows(df.sparkSession, starts, "_range int, _first long"), 16)
     before = F.coalesce(F.sum(size).over(W.partitionBy("_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return rows.join(first, "_range").select(*df.columns, (F.col("_first") + before).alias(name))
 

@@ -39,12 +39,12 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window as W, funct
 
 from ..functions import cube
 from ..model import CELL_COLUMNS, CUBE_COLUMNS, POINT_COLUMNS, LodOptions
-from ..storage import BROADCAST_BYTES, materialize, small
+from ..storage import BROADCAST_BYTES, local_rows, materialize, small
 
 #: Points of one cell that a single task may finish.
 KERNEL_ROWS = 1 << 16
-#: Rows that a task settles at once, if its units are smaller than that.
-HELD_ROWS = 1 << 16
+#: Rows that a task settles at once, if its units are smaller than that: few, as each core of an executor has a Python worker that keeps what it once took.
+HELD_ROWS = 1 << 13
 #: Rows of a task that takes a level.
 LEVEL_ROWS = 1 << 18
 #: Stored cells of the levels that all points share that may be sent to every task.
@@ -364,7 +364,7 @@ def _first_levels(live: DataFrame, path: str, end: list[float], options: LodOpti
 
 def _union(parts: list[DataFrame], spark, schema: str) -> DataFrame:
     if not parts:
-        return spark.createDataFrame([], schema)
+        return local_rows(spark, [], schema)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -19,7 +19,7 @@ from ..sources.records import read_records
 from ..sources.survey import Survey, read_survey
 from ..sources.tables import embedding_points, event_points, table
 from ..sources.text import centroid, parse_lines, project, read_cartesian, read_geodetic
-from ..storage import checkpoint_dir, materialize
+from ..storage import checkpoint_dir, local_rows, materialize
 from ..streaming import ingest, keyed
 
 #: Of the event points.
@@ -332,7 +332,7 @@ def nodes_by_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _replaced(spark: SparkSession, sf_dir: str) -> Store:
     """A store whose node 0 got a new set twice, and whose node 1 was emptied; the older replacement is part of the base."""
     store = _stored(spark, sf_dir, 2)
-    store.replace(store.node_points("0").where("seq % 2 = 0"), spark.createDataFrame([("1",)], "path string"))
+    store.replace(store.node_points("0").where("seq % 2 = 0"), local_rows(spark, [("1",)], "path string"))
     store.replace(store.node_points("0").where("seq % 4 = 0"))
     return store
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..model import CUBE_COLUMNS, POINT
 from ..operators.lod import ACCEPTED, DROPPED, MAX_DEPTH, Lod
-from ..storage import beside, hadoop, materialize, small
+from ..storage import beside, hadoop, local_rows, materialize, small
 
 COMMIT = "batch_id long, points long, accepted long, dropped long, nodes long, new_nodes long, written timestamp, last_seq long"
 PROGRESS = "batch_id long, points long, elapsed_ms long, points_per_second double"
@@ -124,7 +124,7 @@ class Store:
 
     def _read(self, kind: str, runs: list[Run]) -> DataFrame:
         if not runs:
-            return self.spark.createDataFrame([], _SCHEMAS[kind])
+            return local_rows(self.spark, [], _SCHEMAS[kind])
         return self.spark.read.schema(_SCHEMAS[kind]).parquet(*(self._path("runs", r.name, kind) for r in runs))
 
     def batches(self) -> list[int]:
@@ -136,7 +136,7 @@ class Store:
     def commits(self) -> DataFrame:
         """A row for each committed batch."""
         if not self._names("commits"):
-            return self.spark.createDataFrame([], COMMIT)
+            return local_rows(self.spark, [], COMMIT)
         last = max((r.batch for r in self._runs() if r.batch is not None), default=-1)
         return self.spark.read.schema(COMMIT).json(self._path("commits")).where(F.col("batch_id") <= last)
 
@@ -238,7 +238,7 @@ class Store:
 
     def pending_points(self) -> DataFrame:
         folders = [self._path("pending", "rows", p["name"]) for p in self.pending().values()]
-        return self.spark.read.schema(POINT).parquet(*folders) if folders else self.spark.createDataFrame([], POINT)
+        return self.spark.read.schema(POINT).parquet(*folders) if folders else local_rows(self.spark, [], POINT)
 
     def drop_pending(self, through: int) -> None:
         """Remove what waited for batches up to one."""
@@ -253,7 +253,7 @@ class Store:
 
     def progress(self) -> DataFrame:
         """What a ProgressLog wrote."""
-        return self.spark.read.schema(PROGRESS).json(self._path("progress")) if self._names("progress") else self.spark.createDataFrame([], PROGRESS)
+        return self.spark.read.schema(PROGRESS).json(self._path("progress")) if self._names("progress") else local_rows(self.spark, [], PROGRESS)
 
     def draft(self, batch: int) -> Draft:
         before = self.manifest()

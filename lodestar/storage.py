@@ -8,7 +8,9 @@ from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 #: A table of at most this many bytes may be sent to every executor.
 BROADCAST_BYTES = 48 << 20
@@ -62,6 +64,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a frame that the JVM holds. createDataFrame deals tuples to Python workers, of which each executor would then have a second set beside that of the Arrow functions."""
+    fields = StructType.fromDDL(schema).fields
+    if not rows:
+        return spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
+    table = pa.table({f.name: pa.array([r[k] for r in rows]) for k, f in enumerate(fields)})
+    return spark.createDataFrame(table).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields))
+
+
 def small(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if its counted rows, at row_bytes each, fit in most bytes; else df as it is, which shuffles."""
     return F.broadcast(df) if df.count() * row_bytes <= most else df

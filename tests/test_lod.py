@@ -9,6 +9,7 @@ import urllib.request
 import numpy as np
 import pyarrow as pa
 import pytest
+from lodestar import storage
 from lodestar.functions import geo, ids
 from lodestar.functions.clock import clock_at
 from lodestar.model import POINT, GeoReference, LodOptions, World
@@ -441,3 +442,21 @@ def test_levels_of_one_file(spark, monkeypatch):
     monkeypatch.setattr(lod, "_by_units", lambda live, *more: seen.append(live.select(F.spark_partition_id().alias("k")).distinct().count()) or take(live, *more))
     assert found(lod.assign(points(spark, rows).coalesce(1), options, kernel_rows=2))[0] == {k: v for k, v in walk(rows, options).items() if v}
     assert seen == [spark.sparkContext.defaultParallelism]
+
+
+def test_rows_without_workers(spark, sf_dir):
+    """Frames of a few rows are the JVM's: their plans, and those of dense numbers and of a store without runs, have no rows from Python."""
+    frame = storage.local_rows(spark, [("1", 2, None), ("0", 3, 1.5)], "path string, n int, x double")
+    empty = storage.local_rows(spark, [], POINT)
+    assert frame.schema.simpleString() == "struct<path:string,n:int,x:double>" and [tuple(r) for r in frame.collect()] == [("1", 2, None), ("0", 3, 1.5)]
+    assert empty.collect() == [] and empty.schema.simpleString() == points(spark, [(1, 2, 3)]).schema.simpleString()
+    numbered = batches.dense_numbers(spark.range(20).withColumnRenamed("id", "seq"), "seq")
+    for df in (frame, empty, numbered, Store(spark, "/tmp/none-such").accepted()):
+        assert "Scan ExistingRDD" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_rows_are_held():
+    """A task settles some thousand rows at a time, however many its share has."""
+    unit = np.repeat(np.arange(4000), 20)
+    parts = list(lod.whole_units(iter(pa.table({"unit": unit}).to_batches(10_000)), ("unit",), lod.HELD_ROWS))
+    assert sum(len(p) for p in parts) == len(unit) and max(len(p) for p in parts) <= 20_000
