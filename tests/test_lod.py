@@ -460,3 +460,11 @@ def test_few_rows_are_held():
     unit = np.repeat(np.arange(4000), 20)
     parts = list(lod.whole_units(iter(pa.table({"unit": unit}).to_batches(10_000)), ("unit",), lod.HELD_ROWS))
     assert sum(len(p) for p in parts) == len(unit) and max(len(p) for p in parts) <= 20_000
+
+
+def test_numbers_of_files_without_workers(spark):
+    """Where the rows of each file of a micro-batch begin is known without a Python worker."""
+    sizes = spark.range(9).select(F.col("id").cast("string").alias("file"), (F.col("id") + 1).alias("splits"))
+    starts = batches.running_starts(sizes, "file", "splits", "ordinal")
+    assert "Scan ExistingRDD" not in starts._jdf.queryExecution().executedPlan().toString()
+    assert [r["ordinal"] for r in starts.orderBy("file").collect()] == [k * (k + 1) // 2 for k in range(9)]
