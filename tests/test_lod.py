@@ -468,3 +468,15 @@ def test_numbers_of_files_without_workers(spark):
     starts = batches.running_starts(sizes, "file", "splits", "ordinal")
     assert "Scan ExistingRDD" not in starts._jdf.queryExecution().executedPlan().toString()
     assert [r["ordinal"] for r in starts.orderBy("file").collect()] == [k * (k + 1) // 2 for k in range(9)]
+
+
+def test_equal_points_in_few_steps(spark, monkeypatch):
+    """A run of equal points among others is cut, and each level after that writes twice."""
+    rows = np.concatenate([CASES["uniform"][0][:300] / 4, np.repeat([[40.25, 41.5, 42.75]], 300, axis=0)])
+    options, wrote, ends, write, finish = LodOptions(World(0, 0, 0, 128), 8, 12), [], [], lod.materialize, lod.finish
+    monkeypatch.setattr(lod, "materialize", lambda df: wrote.append(df.columns) or write(df))
+    monkeypatch.setattr(lod, "finish", lambda live, depth, *more: ends.append(depth) or finish(live, depth, *more))
+    got, lost = found(lod.assign(points(spark, rows), options, kernel_rows=4))
+    want = walk(rows, options)
+    assert got == {k: v for k, v in want.items() if v} and set(lost) == {k for k in want if not want[k]}
+    assert len(ends) <= 1 and len(wrote) <= 5 + 2 * (options.max_depth + 1) + 1
