@@ -18,7 +18,8 @@ Of points at the same place only the first max_depth + 1 can ever be accepted, s
 runs of equal points are found by counts and cut first, so that a million equal points take no more rounds than one.
 
 Points can be assigned next to stored ones (`stored`), which own their cells already. Stored rows take part as owners: they meet the new points of their cell in the same task, in the same
-shuffle, and what they own is a set of cells of each level that nobody else can have. Only rows of cells that the new points touch are read on.
+shuffle, and what they own is a set of cells of each level that nobody else can have. Only rows of cells that the new points touch are read on. Where stored rows make a cell too large for
+one task, they mostly own that cell as well: then nobody wins it, its points are moved on by an expression, and only levels below are settled, in one task each and without 3.
 
 Rounding can put a point next to a cell's edge into a cell that is no part of the one above. Tasks look for such points; if there is one,
 the work is done again with whole nodes in the place of cells, which needs no such property; `apart` tells which it was.
@@ -49,6 +50,8 @@ HELD_ROWS = 1 << 13
 LEVEL_ROWS = 1 << 18
 #: Stored cells of the levels that all points share that may be sent to every task.
 SENT_OWNERS = 1 << 18
+#: Levels that points pass without a write, where stored points own the cells of all large units; each parts a unit in eight.
+PASSED_LEVELS = 4
 ACCEPTED = "seq long, x double, y double, z double, r int, g int, b int, path string, depth int, cx int, cy int, cz int, mx double, my double, mz double, sz double"
 DROPPED = "seq long, reason string, path string"
 OUT_OF_BOUNDS, MAX_DEPTH = "out_of_bounds", "max_depth"
@@ -377,13 +380,38 @@ def _apart(done: DataFrame) -> bool:
 
 
 def _sizes(cells: DataFrame, owners: DataFrame | None, unit: tuple[str, ...], *more: Column) -> DataFrame:
-    """Of each unit: n points, `rows` with its owners, and more aggregates over the points."""
+    """Of each unit: n points, `rows` with its owners, more aggregates over the points, and with owners whether its cell is `owned`."""
     if owners is None:
         return cells.groupBy(*unit).agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("rows"), *more)
     # null columns stand for owners, which no aggregate but the count of rows sees
     nulls = [F.lit(None).cast(cells.schema[c].dataType).alias(c) for c in cells.columns if c not in unit]
-    both = cells.unionByName(owners.select(*unit, *nulls))
-    return both.groupBy(*unit).agg(F.count("seq").alias("n"), F.count(F.lit(1)).alias("rows"), *more)
+    owned = (F.col("own_path") == F.col("path")) & (F.col("ox") == F.col("cx")) & (F.col("oy") == F.col("cy")) & (F.col("oz") == F.col("cz"))
+    both = cells.withColumn("owned", F.lit(False)).unionByName(owners.select(*unit, *nulls, owned.alias("owned")))
+    return both.groupBy(*unit).agg(F.count("seq").alias("n"), F.count(F.lit(1)).alias("rows"), F.max("owned").alias("owned"), *more)
+
+
+def _past_owned(cells: DataFrame, held: DataFrame, sizes: DataFrame, options: LodOptions, kernel_rows: int) -> tuple[DataFrame, DataFrame, int] | None:
+    """Points and owners with those of large units, whose cells are all owned, at the levels below where units are small: both, the owners only of units that have points, and how many rows.
+
+    Nobody wins an owned cell, so nothing is settled or written on the way but the sizes of units. None if a large unit's cell is free, units stay large, or a cell is no part of the one above."""
+    unit, large = ["path", *CELL_COLUMNS], F.col("rows") > kernel_rows
+    cells, sizes = cells.select(*AT_NODES), sizes.withColumn("strange", F.lit(0))
+    for depth in range(min(PASSED_LEVELS, options.max_depth) + 1):
+        sizes = sizes.where("n > 0")
+        units, rows, odd, n, free = sizes.agg(F.count(F.lit(1)), F.sum("rows"), F.sum("strange"), F.count_if(large), F.count_if(large & ~F.col("owned"))).first()
+        if odd or free or n * (depth + 92) > BROADCAST_BYTES:
+            return None
+        if not n:
+            keys = sizes.select(*unit)
+            return cells, held.join(F.broadcast(keys) if units * (depth + 76) <= BROADCAST_BYTES else keys, unit, "left_semi"), rows
+        marks = F.broadcast(sizes.where(large).select(*unit, F.lit(True).alias("large")))
+        points = _moved(cells.join(marks, unit, "left").select(*AT_NODES, F.lit(False).alias("won"), F.coalesce("large", F.lit(False)).alias("left")), options.grid)
+        owners = held.join(marks, unit, "left").where(F.col("large").isNull() | (F.col("own_depth") > depth))
+        moved = {"path": F.concat("path", cube.octant().cast("string")), **cube.child_of_point()}
+        held = with_cells(owners.select(*cube.AXES, *OWN_COLUMNS, *(F.when(F.col("large"), c).otherwise(F.col(k)).alias(k) for k, c in moved.items())), options.grid)
+        sizes = materialize(_sizes(points.select(*AT_NODES, "strange"), held, tuple(unit), F.count_if("strange").alias("strange")))
+        cells = points.select(*AT_NODES)
+    return None
 
 
 def _thinned(live: DataFrame, options: LodOptions) -> tuple[DataFrame, DataFrame | None]:
@@ -544,18 +572,26 @@ def assign(points: DataFrame, options: LodOptions | None = None, kernel_rows: in
         cells = with_cells(live, options.grid)
         held = None if owners is None else with_cells(owners, options.grid)
         sizes = _sizes(cells, held, ("path", *CELL_COLUMNS), *ends)
+        sizes = sizes if held is None else materialize(sizes)
         seen = sizes.agg(*total).first()
         if not seen["n"]:
             return nothing()
         if seen["most"] <= kernel_rows and len(unit) > 1:
             tasks = _tasks(spark, seen["rows"])
             if held is not None and seen["all_rows"] > 2 * seen["rows"]:
-                keys = materialize(sizes.where("n > 0").select(*unit))
+                keys = sizes.where("n > 0").select(*unit)
                 held = held.join(F.broadcast(keys) if seen["units"] * 76 <= BROADCAST_BYTES else keys, list(unit), "left_semi")
             done = hold(finish(cells, 0, options, tasks, unit, held))
             if _apart(done):
                 return of_settled(done, dropped)
             unit, owners = ("path",), None if stored is None else owners_at_root(stored, options)
+        elif owners is not None and len(unit) > 1 and not attempt and (there := _past_owned(cells, held, sizes, options, kernel_rows)) is not None:
+            below, near, rows = there
+            done = hold(finish(below, 1, options, _tasks(spark, rows), unit, near))
+            if _apart(done):
+                return of_settled(done, dropped)
+            unit, owners = ("path",), owners_at_root(stored, options)
+            break
         if attempt or seen["most"] <= kernel_rows:
             break
         live, written = _spread(live, seen["n"]), True

@@ -480,3 +480,21 @@ def test_equal_points_in_few_steps(spark, monkeypatch):
     want = walk(rows, options)
     assert got == {k: v for k, v in want.items() if v} and set(lost) == {k for k in want if not want[k]}
     assert len(ends) <= 1 and len(wrote) <= 5 + 2 * (options.max_depth + 1) + 1
+
+
+def test_past_owned_cells(spark, monkeypatch):
+    """Where stored points make cells large and own them, new points pass these without a level that is settled and written; where a large cell is free, the levels are taken."""
+    rows, options = 128 * np.random.default_rng(3).uniform(0, 1, (480, 3)) ** 1.5, LodOptions(World(0, 0, 0, 128), 2, 12)
+    frame, want = points(spark, rows), {k: v for k, v in walk(rows, options).items() if v}
+    looped, take = [], lod._by_units
+    monkeypatch.setattr(lod, "_by_units", lambda *more: looped.append(1) or take(*more))
+    seen = []
+    for cut, kernel_rows in ((400, 60), (3, 60)):
+        first = lod.assign(frame.where(f"seq < {cut}"), options)
+        stored = lod.materialize(first.accepted)
+        looped.clear()
+        later = lod.assign(frame.where(f"seq >= {cut}"), options, kernel_rows=kernel_rows, stored=stored)
+        got, lost = found(later)
+        assert found(first)[0] | got == want and set(lost) | set(found(first)[1]) == set(range(len(rows))) - set(want)
+        seen.append((len(looped), later.settled is not None))
+    assert seen == [(0, True), (1, False)]
